@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, packing
+from . import byte_bpe, packing, superkmers
 
 
 def queries() -> dict:
-    found = (byte_bpe.op5_byte_bpe, packing.op8_best_fit_packing)
+    found = (superkmers.op2_substring_dedup, byte_bpe.op5_byte_bpe, packing.op8_best_fit_packing)
     return {f.__name__: f for f in found}
 
 
