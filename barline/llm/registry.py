@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, packing, superkmers
+from . import byte_bpe, language_id, packing, repetition, superkmers
 
 
 def queries() -> dict:
-    found = (superkmers.op2_substring_dedup, byte_bpe.op5_byte_bpe, packing.op8_best_fit_packing)
+    found = (language_id.op1_language_id, superkmers.op2_substring_dedup, repetition.op3_quality_rules, byte_bpe.op5_byte_bpe, packing.op8_best_fit_packing)
     return {f.__name__: f for f in found}
 
 
