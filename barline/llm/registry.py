@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, language_id, packing, repetition, superkmers
+from . import byte_bpe, class_model, embedding_dedup, importance_sampling, jaccard_join, language_id, packing, repetition, superkmers
 
 
 def queries() -> dict:
-    found = (language_id.op1_language_id, superkmers.op2_substring_dedup, repetition.op3_quality_rules, byte_bpe.op5_byte_bpe, packing.op8_best_fit_packing)
+    found = (
+        language_id.op1_language_id,
+        superkmers.op2_substring_dedup,
+        repetition.op3_quality_rules,
+        jaccard_join.op4_jaccard_join,
+        byte_bpe.op5_byte_bpe,
+        class_model.op6_class_lm,
+        embedding_dedup.op7_embedding_near_dedup,
+        packing.op8_best_fit_packing,
+        importance_sampling.op9_importance_resampling,
+    )
     return {f.__name__: f for f in found}
 
 

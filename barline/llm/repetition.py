@@ -24,13 +24,10 @@ from ._words import Words, slices, spans, utf8, words
 #: Symbols that the base counts.
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
-#: Words of the windows that the base counts (a power of two: the ranks of one round).
+#: Words of the windows that the base counts.
 WINDOW = 8
 
 
-def _ranks(ids: np.ndarray) -> tuple[np.ndarray, int]:
-    found, ranks = np.unique(ids, return_inverse=True)
-    return ranks, len(found)
 
 
 def suffix_ranks(w: Words, rows: int) -> list[np.ndarray]:
