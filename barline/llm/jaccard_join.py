@@ -11,9 +11,10 @@ and the parts are summed.
    is as long as the threshold demands: classes that link share a shingle of both prefixes (prefix filter).
 4. The classes with a prefix shingle are a list. Not all pairs of a list are compared: each member is compared
    with the list's pivot, the member whose shingles are most common. Those that link with the pivot are one
-   component. The rest are compared with all others of the list that the triangle inequality of the Jaccard
-   distance, through the pivot, still allows. So no link between different components is lost, and a group of
-   near copies costs one comparison a member.
+   component. The rest are compared with all others of the list that the known overlaps with the pivot still
+   allow: by the triangle inequality of the Jaccard distance, and by what two sets can share inside and outside
+   the pivot's. So no link between different components is lost, and a group of near copies costs about one
+   comparison a member.
 5. Pairs are verified by overlaps: the fragments of both sets meet, each gives a partial overlap, and the sum
    is exact.
 
@@ -191,52 +192,67 @@ def _send_sets(buckets: int):
                 batch = whole.slice(first, 1000)
                 raw = batch.column(1).to_pylist()
                 value = np.frombuffer(b"".join(raw), np.uint64)
-                owner = np.repeat(batch.column(0).to_numpy(), [len(r) // 8 for r in raw])
+                sizes = np.array([len(r) // 8 for r in raw], np.int64)
+                owner, size = np.repeat(batch.column(0).to_numpy(), sizes), np.repeat(sizes, sizes)
                 bucket = (value % np.uint64(buckets)).astype(np.int64)
                 ids, rows = [], []
                 for p in _parts(bucket):
                     p = p[np.lexsort((value[p], owner[p]))]
-                    names, count = np.unique(owner[p], return_counts=True)
+                    names, first, count = np.unique(owner[p], return_index=True, return_counts=True)
                     ids.append(int(bucket[p[0]]))
-                    rows.append(_frozen(value[p], count, names))
+                    rows.append(_frozen(value[p], count, names, size[p[first]]))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(rows, pa.binary())], ["bucket", "packed"])
 
     return run
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each class, packed: shingles that others have too, and in how many classes each lies."""
-    for parts in _by_bucket(batches):
-        value, owner = _entries(parts)
-        count = _frequency(value)
-        at = np.flatnonzero(count > 1)
-        at = at[np.argsort(owner[at], kind="stable")]
-        names, first = np.unique(owner[at], return_index=True)
-        ends = np.append(first[1:], len(at))
-        raw = [np.stack([value[at[a:b]], count[at[a:b]].astype(np.uint64)]).tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(raw, pa.binary())], ["id", "packed"])
+def _frequencies(buckets: int):
+    """For the bucket of each class, packed: shingles that others have too, and in how many classes each lies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            value, count, owner, size = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            bucket = (mix(owner.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            parts = _parts(bucket)
+            return pa.RecordBatch.from_arrays([pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), pa.array([_frozen(value[p], count[p], owner[p], size[p]) for p in parts], pa.binary())], ["bucket", "packed"])
+
+        for parts in _by_bucket(batches):
+            value, owner = _entries(parts)
+            count = _frequency(value)
+            at = count > 1
+            names, first = np.unique(np.concatenate([p[2] for p in parts]), return_index=True)
+            sizes = np.concatenate([p[3] for p in parts])[first]
+            held.append((value[at], count[at].astype(np.int32), owner[at], sizes[np.searchsorted(names, owner[at])].astype(np.int32)))
+            if sum(len(h[0]) for h in held) > 1 << 20:
+                yield flush()
+        if held:
+            yield flush()
+
+    return run
 
 
 def _prefixes(percent: int):
-    """(id, size, packed lists) in; prefix shingles of the classes that can still link."""
+    """Prefix shingles of the classes that can still link, from the buckets of classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for id_, size, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                both = np.concatenate([np.frombuffer(p, np.uint64).reshape(2, -1) for p in packed], 1)
-                value, count = both[0], both[1].astype(np.int64)
-                if 100 * len(value) < percent * size:
-                    continue
-                # shingles that only this class has stand first in the order, and link with nothing
-                length = size - -(-percent * size // 100) + 1 - (size - len(value))
-                order = np.lexsort((value, count))[: max(length, 0)]
-                out[0].append(value[order].view(np.int64))
-                out[1].append(np.full(len(order), id_))
-                out[2].append(np.full(len(order), size))
-                out[3].append(np.full(len(order), np.log(count).sum() / size))
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["shingle", "id", "size", "common"])
+        for parts in _by_bucket(batches):
+            value, count, owner, size = (np.concatenate(c) for c in zip(*parts, strict=True))
+            order = np.lexsort((value, count, owner))  # each class in the order of all shingles, rare ones first
+            value, count, owner, size = value[order], count[order].astype(np.int64), owner[order], size[order].astype(np.int64)
+            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+            shared = np.diff(np.append(first, len(owner)))
+            n = size[first]
+            # shingles that only this class has stand first in the order, and link with nothing
+            length = n - -(-percent * n // 100) + 1 - (n - shared)
+            length[100 * shared < percent * n] = 0
+            place = np.arange(len(owner)) - np.repeat(first, shared)
+            at = place < np.repeat(length, shared)
+            common = np.add.reduceat(np.log(count), first) / n if len(first) else np.zeros(0)
+            made = [value.view(np.int64), owner, size, np.repeat(shared, shared), np.repeat(common, shared)]
+            yield pa.RecordBatch.from_arrays([pa.array(c[at]) for c in made], ["shingle", "id", "size", "shared", "common"])
 
     return run
 
@@ -296,9 +312,8 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     chosen = F.broadcast(left) if count <= BROADCAST else left
     rows = usable.join(chosen, usable["doc_id"] == chosen["id"]).select("id", "one", "text")
     sets = saved(rows.mapInArrow(_keep_sets(n), "id long, size long, members binary").dropDuplicates(["id"]))
-    known = dealt(sets.select("id", "members").mapInArrow(_send_sets(buckets), "bucket int, packed binary")).mapInArrow(_frequencies, "id long, packed binary")
-    known = known.groupBy("id").agg(F.collect_list("packed").alias("packed")).join(sets.select("id", "size"), "id").select("id", "size", "packed")
-    lists = saved(known.mapInArrow(_prefixes(percent), "shingle long, id long, size long, common double"))
+    counted = dealt(sets.select("id", "members").mapInArrow(_send_sets(buckets), "bucket int, packed binary")).mapInArrow(_frequencies(buckets), "bucket int, packed binary")
+    lists = saved(dealt(counted).mapInArrow(_prefixes(percent), "shingle long, id long, size long, shared long, common double"))
 
     # 4: each with the pivot of its lists
     pivots = lists.groupBy("shingle").agg(F.max(F.struct("common", (-F.col("id")).alias("id"), "size")).alias("p"), F.count("*").alias("n")).where("n > 1")
@@ -314,11 +329,18 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     component = saved(connected_components(links).select(F.col("node").alias("id"), "component"))
 
     # the rest of each list, where it isn't one component yet
-    distance = compared.select(F.col("a").alias("pivot"), F.col("b").alias("id"), (1 - F.col("overlap") / union).alias("d"))
+    to_pivot = compared.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "overlap", (1 - F.col("overlap") / union).alias("d"))
     member = beside.join(component, "id", "left").join(component.select(F.col("id").alias("pivot"), F.col("component").alias("pivot_component")), "pivot", "left")
     member = member.withColumns({"component": F.coalesce("component", "id"), "pivot_component": F.coalesce("pivot_component", "pivot")})
-    member = saved(member.join(distance, ["pivot", "id"], "left").where("id != pivot").select("shingle", "id", "size", "component", "pivot_component", F.coalesce("d", 1 - F.least("size", "pivot_size") / F.greatest("size", "pivot_size")).alias("low"), F.coalesce("d", F.lit(1.0)).alias("high")))
-    apart = member.where("component != pivot_component").select("shingle", *[F.col(c).alias(f"{c}_2") for c in ("id", "size", "component", "pivot_component", "low", "high")])
+    smaller, larger = F.least("size", "pivot_size"), F.greatest("size", "pivot_size")
+    member = member.join(to_pivot, ["pivot", "id"], "left").where("id != pivot")
+    member = member.select(
+        "shingle", "id", "size", "component", "pivot_component",
+        F.coalesce("d", 1 - smaller / larger).alias("low"), F.coalesce("d", F.lit(1.0)).alias("high"),
+        F.coalesce("overlap", smaller).alias("inside"), (F.col("shared") - F.coalesce("overlap", F.lit(0))).alias("outside"),
+    )
+    member = saved(member)
+    apart = member.where("component != pivot_component").select("shingle", *[F.col(c).alias(f"{c}_2") for c in member.columns if c != "shingle"])
     slack = (100 - percent) / 100 + 1e-9
     rest = apart.join(member, "shingle").where(
         (F.col("component") != F.col("component_2"))
@@ -326,6 +348,8 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         & (F.least("size", "size_2") * 100 >= F.greatest("size", "size_2") * percent)
         & (F.col("low") - F.col("high_2") <= slack)
         & (F.col("low_2") - F.col("high") <= slack)
+        # what both can have in common inside the pivot's set and outside of it
+        & ((F.least("inside", "inside_2") + F.least("outside", "outside_2")) * (100 + percent) >= (F.col("size") + F.col("size_2")) * percent)
     )
     rest = rest.select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")).distinct()
     more = overlaps(rest, sets).join(sizes.select(F.col("id").alias("a"), F.col("size").alias("n")), "a").join(sizes.select(F.col("id").alias("b"), F.col("size").alias("m")), "b")
