@@ -300,38 +300,65 @@ def _look_up(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) if x else np.zeros(0) for x in (keys, known, logs))
 
 
-def _receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
+def _receive(buckets: int):
+    """Buckets of words in; sums of each text, packed for the bucket of its key, out."""
 
-    def rows(key, tokens, known, log, score, copies) -> pa.RecordBatch:
-        columns = [pa.array(np.asarray(x, np.int64)) for x in (key, tokens, known, copies)] + [pa.array(np.asarray(x, np.float64)) for x in (log, score)]
-        return pa.RecordBatch.from_arrays(columns, ["key", "tokens", "known", "copies", "log", "score"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            key, *values = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            names, which = np.unique(key, return_inverse=True)
+            sums = [np.bincount(which, v, len(names)) for v in values]
+            bucket = _buckets(names.view(np.uint64), buckets)
+            parts = _parts(bucket)
+            return pa.RecordBatch.from_arrays([pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), pa.array([_frozen(names[p], *(v[p] for v in sums)) for p in parts], pa.binary())], ["bucket", "packed"])
+
+        bucket, blobs = -1, []
+        for batch in batches:
+            for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if b < 0:
+                    key, *values = _thawed(blob)
+                    held.append((key, *values, np.ones(len(key))))
+                else:
+                    if b != bucket and blobs:
+                        key, known, log = _look_up(blobs)
+                        held.append((key, np.zeros(len(key)), known, log, np.zeros(len(key)), np.zeros(len(key))))
+                        blobs = []
+                    bucket = b
+                    blobs.append(blob)
+                if sum(len(x[0]) for x in held) > 1 << 20:
+                    yield flush()
+        if blobs:
+            key, known, log = _look_up(blobs)
+            held.append((key, np.zeros(len(key)), known, log, np.zeros(len(key)), np.zeros(len(key))))
+        if held:
+            yield flush()
 
-    def flush() -> pa.RecordBatch:
-        key, known, log = (np.concatenate(x) for x in zip(*held, strict=True))
+    return run
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of each key of a bucket; a text that stands in several rows has its copies counted."""
+
+    def rows(blobs: list[bytes]) -> pa.RecordBatch:
+        key, *values = (np.concatenate(x) for x in zip(*map(_thawed, blobs), strict=True))
         names, which = np.unique(key, return_inverse=True)
-        zero = np.zeros(len(names))
-        held.clear()
-        return rows(names, zero, np.bincount(which, known, len(names)), np.bincount(which, log, len(names)), zero, zero)
+        tokens, known, log, score, copies = (np.bincount(which, v, len(names)) for v in values)
+        made = [pa.array(names), *[pa.array(np.rint(x / copies).astype(np.int64)) for x in (tokens, known)], pa.array(log / copies), pa.array((score + log) / copies)]
+        return pa.RecordBatch.from_arrays(made, ["key", "n_tokens", "n_known", "log", "score"])
 
     bucket, blobs = -1, []
     for batch in batches:
         for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if b < 0:
-                key, tokens, known, log, score = _thawed(blob)
-                yield rows(key, tokens, known, log, score, np.ones(len(key)))
-                continue
             if b != bucket and blobs:
-                held.append(_look_up(blobs))
+                yield rows(blobs)
                 blobs = []
-                if sum(len(x[0]) for x in held) > 1 << 20:
-                    yield flush()
             bucket = b
             blobs.append(blob)
     if blobs:
-        held.append(_look_up(blobs))
-    if held:
-        yield flush()
+        yield rows(blobs)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -343,13 +370,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     sent = base.select(key.alias("key"), "text").mapInArrow(_send_texts(model.units, model.of, model.transition, model.below, parts * 4), "bucket int, packed binary")
     sent = sent.union(model.counts.mapInArrow(_send_counts(parts * 4), "bucket int, packed binary"))
     dealt = sent.repartition(parts, F.when(F.col("bucket") < 0, F.xxhash64("packed")).otherwise(F.col("bucket")))
-    found = dealt.sortWithinPartitions("bucket").mapInArrow(_receive, "key long, tokens long, known long, copies long, log double, score double")
+    found = dealt.sortWithinPartitions("bucket").mapInArrow(_receive(parts * 4), "bucket int, packed binary")
     # texts that are the same share a key: their sums are those of one text times the copies
-    copies = F.sum("copies")
-    log = F.sum("log")
-    sums = found.groupBy("key").agg((F.sum("tokens") / copies).cast("long").alias("n_tokens"), (F.sum("known") / copies).cast("long").alias("n_known"), (log / copies).alias("__log"), ((F.sum("score") + log) / copies).alias("score"))
+    sums = found.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_add_up, "key long, n_tokens long, n_known long, log double, score double")
     rest = float(np.log10(model.tokens + model.types + 1))
-    joined = base.withColumn("__key", key).drop("text").join(sums.withColumnRenamed("key", "__key"), "__key")
+    joined = base.withColumn("__key", key).drop("text").join(sums.withColumnsRenamed({"key": "__key", "log": "__log"}), "__key")
     return joined.withColumns({"train_tokens": F.lit(model.tokens).cast("long"), "base_score": F.col("__log") - F.col("n_tokens") * F.lit(rest)}).drop("__key", "__log")
 
 
