@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, class_model, embedding_dedup, importance_sampling, jaccard_join, language_id, packing, repetition, superkmers
+import corpus_pipeline
+
+from . import byte_bpe, class_model, embedding_dedup, importance_sampling, jaccard_join, language_id, packing, repetition, secret_scan, superkmers
 
 
 def queries() -> dict:
@@ -16,8 +18,9 @@ def queries() -> dict:
         embedding_dedup.op7_embedding_near_dedup,
         packing.op8_best_fit_packing,
         importance_sampling.op9_importance_resampling,
+        secret_scan.op10_secret_scan,
     )
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
