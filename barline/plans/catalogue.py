@@ -2,10 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.indicators import REGISTRY
+from . import bars, indicator_sql, tables
+
+
+#: Products over a whole series span many orders of magnitude: shown as logarithms.
+_LOGARITHMS = ("nvi", "pvi")
+
+
+def _shown(column: str) -> Column:
+    if column == "obv":
+        return F.col(column)
+    value, name = (F.log(column), f"{column}_ln") if column in _LOGARITHMS else (F.col(column), column)
+    return (F.floor(value * 10000 + 0.5) / 10000.0).alias(name)
+
+
+def _indicator(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    function, columns = REGISTRY[name]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return function(bars.daily_bars(spark, sf_dir)).select("symbol", "date", *map(_shown, columns))
+
+    return run
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: _indicator(name) for name in REGISTRY} | tables.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return indicator_sql.oracle_sql() | tables.oracle_sql()
