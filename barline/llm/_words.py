@@ -55,7 +55,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, places - places[0]
 
 
-def slices(batch: pa.RecordBatch, name: str = "text", most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, name: str = "text", most: int = (1 << 20) - 1) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text each (one row at least), so that memory stays bounded."""
     _, places = utf8(batch.column(batch.schema.get_field_index(name)))
     first = 0

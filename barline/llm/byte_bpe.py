@@ -29,7 +29,7 @@ _ODD = re.compile("[\x1c-\x1f]")
 #: Single marks that are a piece of their own after letters.
 _MARKS = frozenset(".,;:!?")
 #: Cuts whose ids a worker remembers, twice at most (about 200 bytes each).
-_KEEP = 500_000
+_KEEP = 300_000
 
 
 def default_paths() -> tuple[str, str]:
@@ -167,7 +167,7 @@ def codec(path: str, ranks: str | None = None) -> Codec:
     return Codec(path, ranks)
 
 
-def _groups(texts: list[str], most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def _groups(texts: list[str], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Runs of rows with about ``most`` characters."""
     first = size = 0
     for k, t in enumerate(texts):
