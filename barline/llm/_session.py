@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -41,6 +42,20 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes and rows of an Arrow batch on its way to Python: rows are whole texts, so rows alone bound nothing.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches; smaller bounds that it has already stay."""
+    for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = str(spark.conf.get(key)).lower().rstrip("b")
+        value = int(re.sub(r"\D", "", now) or 0) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[-1:], 1)
+        if value <= 0 or value > most:
+            spark.conf.set(key, str(most))
+
+
 def width(spark: SparkSession) -> int:
     """The number of partitions that a shuffle makes in this session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -65,6 +65,20 @@ def slices(batch: pa.RecordBatch, name: str = "text", most: int = (1 << 20) - 1)
         first = last
 
 
+def chunks(batches: Iterator[pa.RecordBatch], most: int = 1 << 25) -> Iterator[pa.RecordBatch]:
+    """Neighbouring batches as one, about ``most`` bytes each: what is combined before a shuffle has a wider view."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 @dataclass
 class Words:
     """The words of a column: bytes, where each word begins and ends, its row, and the first word of each row."""

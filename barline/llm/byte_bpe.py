@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._session import bounded_batches
+
 #: White space as the pattern's \s sees it (Unicode White_Space).
 _CUT = re.compile("[\\s\x85]+[^\\s\x85]+|[^\\s\x85]+|[\\s\x85]+")
 #: Python's \s also takes the four separators 0x1C-0x1F, which Unicode does not call white space.
@@ -185,6 +187,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, ranks:
     A column that has one of these names already is replaced. ``offsets`` is an array of (begin, end) in
     characters of the text.
     """
+    bounded_batches(docs.sparkSession)
     own = default_paths()
     path, ranks = path or own[0], ranks or (own[1] if path is None else None)
     made = [ids, *([offsets] if offsets else [])]

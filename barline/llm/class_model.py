@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._session import saved, width
-from ._words import mix, slices, spans, words
+from ._session import bounded_batches, saved, width
+from ._words import chunks, mix, slices, spans, words
 
 #: The hash that stands for the end token.
 END = np.uint64(0x5BD1E9955BD1E995)
@@ -62,7 +62,7 @@ def _tokens(column: pa.Array, groups: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 def _count_words(groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in chunks(batches):
             found = []
             for batch in slices(whole):
                 h, group, _, _ = _tokens(batch.column(0), groups)
@@ -170,6 +170,7 @@ class Model:
 
 def fit(texts: DataFrame, frequent: int = 2048, groups: int = 512, classes: int = 48, passes: int = 5) -> Model:
     """The model of a table with the column text, one row a document."""
+    bounded_batches(texts.sparkSession)
     texts = texts.select("text")
     counts = saved(texts.mapInArrow(_count_words(groups), "word long, grp int, n long").groupBy("word").agg(F.sum("n").alias("n"), F.min("grp").alias("grp")))
     tokens, types = (int(x or 0) for x in counts.agg(F.sum("n"), F.count("*")).first())
@@ -247,7 +248,7 @@ def _send_texts(units: Units, of: np.ndarray, transition: np.ndarray, below: np.
     """(key, text) in. Out: what is known here about each text (bucket -1), and its other words for their buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in chunks(batches):
             held, out = [], []
             for batch in slices(whole):
                 key = batch.column(0).to_numpy()
@@ -363,6 +364,7 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """The columns of ``docs`` other than text, with n_tokens, n_known, train_tokens, base_score and score."""
+    bounded_batches(docs.sparkSession)
     base = docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score")
     spark = docs.sparkSession
     parts = width(spark)

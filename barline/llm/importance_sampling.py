@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._session import saved
+from ._session import bounded_batches, saved
 from ._words import LOWER, SPACE, mix, slices, spans, utf8
 
 #: Hashed n-grams of a model.
@@ -67,6 +67,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame) -> np.ndarray:
     """log(target / raw) of each hashed n-gram, from all rows of ``docs`` (text, target boolean)."""
+    bounded_batches(docs.sparkSession)
     found = docs.select("text", F.coalesce("target", F.lit(False)).alias("target")).mapInArrow(_count, "gram int, raw long, target long")
     found = found.groupBy("gram").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()  # SIZE rows
     raw, target = np.zeros(SIZE), np.zeros(SIZE)
@@ -88,6 +89,7 @@ def _weigh(ratio: np.ndarray, text_at: int, names: list[str]):
 
 def weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     """``docs`` with n_grams and log_weight."""
+    bounded_batches(docs.sparkSession)
     base = docs.drop("n_grams", "log_weight")
     schema = T.StructType([*base.schema.fields, T.StructField("n_grams", T.LongType()), T.StructField("log_weight", T.DoubleType())])
     return base.mapInArrow(_weigh(ratio, base.columns.index("text"), schema.names), schema)

@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._session import saved, width
-from ._words import mix, sequence_hashes, slices, words
+from ._session import bounded_batches, saved, width
+from ._words import chunks, mix, sequence_hashes, slices, words
 from .class_model import _frozen, _parts, _thawed
 from .components import connected_components
 
@@ -94,7 +94,7 @@ def _send_shingles(n: int, buckets: int):
     """Shingles to their fragments: 32 bits each (enough for a filter), and the class of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in chunks(batches):
             held, seen = [], np.zeros(0, np.uint64)
             for batch in slices(whole):
                 value, places = _sets(batch.column(0), n)
@@ -290,6 +290,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text)."""
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     parts = width(spark)
     buckets = parts * 4

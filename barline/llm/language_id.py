@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._session import bounded_batches
 from ._words import gather, slices, spans, utf8
 
 LONGEST = 24
@@ -202,6 +203,7 @@ def fit(docs: DataFrame, per_language: int = 300, most_runs: int = 40_000, **opt
     It learns from ``per_language`` documents of each language, first in the order of a hash of doc_id, and
     from the ``most_runs`` most frequent runs in them.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.where("doc_id is not null and lang is not null and text is not null").select("doc_id", "lang")
     languages = sorted(r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect())
     if not languages:
@@ -252,6 +254,7 @@ def _predict(net: Network | None, text_at: int, names: list[str]):
 
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     """``docs`` with lang_pred and score, from the texts alone."""
+    bounded_batches(docs.sparkSession)
     base = docs.drop("lang_pred", "score")
     schema = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return base.mapInArrow(_predict(net, base.columns.index("text"), schema.names), schema)

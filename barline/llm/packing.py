@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._session import saved
+from ._session import bounded_batches, saved
 from .byte_bpe import _groups, codec, default_paths
 
 #: Bins with at most this share of room left are emitted at once.
@@ -35,6 +35,7 @@ def cut_pieces(docs: DataFrame, size: int = 1024, end: int = 2, path: str | None
     Returns doc_id, piece, start, length and ids (binary, little-endian unsigned 32-bit). Only documents
     longer than ``size`` are cut; all their pieces are full but the first, which has what is left over.
     """
+    bounded_batches(docs.sparkSession)
     path = path or default_paths()[0]
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind)]).add("piece", T.IntegerType()).add("start", T.LongType()).add("length", T.LongType()).add("ids", T.BinaryType())

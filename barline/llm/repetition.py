@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ._session import bounded_batches
 from ._words import Words, slices, spans, utf8, words
 
 #: Symbols that the base counts.
@@ -177,6 +178,7 @@ def repetition_rules(docs: DataFrame, min_repeat: int = 4, max_share: float = 0.
     A text is kept if the base rules pass, at most ``max_share`` of its words lie in maximal repeated
     substrings of ``min_repeat`` words or more, and no substring of over ``max_repeat`` words is repeated.
     """
+    bounded_batches(docs.sparkSession)
     made = [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()), ("n_repeat_words", T.LongType()), ("repeat_share", T.DoubleType()), ("longest_repeat", T.LongType()), ("base_failed", T.BooleanType()), ("kept", T.BooleanType())]
     base = docs.drop(*[name for name, _ in made])
     schema = T.StructType([*base.schema.fields, *[T.StructField(name, kind) for name, kind in made]])

@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._words import gather, sequence_hashes, slices, spans, strings, words
-from ._session import width
+from ._words import chunks, gather, sequence_hashes, slices, spans, strings, words
+from ._session import bounded_batches, width
 
 #: Words of a minimiser; buckets for each partition of the shuffle.
 MINIMISER, BUCKETS = 2, 16
@@ -84,7 +84,7 @@ def _send(k: int, buckets: int):
     """(doc_id, text, key) in; packed super-k-mers for their buckets and marks of known repeats out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chunks(batches):
             batch = batch.sort_by("doc_id")
             seen: dict[bytes, int] = {}
             held, marks, size = [], [], 0
@@ -213,6 +213,7 @@ def repeated_windows(docs: DataFrame, k: int = 13) -> DataFrame:
     Returns doc_id, key (a hash of the text, which tells apart rows that share a doc_id), start (word) and
     windows (how many follow one another).
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     parts = width(spark)
     buckets = parts * BUCKETS
