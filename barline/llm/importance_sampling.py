@@ -129,12 +129,24 @@ def resample(docs: DataFrame, ratio: np.ndarray, share: float, sharpness: float
     return keyed.withColumn("kept", F.col("sampling_key") >= F.lit(cut).cast("double") if cut is not None else F.lit(False))
 
 
+def mark_targets(docs: DataFrame, targets: DataFrame, n_targets: int, most: int = 1 << 16) -> DataFrame:
+    """``docs`` with ``target``: whether ``targets`` (distinct doc_id, ``n_targets`` rows) has the row's doc_id.
+
+    Of more than ``most`` targets about ``most`` are taken, those with the smallest hashes of doc_id. So the side
+    that is broadcast is bounded, and no text is shuffled to meet its label.
+    """
+    if n_targets > most:
+        targets = targets.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52)) < int(most / n_targets * (1 << 52)))
+    chosen = targets.select("doc_id", F.lit(True).alias("target"))
+    return docs.drop("target").join(F.broadcast(chosen), "doc_id", "left")
+
+
 def op9_importance_resampling(spark, sf_dir: str) -> DataFrame:
     """A sample of ``documents`` like the labelled good ones (quality 1, not toxic), as large as their share of the labels."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     good = F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))
     labelled = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(good).alias("target"))
-    share = labelled.agg(F.avg(F.col("target").cast("double"))).first()[0] or 0.0
-    marked = docs.join(labelled, "doc_id", "left")
-    return resample(docs, fit(marked), share)
+    n_labelled, n_good = labelled.agg(F.count("*"), F.count_if("target")).first()
+    marked = mark_targets(docs, labelled.where("target").select("doc_id"), n_good)
+    return resample(docs, fit(marked), n_good / n_labelled if n_labelled else 0.0)

@@ -255,6 +255,16 @@ def test_importance_sampling(spark):
         assert importance_sampling.kth_largest(values, "v", k, few=50) == want
 
 
+def test_targets_are_all_marked_or_a_bounded_sample(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"), F.lit(False).alias("target"))
+    docs = docs.union(docs.where("doc_id < 2")).union(spark.createDataFrame([(None, None, None)], "doc_id long, text string, target boolean"))
+    targets = spark.range(0, 4000, 2).select(F.col("id").alias("doc_id"))
+    marked = importance_sampling.mark_targets(docs, targets, 2000)
+    assert marked.count() == 4003 and marked.where("target").count() == 2001 and marked.where("target and doc_id % 2 = 1").count() == 0
+    assert 350 < importance_sampling.mark_targets(docs, targets, 2000, most=500).where("target").count() < 650
+    assert importance_sampling.mark_targets(docs, targets.where("false"), 0).where("target").count() == 0
+
+
 def test_secret_scan(spark):
     rng = random.Random(9)
     key = lambda: "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
