@@ -352,7 +352,11 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         # what both can have in common inside the pivot's set and outside of it
         & ((F.least("inside", "inside_2") + F.least("outside", "outside_2")) * (100 + percent) >= (F.col("size") + F.col("size_2")) * percent)
     )
-    rest = rest.select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")).distinct()
+    # each list that both stand in gives one row, so the rows of a pair are the shingles of both prefixes; what
+    # else the two share lies behind the prefix that ends first
+    rest = rest.select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b"), F.least("size", "size_2").alias("n"), F.greatest("size", "size_2").alias("m"))
+    rest = rest.groupBy("a", "b", "n", "m").agg(F.count("*").alias("both"))
+    rest = rest.where((F.col("both") + F.ceil(F.col("m") * percent / 100) - 1) * (100 + percent) >= (F.col("n") + F.col("m")) * percent).select("a", "b")
     more = overlaps(rest, sets).join(sizes.select(F.col("id").alias("a"), F.col("size").alias("n")), "a").join(sizes.select(F.col("id").alias("b"), F.col("size").alias("m")), "b")
     links = links.union(more.where(linked).select("a", "b"))
 
