@@ -55,6 +55,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, places - places[0]
 
 
+def give_back() -> None:
+    """Returns freed memory of Arrow and of the C library to the system: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
+
+
 def slices(batch: pa.RecordBatch, name: str = "text", most: int = (1 << 20) - 1) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text each (one row at least), so that memory stays bounded."""
     _, places = utf8(batch.column(batch.schema.get_field_index(name)))
@@ -63,6 +69,7 @@ def slices(batch: pa.RecordBatch, name: str = "text", most: int = (1 << 20) - 1)
         last = max(first + 1, int(np.searchsorted(places, places[first] + most, "right")) - 1)
         yield batch.slice(first, last - first)
         first = last
+    give_back()
 
 
 def chunks(batches: Iterator[pa.RecordBatch], most: int = 1 << 25) -> Iterator[pa.RecordBatch]:
@@ -73,8 +80,10 @@ def chunks(batches: Iterator[pa.RecordBatch], most: int = 1 << 25) -> Iterator[p
         held.append(batch)
         size += batch.nbytes
         if size >= most:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()
             held, size = [], 0
+            yield from whole
+            give_back()
     if held:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 

@@ -62,7 +62,7 @@ def _tokens(column: pa.Array, groups: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 def _count_words(groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in chunks(batches):
+        for whole in chunks(batches, 1 << 24):
             found = []
             for batch in slices(whole):
                 h, group, _, _ = _tokens(batch.column(0), groups)
@@ -248,7 +248,7 @@ def _send_texts(units: Units, of: np.ndarray, transition: np.ndarray, below: np.
     """(key, text) in. Out: what is known here about each text (bucket -1), and its other words for their buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in chunks(batches):
+        for whole in chunks(batches, 1 << 24):
             held, out = [], []
             for batch in slices(whole):
                 key = batch.column(0).to_numpy()

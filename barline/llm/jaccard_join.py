@@ -94,7 +94,7 @@ def _send_shingles(n: int, buckets: int):
     """Shingles to their fragments: 32 bits each (enough for a filter), and the class of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in chunks(batches):
+        for whole in chunks(batches, 1 << 24):
             held, seen = [], np.zeros(0, np.uint64)
             for batch in slices(whole):
                 value, places = _sets(batch.column(0), n)
