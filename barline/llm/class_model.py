@@ -1,25 +1,31 @@
 """Language-model scores from a Brown class-based bigram model (operator 6).
 
 Every word has a class. The log probability of a text is the sum over its tokens of log P(class | class before)
-and log P(word | class). Classes come from exchange clustering: units move to the class that gains most
-likelihood, as in Brown et al. (1992), run in the distributed form of Uszkoreit and Brants (2008): Spark counts
-how often each unit meets each class, one pass over these counts moves the units, and so on. Units are the
-``frequent`` most frequent words and, for all others, ``groups`` groups by the last three bytes of a word; so
-every word of every training text takes part, and the tables that the driver sees have a fixed size.
-
-Word counts, bigram counts, class sizes and the tokens' counts at scoring time are distributed: words other
-than the frequent ones meet their counts in buckets, as packed arrays. One such word has at most one token in
-``frequent`` of the corpus, which bounds a hot key's share.
-
-Words are told apart by 64-bit hashes. Unknown words count as one word of each class. Null texts are empty and
-hold the end token only. Rows without doc_id are scored and learned from. Repeated rows are each scored and each
-counted in training. An empty table gives no rows.
+and log P(word | class). Classes come from exchange clustering: each word moves to the class that gains most
+likelihood, as in Brown et al. (1992), run in the distributed form of Uszkoreit and Brants (2008).
+
+1. Where words start: units are the ``frequent`` most frequent words and, for all others, ``groups`` groups by the
+   last three bytes of a word. Spark counts pairs of units, and the driver exchanges units.
+2. Then every word of the training texts moves by itself. Its counts beside each class are gathered in the bucket
+   of the word, and its class is chosen there; only the table of class by class is broadcast. The classes of all
+   words are a saved table. Words that move at once spoil each other's counts, so that a pass moves one of
+   ``turns`` parts of them, by hash. Of ``word_passes`` passes the one with the largest likelihood is taken, from
+   where all words have had their turn.
+
+Texts meet the classes and counts of their words in this way: a chunk of texts is kept as numbers of its distinct
+words, these ask the buckets of words, and the answers go back to the chunk. A word asks once a chunk, however
+often it stands there. What is gathered grows with the words of the corpus; the driver holds only units and classes.
+
+Words are told apart by 64-bit hashes. Words that no training text has take the class of their group and count as
+one word of it. Null texts are empty and hold the end token only. Rows without doc_id are scored and learned from.
+Repeated rows are each scored and each counted in training. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -159,16 +165,17 @@ def exchange(left: np.ndarray, right: np.ndarray, own: np.ndarray, of: np.ndarra
 
 @dataclass
 class Model:
-    units: Units
-    of: np.ndarray  # class of each unit; the end's is the last
+    groups: int
+    default: np.ndarray  # class of each group, for words that training has not met; the end's is the last
     transition: np.ndarray  # log10 P(class | class before)
     below: np.ndarray  # log10 of the denominator of P(word | class)
     tokens: int
     types: int
-    counts: DataFrame  # word, n: words that are not frequent, and the end
+    words: DataFrame  # all words in packed buckets: hashes, counts, classes
+    buckets: int
 
 
-def fit(texts: DataFrame, frequent: int = 2048, groups: int = 512, classes: int = 48, passes: int = 5) -> Model:
+def fit(texts: DataFrame, frequent: int = 2048, groups: int = 512, classes: int = 48, passes: int = 5, word_passes: int = 4, turns: int = 2) -> Model:
     """The model of a table with the column text, one row a document."""
     bounded_batches(texts.sparkSession)
     texts = texts.select("text")
@@ -209,19 +216,36 @@ def fit(texts: DataFrame, frequent: int = 2048, groups: int = 512, classes: int
         heavy = np.argsort(-(left.sum(1) + right.sum(1)), kind="stable")
         of = exchange(left, right, own, of, heavy[heavy != units.end], classes)
         left, right = met(of)
-    of, between = best_of, np.zeros((classes + 1, classes + 1))
-    np.add.at(between, of, best_right)
-    transition = np.log10((between + 0.5) / (between.sum(1, keepdims=True) + 0.5 * (classes + 1)))
-    # tokens and types of each class
+    of = best_of
+    # from here on every word for itself
     spark = texts.sparkSession
+    parts = width(spark)
+    buckets = parts * 4
     named = spark.createDataFrame([(int(h), k) for k, h in enumerate(units.hashes.view(np.int64))], "word long, unit int")
-    placed = counts.join(F.broadcast(named), "word", "left")
     unit = F.coalesce("unit", F.col("grp") + len(units.hashes))
-    sizes = placed.groupBy(F.get(F.lit(of.tolist()).cast("array<int>"), unit).alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).toPandas()
+    placed = counts.join(F.broadcast(named), "word", "left").select("word", "n", F.get(F.lit(of.tolist()).cast("array<int>"), unit).alias("class"))
+    default = of[len(units.hashes) :].astype(np.uint8)
+    held = saved(placed.mapInArrow(_send_words(buckets), _PACKED))
+    sent = saved(texts.select(F.lit(0).cast("long").alias("key"), "text").mapInArrow(_encode(groups, default, buckets), _PACKED))
+    best, kept, between = -np.inf, held, np.zeros((classes + 1, classes + 1))
+    for step in range(word_passes + 1):
+        beside = saved(_answered(sent, held, parts, _beside(classes, buckets), _PACKED))
+        found = beside.where("bucket < 0").mapInArrow(_cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+        now = np.zeros((classes + 1) ** 2)
+        now[found["cell"]] = found["n"]
+        now = now.reshape(classes + 1, classes + 1)
+        likelihood = _xlogx(now).sum() - _xlogx(now.sum(1)).sum() - _xlogx(now.sum(0)).sum()
+        # it may fall at first, when many words move at once; a state counts once each word has had its turn
+        if likelihood > best and step >= min(turns, word_passes):
+            best, kept, between = likelihood, held, now
+        if step < word_passes:
+            met = beside.where("bucket >= 0").union(held).repartition(parts, "bucket").sortWithinPartitions("bucket")
+            held = saved(met.mapInArrow(_move(now, classes, step % turns, turns), _PACKED))
+    transition = np.log10((between + 0.5) / (between.sum(1, keepdims=True) + 0.5 * (classes + 1)))
+    sizes = kept.mapInArrow(_sizes, "class int, n long, types long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("types").alias("types")).toPandas()
     below = np.ones(classes + 1)
-    below[sizes["c"]] += sizes["n"] + sizes["types"]
-    rest = placed.where("unit is null").select("word", "n")
-    return Model(units, of, transition, np.log10(below), tokens, types, rest)
+    below[sizes["class"]] += sizes["n"] + sizes["types"]
+    return Model(groups, default, transition, np.log10(below), tokens, types, kept, buckets)
 
 
 def _buckets(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -233,133 +257,269 @@ def _parts(bucket: np.ndarray) -> list[np.ndarray]:
     return np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
 
 
-def _send_counts(buckets: int):
+#: Of a chunk of texts (bucket -1), or of words in a bucket: ``at`` is the number of the first of them in the chunk,
+#: or -1 for the table of words.
+_PACKED = "chunk long, bucket int, at int, packed binary"
+_UNKNOWN = 255
+
+
+def _rows(chunk: list[int], bucket: list[int], at: list[int], packed: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(bucket, pa.int32()), pa.array(at, pa.int32()), pa.array(packed, pa.binary())], ["chunk", "bucket", "at", "packed"])
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
+    for batch in batches:
+        yield from zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
+
+
+def _send_words(buckets: int):
+    """(word, n, class) in."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            h, n, class_ = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.uint8)
             bucket = _buckets(h, buckets)
             parts = _parts(bucket)
-            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), pa.array([_frozen(h[p], n[p]) for p in parts], pa.binary())], ["bucket", "packed"])
+            yield _rows([0] * len(parts), [int(bucket[p[0]]) for p in parts], [-1] * len(parts), [_frozen(h[p], n[p], class_[p]) for p in parts])
 
     return run
 
 
-def _send_texts(units: Units, of: np.ndarray, transition: np.ndarray, below: np.ndarray, buckets: int):
-    """(key, text) in. Out: what is known here about each text (bucket -1), and its other words for their buckets."""
+def _encode(groups: int, default: np.ndarray, buckets: int):
+    """(key, text) in. Out: each chunk as numbers of its words, in the order of their buckets, and its words by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in chunks(batches, 1 << 24):
-            held, out = [], []
+            keys, sizes, hashes, kinds, numbers, met = [], [], [], [], [], 0
             for batch in slices(whole):
-                key = batch.column(0).to_numpy()
-                h, group, row, first = _tokens(batch.column(1), units.groups)
-                u = units.of(h, group)
-                c = of[u]
-                before = np.empty_like(c)
-                before[1:] = c[:-1]
-                before[first[:-1]] = of[units.end]
-                score = transition[before, c] - below[c]
-                hot = u < len(units.hashes)
-                log = np.zeros(len(u))
-                log[hot] = np.log10(units.counts[u[hot]] + 1.0)
-                rows = batch.num_rows
-                out.append((key, np.diff(first), np.bincount(row[hot], minlength=rows), np.bincount(row, log, rows), np.bincount(row, score, rows)))
-                cold = np.flatnonzero(~hot)
-                order = cold[np.lexsort((row[cold], h[cold]))]
-                new = np.ones(len(order), bool)
-                new[1:] = (h[order[1:]] != h[order[:-1]]) | (row[order[1:]] != row[order[:-1]])
-                at = np.flatnonzero(new)
-                held.append((h[order[at]], key[row[order[at]]], np.diff(np.append(at, len(order)))))
-            h, key, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            bucket = _buckets(h, buckets)
-            ids, rows = [-1], [_frozen(*(np.concatenate(x) for x in zip(*out, strict=True)))]
-            for p in _parts(bucket):
-                names, which = np.unique(key[p], return_inverse=True)
-                one, word = np.unique(h[p], return_inverse=True)
-                ids.append(int(bucket[p[0]]))
-                rows.append(_frozen(one, word.astype(np.int32), names, which.astype(np.int32), n[p].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(rows, pa.binary())], ["bucket", "packed"])
+                h, group, _, first = _tokens(batch.column(1), groups)
+                u, at, which = np.unique(h, return_index=True, return_inverse=True)
+                keys.append(batch.column(0).to_numpy())
+                sizes.append(np.diff(first))
+                hashes.append(u)
+                kinds.append(group[at])
+                numbers.append((which + met).astype(np.int32))
+                met += len(u)
+            names, at, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+            bucket = _buckets(names, buckets)
+            order = np.argsort(bucket, kind="stable")
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order))
+            names, bucket, class_ = names[order], bucket[order], default[np.concatenate(kinds)[at[order]]]
+            tokens = place[which][np.concatenate(numbers)]
+            first = np.flatnonzero(np.diff(bucket, prepend=-1))
+            chunk = uuid.uuid4().int >> 65
+            packed = [_frozen(np.concatenate(keys), np.concatenate(sizes), names, class_, tokens)]
+            packed += [_frozen(part) for part in np.split(names, first[1:])]
+            yield _rows([chunk] * len(packed), [-1, *bucket[first].tolist()], [-1, *first.tolist()], packed)
 
     return run
 
 
-def _look_up(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one bucket: keys, known tokens and sums of log10(count + 1)."""
-    parts = [_thawed(b) for b in blobs]
-    counts = [p for p in parts if len(p) == 2]
-    h = np.concatenate([p[0] for p in counts]) if counts else np.zeros(0, np.uint64)
-    n = np.concatenate([p[1] for p in counts]) if counts else np.zeros(0, np.int64)
+def _table(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of one bucket: sorted hashes, counts, classes."""
+    h, n, class_ = (np.concatenate(x) for x in zip(*map(_thawed, blobs), strict=True)) if blobs else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8))
     order = np.argsort(h)
-    h, n = np.append(h[order], np.uint64(0xFFFFFFFFFFFFFFFF)), np.append(n[order], 0)
-    keys, known, logs = [], [], []
-    for one, word, names, which, times in (p for p in parts if len(p) == 5):
-        at = np.searchsorted(h[:-1], one)
-        count = np.where(h[at] == one, n[at], 0)[word]
-        keys.append(names)
-        known.append(np.bincount(which, times * (count > 0), len(names)))
-        logs.append(np.bincount(which, times * np.log10(count + 1.0), len(names)))
-    return tuple(np.concatenate(x) if x else np.zeros(0) for x in (keys, known, logs))
+    return h[order], n[order], class_[order]
 
 
-def _receive(buckets: int):
-    """Buckets of words in; sums of each text, packed for the bucket of its key, out."""
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets in, their table of words first; counts and classes of the words of each chunk out."""
+    bucket, blobs, table, held = -1, [], None, []
+    for chunk, b, at, packed in _read(batches):
+        if b != bucket:
+            bucket, blobs, table = b, [], None
+        if at < 0:
+            blobs.append(packed)
+            continue
+        h, n, class_ = table = table or _table(blobs)
+        (asked,) = _thawed(packed)
+        if len(h):
+            place = np.minimum(np.searchsorted(h, asked), len(h) - 1)
+            known = h[place] == asked
+            reply = np.where(known, n[place], 0), np.where(known, class_[place], _UNKNOWN).astype(np.uint8)
+        else:
+            reply = np.zeros(len(asked), np.int64), np.full(len(asked), _UNKNOWN, np.uint8)
+        held.append((chunk, b, at, _frozen(*reply)))
+        if len(held) == 1000:
+            yield _rows(*map(list, zip(*held, strict=True)))
+            held = []
+    if held:
+        yield _rows(*map(list, zip(*held, strict=True)))
+
+
+def _answered(sent: DataFrame, held: DataFrame, parts: int, of_chunk: Callable, schema: str) -> DataFrame:
+    """What ``of_chunk`` makes of each encoded chunk once the table of words has answered it."""
+    asked = sent.where("bucket >= 0").union(held).repartition(parts, "bucket").sortWithinPartitions("bucket", "at")
+    met = asked.mapInArrow(_answer, _PACKED).union(sent.where("bucket < 0")).repartition(parts, "chunk").sortWithinPartitions("chunk", "bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            key, *values = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            names, which = np.unique(key, return_inverse=True)
-            sums = [np.bincount(which, v, len(names)) for v in values]
-            bucket = _buckets(names.view(np.uint64), buckets)
-            parts = _parts(bucket)
-            return pa.RecordBatch.from_arrays([pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), pa.array([_frozen(names[p], *(v[p] for v in sums)) for p in parts], pa.binary())], ["bucket", "packed"])
+        body, n, class_ = None, None, None
+        for chunk, bucket, at, packed in _read(batches):
+            if bucket < 0:
+                if body is not None:
+                    yield of_chunk(*body, n, class_)
+                *body, tokens = _thawed(packed)
+                body.append(tokens)
+                n, class_ = np.zeros(len(body[2]), np.int64), body[3].copy()
+                continue
+            count, found = _thawed(packed)
+            n[at : at + len(count)] = count
+            class_[at : at + len(count)] = np.where(found == _UNKNOWN, class_[at : at + len(count)], found)
+        if body is not None:
+            yield of_chunk(*body, n, class_)
+
+    return met.mapInArrow(run, schema)
+
+
+def _before(values: np.ndarray, sizes: np.ndarray, end) -> np.ndarray:
+    """The value before each token; before the first of a text stands the end."""
+    before = np.empty_like(values)
+    before[1:] = values[:-1]
+    before[(np.cumsum(sizes) - sizes)] = end
+    return before
+
+
+def _beside(classes: int, buckets: int):
+    """Of a chunk: pairs of classes (bucket -1), and for each bucket how often its words stand beside each class."""
+
+    def of_chunk(keys, sizes, names, default, tokens, n, class_) -> pa.RecordBatch:
+        own = class_[tokens].astype(np.int64)
+        before = _before(own, sizes, classes)
+        pairs = np.bincount(before * (classes + 1) + own, minlength=(classes + 1) ** 2)
+        cell = np.flatnonzero(pairs)
+        sides = []
+        last = np.zeros(len(tokens), bool)
+        last[np.cumsum(sizes) - 1] = True
+        inner = np.flatnonzero(~last)  # nothing comes after a text's end
+        for word, other in ((tokens, before), (tokens[inner], own[np.minimum(inner + 1, len(own) - 1)])):
+            sides.append(np.unique(word.astype(np.int64) * (classes + 1) + other, return_counts=True))
+        at = np.flatnonzero(tokens[1:] == tokens[:-1])
+        sides.append(np.unique(tokens[1:][at].astype(np.int64) * (classes + 1), return_counts=True))
+        bucket = _buckets(names, buckets)
+        first = np.flatnonzero(np.diff(bucket, prepend=-1))
+        ends = np.append(first[1:], len(names))
+        cuts = [(np.searchsorted(k, first * (classes + 1)), np.searchsorted(k, ends * (classes + 1))) for k, _ in sides]
+        packed = [_frozen(cell.astype(np.int32), pairs[cell])]
+        for i, (a, b) in enumerate(zip(first.tolist(), ends.tolist(), strict=True)):
+            packed.append(_frozen(names[a:b], *(x for (k, c), (low, high) in zip(sides, cuts, strict=True) for x in ((k[low[i] : high[i]] - a * (classes + 1)).astype(np.int32), c[low[i] : high[i]].astype(np.int32)))))
+        return _rows([0] * len(packed), [-1, *bucket[first].tolist()], [-1, *[0] * len(first)], packed)
+
+    return of_chunk
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for *_, packed in _read(batches):
+        cell, n = _thawed(packed)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], ["cell", "n"])
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for *_, packed in _read(batches):
+        _, n, class_ = _thawed(packed)
+        found, which = np.unique(class_, return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(np.bincount(which, n).astype(np.int64)), pa.array(np.bincount(which))], ["class", "n", "types"])
+
+
+def best_classes(between: np.ndarray, of: np.ndarray, left: np.ndarray, right: np.ndarray, own: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """The class of each word that gains most likelihood, all others as in ``between``.
+
+    ``left[w, c]`` and ``right[w, c]`` count class c before and after w, ``own[w]`` counts w after itself. Of classes
+    that gain the same, as empty ones do, ``draw[w]`` names one, so that words which move at once don't stay together.
+    """
+    classes = between.shape[0] - 1
+    i = np.arange(len(of))
+    left, right = left.copy(), right.copy()
+    for side in (left, right):
+        side[i, of] = np.maximum(side[i, of] - own, 0)
+    gain = np.zeros((len(of), classes))
+    # counts of class pairs without the word: a pair with its own class has lost it
+    for one, other, table in ((right, left, between), (left, right, between.T)):
+        w, c = np.nonzero(one)
+        if not len(w):
+            continue
+        n = one[w, c]
+        base = table[:classes, c].T.copy()
+        base[np.arange(len(w)), of[w]] -= n
+        same = np.flatnonzero(c == of[w])
+        base[same] -= other[w[same], :classes]
+        base[same, of[w[same]]] -= own[w[same]]
+        np.maximum(base, 0, out=base)
+        first = np.flatnonzero(np.diff(w, prepend=-1))
+        gain[w[first]] += np.add.reduceat(_xlogx(base + n[:, None]) - _xlogx(base), first)
+    l, r, o = left[:, :classes], right[:, :classes], own[:, None]  # noqa: E741
+    corner = np.tile(between.diagonal()[:classes], (len(of), 1))
+    corner[i, of] -= l[i, of] + r[i, of] + own
+    np.maximum(corner, 0, out=corner)
+    gain += _xlogx(corner + l + r + o) - _xlogx(corner + r) - _xlogx(corner + l) + _xlogx(corner)
+    for side, total in ((right, between.sum(1)), (left, between.sum(0))):
+        met = side.sum(1) + own
+        base = np.tile(total[:classes], (len(of), 1))
+        base[i, of] = np.maximum(base[i, of] - met, 0)
+        gain -= _xlogx(base + met[:, None]) - _xlogx(base)
+    most = gain.max(1)
+    level = gain >= (most - 1e-9)[:, None]
+    best = (np.cumsum(level, 1) > (draw.astype(np.uint64) % level.sum(1).astype(np.uint64))[:, None]).argmax(1)
+    return np.where(most > gain[i, of] + 1e-9, best, of)
+
+
+def _move(between: np.ndarray, classes: int, turn: int, turns: int):
+    """Buckets in: their tables of words, and how often these stand beside each class. The tables with new classes out."""
+
+    def moved(bucket: int, tables: list[bytes], blobs: list[bytes]) -> pa.RecordBatch:
+        h, n, of = _table(tables)
+        sides: list[list] = [[], [], []]
+        for blob in blobs:
+            names, *found = _thawed(blob)
+            place = np.searchsorted(h, names)
+            for side, key, count in zip(sides, found[::2], found[1::2], strict=True):
+                side.append((place[key // (classes + 1)] * (classes + 1) + key % (classes + 1), count))
+        sums = []
+        for side in sides:
+            key, count = (np.concatenate(x) for x in zip(*side, strict=True)) if side else (np.zeros(0, np.int64),) * 2
+            key, which = np.unique(key, return_inverse=True)
+            sums.append((key, np.bincount(which, count, len(key))))
+        new = of.copy()
+        for first in range(0, len(h), 1024):
+            last = min(first + 1024, len(h))
+            dense = []
+            for key, count in sums:
+                low, high = np.searchsorted(key, [first * (classes + 1), last * (classes + 1)])
+                part = np.zeros((last - first) * (classes + 1))
+                part[key[low:high] - first * (classes + 1)] = count[low:high]
+                dense.append(part.reshape(-1, classes + 1))
+            # the end stays in its class; words that stand beside each other shouldn't move at once
+            at = np.flatnonzero((of[first:last] < classes) & (mix(h[first:last] + np.uint64(1)) % np.uint64(turns) == turn))
+            new[first + at] = best_classes(between, of[first:last][at].astype(np.int64), dense[0][at], dense[1][at], dense[2][at, 0], h[first:last][at] >> np.uint64(32))
+        return _rows([0], [bucket], [-1], [_frozen(h, n, new)])
 
-        bucket, blobs = -1, []
-        for batch in batches:
-            for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if b < 0:
-                    key, *values = _thawed(blob)
-                    held.append((key, *values, np.ones(len(key))))
-                else:
-                    if b != bucket and blobs:
-                        key, known, log = _look_up(blobs)
-                        held.append((key, np.zeros(len(key)), known, log, np.zeros(len(key)), np.zeros(len(key))))
-                        blobs = []
-                    bucket = b
-                    blobs.append(blob)
-                if sum(len(x[0]) for x in held) > 1 << 20:
-                    yield flush()
-        if blobs:
-            key, known, log = _look_up(blobs)
-            held.append((key, np.zeros(len(key)), known, log, np.zeros(len(key)), np.zeros(len(key))))
-        if held:
-            yield flush()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, tables, blobs = -1, [], []
+        for _, b, at, packed in _read(batches):
+            if b != bucket and tables:
+                yield moved(bucket, tables, blobs)
+                tables, blobs = [], []
+            bucket = b
+            (tables if at < 0 else blobs).append(packed)
+        if tables:
+            yield moved(bucket, tables, blobs)
 
     return run
 
 
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sums of each key of a bucket; a text that stands in several rows has its copies counted."""
+def _scores(transition: np.ndarray, below: np.ndarray):
+    """Of a chunk: key, n_tokens, n_known, sum of log10(count + 1) and score of each text, equal ones once."""
 
-    def rows(blobs: list[bytes]) -> pa.RecordBatch:
-        key, *values = (np.concatenate(x) for x in zip(*map(_thawed, blobs), strict=True))
-        names, which = np.unique(key, return_inverse=True)
-        tokens, known, log, score, copies = (np.bincount(which, v, len(names)) for v in values)
-        made = [pa.array(names), *[pa.array(np.rint(x / copies).astype(np.int64)) for x in (tokens, known)], pa.array(log / copies), pa.array((score + log) / copies)]
-        return pa.RecordBatch.from_arrays(made, ["key", "n_tokens", "n_known", "log", "score"])
+    def of_chunk(keys, sizes, names, default, tokens, n, class_) -> pa.RecordBatch:
+        c = class_[tokens]
+        log = np.log10(n + 1.0)[tokens]
+        first = np.cumsum(sizes) - sizes
+        step = transition[_before(c, sizes, len(below) - 1), c] - below[c] + log
+        known, logs, score = (np.add.reduceat(x, first) for x in ((n > 0)[tokens].astype(np.int64), log, step))
+        _, at = np.unique(keys, return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (keys, sizes, known, logs, score)], ["key", "n_tokens", "n_known", "log", "score"])
 
-    bucket, blobs = -1, []
-    for batch in batches:
-        for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if b != bucket and blobs:
-                yield rows(blobs)
-                blobs = []
-            bucket = b
-            blobs.append(blob)
-    if blobs:
-        yield rows(blobs)
+    return of_chunk
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -369,12 +529,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     parts = width(spark)
     key = F.xxhash64("text")
-    sent = base.select(key.alias("key"), "text").mapInArrow(_send_texts(model.units, model.of, model.transition, model.below, parts * 4), "bucket int, packed binary")
-    sent = sent.union(model.counts.mapInArrow(_send_counts(parts * 4), "bucket int, packed binary"))
-    dealt = sent.repartition(parts, F.when(F.col("bucket") < 0, F.xxhash64("packed")).otherwise(F.col("bucket")))
-    found = dealt.sortWithinPartitions("bucket").mapInArrow(_receive(parts * 4), "bucket int, packed binary")
-    # texts that are the same share a key: their sums are those of one text times the copies
-    sums = found.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_add_up, "key long, n_tokens long, n_known long, log double, score double")
+    sent = saved(base.select(key.alias("key"), "text").mapInArrow(_encode(model.groups, model.default, model.buckets), _PACKED))
+    found = _answered(sent, model.words, parts, _scores(model.transition, model.below), "key long, n_tokens long, n_known long, log double, score double")
+    # texts that are the same share a key, and have the same values
+    sums = found.groupBy("key").agg(*(F.max(c).alias(c) for c in ("n_tokens", "n_known", "log", "score")))
     rest = float(np.log10(model.tokens + model.types + 1))
     joined = base.withColumn("__key", key).drop("text").join(sums.withColumnsRenamed({"key": "__key", "log": "__log"}), "__key")
     return joined.withColumns({"train_tokens": F.lit(model.tokens).cast("long"), "base_score": F.col("__log") - F.col("n_tokens") * F.lit(rest)}).drop("__key", "__log")

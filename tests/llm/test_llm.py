@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,6 +157,36 @@ def test_class_model_counts(spark):
     assert class_model.score(empty, class_model.fit(empty)).count() == 0
 
 
+def test_rare_words_have_classes_of_their_own(spark):
+    rng = random.Random(6)
+    nouns, verbs = ([f"{c}{k}xyz" for k in range(40)] for c in "nv")  # one group by their last bytes
+    rows = [(i, " ".join(f"the {rng.choice(nouns)} will {rng.choice(verbs)}" for _ in range(20))) for i in range(60)]
+    model = class_model.fit(table(spark, rows), frequent=2, groups=4, classes=6, passes=3, word_passes=8)
+    h, _, of = class_model._table([r["packed"] for r in model.words.collect()])
+    place = lambda words: set(of[np.searchsorted(h, class_model._tokens(pa.array([" ".join(words)]), 4)[0][:-1])].tolist())
+    assert not place(nouns) & place(verbs)
+
+
+def test_best_class_is_that_of_the_largest_likelihood():
+    rng = np.random.default_rng(3)
+    tokens, of = rng.integers(0, 30, 4000), np.append(rng.integers(0, 4, 30), 4)
+    tokens[::50] = 30
+
+    def likelihood(of):
+        pairs = np.zeros((5, 5))
+        np.add.at(pairs, (of[tokens[:-1]], of[tokens[1:]]), 1)
+        return sum(class_model._xlogx(x).sum() * f for x, f in ((pairs, 1), (pairs.sum(0), -1), (pairs.sum(1), -1))), pairs
+
+    left, right, own = np.zeros((31, 5)), np.zeros((31, 5)), np.zeros(31)
+    np.add.at(left, (tokens[1:], of[tokens[:-1]]), 1)
+    np.add.at(right, (tokens[:-1], of[tokens[1:]]), 1)
+    np.add.at(own, tokens[1:][tokens[1:] == tokens[:-1]], 1)
+    got = class_model.best_classes(likelihood(of)[1], of[:30], left[:30], right[:30], own[:30], np.arange(30))
+    for w in range(30):
+        all_ = [likelihood(np.where(np.arange(31) == w, c, of))[0] for c in range(4)]
+        assert all_[got[w]] == pytest.approx(max(all_), abs=1e-6)
+
+
 def test_embedding_links(spark):
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((6, 16))
