@@ -9,7 +9,7 @@ so that neither a scan nor a redaction shuffles or calls Python.
 Labelled findings are candidates of the corpus: public formats of access keys, and values that mix letters and
 digits behind the name of a credential and ``=`` or ``:``, are secrets; all others are not. The forest sees
 neither the formats nor the full rule. It learns from at most ``most`` findings of each label, first in the order
-of a hash; the dictionary comes from ``dictionary_rows`` documents.
+of a hash; the dictionary comes from all documents.
 
 Null and empty texts have no candidates. Repeated rows give repeated findings. With findings of one label only,
 the label stands for the forest. An empty table gives no findings. ``scan`` keeps extra columns; a column named
@@ -86,10 +86,9 @@ def labelled(docs: DataFrame) -> DataFrame:
     return rows.withColumn("label", F.when(secret, 1.0).otherwise(0.0))
 
 
-def dictionary_pattern(docs: DataFrame, rows: int = 2000, words: int = 300) -> str:
-    """The most frequent words of three letters and more in some documents, as one pattern, long ones first."""
-    some = docs.where("text is not null").select("text").orderBy(F.xxhash64("text")).limit(rows)
-    found = some.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where(F.length("word").between(3, 12)).groupBy("word").count()
+def dictionary_pattern(docs: DataFrame, words: int = 300) -> str:
+    """The most frequent words of three letters and more in all documents, as one pattern, long ones first."""
+    found = docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where(F.length("word").between(3, 12)).groupBy("word").count()
     common = [r["word"] for r in found.orderBy(F.desc("count"), "word").limit(words).collect()]
     return "|".join(sorted(common, key=lambda w: (-len(w), w)))
 
@@ -110,10 +109,10 @@ def _tree_sql(node) -> str:
     return f"CASE WHEN f.{FEATURES[split.featureIndex()]} <= {split.threshold()!r}D THEN {_tree_sql(node.leftChild())} ELSE {_tree_sql(node.rightChild())} END"
 
 
-def fit(docs: DataFrame, most: int = 20_000, trees: int = 20, depth: int = 6, seed: int = 10, dictionary_rows: int = 2000) -> Scanner:
+def fit(docs: DataFrame, most: int = 20_000, trees: int = 20, depth: int = 6, seed: int = 10) -> Scanner:
     """A scanner from the labelled findings of ``docs`` (text)."""
     docs = docs.select("text")
-    dictionary = dictionary_pattern(docs, dictionary_rows)
+    dictionary = dictionary_pattern(docs)
     found = saved(labelled(docs).distinct())
     order = F.xxhash64("value", "before", "after")
     chosen = [found.where(F.col("label") == label).orderBy(order, "value", "before", "after").limit(most) for label in (0.0, 1.0)]

@@ -313,6 +313,12 @@ def test_secret_scan(spark):
     assert secret_scan.found(docs.where("false"), secret_scan.fit(docs.where("false"))).count() == 0
 
 
+def test_dictionary_counts_all_documents(spark):
+    letters = lambda i: "w" + "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    rows = [(i, f"{letters(i)} copied") for i in range(2500)]
+    assert set(secret_scan.dictionary_pattern(table(spark, rows), words=5000).split("|")) == {"copied", *(letters(i) for i in range(2500))}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
