@@ -1,7 +1,7 @@
 """Secret scans with a random forest that removes false positives (operator 10, DataFrame functions only).
 
-A candidate is a run of at least 12 characters of a key's alphabet with a digit in it, or of 20 and more capital
-letters. Its features are its length, its mix and transitions of character classes, the share of it that common
+A candidate is the value behind the name of a credential and ``=`` or ``:``, whatever it is, or a run of at least 12
+characters of a key's alphabet with a digit in it, or of 20 and more capital letters. Its features are its length, its mix and transitions of character classes, the share of it that common
 words cover, marks of paths, and the words beside it. A random forest (pyspark.ml), trained from labelled
 findings, gives each candidate a probability; the trees then are one SQL expression over the candidates of a row,
 so that neither a scan nor a redaction shuffles or calls Python.
@@ -28,7 +28,14 @@ from pyspark.sql import functions as F
 from ._session import saved
 
 # The alphabet of keys, public formats of access keys, names of credentials.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+|[A-Z]{20,}+(?![A-Za-z0-9+/_-]))={0,2}"
+_NAME = r"(?i:password|passwd|pwd|secret|token|api_?-?key|apikey|auth|credential|access_?key)[A-Za-z_]{0,64}"
+#: The value behind a credential's name: up to the closing quote, or to white space and without what ends a sentence.
+#: The first two conditions are cheap and refuse nearly all places.
+_BEHIND = r"(?<=[=:>\s\"'])(?<=[=:>]\s{0,16}[\"']?)(?<=" + _NAME + r"[\"']?\s{0,16}(?:=>|=|:)\s{0,16}[\"']?)"
+_VALUE = r"(?:(?<=\")[^\"\n]++(?=\")|(?<=')[^'\n]++(?=')|[^\s\"'=:>][^\s\"']*(?<![.,;:)\]}>]))"
+#: ``=`` belongs to a key only where the key ends and isn't a credential's name itself.
+_PADDING = r"(?:(?<!" + _NAME + r")={1,2}(?=[\"'`]?(?:[\s.,;:)\]}<]|$)))?"
+CANDIDATE = _BEHIND + _VALUE + r"|(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+|[A-Z]{20,}+(?![A-Za-z0-9+/_-]))" + _PADDING
 FORMATS = r"^(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|(?:sk|rk)_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})$"
 NAMED = r"(?i)(?:password|passwd|pwd|secret|token|api_?-?key|apikey|auth|credential|access_?key)[A-Za-z_]*[\"']?\s*(?:=|:|=>)\s*[\"']?$"
 
@@ -40,9 +47,29 @@ FEATURES = ("size", "digits", "capitals", "smalls", "changes", "distinct", "word
 def candidates(text: Column) -> Column:
     """An array of (value, before, after, gap) of a text: ``gap`` is how many characters precede it since the last."""
     values = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    gaps = F.split(text, CANDIDATE, -1)
-    zipped = F.arrays_zip(values.alias("value"), F.slice(gaps, 1, F.size(values)).alias("gap"), F.slice(gaps, F.lit(2), F.size(values)).alias("next"))
-    found = F.transform(zipped, lambda x: F.struct(x["value"].alias("value"), F.right(x["gap"], F.lit(CONTEXT)).alias("before"), F.left(x["next"], F.lit(CONTEXT)).alias("after"), F.char_length(x["gap"]).alias("gap")))
+    once = F.array(F.struct(values.alias("values"), F.split(text, CANDIDATE, -1).alias("gaps"), text.alias("text")))
+    size = F.char_length
+
+    def of(c: Column) -> Column:
+        pieces = F.arrays_zip(c["values"].alias("value"), F.slice(c["gaps"], F.lit(1), F.size(c["values"])).alias("gap"))
+        begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts"))
+        starts = F.aggregate(
+            pieces, begin,
+            lambda acc, x: F.struct((acc["at"] + size(x["gap"]) + size(x["value"])).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + size(x["gap"]))).alias("starts")),
+            lambda acc: acc["starts"],
+        )
+        placed = F.arrays_zip(pieces.alias("piece"), starts.alias("start"))
+
+        def neighbours(x: Column) -> Column:
+            first = F.greatest(x["start"] - CONTEXT, F.lit(0))
+            value, gap = x["piece"]["value"], x["piece"]["gap"]
+            before = F.substring(c["text"], first + 1, x["start"] - first)
+            after = F.substring(c["text"], x["start"] + size(value) + 1, F.lit(CONTEXT))
+            return F.struct(value.alias("value"), before.alias("before"), after.alias("after"), size(gap).alias("gap"))
+
+        return F.transform(placed, neighbours)
+
+    found = F.when(text.isNotNull(), F.element_at(F.transform(once, of), 1))
     return F.coalesce(found, F.expr("cast(array() as array<struct<value:string,before:string,after:string,gap:int>>)"))
 
 

@@ -313,6 +313,23 @@ def test_secret_scan(spark):
     assert secret_scan.found(docs.where("false"), secret_scan.fit(docs.where("false"))).count() == 0
 
 
+def test_values_behind_names_are_candidates(spark):
+    texts = {"password=hunter2 x": ["hunter2"], "a password=Tr0ub4dor&3.": ["Tr0ub4dor&3"], "secret = CorrectHorseBatteryStaple, b": ["CorrectHorseBatteryStaple"]}
+    texts |= {"OAUTH2_CLIENT_SECRET=ab1": ["OAUTH2_CLIENT_SECRET", "ab1"], 'OAUTH2_CLIENT_SECRET="x y1" z': ["OAUTH2_CLIENT_SECRET", "x y1"], "OAUTH2_CLIENT_SECRET= ab1\n": ["OAUTH2_CLIENT_SECRET", "ab1"]}
+    texts |= {"é QUJDREVGR0hJSg== c": ["QUJDREVGR0hJSg=="], "a secret of hers: none": [], "token: tokens": ["tokens"], "{'api_key': 'é 1'}": ["é 1"]}
+    docs = table(spark, list(enumerate(texts)))
+    rows = docs.select("text", F.explode(secret_scan.candidates(F.col("text"))).alias("c")).select("text", "c.*").collect()
+    got = defaultdict(list)
+    for r in rows:
+        got[r["text"]].append(r["value"])
+        assert r["before"] + r["value"] + r["after"] == r["text"]
+    assert {t: got[t] for t in texts} == texts
+    labels = {r["value"]: r["label"] for r in secret_scan.labelled(docs).collect()}
+    assert [labels[v] for v in ("hunter2", "Tr0ub4dor&3", "ab1", "tokens")] == [1, 1, 1, 0]
+    clean = {r["text"] for r in secret_scan.redact(docs, secret_scan.Scanner("", "1D")).collect()}
+    assert {"password=[SECRET] x", "a password=[SECRET].", '[SECRET]="[SECRET]" z'} <= clean
+
+
 def test_dictionary_counts_all_documents(spark):
     letters = lambda i: "w" + "".join(chr(97 + i // 26**k % 26) for k in range(3))
     rows = [(i, f"{letters(i)} copied") for i in range(2500)]
