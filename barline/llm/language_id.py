@@ -7,7 +7,7 @@ same labels wherever it stands: a batch computes its distinct runs once and weig
 of over ``LONGEST`` bytes are read in parts of that length.
 
 Training is backpropagation through time in numpy, on the runs of a bounded number of labelled documents of each
-language (``per_language``, ``most_runs``). The same data give the same network.
+language (``per_language``, ``most_runs``, ``least_runs``). The same data give the same network.
 
 Null texts and texts without a letter get ``und`` and score 0. Rows without lang are predicted but not learned
 from. Rows without doc_id are never held out and never learned from. With no labelled rows all is ``und``. Extra
@@ -22,7 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -197,11 +197,13 @@ def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()), batch.column(1).take(pa.array(row[at])), pa.array(count)], ["run", "lang", "n"])
 
 
-def fit(docs: DataFrame, per_language: int = 300, most_runs: int = 40_000, **options) -> Network | None:
+def fit(docs: DataFrame, per_language: int = 300, most_runs: int = 40_000, least_runs: int = 500, **options) -> Network | None:
     """A network from the labelled documents of ``docs`` (doc_id, text, lang).
 
-    It learns from ``per_language`` documents of each language, first in the order of a hash of doc_id, and
-    from the ``most_runs`` most frequent runs in them.
+    It learns from ``per_language`` documents of each language, first in the order of a hash of doc_id, and from
+    the runs in them: ``most_runs`` shared evenly, but at least ``least_runs`` of each language. Where there are more,
+    runs are drawn by hash with a chance that follows their counts. Languages beyond the 256 with the most documents
+    are not learned.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.where("doc_id is not null and lang is not null and text is not null").select("doc_id", "lang")
@@ -212,7 +214,11 @@ def fit(docs: DataFrame, per_language: int = 300, most_runs: int = 40_000, **opt
     chosen = F.broadcast(reduce(DataFrame.union, ids).select("doc_id", "lang").distinct())  # per_language x languages rows
     texts = docs.select("doc_id", "text", "lang").join(chosen, ["doc_id", "lang"]).select("text", "lang")
     counts = texts.mapInArrow(_count_runs, "run binary, lang string, n long").groupBy("run", "lang").agg(F.sum("n").alias("n"))
-    found = counts.orderBy(F.desc("n"), "run", "lang").limit(most_runs).toPandas()
+    # an exponential race: the first to come are a weighted sample without replacement
+    chance = (F.pmod(F.xxhash64("run", "lang"), F.lit(1 << 40)) + 1) / F.lit(float(1 << 40))
+    order = Window.partitionBy("lang").orderBy(-F.log(chance) / F.col("n"), "run")
+    most = max(most_runs // len(languages), least_runs)
+    found = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place").toPandas()
     if found.empty:
         return None
     total = found.groupby("lang")["n"].transform("sum")

@@ -246,6 +246,14 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in language_id.identify(docs, None).collect()} == {"und"}
 
 
+def test_every_language_has_training_runs(spark):
+    hot = [f"{a}{b}{c}" for a in "bdfgk" for b in "aei" for c in "mnprt"]
+    rows = [(i, " ".join(hot), "aa") for i in range(40)] + [(100 + i, f"öü{i}ßä", "bb") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.identify(docs, language_id.fit(docs, most_runs=60, steps=60)).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in got)
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
     net = language_id.fresh(["a", "b"], 3, 1)
