@@ -22,10 +22,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: the one with the smallest doc_id. Equal rows are one."""
-    first = jaccard_join.similar_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").union(docs.where("doc_id is null"))
-    return kept.select(*COLUMNS)
+    """One row of each component of near copies: of the smallest doc_id, and of rows that share it, one with text.
+
+    Rows without doc_id are compared with no others; of those that are equal in all columns one stays.
+    """
+    first = jaccard_join.similar_components(docs).where("doc_id = component_id")
+    first = saved(first.groupBy("doc_id").count())
+    docs = docs.select(*COLUMNS)
+    once = docs.join(first.where("count = 1"), "doc_id", "left_semi")
+    repeated = docs.join(first.where("count > 1"), "doc_id", "left_semi")
+    order = F.struct(F.col("text").isNull(), F.xxhash64("text"), *COLUMNS)
+    repeated = repeated.groupBy("doc_id").agg(F.min_by(F.struct(*COLUMNS), order).alias("row")).select("row.*")
+    return once.union(repeated).union(docs.where("doc_id is null").distinct())
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -365,6 +365,16 @@ def test_pipeline(spark, tmp_path):
     assert length[61] < 0.75 * length[60]
 
 
+def test_near_copies_leave_one_row(spark):
+    import corpus_pipeline
+
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, "g h i"), (4, "j k l"), (4, "m n o"), (5, None), (None, "x"), (None, "x"), (None, "y")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.join_near_copies(spark, docs, "").collect()]
+    assert sorted(d for d, _ in got if d is not None) == [1, 3, 4, 5] and (1, "a b c d e f") in got
+    assert sorted(t for d, t in got if d is None) == ["x", "y"]
+
+
 def test_digest_of_kept_words(spark):
     row = superkmers.dedup_substrings(table(spark, [(1, "a  b\nc")])).select(F.sha2("kept_text", 256)).first()
     assert row[0] == hashlib.sha256(b"a b c").hexdigest()
