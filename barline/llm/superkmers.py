@@ -9,6 +9,10 @@ Hot passages: of equal super-k-mers in one Arrow batch only those of the smalles
 are known to be repeats of it and are marked at once. So a passage that every document holds reaches its
 bucket once a batch, not once a document. Many buckets share a task, and a task holds one bucket at a time.
 
+Hot minimisers: windows are counted first, by slots of minimisers (a fixed number of them). The windows of a slot
+with more than ``most`` windows, and more than a bucket has on average, travel singly, to buckets by a hash of all
+their words. So a word pair that stands in very many contexts fills no bucket.
+
 Equal windows are found by 64-bit hashes of their words and compared byte by byte before they count.
 
 Null texts have no words. A row without doc_id has no smaller or larger neighbours: it keeps its words and takes
@@ -27,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._words import chunks, gather, sequence_hashes, slices, spans, strings, words
+from ._words import Words, chunks, gather, sequence_hashes, slices, spans, strings, words
 from ._session import bounded_batches, width
 
 #: Words of a minimiser; buckets for each partition of the shuffle.
 MINIMISER, BUCKETS = 2, 16
+#: Slots of minimisers for each bucket; windows of a slot that are never too many for one bucket.
+SLOTS, MOST = 16, 1 << 18
 _ZSTD = pa.Codec("zstd", compression_level=3)
 
 
@@ -53,19 +59,47 @@ def _window_minimum(x: np.ndarray, n: int) -> np.ndarray:
     return x if span == n else np.minimum(x[: len(x) - (n - span)], x[n - span :])
 
 
-def _super_kmers(batch: pa.RecordBatch, k: int):
-    """Of a batch with text: row, first word, windows, minimiser, packed words of each super-k-mer."""
+def _minimisers(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words, the minimiser of each window, and which windows lie in one document."""
+    h = w.hashes()
+    low = _window_minimum(sequence_hashes(h, MINIMISER), k - MINIMISER + 1)
+    return h, low, np.flatnonzero(w.row[: len(low)] == w.row[k - 1 :])
+
+
+def _count_slots(k: int, slots: int):
+    """(text) in; windows of each slot of minimisers out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(slots, np.int64)
+        for whole in batches:
+            for batch in slices(whole):
+                w = words(batch.column(0))
+                if len(w.begin) >= k:
+                    _, low, at = _minimisers(w, k)
+                    total += np.bincount((low[at] % np.uint64(slots)).astype(np.int64), minlength=slots)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["slot", "n"])
+
+    return run
+
+
+def _super_kmers(batch: pa.RecordBatch, k: int, hot: np.ndarray):
+    """Of a batch with text: row, first word, windows, what names the bucket, packed words of each super-k-mer.
+
+    ``hot`` says of each slot of minimisers whether its windows stand alone, named by all their words.
+    """
     w = words(batch.column(1))
     if len(w.begin) < k:
         return None
-    h = w.hashes()
-    low = _window_minimum(sequence_hashes(h, MINIMISER), k - MINIMISER + 1)  # of each window
-    whole = w.row[: len(low)] == w.row[k - 1 :]  # the window lies in one document
-    at = np.flatnonzero(whole)
+    h, low, at = _minimisers(w, k)
     if not len(at):
         return None
     new = np.ones(len(at), bool)
     new[1:] = (at[1:] != at[:-1] + 1) | (low[at[1:]] != low[at[:-1]]) | (w.row[at[1:]] != w.row[at[:-1]])
+    alone = hot[(low[at] % np.uint64(len(hot))).astype(np.int64)]
+    if alone.any():
+        new |= alone
+        low[at[alone]] = sequence_hashes(h, k)[at[alone]]
     first = at[new]
     count = np.diff(np.append(np.flatnonzero(new), len(at)))
     # words with one space after each, so that any run of words is one slice
@@ -80,7 +114,7 @@ def _super_kmers(batch: pa.RecordBatch, k: int):
     return w.row[first], first - w.first[w.row[first]], count, low[first], texts
 
 
-def _send(k: int, buckets: int):
+def _send(k: int, buckets: int, hot: np.ndarray):
     """(doc_id, text, key) in; packed super-k-mers for their buckets and marks of known repeats out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +137,7 @@ def _send(k: int, buckets: int):
                 return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(rows, pa.binary())], ["bucket", "packed"])
 
             for part in slices(batch):
-                found = _super_kmers(part, k)
+                found = _super_kmers(part, k, hot)
                 if found is None:
                     continue
                 row, start, count, low, texts = found
@@ -207,7 +241,7 @@ def _receive(k: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, k: int = 13) -> DataFrame:
+def repeated_windows(docs: DataFrame, k: int = 13, most: int = MOST) -> DataFrame:
     """Runs of windows of ``docs`` (doc_id, text) that also start in a document with a smaller doc_id.
 
     Returns doc_id, key (a hash of the text, which tells apart rows that share a doc_id), start (word) and
@@ -218,7 +252,11 @@ def repeated_windows(docs: DataFrame, k: int = 13) -> DataFrame:
     parts = width(spark)
     buckets = parts * BUCKETS
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("key"))
-    sent = rows.mapInArrow(_send(k, buckets), "bucket int, packed binary")
+    slots = buckets * SLOTS
+    counts = rows.select("text").mapInArrow(_count_slots(k, slots), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    hot = np.zeros(slots, bool)
+    hot[counts["slot"][counts["n"] > max(most, counts["n"].sum() / buckets)]] = True
+    sent = rows.mapInArrow(_send(k, buckets, hot), "bucket int, packed binary")
     # marks (bucket -1) stay spread over all tasks
     dealt = sent.repartition(parts, F.when(F.col("bucket") < 0, F.xxhash64("packed")).otherwise(F.col("bucket")))
     return dealt.sortWithinPartitions("bucket").mapInArrow(_receive(k), "doc_id long, key long, start long, windows long")
@@ -254,14 +292,14 @@ def _remove(k: int, text_at: int, names: list[str]):
     return run
 
 
-def dedup_substrings(docs: DataFrame, k: int = 13) -> DataFrame:
+def dedup_substrings(docs: DataFrame, k: int = 13, most: int = MOST) -> DataFrame:
     """``docs`` with n_words, n_removed and kept_text: the words left when repeated windows are taken out.
 
     Words are removed if a window over them also starts in a document with a smaller doc_id, judged on the
     input. Kept words are joined by one space.
     """
     base = docs.drop("n_words", "n_removed", "kept_text")
-    runs = repeated_windows(base, k).groupBy("doc_id", "key").agg(F.collect_list("start").alias("__starts"), F.collect_list("windows").alias("__runs"))
+    runs = repeated_windows(base, k, most).groupBy("doc_id", "key").agg(F.collect_list("start").alias("__starts"), F.collect_list("windows").alias("__runs"))
     runs = runs.select(F.col("doc_id").alias("__doc"), F.col("key").cast("int").alias("__key"), "__starts", "__runs")
     joined = base.join(runs, (base["doc_id"].cast("long") == F.col("__doc")) & (F.hash(base["text"]) == F.col("__key")), "left").drop("__doc", "__key")
     schema = T.StructType([*base.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])

@@ -66,6 +66,25 @@ def test_substring_dedup(spark):
     assert superkmers.dedup_substrings(table(spark).where("false")).count() == 0
 
 
+def test_hot_minimisers_are_split(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    h = superkmers.sequence_hashes(superkmers.words(pa.array([" ".join(words)])).hashes(), 2)
+    pair = words[int(h.argmin()) :][:2]  # the smallest hash of all: the minimiser wherever it stands
+    texts = [" ".join([*(rng.choice("abcdefgh") + str(rng.randrange(99)) for _ in range(11)), *pair, *(rng.choice("abcdefgh") + str(rng.randrange(99)) for _ in range(11))]) for _ in range(300)]
+    rows = [(i, texts[i % 250]) for i in range(300)]
+    slots = 64 * superkmers.SLOTS
+
+    def fullest(hot):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array([t for _, t in rows]), pa.array([0] * 300, pa.int32())], ["doc_id", "text", "key"])
+        out = next(superkmers._send(13, 64, hot)(iter([batch])))
+        return max(int(superkmers._thawed(p)[3].sum()) for b, p in zip(*map(pa.Array.to_pylist, out.columns), strict=True) if b >= 0)
+
+    assert fullest(np.zeros(slots, bool)) > 1500 and fullest(np.ones(slots, bool)) < 150
+    want, got = (superkmers.dedup_substrings(table(spark, rows), most=most).collect() for most in (superkmers.MOST, 5))
+    assert ordered(got) == ordered(want) and sum(r["n_removed"] for r in got) == 50 * 24
+
+
 def test_repetition(spark):
     def brute(text):
         words, seen, lines = WORD.findall(text or ""), set(), 0
