@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
 import uuid
@@ -42,6 +43,14 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes a saved table, and lets Spark remove the shuffle files of frames that nothing refers to any more."""
+    for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        _delete(df.sparkSession, path)
+    gc.collect()
+    df.sparkSession._jvm.java.lang.System.gc()
+
+
 #: Bytes and rows of an Arrow batch on its way to Python: rows are whole texts, so rows alone bound nothing.
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
 

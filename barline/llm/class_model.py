@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._session import bounded_batches, saved, width
+from ._session import bounded_batches, dropped, saved, width
 from ._words import chunks, mix, slices, spans, words
 
 #: The hash that stands for the end token.
@@ -227,6 +227,8 @@ def fit(texts: DataFrame, frequent: int = 2048, groups: int = 512, classes: int
     default = of[len(units.hashes) :].astype(np.uint8)
     held = saved(placed.mapInArrow(_send_words(buckets), _PACKED))
     sent = saved(texts.select(F.lit(0).cast("long").alias("key"), "text").mapInArrow(_encode(groups, default, buckets), _PACKED))
+    del placed
+    dropped(pairs)
     best, kept, between = -np.inf, held, np.zeros((classes + 1, classes + 1))
     for step in range(word_passes + 1):
         beside = saved(_answered(sent, held, parts, _beside(classes, buckets), _PACKED))
@@ -240,7 +242,14 @@ def fit(texts: DataFrame, frequent: int = 2048, groups: int = 512, classes: int
             best, kept, between = likelihood, held, now
         if step < word_passes:
             met = beside.where("bucket >= 0").union(held).repartition(parts, "bucket").sortWithinPartitions("bucket")
-            held = saved(met.mapInArrow(_move(now, classes, step % turns, turns), _PACKED))
+            last, held = held, saved(met.mapInArrow(_move(now, classes, step % turns, turns), _PACKED))
+            del met
+            if last is not kept:
+                dropped(last)
+        dropped(beside)
+    if held is not kept:
+        dropped(held)
+    dropped(sent)
     transition = np.log10((between + 0.5) / (between.sum(1, keepdims=True) + 0.5 * (classes + 1)))
     sizes = kept.mapInArrow(_sizes, "class int, n long, types long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("types").alias("types")).toPandas()
     below = np.ones(classes + 1)
