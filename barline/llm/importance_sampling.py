@@ -4,13 +4,14 @@ Two generative models over hashed unigrams and bigrams, one of target texts and
 document a log importance weight: the sum over its n-grams of log(target / raw). After Xie et al. (2023) the
 documents with the largest log weight plus Gumbel noise are a sample without replacement by weight.
 
-The sum is divided by the number of n-grams and multiplied by ``sharpness``: otherwise a tiny mean difference
-times the length decides. Noise is a hash of doc_id: the same rows give the same sample. The k-th largest value is found by counting values in ever narrower ranges, not by sorting all rows.
-
-Tokens are runs of letters and digits, or of other visible characters, lower-cased (ASCII). Null and empty texts
-have no n-grams, weight 0, and are judged like all others. Rows without doc_id share one noise value. Rows with
-equal values at the cut are all kept. Without target rows all weights are 0. Extra columns stay; columns named
-n_grams, log_weight, sampling_key or kept are replaced.
+Noise is a hash of doc_id: the same rows give the same sample. The k-th largest value is found by counting values in
+ever narrower ranges, not by sorting all rows.
+
+Tokens are runs of letters and digits, or of other visible characters, lower-cased (ASCII). Texts of any length are
+read whole. Null and empty texts have no n-grams, weight 0, and are judged like all others. Rows without doc_id share
+one noise value; so do rows that share a doc_id. Rows with equal values at the cut are all kept. Nulls in ``labels``
+count as not good. Without target rows all weights are 0; without labels nothing is kept; an empty table gives no rows.
+Extra columns stay; columns named n_grams, log_weight, sampling_key or kept are replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from ._session import bounded_batches, saved
 from ._words import LOWER, SPACE, mix, slices, spans, utf8
 
 #: Hashed n-grams of a model.
-SIZE = 1 << 16
+SIZE = 1 << 18
 _KIND = np.ones(256, np.uint8)  # 0 space, 1 mark, 2 letter or digit
 _KIND[SPACE] = 0
 _KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 2
@@ -82,7 +83,7 @@ def _weigh(ratio: np.ndarray, text_at: int, names: list[str]):
         for whole in batches:
             for batch in slices(whole):
                 gram, row = _grams(batch.column(text_at))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.bincount(row, minlength=batch.num_rows)), pa.array(np.bincount(row, ratio[gram], batch.num_rows))], names)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.bincount(row, minlength=batch.num_rows)), pa.array(np.bincount(row, ratio[gram], batch.num_rows).astype(np.float64))], names)
 
     return run
 
@@ -103,6 +104,8 @@ def kth_largest(values: DataFrame, column: str, k: int, few: int = 1000) -> floa
     if k >= n:
         return low
     rest, inside = k, n
+    if low == high:
+        return low
     while inside > few and high > low:
         step = (high - low) / 1024
         if low + step == low:
@@ -115,16 +118,17 @@ def kth_largest(values: DataFrame, column: str, k: int, few: int = 1000) -> floa
             rest -= counts[b]
         found = values.where(F.col(column).between(low, high) & (at == b)).agg(F.min(column), F.max(column)).first()
         inside, (low, high) = counts[b], found
+    if low == high:
+        return low
     top = values.where(F.col(column).between(low, high)).select(column).orderBy(F.desc(column)).limit(rest)
     return top.agg(F.min(column)).first()[0]
 
 
-def resample(docs: DataFrame, ratio: np.ndarray, share: float, sharpness: float = 400.0, seed: int = 9) -> DataFrame:
+def resample(docs: DataFrame, ratio: np.ndarray, share: float, seed: int = 9) -> DataFrame:
     """``docs`` with log_weight, sampling_key and kept: ``share`` of the rows, sampled by weight."""
     base = docs.drop("sampling_key", "kept")
     uniform = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    tempered = F.col("log_weight") / F.greatest("n_grams", F.lit(1)) * sharpness
-    keyed = saved(weights(base, ratio).withColumn("sampling_key", tempered - F.log(-F.log(uniform))).drop("text"))
+    keyed = saved(weights(base, ratio).withColumn("sampling_key", F.col("log_weight") - F.log(-F.log(uniform))).drop("text"))
     cut = kth_largest(keyed, "sampling_key", round(share * keyed.count()))
     return keyed.withColumn("kept", F.col("sampling_key") >= F.lit(cut).cast("double") if cut is not None else F.lit(False))
 
