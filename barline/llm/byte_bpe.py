@@ -1,11 +1,13 @@
 """Byte-level BPE: encoding and decoding with the tokenizers library over Arrow batches (operator 5).
 
 The pattern that splits a text before the merges never lets a piece run from a visible character into white
-space. So a text can be cut in front of every run of white space, and each cut (white space, then a run of
-visible characters) has the ids it would have inside the text. Each batch encodes its distinct cuts once and
-strings the ids together; nothing is approximated.
+space, nor from an ASCII letter into a mark that stands alone behind it. So a text can be cut in front of every run of
+white space and of such marks, and each cut has the ids it would have inside the text. A batch finds its distinct cuts
+by 64-bit hashes of their bytes, the library encodes those that the worker has not met, and ids are strung together
+by one gather. Texts with white space beyond ASCII are encoded whole.
 
-Null texts are empty texts: no ids. Repeated rows give repeated rows. Other columns of the input are kept.
+Null texts are empty texts: no ids. Texts of any length are read whole. Repeated rows give repeated rows. An empty table
+gives no rows. Other columns of the input are kept; those that have the name of a new one are replaced.
 """
 
 from __future__ import annotations
@@ -13,25 +15,27 @@ from __future__ import annotations
 import base64
 import functools
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._session import bounded_batches
+from ._words import SPACE, slices, spans, strings, utf8
 
-#: White space as the pattern's \s sees it (Unicode White_Space).
-_CUT = re.compile("[\\s\x85]+[^\\s\x85]+|[^\\s\x85]+|[\\s\x85]+")
-#: Python's \s also takes the four separators 0x1C-0x1F, which Unicode does not call white space.
-_ODD = re.compile("[\x1c-\x1f]")
-#: Single marks that are a piece of their own after letters.
-_MARKS = frozenset(".,;:!?")
-#: Cuts whose ids a worker remembers, twice at most (about 200 bytes each).
-_KEEP = 300_000
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: Marks that are a piece of their own between an ASCII letter and white space.
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,;:!?")] = True
+#: White space of the pattern (Unicode White_Space) beyond ASCII.
+_WIDE = "[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Cuts whose ids a worker remembers at most (about 40 bytes each), and bytes of text that are encoded together.
+_KEEP, _TOGETHER = 1 << 20, 1 << 21
 
 
 def default_paths() -> tuple[str, str]:
@@ -52,13 +56,15 @@ def byte_characters() -> dict[int, str]:
 class Codec:
     """Encodes texts with a vocabulary of the tokenizers library and decodes ids by the reversed byte table."""
 
-    def __init__(self, path: str, ranks: str | None = None):
+    def __init__(self, path: str, ranks: str | None = None, special: bool = False):
+        """``special``: the vocabulary's special tokens stand for themselves where a text holds them."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         back = {c: b for b, c in byte_characters().items()}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         pieces: list[bytes] = [b""] * (max(vocabulary.values()) + 1)
@@ -77,9 +83,9 @@ class Codec:
         self.merges = Tokenizer(self.tokenizer.model)  # without the pattern: lines are pieces
         self.merges.pre_tokenizer = CharDelimiterSplit("\n")
         self.shown = byte_characters() | {10: "\n"}
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.marks = dict(zip(sorted(_MARKS), self._pieces(sorted(_MARKS)), strict=True))
+        # what is known of cuts: sorted hashes, where their ids begin and how many they are, when they were last met
+        self.hashes, self.begin, self.count, self.met = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.ids, self.now = np.zeros(0, np.uint32), 0
 
     def _cut_ids(self, texts: list[str], ids: np.ndarray) -> list[bytes]:
         """Ids of joined texts, dealt back: ids cover whole texts, so byte lengths tell where each text's end."""
@@ -99,38 +105,87 @@ class Codec:
             out += self._cut_ids(part, np.array(self.merges.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4"))
         return out
 
-    def _learn(self, keys: set[str]) -> None:
-        """Encodes cuts not seen yet; letters after one space are one piece, and a mark after them is another."""
-        for key in [k for k in keys if k in self.older]:
-            self.known[key] = self.older[key]
-            keys.discard(key)
-        marked = [k for k in keys if k[-1] in _MARKS and k[:-1].isalpha()]
-        letters = list({k for k in keys if k.isalpha()}.union(w for k in marked if (w := k[:-1]) not in self.known))
-        self.known.update(zip(letters, self._pieces([" " + k for k in letters]), strict=True))
-        for key in marked:
-            self.known[key] = self.known[key[:-1]] + self.marks[key[-1]]
-        rest = [k for k in keys if k not in self.known]
-        cuts = [key[1:] if key[0] == "\0" else key if key[0] == "\n" else " " + key for key in rest]
-        joined = [k for k, c in enumerate(cuts) if c[0].isspace() and not c[-1].isspace() and not _ODD.search(c)]
-        alone = sorted({*range(len(cuts))}.difference(joined))
-        for k, e in zip(alone, self.tokenizer.encode_batch_fast([cuts[k] for k in alone], add_special_tokens=False), strict=True):
-            self.known[rest[k]] = np.array(e.ids, "<u4").tobytes()
-        for first in range(0, len(joined), 512):  # each begins with white space, so that none touches the next
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, cuts: list[str]) -> list[bytes]:
+        """The ids of cuts. Letters, after a space or not, are one piece; cuts that begin with white space and end
+        with a visible character don't touch their neighbours, so that many are encoded as one text."""
+        out: list[bytes] = [b""] * len(cuts)
+        letters, joined, alone = [], [], []
+        for k, c in enumerate(cuts):
+            (letters if (c[1:] if c[0] == " " else c).isalpha() else joined if c[0] in " \t\n\v\f\r" and c[-1] not in " \t\n\v\f\r" else alone).append(k)
+        for k, found in zip(letters, self._pieces([cuts[k] for k in letters]), strict=True):
+            out[k] = found
+        for k, found in zip(alone, self._whole([cuts[k] for k in alone]), strict=True):
+            out[k] = found
+        for first in range(0, len(joined), 512):
             part = joined[first : first + 512]
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(cuts[k] for k in part)], add_special_tokens=False)[0].ids, "<u4")
-            self.known.update(zip([rest[k] for k in part], self._cut_ids([cuts[k] for k in part], ids), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        keys = [_keys(t) for t in texts]
-        if len(self.known) > _KEEP:  # what is used again comes back from the older half
-            self.known, self.older = {}, self.known
-        found = [list(map(self.known.get, k)) for k in keys]
-        new = {k for ks, fs in zip(keys, found, strict=True) if None in fs for k, f in zip(ks, fs, strict=True) if f is None}
-        if new:
-            self._learn(new)
-            found = [fs if None not in fs else list(map(self.known.__getitem__, ks)) for ks, fs in zip(keys, found, strict=True)]
-        return list(map(b"".join, found))
+            for k, found in zip(part, self._cut_ids([cuts[k] for k in part], ids), strict=True):
+                out[k] = found
+        return out
+
+    def _remember(self, hashes: np.ndarray, found: list[bytes]) -> None:
+        if len(self.hashes) + len(hashes) > _KEEP:  # the half that was met longest ago goes
+            use = np.flatnonzero(self.met > np.median(self.met))
+            count = self.count[use]
+            begin = np.cumsum(count) - count
+            self.ids = self.ids[np.arange(count.sum()) + np.repeat(self.begin[use] - begin, count)]
+            self.hashes, self.begin, self.count, self.met = self.hashes[use], begin, count, self.met[use]
+        count = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        begin = np.cumsum(count) - count + len(self.ids)
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), "<u4")])
+        order = np.argsort(h := np.concatenate([self.hashes, hashes]))
+        self.hashes = h[order]
+        self.begin, self.count = np.concatenate([self.begin, begin])[order], np.concatenate([self.count, count])[order]
+        self.met = np.concatenate([self.met, np.full(len(hashes), self.now, np.int32)])[order]
+
+    def _encode_cuts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data, places = utf8(column)
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(places), np.int64)
+        space, edge = SPACE[data], np.zeros(len(data) + 1, bool)
+        edge[places] = True
+        ends = np.append(space[1:], True) | edge[1:]  # white space or the text's end comes next
+        start = edge[:-1].copy()
+        start[1:] |= (space[1:] & ~space[:-1]) | (_MARK[data[1:]] & _LETTER[data[:-1]] & ends[1:])
+        begin = np.flatnonzero(start)
+        end = np.append(begin[1:], len(data))
+        u, at, which = np.unique(spans(data, begin, end), return_index=True, return_inverse=True)
+        self.now += 1
+        place = np.searchsorted(self.hashes, u)
+        new = np.ones(len(u), bool)
+        inside = np.flatnonzero(place < len(self.hashes))
+        new[inside] = self.hashes[place[inside]] != u[inside]
+        if new.any():
+            self.met[place[~new]] = self.now
+            raw = data.tobytes()
+            self._remember(u[new], self._learn([raw[a:b].decode() for a, b in zip(begin[at[new]].tolist(), end[at[new]].tolist(), strict=True)]))
+            place = np.searchsorted(self.hashes, u)
+        self.met[place] = self.now
+        of = place[which]
+        count = self.count[of].astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(count)])
+        ids = self.ids[np.arange(total[-1]) + np.repeat(self.begin[of] - total[:-1], count)]
+        return ids, total[np.searchsorted(begin, places)]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a column (null: none), and the n + 1 places where texts begin and end."""
+        column = column.cast(pa.large_string()).fill_null("")
+        odd = pc.match_substring_regex(column, _WIDE)
+        for token in self.special:
+            odd = pc.or_(odd, pc.match_substring(column, token))
+        if not pc.any(odd).as_py():
+            return self._encode_cuts(column)
+        odd = odd.to_numpy(zero_copy_only=False)
+        ids, places = self._encode_cuts(pc.if_else(pa.array(odd), "", column))
+        whole = self._whole([column[i].as_py() for i in np.flatnonzero(odd).tolist()])
+        count = np.diff(places)
+        parts = np.split(ids, places[np.flatnonzero(odd)])  # the ids of the others up to each of these
+        out = [x for pair in zip(parts, [np.frombuffer(w, "<u4") for w in whole]) for x in pair] + [parts[-1]]
+        count[odd] = [len(w) // 4 for w in whole]
+        return np.concatenate(out).astype(np.uint32), np.concatenate([[0], np.cumsum(count)])
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of ids: a gather over the vocabulary's bytes. A character split over ids comes back whole."""
@@ -150,35 +205,9 @@ class Codec:
         return [(int(char[b]), int(char[e - 1]) + 1) for b, e in zip(begins, ends, strict=True)]
 
 
-def _keys(text: str) -> list[str]:
-    """A text cut in front of each run of white space; a cut that begins with one space is named without it."""
-    if not text:
-        return []
-    lines = text.replace("\n", " \n") if "\n" in text else text
-    if "\n\n" not in text and text.replace("\n", "").isprintable():  # no other white space
-        head, *rest = lines.split(" ")
-        if all(rest):  # single spaces only
-            return ["\0" + head, *rest] if head and head[0] != "\n" else [head, *rest] if head else rest
-    if _ODD.search(text):  # rare: leave such texts whole
-        return ["\0" + text]
-    return ["\0" + c for c in _CUT.findall(text)]
-
-
 @functools.lru_cache(maxsize=2)
-def codec(path: str, ranks: str | None = None) -> Codec:
-    return Codec(path, ranks)
-
-
-def _groups(texts: list[str], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    """Runs of rows with about ``most`` characters."""
-    first = size = 0
-    for k, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield first, k
-            first, size = k, 0
-        size += len(t)
-    if first < len(texts):
-        yield first, len(texts)
+def codec(path: str, ranks: str | None = None, special: bool = False) -> Codec:
+    return Codec(path, ranks, special)
 
 
 def encode(docs: DataFrame, text: str = "text", path: str | None = None, ranks: str | None = None, ids: str = "ids", offsets: str | None = None) -> DataFrame:
@@ -198,14 +227,15 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, ranks:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(path, ranks)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            for a, b in _groups(texts):
-                found = use.encode(texts[a:b])
-                columns = [*batch.slice(a, b - a).columns, pa.array(found, pa.binary())]
+        for whole in batches:
+            for batch in slices(whole, text, _TOGETHER):
+                column = batch.column(batch.schema.get_field_index(text))
+                found, places = use.encode(column)
+                columns = [*batch.columns, strings(found.view(np.uint8), 4 * places).cast(pa.binary())]
                 if offsets:
-                    spans = [[{"begin": x, "end": y} for x, y in use.offsets(t, np.frombuffer(i, "<u4"))] for t, i in zip(texts[a:b], found, strict=True)]
-                    columns.append(pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))))
+                    texts = [t or "" for t in column.to_pylist()]
+                    shown = [[{"begin": x, "end": y} for x, y in use.offsets(t, found[a:b])] for t, a, b in zip(texts, places[:-1], places[1:], strict=True)]
+                    columns.append(pa.array(shown, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))))
                 yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *made])
 
     return base.mapInArrow(run, schema)

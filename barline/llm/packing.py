@@ -6,8 +6,9 @@ share a bin) and the emptiest few others as hosts for them. A tree of merges the
 as items, until one node is left. A node passes on a constant number of bins, so that the root is as small
 over 100 TB as over 1 GB; nothing is lost, since a bin that is not passed up is emitted as it is.
 
-Null texts are empty texts and hold the end id only. Repeated rows are packed once each. An empty table gives
-no pieces. Extra columns are not read.
+Null texts are empty texts and hold the end id only. Texts of any length are cut into pieces. Special tokens of the
+vocabulary that stand in a text count as such, as the library has it. Repeated rows are packed once each. An empty
+table gives no pieces. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._session import bounded_batches, saved
-from .byte_bpe import _groups, codec, default_paths
+from ._words import slices, strings
+from .byte_bpe import codec, default_paths
 
 #: Bins with at most this share of room left are emitted at once.
 NEARLY_FULL = 0.01
@@ -39,23 +41,24 @@ def cut_pieces(docs: DataFrame, size: int = 1024, end: int = 2, path: str | None
     path = path or default_paths()[0]
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind)]).add("piece", T.IntegerType()).add("start", T.LongType()).add("length", T.LongType()).add("ids", T.BinaryType())
-    stop = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = codec(path)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in _groups(texts):
-                ids = [i + stop for i in use.encode(texts[a:b])]
-                total = np.array([len(i) // 4 for i in ids], np.int64)
+        use = codec(path, special=True)
+        for whole in batches:
+            for batch in slices(whole):
+                found, places = use.encode(batch.column(1))
+                rows = np.arange(batch.num_rows)
+                total = np.diff(places) + 1
+                ids = np.full(len(found) + len(rows), end, "<u4")
+                ids[np.arange(len(found)) + np.repeat(rows, total - 1)] = found
                 pieces = -(-total // size)
-                row = np.repeat(np.arange(len(ids)), pieces)
+                row = np.repeat(rows, pieces)
                 piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
                 first = total - (pieces - 1) * size
                 start = np.where(piece == 0, 0, first[row] + (piece - 1) * size)
                 length = np.where(piece == 0, first[row], size)
-                parts = [ids[r][4 * s : 4 * (s + n)] for r, s, n in zip(row.tolist(), start.tolist(), length.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(parts, pa.binary())], schema.names)
+                parts = strings(ids.view(np.uint8), 4 * np.concatenate([[0], np.cumsum(length)])).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), parts], schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
