@@ -103,12 +103,24 @@ class Words:
         return spans(self.data, self.begin, self.end)
 
 
-def spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes: differences of one running sum of powers."""
-    power, inverse = _power_tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[: len(data)], dtype=np.uint64, out=total[1:])
-    return mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+def spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each span of bytes: differences of one running sum of powers.
+
+    ``begin`` must not fall. About ``most`` bytes are summed at a time, so that tables of powers stay small.
+    """
+    out = np.zeros(len(begin), np.uint64)
+    cuts = np.searchsorted(begin, np.arange(0, len(data) + most, most))
+    cuts[-1] = len(begin)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if a == b:
+            continue
+        low, high = int(begin[a]), int(end[a:b].max())
+        power, inverse = _power_tables(high - low + 1)
+        total = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(_BYTE[data[low:high]] * power[: high - low], dtype=np.uint64, out=total[1:])
+        first, last = begin[a:b] - low, end[a:b] - low
+        out[a:b] = mix((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64))
+    return out
 
 
 def words(column: pa.Array, lower: bool = False) -> Words:

@@ -5,13 +5,14 @@ it. Consecutive windows that share a minimiser are a super-k-mer: their words tr
 string, to the bucket of the minimiser. All windows with the same words have the same minimiser, so a bucket
 sees every copy of its windows; it sorts them and finds those that start in more than one document.
 
-Hot passages: of equal super-k-mers in one Arrow batch only those of the smallest doc_id are sent; the others
-are known to be repeats of it and are marked at once. So a passage that every document holds reaches its
-bucket once a batch, not once a document. Many buckets share a task, and a task holds one bucket at a time.
+Hot passages: of equal super-k-mers in one chunk of texts (``CHUNK`` bytes) only those of the smallest doc_id are
+sent; the others are known to be repeats of it and are marked at once. So a passage that every document holds reaches
+its bucket once a chunk, not once a document. Many buckets share a task, and a task holds one bucket at a time.
 
-Hot minimisers: windows are counted first, by slots of minimisers (a fixed number of them). The windows of a slot
-with more than ``most`` windows, and more than a bucket has on average, travel singly, to buckets by a hash of all
-their words. So a word pair that stands in very many contexts fills no bucket.
+Hot minimisers: windows are counted first, by slots of minimisers (a fixed number of them). There are as many buckets
+as keep each to about ``most`` windows, and at least ``BUCKETS`` for each partition. The windows of a slot with more
+than ``most`` windows, and more than a bucket has on average, travel singly, to buckets by a hash of all their words.
+So a word pair that stands in very many contexts fills no bucket.
 
 Equal windows are found by 64-bit hashes of their words and compared byte by byte before they count.
 
@@ -36,8 +37,10 @@ from ._session import bounded_batches, width
 
 #: Words of a minimiser; buckets for each partition of the shuffle.
 MINIMISER, BUCKETS = 2, 16
-#: Slots of minimisers for each bucket; windows of a slot that are never too many for one bucket.
-SLOTS, MOST = 16, 1 << 18
+#: Slots of minimisers for each partition; windows of a slot that are never too many for one bucket.
+SLOTS, MOST = 256, 1 << 18
+#: Bytes of text that are looked at together before the shuffle.
+CHUNK = 1 << 23
 _ZSTD = pa.Codec("zstd", compression_level=3)
 
 
@@ -84,7 +87,8 @@ def _count_slots(k: int, slots: int):
 
 
 def _super_kmers(batch: pa.RecordBatch, k: int, hot: np.ndarray):
-    """Of a batch with text: row, first word, windows, what names the bucket, packed words of each super-k-mer.
+    """Of a batch with text: row, first word, windows, what names the bucket, begin and end of each super-k-mer in the
+    packed words, which come last.
 
     ``hot`` says of each slot of minimisers whether its windows stand alone, named by all their words.
     """
@@ -108,54 +112,50 @@ def _super_kmers(batch: pa.RecordBatch, k: int, hot: np.ndarray):
     np.cumsum(size + 1, out=places[1:])
     packed = np.full(places[-1], 32, np.uint8)
     packed[np.arange(size.sum()) + np.repeat(places[:-1] - (np.cumsum(size) - size), size)] = gather(w.data, w.begin, w.end)[0]
-    raw = packed.tobytes()
     last = first + count + k - 2
-    texts = [raw[a:b] for a, b in zip(places[first].tolist(), (places[last + 1] - 1).tolist(), strict=True)]
-    return w.row[first], first - w.first[w.row[first]], count, low[first], texts
+    return w.row[first], (first - w.first[w.row[first]]).astype(np.int32), count.astype(np.int32), low[first], places[first], places[last + 1] - 1, packed
 
 
 def _send(k: int, buckets: int, hot: np.ndarray):
     """(doc_id, text, key) in; packed super-k-mers for their buckets and marks of known repeats out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            batch = batch.sort_by("doc_id")
-            seen: dict[bytes, int] = {}
-            held, marks, size = [], [], 0
-
-            def flush():
-                rows = [_frozen(*(np.concatenate(c) for c in zip(*marks, strict=True)))] if marks else []
-                keys = [-1] * len(rows)
-                if held:
-                    bucket, doc, key, start, count = (np.concatenate(c) for c in zip(*[x[:5] for x in held], strict=True))
-                    texts = [t for x in held for t in x[5]]
-                    order = np.argsort(bucket, kind="stable")
-                    edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-                    for part in np.split(order, edges[1:]):
-                        keys.append(int(bucket[part[0]]))
-                        rows.append(_frozen(np.diff(doc[part], prepend=0), key[part], start[part], count[part], b"\n".join(texts[i] for i in part.tolist())))
-                return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(rows, pa.binary())], ["bucket", "packed"])
-
-            for part in slices(batch):
-                found = _super_kmers(part, k, hot)
-                if found is None:
-                    continue
-                row, start, count, low, texts = found
-                docs, keys = part.column(0).to_numpy(), part.column(2).to_numpy()
-                doc, key = docs[row], keys[row]
-                least = np.fromiter(map(seen.setdefault, texts, doc.tolist()), np.int64, len(texts))
-                mine = least == doc
-                if not mine.all():
-                    marks.append((doc[~mine], key[~mine], start[~mine].astype(np.int32), count[~mine].astype(np.int32)))
-                use = np.flatnonzero(mine)
-                bucket = (low[use] % np.uint64(buckets)).astype(np.int64)
-                held.append((bucket, doc[use], key[use], start[use].astype(np.int32), count[use].astype(np.int16 if count.max() < 32768 else np.int32), [texts[i] for i in use.tolist()]))
-                size += part.nbytes
-                if size > 1 << 25:
-                    yield flush()
-                    seen, held, marks, size = {}, [], [], 0
-            if held or marks:
-                yield flush()
+        for batch in chunks(batches, CHUNK):
+            found = [(part, made) for part in slices(batch) if (made := _super_kmers(part, k, hot)) is not None]
+            if not found:
+                continue
+            doc, key = (np.concatenate([part.column(c).to_numpy()[made[0]] for part, made in found]) for c in (0, 2))
+            start, count, low, begin, end = (np.concatenate([made[c] for _, made in found]) for c in (1, 2, 3, 4, 5))
+            # begin and end are places in the packed words of each part; here they become places in all of them
+            sizes = [len(made[6]) for _, made in found]
+            shift = np.repeat(np.cumsum(sizes) - sizes, [len(made[1]) for _, made in found])
+            data = np.concatenate([made[6] for _, made in found])
+            begin, end = begin + shift, end + shift
+            del found
+            h = spans(data, begin, end)
+            order = np.lexsort((doc, h))
+            near = np.flatnonzero(h[order[1:]] == h[order[:-1]]) + 1
+            near = near[_equal(data, begin, end, order[near], order[near - 1])]
+            first = np.ones(len(order), bool)  # of equal super-k-mers; those that follow have the same or a larger doc_id
+            first[near] = False
+            least = np.empty(len(order), np.int64)
+            least[order] = doc[order][np.flatnonzero(first)][np.cumsum(first) - 1]
+            mine = least == doc
+            rows, keys = [], []
+            if not mine.all():
+                rows.append(_frozen(doc[~mine], key[~mine].astype(np.int64), start[~mine], count[~mine]))
+                keys.append(-1)
+            use = np.flatnonzero(mine)
+            bucket = (low[use] % np.uint64(buckets)).astype(np.int32)
+            use = use[np.argsort(bucket, kind="stable")]
+            bucket.sort()
+            edges = np.flatnonzero(np.diff(bucket, prepend=-1))
+            raw = data.tobytes()
+            for number, part in zip(bucket[edges].tolist(), np.split(use, edges[1:]), strict=True):
+                keys.append(number)
+                texts = b"\n".join([raw[a:b] for a, b in zip(begin[part].tolist(), end[part].tolist(), strict=True)])
+                rows.append(_frozen(np.diff(doc[part], prepend=0), key[part], start[part], count[part], texts))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(rows, pa.binary())], ["bucket", "packed"])
 
     return run
 
@@ -163,8 +163,8 @@ def _send(k: int, buckets: int, hot: np.ndarray):
 def _equal(data: np.ndarray, begin: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether the spans a[i] and b[i] hold the same bytes, for pairs of spans."""
     same = (end[a] - begin[a]) == (end[b] - begin[b])
-    for first in range(0, len(a), 1 << 16):
-        at = slice(first, first + (1 << 16))
+    for first in range(0, len(a), 1 << 13):
+        at = slice(first, first + (1 << 13))
         ok = np.flatnonzero(same[at]) + first
         x, places = gather(data, begin[a[ok]], end[a[ok]])
         y, _ = gather(data, begin[b[ok]], end[b[ok]])
@@ -250,10 +250,10 @@ def repeated_windows(docs: DataFrame, k: int = 13, most: int = MOST) -> DataFram
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     parts = width(spark)
-    buckets = parts * BUCKETS
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("key"))
-    slots = buckets * SLOTS
+    slots = parts * SLOTS
     counts = rows.select("text").mapInArrow(_count_slots(k, slots), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    buckets = max(parts * BUCKETS, int(counts["n"].sum()) // MOST)
     hot = np.zeros(slots, bool)
     hot[counts["slot"][counts["n"] > max(most, counts["n"].sum() / buckets)]] = True
     sent = rows.mapInArrow(_send(k, buckets, hot), "bucket int, packed binary")
