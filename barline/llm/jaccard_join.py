@@ -5,22 +5,27 @@ fragments, and each fragment is worked on by itself: what it finds about a docum
 and the parts are summed.
 
 1. Equal sets are one class, named by its smallest doc_id.
-2. Each fragment counts, for each class, the shingles that some other class has too. A class whose sum is under
-   the threshold's share of its size links with nothing. Most documents end here, exactly.
+2. Each fragment counts, for each class, the shingles that some other class has too; the parts go to the bucket of
+   the class, packed, and are summed there. A class whose sum is under the threshold's share of its size links with
+   nothing. Most documents end here. Shingles are 32 bits of their hash within their fragment, which only counts too
+   many as shared, never too few.
 3. For the others, fragments count in how many classes a shingle lies. A class's prefix, its rarest shingles,
    is as long as the threshold demands: classes that link share a shingle of both prefixes (prefix filter).
-4. The classes with a prefix shingle are a list. Not all pairs of a list are compared: each member is compared
-   with the list's pivot, the member whose shingles are most common. Those that link with the pivot are one
-   component. The rest are compared with all others of the list that the known overlaps with the pivot still
-   allow: by the triangle inequality of the Jaccard distance, and by what two sets can share inside and outside
-   the pivot's. So no link between different components is lost, and a group of near copies costs about one
-   comparison a member.
-5. Pairs are verified by overlaps: the fragments of both sets meet, each gives a partial overlap, and the sum
-   is exact.
+4. The classes with a prefix shingle are a list. Each member is compared with the list's pivot, the member whose
+   shingles are most common: the fragments of both sets meet, each gives a partial overlap, and the sum is exact.
+   Those that link with the pivot are one component, so a group of near copies costs one comparison a member.
+5. The members that are left over in a list, with a component other than the pivot's, are compared with all members
+   of the pivot's lists, in blocks: a task holds a bounded block of sets, and the left-over ones pass by. Overlaps
+   of a block are products of 0/1 matrices over the shingles that both sides have, a fragment of them at a time,
+   summed. A task returns a spanning forest of the links it finds, not pairs.
+
+So every two classes that link end up in one component: they share a list, and there they are linked by its pivot or
+compared with each other. Links inside a component are not all listed.
 
 Two hashes of different shingles agree with a chance of 2**-64. Null and empty texts have an empty set and link
-with nothing. Rows without doc_id link with nothing and have no component. Rows that share a doc_id count as one
-document: if one of them links, both are in its component. Repeated rows get the same result each.
+with nothing. Texts of any length are read whole. Rows without doc_id link with nothing and have no component. Rows
+that share a doc_id count as one document: if one of them links, both are in its component. Repeated rows get the same
+result each. An empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -35,10 +40,12 @@ from pyspark.sql import functions as F
 from ._session import bounded_batches, saved, width
 from ._words import chunks, mix, sequence_hashes, slices, words
 from .class_model import _frozen, _parts, _thawed
-from .components import connected_components
+from .components import connected_components, forest
 
-#: Fragments of a pair of sets.
-FRAGMENTS = 4
+#: Fragments of a pair of sets, and shingles of a fragment when blocks of sets are compared.
+FRAGMENTS, FRAGMENT = 4, 2048
+#: Sets and shingles of a block, about.
+BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 19
 #: Ids that are broadcast at most (8 bytes each).
 BROADCAST = 1 << 20
 
@@ -94,7 +101,7 @@ def _send_shingles(n: int, buckets: int):
     """Shingles to their fragments: 32 bits each (enough for a filter), and the class of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in chunks(batches, 1 << 24):
+        for whole in chunks(batches, 1 << 23):
             held, seen = [], np.zeros(0, np.uint64)
             for batch in slices(whole):
                 value, places = _sets(batch.column(0), n)
@@ -108,14 +115,16 @@ def _send_shingles(n: int, buckets: int):
                 inside = np.repeat(use, size)
                 held.append((value[inside], np.repeat(print_, size)[inside]))
             value, class_ = (np.concatenate(x) for x in zip(*held, strict=True))
-            bucket = (value % np.uint64(buckets)).astype(np.int64)
+            bucket = (value % np.uint64(buckets)).astype(np.int32)
             ids, rows = [], []
             for p in _parts(bucket):
                 short = (value[p] >> np.uint64(32)).astype(np.uint32)
                 names, which = np.unique(class_[p], return_inverse=True)
                 order = np.lexsort((short, which))
                 ids.append(int(bucket[p[0]]))
-                rows.append(_frozen(short[order], np.bincount(which).astype(np.uint16 if len(p) < 65536 else np.int32), names))
+                count = np.bincount(which)
+                count = count.astype(np.uint8 if count.max() < 256 else np.int32)
+                rows.append(_frozen(short[order], count, np.diff(names, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.copy()))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(rows, pa.binary())], ["bucket", "packed"])
 
     return run
@@ -136,14 +145,11 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
 
 
 def _entries(parts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Values and owners, distinct, sorted by value."""
+    """Values and owners, sorted by value."""
     value = np.concatenate([p[0] for p in parts])
     owner = np.concatenate([np.repeat(p[2], p[1]) for p in parts])
     order = np.lexsort((owner, value))
-    value, owner = value[order], owner[order]
-    new = np.ones(len(value), bool)
-    new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
-    return value[new], owner[new]
+    return value[order], owner[order]
 
 
 def _frequency(value: np.ndarray) -> np.ndarray:
@@ -153,22 +159,49 @@ def _frequency(value: np.ndarray) -> np.ndarray:
     return np.repeat(count, count)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(class, shingles that another class has too), summed over the fragments of a task."""
-    held: list[np.ndarray] = []
+def _shared(buckets: int):
+    """For the bucket of each class, packed: how many of its shingles in the fragments of a task others have too."""
 
-    def flush() -> pa.RecordBatch:
-        names, count = np.unique(np.concatenate(held), return_counts=True)
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(count)], ["one", "shared"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
 
-    for parts in _by_bucket(batches):
-        value, owner = _entries(parts)
-        held.append(owner[_frequency(value) > 1])
-        if sum(map(len, held)) > 1 << 22:
+        def flush() -> pa.RecordBatch:
+            names, count = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            names, which = np.unique(names, return_inverse=True)
+            count = np.bincount(which, count).astype(np.int32)
+            bucket = (mix(names) % np.uint64(buckets)).astype(np.int32)
+            parts = _parts(bucket)
+            packed = [_frozen(names[p], count[p]) for p in parts]
+            return pa.RecordBatch.from_arrays([pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), pa.array(packed, pa.binary())], ["bucket", "packed"])
+
+        for parts in _by_bucket(batches):
+            value, count = (np.concatenate([p[k] for p in parts]) for k in range(2))
+            names = np.concatenate([np.cumsum(np.ascontiguousarray(p[2].T).view(np.uint64).ravel(), dtype=np.uint64) for p in parts])
+            # a class that came from several batches counts once; equal values of one batch are different shingles
+            _, at = np.unique(names, return_index=True)
+            use = np.zeros(len(names), bool)
+            use[at] = True
+            owner = np.repeat(np.arange(len(names)), count)
+            value, owner = value[use[owner]], owner[use[owner]]
+            order = np.argsort(value)
+            shared = np.bincount(owner[order[_frequency(value[order]) > 1]], minlength=len(names))
+            at = np.flatnonzero(shared)
+            held.append((names[at], shared[at]))
+            if sum(len(h[0]) for h in held) > 1 << 19:
+                yield flush()
+        if held:
             yield flush()
-    if held:
-        yield flush()
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the buckets of classes: each class once, with the sum of its parts."""
+    for parts in _by_bucket(batches):
+        names, count = (np.concatenate(c) for c in zip(*parts, strict=True))
+        names, which = np.unique(names, return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(np.bincount(which, count).astype(np.int64))], ["one", "shared"])
 
 
 def _keep_sets(n: int):
@@ -251,8 +284,8 @@ def _prefixes(percent: int):
             place = np.arange(len(owner)) - np.repeat(first, shared)
             at = place < np.repeat(length, shared)
             common = np.add.reduceat(np.log(count), first) / n if len(first) else np.zeros(0)
-            made = [value.view(np.int64), owner, size, np.repeat(shared, shared), np.repeat(common, shared)]
-            yield pa.RecordBatch.from_arrays([pa.array(c[at]) for c in made], ["shingle", "id", "size", "shared", "common"])
+            made = [value.view(np.int64), owner, size, np.repeat(common, shared)]
+            yield pa.RecordBatch.from_arrays([pa.array(c[at]) for c in made], ["shingle", "id", "size", "common"])
 
     return run
 
@@ -288,12 +321,75 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
 
 
+def _block_overlaps(asked: list[np.ndarray], held: list[np.ndarray]) -> np.ndarray:
+    """Overlaps of each of ``asked`` with each of ``held`` (sets of sorted values): partial ones by fragment, summed."""
+    sides = []
+    for sets in (asked, held):
+        value = np.concatenate(sets)
+        sides.append((value, np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
+    both = np.intersect1d(sides[0][0], sides[1][0])
+    places = []
+    for value, owner in sides:
+        at = np.minimum(np.searchsorted(both, value), max(len(both) - 1, 0))
+        ok = both[at] == value if len(both) else np.zeros(len(value), bool)
+        order = np.argsort(at[ok], kind="stable")
+        places.append((at[ok][order], owner[ok][order]))
+    total = np.zeros((len(asked), len(held)), np.int64)
+    for first in range(0, len(both), FRAGMENT):
+        last = min(first + FRAGMENT, len(both))
+        marks = []
+        for (at, owner), sets in zip(places, (asked, held), strict=True):
+            low, high = np.searchsorted(at, [first, last])
+            mark = np.zeros((len(sets), last - first), np.float32)
+            mark[owner[low:high], at[low:high] - first] = 1
+            marks.append(mark)
+        total += (marks[0] @ marks[1].T).astype(np.int64)
+    return total
+
+
+def _meet(percent: int):
+    """(pivot, block, asks, id, component, members) sorted by the first three in; a forest of links (a, b) out."""
+
+    def links(asked: list[tuple], held: list[tuple]) -> pa.RecordBatch | None:
+        overlap = _block_overlaps([x[2] for x in asked], [x[2] for x in held])
+        size = [np.array([len(x[2]) for x in side], np.int64) for side in (asked, held)]
+        component = [np.array([x[1] for x in side], np.int64) for side in (asked, held)]
+        union = size[0][:, None] + size[1] - overlap
+        a, b = np.nonzero((overlap * 100 >= union * percent) & (component[0][:, None] != component[1]))
+        if not len(a):
+            return None
+        ids = [np.array([x[0] for x in side], np.int64) for side in (asked, held)]
+        nodes, roots = forest(ids[0][a], ids[1][b])
+        far = nodes != roots
+        return pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(roots[far])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, asked, size = None, [], [], 0
+        for batch in batches:
+            for pivot, block, asks, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (pivot, block) != group:
+                    if asked and held and (found := links(asked, held)) is not None:
+                        yield found
+                    group, held, asked, size = (pivot, block), [], [], 0
+                row[2] = np.frombuffer(row[2], np.uint64)
+                (asked if asks else held).append(row)
+                size += len(row[2]) if asks else 0
+                if len(asked) >= BLOCK_SETS or size >= BLOCK_SHINGLES:
+                    if held and (found := links(asked, held)) is not None:
+                        yield found
+                    asked, size = [], 0
+        if asked and held and (found := links(asked, held)) is not None:
+            yield found
+
+    return run
+
+
 def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text)."""
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     parts = width(spark)
-    buckets = parts * 4
+    packed = "bucket int, packed binary"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = saved(docs.mapInArrow(_describe(n), "doc_id long, size long, one long, two long"))
     whole = described.where("doc_id is not null and size > 0")
@@ -304,8 +400,8 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         return sent.repartition(parts, "bucket").sortWithinPartitions("bucket")
 
     usable = docs.where("doc_id is not null and text is not null")
-    shared = dealt(usable.select("text").mapInArrow(_send_shingles(n, buckets), "bucket int, packed binary")).mapInArrow(_shared, "one long, shared long")
-    shared = shared.groupBy("one").agg(F.sum("shared").alias("shared"))
+    shared = dealt(usable.select("text").mapInArrow(_send_shingles(n, parts), packed)).mapInArrow(_shared(parts), packed)
+    shared = dealt(shared).mapInArrow(_summed, "one long, shared long")
     left = saved(classes.join(shared, "one").where(F.col("shared") * 100 >= F.col("size") * percent).select("id", "one"))
     count = left.count()
 
@@ -313,55 +409,34 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     chosen = F.broadcast(left) if count <= BROADCAST else left
     rows = usable.join(chosen, usable["doc_id"] == chosen["id"]).select("id", "one", "text")
     sets = saved(rows.mapInArrow(_keep_sets(n), "id long, size long, members binary").dropDuplicates(["id"]))
-    counted = dealt(sets.select("id", "members").mapInArrow(_send_sets(buckets), "bucket int, packed binary")).mapInArrow(_frequencies(buckets), "bucket int, packed binary")
-    lists = saved(dealt(counted).mapInArrow(_prefixes(percent), "shingle long, id long, size long, shared long, common double"))
+    counted = dealt(sets.select("id", "members").mapInArrow(_send_sets(parts), packed)).mapInArrow(_frequencies(parts), packed)
+    lists = saved(dealt(counted).mapInArrow(_prefixes(percent), "shingle long, id long, size long, common double"))
 
     # 4: each with the pivot of its lists
     pivots = lists.groupBy("shingle").agg(F.max(F.struct("common", (-F.col("id")).alias("id"), "size")).alias("p"), F.count("*").alias("n")).where("n > 1")
     pivots = pivots.select("shingle", (-F.col("p.id")).alias("pivot"), F.col("p.size").alias("pivot_size"))
-    beside = lists.join(pivots, "shingle")
+    beside = lists.join(pivots, "shingle").where("id != pivot").select("pivot", "pivot_size", "id", "size").distinct()
+    beside = saved(beside)
     near = F.least("size", "pivot_size") * 100 >= F.greatest("size", "pivot_size") * percent
-    stars = beside.where((F.col("id") != F.col("pivot")) & near).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    stars = beside.where(near).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     sizes = sets.select("id", "size")
-    compared = saved(overlaps(stars, sets).join(sizes.select(F.col("id").alias("a"), F.col("size").alias("n")), "a").join(sizes.select(F.col("id").alias("b"), F.col("size").alias("m")), "b"))
-    union = F.col("n") + F.col("m") - F.col("overlap")
-    linked = F.col("overlap") * 100 >= union * percent
-    links = compared.where(linked).select("a", "b")
+    compared = overlaps(stars, sets).join(sizes.select(F.col("id").alias("a"), F.col("size").alias("n")), "a").join(sizes.select(F.col("id").alias("b"), F.col("size").alias("m")), "b")
+    links = saved(compared.where(F.col("overlap") * 100 >= (F.col("n") + F.col("m") - F.col("overlap")) * percent).select("a", "b"))
     component = saved(connected_components(links).select(F.col("node").alias("id"), "component"))
 
-    # the rest of each list, where it isn't one component yet
-    to_pivot = compared.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "overlap", (1 - F.col("overlap") / union).alias("d"))
+    # 5: what is left over in the lists of each pivot, in blocks
     member = beside.join(component, "id", "left").join(component.select(F.col("id").alias("pivot"), F.col("component").alias("pivot_component")), "pivot", "left")
-    member = member.withColumns({"component": F.coalesce("component", "id"), "pivot_component": F.coalesce("pivot_component", "pivot")})
-    smaller, larger = F.least("size", "pivot_size"), F.greatest("size", "pivot_size")
-    member = member.join(to_pivot, ["pivot", "id"], "left").where("id != pivot")
-    member = member.select(
-        "shingle", "id", "size", "component", "pivot_component",
-        F.coalesce("d", 1 - smaller / larger).alias("low"), F.coalesce("d", F.lit(1.0)).alias("high"),
-        F.coalesce("overlap", smaller).alias("inside"), (F.col("shared") - F.coalesce("overlap", F.lit(0))).alias("outside"),
-    )
-    member = saved(member)
-    apart = member.where("component != pivot_component").select("shingle", *[F.col(c).alias(f"{c}_2") for c in member.columns if c != "shingle"])
-    slack = (100 - percent) / 100 + 1e-9
-    rest = apart.join(member, "shingle").where(
-        (F.col("component") != F.col("component_2"))
-        & ((F.col("component") == F.col("pivot_component")) | (F.col("id") < F.col("id_2")))
-        & (F.least("size", "size_2") * 100 >= F.greatest("size", "size_2") * percent)
-        & (F.col("low") - F.col("high_2") <= slack)
-        & (F.col("low_2") - F.col("high") <= slack)
-        # what both can have in common inside the pivot's set and outside of it
-        & ((F.least("inside", "inside_2") + F.least("outside", "outside_2")) * (100 + percent) >= (F.col("size") + F.col("size_2")) * percent)
-    )
-    # each list that both stand in gives one row, so the rows of a pair are the shingles of both prefixes; what
-    # else the two share lies behind the prefix that ends first
-    rest = rest.select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b"), F.least("size", "size_2").alias("n"), F.greatest("size", "size_2").alias("m"))
-    rest = rest.groupBy("a", "b", "n", "m").agg(F.count("*").alias("both"))
-    rest = rest.where((F.col("both") + F.ceil(F.col("m") * percent / 100) - 1) * (100 + percent) >= (F.col("n") + F.col("m")) * percent).select("a", "b")
-    more = overlaps(rest, sets).join(sizes.select(F.col("id").alias("a"), F.col("size").alias("n")), "a").join(sizes.select(F.col("id").alias("b"), F.col("size").alias("m")), "b")
-    links = links.union(more.where(linked).select("a", "b"))
+    member = saved(member.select("pivot", "id", "size", F.coalesce("component", "id").alias("component"), (F.coalesce("component", "id") != F.coalesce("pivot_component", "pivot")).alias("apart")))
+    blocks = member.groupBy("pivot").agg(F.bool_or("apart").alias("any"), F.count("*").alias("n"), F.sum("size").alias("s")).where("any and n > 1")
+    blocks = blocks.select("pivot", F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    member = member.join(blocks, "pivot")
+    held = member.select("pivot", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(False).alias("asks"), "id", "component")
+    asking = member.where("apart").select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "id", "component")
+    met = held.union(asking).join(sets.select("id", "members"), "id").select("pivot", "block", "asks", "id", "component", "members")
+    more = met.repartition(parts, "pivot", "block").sortWithinPartitions("pivot", "block", "asks").mapInArrow(_meet(percent), "a long, b long")
 
     # documents of a class, and those that share a doc_id, are linked by their ids already
-    found = connected_components(links).withColumnRenamed("node", "id")
+    found = connected_components(links.union(more)).withColumnRenamed("node", "id")
     known = classes.join(found, "id", "left").select("one", "two", "size", F.coalesce("component", "id").alias("component_id"))
     placed = whole.join(known, ["one", "two", "size"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = described.select("doc_id", F.col("size").alias("n_shingles")).join(placed, "doc_id", "left")

@@ -73,7 +73,7 @@ def test_hot_minimisers_are_split(spark):
     pair = words[int(h.argmin()) :][:2]  # the smallest hash of all: the minimiser wherever it stands
     texts = [" ".join([*(rng.choice("abcdefgh") + str(rng.randrange(99)) for _ in range(11)), *pair, *(rng.choice("abcdefgh") + str(rng.randrange(99)) for _ in range(11))]) for _ in range(300)]
     rows = [(i, texts[i % 250]) for i in range(300)]
-    slots = 64 * superkmers.SLOTS
+    slots = 64 * 16
 
     def fullest(hot):
         batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array([t for _, t in rows]), pa.array([0] * 300, pa.int32())], ["doc_id", "text", "key"])
@@ -161,6 +161,33 @@ def test_byte_bpe(spark):
         assert all(encoding.decode_single_token_bytes(i) in text[o["begin"] : o["end"]].encode() for i, o in zip(ids[:200], r["offsets"], strict=False))
 
 
+def test_ids_of_packing_are_those_of_the_library(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(byte_bpe.default_paths()[0])
+    rng = random.Random(5)
+    parts = ["a", "the", " ", "  ", "\n", "\t", "\xa0", "\u3000", "\x1c", "\x85", "é", "漢", "'s", "!", "word,", "<|endoftext|>", "x. ", "q.", ".\n"]
+    rows = ROWS + [(50 + i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))) for i in range(300)]
+    got = defaultdict(bytes)
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    for r in sorted(packing.cut_pieces(docs).collect(), key=lambda r: (r["doc_id"], r["piece"])):
+        assert r["length"] * 4 == len(r["ids"]) and r["start"] * 4 == len(got[r["doc_id"]]) and (r["piece"] == 0 or r["length"] == 1024)
+        got[r["doc_id"]] += bytes(r["ids"])
+    for i, (_, t) in enumerate(rows):
+        assert np.frombuffer(got[i], "<u4").tolist() == plain.encode(t or "", add_special_tokens=False).ids + [2]
+
+
+def test_encoder_forgets_old_cuts(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "_KEEP", 50)
+    codec = byte_bpe.Codec(byte_bpe.default_paths()[0])
+    fresh = byte_bpe.Codec(byte_bpe.default_paths()[0])
+    rng = random.Random(3)
+    for _ in range(30):
+        texts = pa.array([" ".join(f"w{rng.randrange(80)}{rng.choice(['', ',', '.'])}" for _ in range(rng.randrange(12))) for _ in range(4)])
+        ids, places = codec.encode(texts)
+        assert [ids[a:b].tobytes() for a, b in zip(places[:-1], places[1:], strict=True)] == fresh._whole(texts.to_pylist())
+
+
 def test_class_model_counts(spark):
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
     tokens = [WORD.findall(lowered(t)) + ["\n"] for _, t in ROWS]
@@ -304,9 +331,22 @@ def test_gradients_are_those_of_the_loss():
 def test_importance_sampling(spark):
     rows = [(i, ("good fine words here " if i % 2 else "bad%%% junk!! ") * 30, bool(i % 2)) for i in range(200)] + [(None, None, None), (900, "", False)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, target boolean")
+    def grams(text):
+        w = re.findall("[a-z]+|[%!]+", text or "")
+        return w + list(zip(w, w[1:]))
+
     got = importance_sampling.resample(docs, importance_sampling.fit(docs), 0.5).collect()
     assert len(got) == len(rows)
     assert all(r["kept"] for r in got if r["target"]) and not any(r["kept"] for r in got if r["doc_id"] is not None and r["doc_id"] < 200 and not r["target"])
+    counts = {flag: Counter(g for _, t, f in rows if f or not flag for g in grams(t)) for flag in (True, False)}
+    sizes = {flag: sum(c.values()) + importance_sampling.SIZE for flag, c in counts.items()}
+    for r, (d, t, _) in zip(sorted(got, key=lambda r: str(r["doc_id"])), sorted(rows, key=lambda r: str(r[0])), strict=True):
+        want = sum(math.log((counts[True][g] + 1) / sizes[True]) - math.log((counts[False][g] + 1) / sizes[False]) for g in grams(t))
+        assert r["doc_id"] == d and r["log_weight"] == pytest.approx(want, abs=1e-6)
+    for texts in ([None], ["", None]):  # a slice without n-grams
+        bare = spark.createDataFrame([(i, t, True) for i, t in enumerate(texts)], "doc_id long, text string, target boolean")
+        assert [r["log_weight"] for r in importance_sampling.resample(bare, importance_sampling.fit(bare), 0.5).collect()] == [0.0] * len(texts)
+    assert importance_sampling.resample(docs.where("false"), np.zeros(importance_sampling.SIZE), 0.5).count() == 0
     values = spark.createDataFrame([(float(i % 977),) for i in range(5000)], "v double")
     for k in (1, 777, 4999, 6000):
         want = sorted((float(i % 977) for i in range(5000)), reverse=True)[min(k, 5000) - 1]
