@@ -1,24 +1,25 @@
 """Language identification by a bidirectional gated recurrent network over bytes (operator 1).
 
-The network reads the bytes of a run of letters (ASCII letters and all bytes of other characters) forwards and
-backwards from a zero state, and labels every byte with a probability for each language. A document's
-probabilities are the mean over all its letter bytes. Since the state starts anew with each run, a run has the
-same labels wherever it stands: a batch computes its distinct runs once and weighs them by their counts. Runs
-of over ``LONGEST`` bytes are read in parts of that length.
-
-Training is backpropagation through time in numpy, on the runs of a bounded number of labelled documents of each
-language (``per_language``, ``most_runs``, ``least_runs``). The same data give the same network.
-
-Null texts and texts without a letter get ``und`` and score 0. Rows without lang are predicted but not learned
-from. Rows without doc_id are never held out and never learned from. With no labelled rows all is ``und``. Extra
-columns stay; columns named held_out, lang_pred or score are replaced.
+The network reads all bytes of a text, of any script, and labels every one with a probability for each language. It
+reads in blocks of ``BLOCK`` bytes: the forward state starts from zero ``CONTEXT`` bytes before a block, the backward
+state ``CONTEXT`` bytes behind it, and places outside of the text are a symbol of their own. So the labels of a byte
+follow from the bytes around it alone, and a long text is as many blocks side by side as it needs. A document's
+probabilities are the mean over its bytes; of languages with the same mean the first by name is taken.
+
+Gates are piecewise linear (0 to 1) and candidates are x / (1 + abs(x)), which numpy computes several times faster than
+logistic curves. Training is backpropagation through time in numpy, on spans of a bounded number of labelled documents of each
+language (``per_language``, ``most_spans``, ``least_spans``). The same data give the same network.
+
+Null texts and texts without a letter get ``und`` and score 0. Texts of any length are read whole. Rows without lang are
+predicted but not learned from. Rows without doc_id are never held out and never learned from. With no labelled rows
+all is ``und``. Repeated rows get the same result each; an empty table gives no rows. Extra columns stay; columns named
+lang_pred or score are replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,21 +28,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._session import bounded_batches
-from ._words import gather, slices, spans, utf8
+from ._words import slices, utf8
 
-LONGEST = 24
+#: Bytes that are labelled together, bytes read before and behind them, and the symbol outside of texts.
+BLOCK, CONTEXT, OUTSIDE = 112, 16, 256
 _LETTER = np.zeros(256, bool)
-_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
 @dataclass
 class Network:
-    """Gate tables by byte (256 x 3H) and recurrent weights (H x 3H) of both directions, and the output layer."""
+    """Gate tables by symbol (257 x 3H) and recurrent weights (3H x H) of both directions, and the output layer."""
 
     languages: list[str]
     table: list[np.ndarray]
     recurrent: list[np.ndarray]
-    out: list[np.ndarray]  # H x L of each direction
+    out: list[np.ndarray]  # L x H of each direction
     bias: np.ndarray
 
     def parameters(self) -> list[np.ndarray]:
@@ -51,109 +53,128 @@ class Network:
 def fresh(languages: list[str], hidden: int, seed: int) -> Network:
     rng = np.random.default_rng(seed)
     normal = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
+    tables = [normal(OUTSIDE + 1, 3 * hidden, scale=0.2) for _ in range(2)]
+    for table in tables:
+        table[:, : 2 * hidden] += 0.5  # gates begin half open
     return Network(
         languages,
-        [normal(256, 3 * hidden, scale=0.3) for _ in range(2)],
-        [normal(hidden, 3 * hidden, scale=hidden**-0.5) for _ in range(2)],
-        [normal(hidden, len(languages), scale=hidden**-0.5) for _ in range(2)],
+        tables,
+        [normal(3 * hidden, hidden, scale=hidden**-0.5) for _ in range(2)],
+        [normal(len(languages), hidden, scale=hidden**-0.5) for _ in range(2)],
         np.zeros(len(languages), np.float32),
     )
 
 
-def _scan(table: np.ndarray, recurrent: np.ndarray, x: np.ndarray, active: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """States after each step (steps, runs, H); runs are sorted by falling length, ``active`` says how many go on."""
-    hidden = recurrent.shape[0]
-    h = np.zeros((x.shape[0], hidden), np.float32)
-    states = np.zeros((x.shape[1], x.shape[0], hidden), np.float32)
-    for t, n in enumerate(active):
-        g = table[x[:n, t]]
-        u = h[:n] @ recurrent
-        gates = np.tanh(0.5 * (g[:, : 2 * hidden] + u[:, : 2 * hidden])) * 0.5 + 0.5
-        z, r = gates[:, :hidden], gates[:, hidden:]
-        new = np.tanh(g[:, 2 * hidden :] + r * u[:, 2 * hidden :])
+def _scan(table: np.ndarray, recurrent: np.ndarray, x: np.ndarray, keep: list | None = None) -> np.ndarray:
+    """States after each step (steps, H, rows) of the rows of symbols ``x``, from a zero state."""
+    hidden = recurrent.shape[1]
+    columns = np.ascontiguousarray(x.T)
+    n = x.shape[0]
+    states = np.empty((x.shape[1], hidden, n), np.float32)
+    g, u, new, size = (np.empty((k * hidden, n), np.float32) for k in (3, 3, 1, 1))
+    h = np.zeros((hidden, n), np.float32)
+    for t in range(x.shape[1]):
+        np.copyto(g, table.take(columns[t], 0).T)
+        np.matmul(recurrent, h, out=u)
+        gates = g[: 2 * hidden]
+        gates += u[: 2 * hidden]
+        np.clip(gates, 0, 1, out=gates)
+        z, r = gates[:hidden], gates[hidden:]
+        np.multiply(r, u[2 * hidden :], out=new)
+        new += g[2 * hidden :]
+        np.abs(new, out=size)
+        size += 1
+        new /= size
         if keep is not None:
-            keep.append((h[:n].copy(), u[:, 2 * hidden :], z, r, new))
-        h[:n] = new + z * (h[:n] - new)
-        states[t, :n] = h[:n]
+            keep.append((h, u[2 * hidden :].copy(), z.copy(), r.copy(), new.copy()))
+        h = np.subtract(h, new, out=states[t])
+        h *= z
+        h += new
     return states
 
 
-def _frames(runs: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes forwards and backwards, how many runs are active at each step, and the places in backward order."""
-    steps = np.arange(int(size[0]))
-    active = np.searchsorted(-size, -(steps + 1), "right")
-    back = np.maximum(size[:, None] - 1 - steps, 0)
-    return runs[:, : len(steps)], np.take_along_axis(runs, back, 1), active, back
-
-
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(-1, keepdims=True))
-    return x / x.sum(-1, keepdims=True)
-
-
-def label(net: Network, runs: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Sums over the bytes of each run of the languages' probabilities."""
-    out = np.zeros((len(size), len(net.languages)))
-    order = np.argsort(-size, kind="stable")
-    for first in range(0, len(order), 2048):
-        at = order[first : first + 2048]
-        n = size[at]
-        forwards, backwards, active, back = _frames(runs[at], n)
-        f = _scan(net.table[0], net.recurrent[0], forwards, active) @ net.out[0]
-        b = _scan(net.table[1], net.recurrent[1], backwards, active) @ net.out[1]
-        at_own = np.take_along_axis(b, back.T[:, :, None], 0)  # from backward steps to places
-        inside = np.arange(len(active))[:, None] < n
-        out[at] = (_softmax(f + at_own + net.bias) * inside[:, :, None]).sum(0)
+def _both(net: Network, x: np.ndarray, keep: list[list] | None = None) -> list[np.ndarray]:
+    """States of both directions at the labelled places of ``x`` (rows, CONTEXT + places + CONTEXT)."""
+    forwards = _scan(net.table[0], net.recurrent[0], x[:, :-CONTEXT], keep and keep[0])
+    backwards = _scan(net.table[1], net.recurrent[1], x[:, : CONTEXT - 1 : -1], keep and keep[1])
+    return [forwards[CONTEXT:], backwards[CONTEXT:][::-1]]
+
+
+def _probabilities(net: Network, states: list[np.ndarray]) -> np.ndarray:
+    """(places, L, rows)."""
+    p = np.matmul(net.out[0], states[0])
+    p += np.matmul(net.out[1], states[1])
+    p += net.bias[:, None]
+    p -= p.max(1, keepdims=True)
+    np.exp(p, out=p)
+    p /= p.sum(1, keepdims=True)
+    return p
+
+
+def label(net: Network, data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Sums over the bytes of each text of the languages' probabilities. ``places``: where texts begin and end."""
+    out = np.zeros((len(places) - 1, len(net.languages)))
+    size = np.diff(places)
+    blocks = -(-size // BLOCK)
+    row = np.repeat(np.arange(len(size)), blocks)
+    first = places[row] + BLOCK * (np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+    steps = np.arange(-CONTEXT, BLOCK + CONTEXT)
+    for k in range(0, len(row), 2048):
+        own, at = row[k : k + 2048], first[k : k + 2048, None] + steps
+        inside = (at >= places[own][:, None]) & (at < places[own + 1][:, None])
+        x = np.where(inside, data[np.clip(at, 0, len(data) - 1)], np.int16(OUTSIDE))
+        p = _probabilities(net, _both(net, x))
+        p *= inside[:, CONTEXT:-CONTEXT].T[:, None, :]
+        np.add.at(out, own, p.sum(0).T)
     return out
 
 
-def _gradients(net: Network, runs: np.ndarray, size: np.ndarray, target: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
-    """Of the mean cross entropy over bytes, by backpropagation through time. Runs are sorted by falling length."""
-    frames = _frames(runs, size)
-    active, back = frames[2], frames[3]
+def _gradients(net: Network, x: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
+    """Of the mean cross entropy over the labelled places, by backpropagation through time."""
     kept: list[list] = [[], []]
-    states = [_scan(net.table[k], net.recurrent[k], frames[k], active, kept[k]) for k in range(2)]
-    inside = np.arange(len(active))[:, None] < size
-    shift = back.T[:, :, None]
-    logits = states[0] @ net.out[0] + np.take_along_axis(states[1] @ net.out[1], shift, 0) + net.bias
-    error = (_softmax(logits) - target[None]) * (inside * weight)[:, :, None] / (size * weight).sum()
-    error = error.astype(np.float32)
-    errors = [error, np.take_along_axis(error, shift, 0) * inside[:, :, None]]
+    states = _both(net, x, kept)
+    error = _probabilities(net, states)
+    error -= target.T
+    error /= np.float32(error.shape[0] * len(x))
     tables, recurrents, outs = [], [], []
-    hidden = net.recurrent[0].shape[0]
-    for k in range(2):
-        outs.append(np.einsum("tnh,tnl->hl", states[k], errors[k]))
-        table, recurrent = np.zeros_like(net.table[k]), np.zeros_like(net.recurrent[k])
-        later = np.zeros((len(size), hidden), np.float32)
-        for t in range(len(active) - 1, -1, -1):
-            n = active[t]
+    hidden = net.recurrent[0].shape[1]
+    for k, symbols in enumerate((x[:, :-CONTEXT], x[:, : CONTEXT - 1 : -1])):
+        outs.append(np.matmul(error, states[k].transpose(0, 2, 1)).sum(0))
+        own = error if k == 0 else error[::-1]  # in the order of the steps
+        recurrent = np.zeros_like(net.recurrent[k])
+        given = np.empty((symbols.shape[1], len(x), 3 * hidden), np.float32)
+        later = np.zeros((hidden, len(x)), np.float32)
+        for t in range(symbols.shape[1] - 1, -1, -1):
             h, un, z, r, new = kept[k][t]
-            d = later[:n] + errors[k][t, :n] @ net.out[k].T
-            dn = d * (1 - z) * (1 - new * new)
-            dz = d * (h - new) * z * (1 - z)
-            dr = dn * un * r * (1 - r)
-            du = np.concatenate([dz, dr, dn * r], 1)
-            recurrent += h.T @ du
-            dg = np.concatenate([dz, dr, dn], 1)
-            one = np.zeros((n, 256), np.float32)
-            one[np.arange(n), frames[k][:n, t]] = 1
-            table += one.T @ dg
-            later[:n] = d * z + du @ net.recurrent[k].T
+            d = later + net.out[k].T @ own[t - CONTEXT] if t >= CONTEXT else later
+            dn = d * (1 - z) * (1 - np.abs(new)) ** 2
+            dz = d * (h - new) * ((z > 0) & (z < 1))
+            dr = dn * un * ((r > 0) & (r < 1))
+            du = np.concatenate([dz, dr, dn * r])
+            recurrent += du @ h.T
+            given[t] = np.concatenate([dz, dr, dn]).T
+            later = d * z + net.recurrent[k].T @ du
+        table = np.zeros_like(net.table[k])
+        order = np.argsort(flat := symbols.T.ravel(), kind="stable")
+        at = np.flatnonzero(np.diff(flat[order], prepend=-1))
+        table[flat[order][at]] = np.add.reduceat(given.reshape(-1, 3 * hidden)[order], at)
         tables.append(table)
         recurrents.append(recurrent)
-    return [*tables, *recurrents, *outs, error.sum((0, 1))]
+    return [*tables, *recurrents, *outs, error.sum((0, 2))]
 
 
-def train(runs: np.ndarray, size: np.ndarray, target: np.ndarray, weight: np.ndarray, languages: list[str], hidden: int = 16, steps: int = 300, batch: int = 512, rate: float = 0.02, seed: int = 1) -> Network:
-    """Adam over batches drawn by weight."""
+def train(x: np.ndarray, language: np.ndarray, languages: list[str], hidden: int = 12, steps: int = 300, batch: int = 256, rate: float = 0.02, seed: int = 1) -> Network:
+    """Adam over batches of spans ``x`` (rows of symbols, context included), drawn alike from each language."""
     net = fresh(languages, hidden, seed)
     rng = np.random.default_rng(seed)
     first, second = ([np.zeros_like(p) for p in net.parameters()] for _ in range(2))
-    chance = weight / weight.sum()
+    count = np.bincount(language, minlength=len(languages))
+    chance = 1 / count[language]
+    chance /= chance.sum()
+    target = np.eye(len(languages), dtype=np.float32)[language]
     for step in range(1, steps + 1):
-        at = rng.choice(len(size), batch, p=chance)
-        at = at[np.argsort(-size[at], kind="stable")]
-        gradients = _gradients(net, runs[at], size[at], target[at], np.ones(len(at), np.float32))
+        at = rng.choice(len(x), batch, p=chance)
+        gradients = _gradients(net, x[at], target[at])
         speed = rate * min(1.0, 2 * (1 - step / (steps + 1)))
         for p, g, m, v in zip(net.parameters(), gradients, first, second, strict=True):
             m += 0.1 * (g - m)
@@ -162,73 +183,58 @@ def train(runs: np.ndarray, size: np.ndarray, target: np.ndarray, weight: np.nda
     return net
 
 
-def _letter_runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, and begin, end and row of each run of letters, long runs in parts; places of the rows."""
-    data, places = utf8(column)
-    inside = _LETTER[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[places] = True
-    begin = np.flatnonzero(inside & (np.concatenate([[True], ~inside[:-1]])[: len(data)] | edge[:-1]))
-    end = np.flatnonzero(inside & (np.concatenate([~inside[1:], [True]])[-len(data) or 0 :] | edge[1:])) + 1
-    parts = -(-(end - begin) // LONGEST)
-    begin = np.repeat(begin, parts) + LONGEST * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-    end = np.minimum(begin + LONGEST, np.repeat(end, parts))
-    return data, begin, end, np.searchsorted(places, begin, "right") - 1, places
-
-
-def _padded(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    at = np.minimum(begin[:, None] + np.arange(LONGEST), max(len(data) - 1, 0))
-    return data[at] if len(begin) else np.zeros((0, LONGEST), np.uint8)
-
-
 def held_out(doc_id: Column, modulus: int = 4, remainder: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of each run for each language, of one batch."""
-    for whole in batches:
-        for batch in slices(whole):
-            data, begin, end, row, _ = _letter_runs(batch.column(0))
-            lang = batch.column(1).dictionary_encode()
-            h = spans(data, begin, end) + lang.indices.to_numpy()[row].astype(np.uint64)
-            _, at, count = np.unique(h, return_index=True, return_counts=True)
-            raw = [data[a:b].tobytes() for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()), batch.column(1).take(pa.array(row[at])), pa.array(count)], ["run", "lang", "n"])
+def _cut_spans(per_text: int, length: int):
+    """(text, lang, seed) in; up to ``per_text`` spans of each text, at places that follow from the seed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                data, places = utf8(batch.column(0))
+                spans, rows = [], []
+                for row, (a, b, seed) in enumerate(zip(places[:-1].tolist(), places[1:].tolist(), batch.column(2).to_pylist(), strict=True)):
+                    n = min(per_text, -(-(b - a) // length))
+                    text = np.full(b - a + 2 * CONTEXT + length, OUTSIDE, "<u2")
+                    text[CONTEXT : CONTEXT + b - a] = data[a:b]
+                    for at in np.random.default_rng(abs(seed)).integers(0, max(b - a - length, 0) + 1, n).tolist():
+                        spans.append(text[at : at + length + 2 * CONTEXT].tobytes())
+                        rows.append(row)
+                yield pa.RecordBatch.from_arrays([pa.array(spans, pa.binary()), batch.column(1).take(pa.array(rows, pa.int64()))], ["span", "lang"])
+
+    return run
 
 
-def fit(docs: DataFrame, per_language: int = 300, most_runs: int = 40_000, least_runs: int = 500, **options) -> Network | None:
+def fit(docs: DataFrame, per_language: int = 300, most_spans: int = 40_000, least_spans: int = 500, length: int = 32, **options) -> Network | None:
     """A network from the labelled documents of ``docs`` (doc_id, text, lang).
 
-    It learns from ``per_language`` documents of each language, first in the order of a hash of doc_id, and from
-    the runs in them: ``most_runs`` shared evenly, but at least ``least_runs`` of each language. Where there are more,
-    runs are drawn by hash with a chance that follows their counts. Languages beyond the 256 with the most documents
-    are not learned.
+    It learns from ``per_language`` documents of each language, first in the order of a hash of doc_id, and from spans
+    of ``length`` bytes in them: ``most_spans`` shared evenly, but at least ``least_spans`` of each language.
     """
     bounded_batches(docs.sparkSession)
-    rows = docs.where("doc_id is not null and lang is not null and text is not null").select("doc_id", "lang")
-    languages = sorted(r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect())
+    rows = docs.where("doc_id is not null and lang is not null and text != ''").select("doc_id", "lang")
+    counts = rows.groupBy("lang").count()
+    languages = sorted(r["lang"] for r in counts.collect())
     if not languages:
         return None
-    ids = [rows.where(F.col("lang") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language) for name in languages]
-    chosen = F.broadcast(reduce(DataFrame.union, ids).select("doc_id", "lang").distinct())  # per_language x languages rows
-    texts = docs.select("doc_id", "text", "lang").join(chosen, ["doc_id", "lang"]).select("text", "lang")
-    counts = texts.mapInArrow(_count_runs, "run binary, lang string, n long").groupBy("run", "lang").agg(F.sum("n").alias("n"))
-    # an exponential race: the first to come are a weighted sample without replacement
-    chance = (F.pmod(F.xxhash64("run", "lang"), F.lit(1 << 40)) + 1) / F.lit(float(1 << 40))
-    order = Window.partitionBy("lang").orderBy(-F.log(chance) / F.col("n"), "run")
-    most = max(most_runs // len(languages), least_runs)
-    found = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place").toPandas()
+    # twice as many as needed by a threshold of the hash, so that little is ordered; all where that could be too few
+    share = F.when(F.col("count") > 4 * per_language, 2 * per_language / F.col("count")).otherwise(1.0)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52)) < F.col("share") * float(1 << 52)
+    chosen = rows.join(F.broadcast(counts.select("lang", share.alias("share"))), "lang").where(low).withColumn("place", place).where(F.col("place") <= per_language)
+    chosen = F.broadcast(chosen.select("doc_id", "lang").distinct())  # per_language rows of each language at most
+    texts = docs.select("doc_id", "text", "lang").where("text != ''").join(chosen, ["doc_id", "lang"]).select("text", "lang", F.xxhash64("doc_id", "text").alias("seed"))
+    of_each = max(most_spans // len(languages), least_spans)
+    per_text = -(-of_each // per_language)
+    found = texts.mapInArrow(_cut_spans(per_text, length), "span binary, lang string")
+    found = found.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("span"), "span"))).where(F.col("place") <= of_each).drop("place").toPandas()
     if found.empty:
         return None
-    total = found.groupby("lang")["n"].transform("sum")
-    found["weight"] = found["n"] / total  # languages weigh alike
-    runs = found.pivot_table(index="run", columns="lang", values="weight", aggfunc="sum", fill_value=0.0).reindex(columns=languages, fill_value=0.0).sort_index()
-    raw = [bytes(r) for r in runs.index]
-    size = np.array([len(r) for r in raw])
-    padded = np.frombuffer(b"".join(r.ljust(LONGEST, b"\0") for r in raw), np.uint8).reshape(-1, LONGEST)
-    weight = runs.to_numpy()
-    return train(padded, size, (weight / weight.sum(1, keepdims=True)).astype(np.float32), weight.sum(1) ** 0.75, languages, **options)
+    found = found.sort_values(["lang", "span"])
+    x = np.frombuffer(b"".join(found["span"]), "<u2").reshape(len(found), -1).astype(np.int64)
+    return train(x, np.searchsorted(languages, found["lang"]), languages, **options)
 
 
 def _predict(net: Network | None, text_at: int, names: list[str]):
@@ -236,22 +242,15 @@ def _predict(net: Network | None, text_at: int, names: list[str]):
         for whole in batches:
             for batch in slices(whole):
                 column = batch.column(text_at)
-                data, begin, end, row, _ = _letter_runs(column)
-                count = 1 if net is None else len(net.languages)
-                sums, bytes_ = np.zeros((batch.num_rows, count)), np.zeros(batch.num_rows)
-                if net is not None and len(begin):
-                    _, at, which = np.unique(spans(data, begin, end), return_index=True, return_inverse=True)
-                    scores = label(net, _padded(data, begin[at], end[at]), (end - begin)[at])
-                    for k in range(count):
-                        sums[:, k] = np.bincount(row, scores[which, k], batch.num_rows)
-                    bytes_ = np.bincount(row, end - begin, batch.num_rows)
-                ascii_ = np.bincount(row[data[begin] < 128], minlength=batch.num_rows) > 0 if len(begin) else np.zeros(batch.num_rows, bool)
-                # runs of other characters than ASCII letters need not hold a letter
-                doubtful = np.flatnonzero(~ascii_ & (bytes_ > 0))
-                ok = ascii_ & (bytes_ > 0)
-                ok[[i for i in doubtful.tolist() if any(map(str.isalpha, column[i].as_py()))]] = True
+                data, places = utf8(column)
+                size = np.diff(places)
+                sums = np.zeros((batch.num_rows, 1)) if net is None else label(net, data, places)
+                letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
+                ok = (letters[places[1:]] > letters[places[:-1]]) & (net is not None)
+                # texts without an ASCII letter may hold others
+                ok[[i for i in np.flatnonzero(~ok & (size > 0)).tolist() if net is not None and any(map(str.isalpha, column[i].as_py()))]] = True
                 best = sums.argmax(1)
-                score = np.where(ok, np.minimum(sums.max(1) / np.maximum(bytes_, 1), 1.0), 0.0)
+                score = np.where(ok, np.minimum(sums.max(1) / np.maximum(size, 1), 1.0), 0.0)
                 predicted = [net.languages[b] if o else "und" for b, o in zip(best.tolist(), ok.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(predicted, pa.string()), pa.array(score)], names)
 

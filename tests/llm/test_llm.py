@@ -292,32 +292,69 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in language_id.identify(docs, None).collect()} == {"und"}
 
 
-def test_every_language_has_training_runs(spark):
+def test_every_language_has_training_spans(spark):
     hot = [f"{a}{b}{c}" for a in "bdfgk" for b in "aei" for c in "mnprt"]
     rows = [(i, " ".join(hot), "aa") for i in range(40)] + [(100 + i, f"öü{i}ßä", "bb") for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    got = language_id.identify(docs, language_id.fit(docs, most_runs=60, steps=60)).collect()
+    got = language_id.identify(docs, language_id.fit(docs, most_spans=60, least_spans=20, steps=60)).collect()
     assert all(r["lang_pred"] == r["lang"] for r in got)
 
 
+def test_languages_without_a_limit(spark):
+    rows = [(i, chr(0x4E00 + i) * 40, f"l{i:03}") for i in range(300)]
+    net = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_spans=300, least_spans=1, steps=1)
+    assert len(net.languages) == 300
+
+
+def test_labels_are_those_of_a_loop_over_bytes():
+    net = language_id.fresh(["a", "b", "c"], 5, 2)
+    texts = ["l" * 100_000, "漢字かな交じり文" * 60, "", "a b. 1", "x" * language_id.BLOCK, "y" * (language_id.BLOCK + 1)]
+    data, places = language_id.utf8(pa.array(texts))
+    got = language_id.label(net, data, places)
+
+    def states(k, symbols):
+        h, out, size = np.zeros(5), [], 5
+        for c in symbols:
+            g, u = net.table[k][c].astype(float), net.recurrent[k].astype(float) @ h
+            z, r = np.clip(g[:size] + u[:size], 0, 1), np.clip(g[size : 2 * size] + u[size : 2 * size], 0, 1)
+            new = g[2 * size :] + r * u[2 * size :]
+            new = new / (1 + np.abs(new))
+            h = z * h + (1 - z) * new
+            out.append(h)
+        return out
+
+    known = {}
+    for i, text in enumerate(texts):
+        raw, c = list(text.encode()), language_id.CONTEXT
+        padded = [256] * c + raw + [256] * (c + language_id.BLOCK)
+        want = np.zeros(3)
+        for first in range(0, len(raw), language_id.BLOCK):
+            read = tuple(padded[first : first + language_id.BLOCK + 2 * c])
+            n = min(language_id.BLOCK, len(raw) - first)
+            if (read, n) not in known:
+                forwards, backwards = states(0, read[:-c])[c:], states(1, read[:c - 1 : -1])[c:][::-1]
+                total = np.zeros(3)
+                for f, b in list(zip(forwards, backwards, strict=True))[:n]:
+                    x = net.out[0] @ f + net.out[1] @ b + net.bias
+                    total += np.exp(x) / np.exp(x).sum()
+                known[read, n] = total
+            want += known[read, n]
+        assert got[i] == pytest.approx(want, rel=1e-4)
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
     net = language_id.fresh(["a", "b"], 3, 1)
-    runs = rng.integers(97, 110, (4, language_id.LONGEST)).astype(np.uint8)
-    size, target = np.array([5, 4, 4, 2]), np.eye(2, dtype=np.float32)[[0, 1, 0, 1]]
+    x = rng.integers(97, 110, (4, 5 + 2 * language_id.CONTEXT))
+    x[:2, : language_id.CONTEXT] = language_id.OUTSIDE
+    target = np.eye(2, dtype=np.float32)[[0, 1, 0, 1]]
 
     def loss():
-        p = 0.0
-        f, b, active, back = language_id._frames(runs, size)
-        x = language_id._scan(net.table[0], net.recurrent[0], f, active) @ net.out[0] + np.take_along_axis(language_id._scan(net.table[1], net.recurrent[1], b, active) @ net.out[1], back.T[:, :, None], 0) + net.bias
-        q = language_id._softmax(x.astype(float))
-        for t in range(len(active)):
-            for i in range(4):
-                p -= np.log(q[t, i, target[i].argmax()]) if t < size[i] else 0
-        return p / size.sum()
-
-    gradients = language_id._gradients(net, runs, size, target, np.ones(4, np.float32))
-    for p, g in zip(net.parameters(), gradients, strict=True):
+        p = language_id._probabilities(net, language_id._both(net, x)).astype(float)
+        return -(np.log(p) * target.T).sum() / (5 * 4)
+
+    for p, g in zip(net.parameters(), language_id._gradients(net, x, target), strict=True):
+        assert p.shape == g.shape
         at = np.unravel_index(np.abs(g).argmax(), g.shape)
         old = p[at]
         p[at] = old + 0.01
@@ -325,7 +362,7 @@ def test_gradients_are_those_of_the_loss():
         p[at] = old - 0.01
         down = loss()
         p[at] = old
-        assert g[at] == pytest.approx((up - down) / 0.02, rel=0.02, abs=1e-4)
+        assert g[at] == pytest.approx((up - down) / 0.02, rel=0.05, abs=1e-4)
 
 
 def test_importance_sampling(spark):
