@@ -16,9 +16,11 @@ Texts meet the classes and counts of their words in this way: a chunk of texts i
 words, these ask the buckets of words, and the answers go back to the chunk. A word asks once a chunk, however
 often it stands there. What is gathered grows with the words of the corpus; the driver holds only units and classes.
 
-Words are told apart by 64-bit hashes. Words that no training text has take the class of their group and count as
-one word of it. Null texts are empty and hold the end token only. Rows without doc_id are scored and learned from.
-Repeated rows are each scored and each counted in training. An empty table gives no rows.
+Words are told apart by 64-bit hashes; of words with the same count those with the smaller hash are units first. Words
+that no training text has take the class of their group and count as one word of it. Texts of any length are read whole.
+Null texts are empty and hold the end token only. Rows without doc_id are scored and learned from. Repeated rows are
+each scored and each counted in training. An empty table gives no rows. Extra columns stay; columns named n_tokens,
+n_known, train_tokens, base_score or score are replaced.
 """
 
 from __future__ import annotations
@@ -231,7 +233,8 @@ def fit(texts: DataFrame, frequent: int = 2048, groups: int = 512, classes: int
     dropped(pairs)
     best, kept, between = -np.inf, held, np.zeros((classes + 1, classes + 1))
     for step in range(word_passes + 1):
-        beside = saved(_answered(sent, held, parts, _beside(classes, buckets), _PACKED))
+        turn = step % turns if step < word_passes else None
+        beside = saved(_answered(sent, held, parts, _beside(classes, buckets, turn, turns), _PACKED, counts=False))
         found = beside.where("bucket < 0").mapInArrow(_cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
         now = np.zeros((classes + 1) ** 2)
         now[found["cell"]] = found["n"]
@@ -242,7 +245,7 @@ def fit(texts: DataFrame, frequent: int = 2048, groups: int = 512, classes: int
             best, kept, between = likelihood, held, now
         if step < word_passes:
             met = beside.where("bucket >= 0").union(held).repartition(parts, "bucket").sortWithinPartitions("bucket")
-            last, held = held, saved(met.mapInArrow(_move(now, classes, step % turns, turns), _PACKED))
+            last, held = held, saved(met.mapInArrow(_move(now, classes, turn, turns), _PACKED))
             del met
             if last is not kept:
                 dropped(last)
@@ -332,35 +335,39 @@ def _table(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h[order], n[order], class_[order]
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets in, their table of words first; counts and classes of the words of each chunk out."""
-    bucket, blobs, table, held = -1, [], None, []
-    for chunk, b, at, packed in _read(batches):
-        if b != bucket:
-            bucket, blobs, table = b, [], None
-        if at < 0:
-            blobs.append(packed)
-            continue
-        h, n, class_ = table = table or _table(blobs)
-        (asked,) = _thawed(packed)
-        if len(h):
-            place = np.minimum(np.searchsorted(h, asked), len(h) - 1)
-            known = h[place] == asked
-            reply = np.where(known, n[place], 0), np.where(known, class_[place], _UNKNOWN).astype(np.uint8)
-        else:
-            reply = np.zeros(len(asked), np.int64), np.full(len(asked), _UNKNOWN, np.uint8)
-        held.append((chunk, b, at, _frozen(*reply)))
-        if len(held) == 1000:
+def _answer(counts: bool):
+    """Buckets in, their table of words first; classes and, if asked for, counts of the words of each chunk out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, blobs, table, held = -1, [], None, []
+        for chunk, b, at, packed in _read(batches):
+            if b != bucket:
+                bucket, blobs, table = b, [], None
+            if at < 0:
+                blobs.append(packed)
+                continue
+            h, n, class_ = table = table or _table(blobs)
+            (asked,) = _thawed(packed)
+            if len(h):
+                place = np.minimum(np.searchsorted(h, asked), len(h) - 1)
+                known = h[place] == asked
+                reply = np.where(known, class_[place], _UNKNOWN).astype(np.uint8), np.where(known, n[place], 0)
+            else:
+                reply = np.full(len(asked), _UNKNOWN, np.uint8), np.zeros(len(asked), np.int64)
+            held.append((chunk, b, at, _frozen(*reply[: 1 + counts])))
+            if len(held) == 1000:
+                yield _rows(*map(list, zip(*held, strict=True)))
+                held = []
+        if held:
             yield _rows(*map(list, zip(*held, strict=True)))
-            held = []
-    if held:
-        yield _rows(*map(list, zip(*held, strict=True)))
+
+    return run
 
 
-def _answered(sent: DataFrame, held: DataFrame, parts: int, of_chunk: Callable, schema: str) -> DataFrame:
+def _answered(sent: DataFrame, held: DataFrame, parts: int, of_chunk: Callable, schema: str, counts: bool = True) -> DataFrame:
     """What ``of_chunk`` makes of each encoded chunk once the table of words has answered it."""
     asked = sent.where("bucket >= 0").union(held).repartition(parts, "bucket").sortWithinPartitions("bucket", "at")
-    met = asked.mapInArrow(_answer, _PACKED).union(sent.where("bucket < 0")).repartition(parts, "chunk").sortWithinPartitions("chunk", "bucket")
+    met = asked.mapInArrow(_answer(counts), _PACKED).union(sent.where("bucket < 0")).repartition(parts, "chunk").sortWithinPartitions("chunk", "bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         body, n, class_ = None, None, None
@@ -372,9 +379,10 @@ def _answered(sent: DataFrame, held: DataFrame, parts: int, of_chunk: Callable,
                 body.append(tokens)
                 n, class_ = np.zeros(len(body[2]), np.int64), body[3].copy()
                 continue
-            count, found = _thawed(packed)
-            n[at : at + len(count)] = count
-            class_[at : at + len(count)] = np.where(found == _UNKNOWN, class_[at : at + len(count)], found)
+            found, *count = _thawed(packed)
+            if count:
+                n[at : at + len(found)] = count[0]
+            class_[at : at + len(found)] = np.where(found == _UNKNOWN, class_[at : at + len(found)], found)
         if body is not None:
             yield of_chunk(*body, n, class_)
 
@@ -389,27 +397,36 @@ def _before(values: np.ndarray, sizes: np.ndarray, end) -> np.ndarray:
     return before
 
 
-def _beside(classes: int, buckets: int):
-    """Of a chunk: pairs of classes (bucket -1), and for each bucket how often its words stand beside each class."""
+def _moving(h: np.ndarray, of: np.ndarray, classes: int, turn: int, turns: int) -> np.ndarray:
+    """Which words move in a pass. The end stays in its class."""
+    return (of < classes) & (mix(h + np.uint64(1)) % np.uint64(turns) == turn)
+
+
+def _beside(classes: int, buckets: int, turn: int | None, turns: int):
+    """Of a chunk: pairs of classes (bucket -1), and for each bucket how often its words that move in this turn stand
+    beside each class."""
 
     def of_chunk(keys, sizes, names, default, tokens, n, class_) -> pa.RecordBatch:
         own = class_[tokens].astype(np.int64)
         before = _before(own, sizes, classes)
         pairs = np.bincount(before * (classes + 1) + own, minlength=(classes + 1) ** 2)
         cell = np.flatnonzero(pairs)
-        sides = []
-        last = np.zeros(len(tokens), bool)
-        last[np.cumsum(sizes) - 1] = True
-        inner = np.flatnonzero(~last)  # nothing comes after a text's end
-        for word, other in ((tokens, before), (tokens[inner], own[np.minimum(inner + 1, len(own) - 1)])):
-            sides.append(np.unique(word.astype(np.int64) * (classes + 1) + other, return_counts=True))
-        at = np.flatnonzero(tokens[1:] == tokens[:-1])
-        sides.append(np.unique(tokens[1:][at].astype(np.int64) * (classes + 1), return_counts=True))
+        packed = [_frozen(cell.astype(np.int32), pairs[cell])]
+        if turn is None:
+            return _rows([0], [-1], [-1], packed)
+        moving = _moving(names, class_, classes, turn, turns)
+        place = np.cumsum(moving) - 1
+        names = names[moving]
+        inner = np.flatnonzero(moving[tokens])  # no ends among them: something comes after each
+        word = place[tokens[inner]] * (classes + 1)
+        sides = [np.unique(word + other, return_counts=True) for other in (before[inner], own[np.minimum(inner + 1, len(own) - 1)])]
+        same = np.flatnonzero(tokens[np.maximum(inner - 1, 0)] == tokens[inner])
+        same = same[inner[same] > 0]
+        sides.append(np.unique(word[same], return_counts=True))
         bucket = _buckets(names, buckets)
         first = np.flatnonzero(np.diff(bucket, prepend=-1))
-        ends = np.append(first[1:], len(names))
+        ends = np.append(first[1:], len(names))[: len(first)]
         cuts = [(np.searchsorted(k, first * (classes + 1)), np.searchsorted(k, ends * (classes + 1))) for k, _ in sides]
-        packed = [_frozen(cell.astype(np.int32), pairs[cell])]
         for i, (a, b) in enumerate(zip(first.tolist(), ends.tolist(), strict=True)):
             packed.append(_frozen(names[a:b], *(x for (k, c), (low, high) in zip(sides, cuts, strict=True) for x in ((k[low[i] : high[i]] - a * (classes + 1)).astype(np.int32), c[low[i] : high[i]].astype(np.int32)))))
         return _rows([0] * len(packed), [-1, *bucket[first].tolist()], [-1, *[0] * len(first)], packed)
@@ -497,8 +514,7 @@ def _move(between: np.ndarray, classes: int, turn: int, turns: int):
                 part = np.zeros((last - first) * (classes + 1))
                 part[key[low:high] - first * (classes + 1)] = count[low:high]
                 dense.append(part.reshape(-1, classes + 1))
-            # the end stays in its class; words that stand beside each other shouldn't move at once
-            at = np.flatnonzero((of[first:last] < classes) & (mix(h[first:last] + np.uint64(1)) % np.uint64(turns) == turn))
+            at = np.flatnonzero(_moving(h[first:last], of[first:last], classes, turn, turns))
             new[first + at] = best_classes(between, of[first:last][at].astype(np.int64), dense[0][at], dense[1][at], dense[2][at, 0], h[first:last][at] >> np.uint64(32))
         return _rows([0], [bucket], [-1], [_frozen(h, n, new)])
 

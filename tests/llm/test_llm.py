@@ -203,6 +203,38 @@ def test_class_model_counts(spark):
     assert class_model.score(empty, class_model.fit(empty)).count() == 0
 
 
+def test_class_model_scores(spark):
+    docs = table(spark, ROWS[:8])
+    model = class_model.fit(docs.where("doc_id < 5"), frequent=4, groups=8, classes=6, passes=2)
+    h, n, of = class_model._table([r["packed"] for r in model.words.collect()])
+    known = {int(x): (int(c), int(k)) for x, c, k in zip(h, n, of, strict=True)}
+
+    def brute(text):
+        total, last = 0.0, 6
+        hashes, group, _, _ = class_model._tokens(pa.array([text], pa.string()), 8)
+        for x, g in zip(hashes.tolist(), group.tolist(), strict=True):
+            count, c = known.get(x, (0, int(model.default[g])))
+            total += model.transition[last, c] - model.below[c] + math.log10(count + 1)
+            last = c
+        return total
+
+    assert {k for _, k in known.values()} <= set(range(7)) and known[int(class_model.END)][1] == 6
+    for r in class_model.score(docs.withColumn("text2", F.col("text")), model).collect():
+        assert r["score"] == pytest.approx(brute(r["text2"]), abs=1e-6)
+    # probabilities after each class, and of the words of each class, sum to one
+    assert (10.0**model.transition).sum(1) == pytest.approx(np.ones(7))
+    size = np.bincount(of, n + 1.0, 7)
+    assert size + 1 == pytest.approx(10.0**model.below)
+
+
+def test_no_bucket_holds_a_row_for_every_document():
+    texts = pa.array([f"a{i} b{i}" for i in range(1000)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int64()), texts], ["key", "text"])
+    out = pa.Table.from_batches(class_model._encode(16, np.zeros(17, np.uint8), 200)(iter([batch])))
+    asked = [len(class_model._thawed(p)[0]) for b, p in zip(out["bucket"].to_pylist(), out["packed"].to_pylist(), strict=True) if b >= 0]
+    assert sum(asked) == 2001 and max(asked) < 40
+
+
 def test_rare_words_have_classes_of_their_own(spark):
     rng = random.Random(6)
     nouns, verbs = ([f"{c}{k}xyz" for k in range(40)] for c in "nv")  # one group by their last bytes
