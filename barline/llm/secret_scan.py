@@ -8,12 +8,15 @@ so that neither a scan nor a redaction shuffles or calls Python.
 
 Labelled findings are candidates of the corpus: public formats of access keys, and values that mix letters and
 digits behind the name of a credential and ``=`` or ``:``, are secrets; all others are not. The forest sees
-neither the formats nor the full rule. It learns from at most ``most`` findings of each label, first in the order
-of a hash; the dictionary comes from all documents.
+neither the formats nor the full rule. It learns from at most ``most`` findings of each label, those with the smallest
+hashes, and never from the fifth of all values that is held out (``held_out``); ``quality`` counts right and wrong
+verdicts on that fifth. The dictionary comes from all documents.
 
-Null and empty texts have no candidates. Repeated rows give repeated findings. With findings of one label only,
-the label stands for the forest. An empty table gives no findings. ``scan`` keeps extra columns; a column named
-findings is replaced.
+The candidates of a corpus are found once and saved; fitting and judging read that table.
+
+Null and empty texts have no candidates. Texts of any length are searched whole. Repeated rows give repeated findings.
+With findings of one label only, the label stands for the forest. An empty table gives no findings. ``scan`` keeps extra
+columns; a column named findings is replaced.
 """
 
 from __future__ import annotations
@@ -45,7 +48,7 @@ FEATURES = ("size", "digits", "capitals", "smalls", "changes", "distinct", "word
 
 
 def candidates(text: Column) -> Column:
-    """An array of (value, before, after, gap) of a text: ``gap`` is how many characters precede it since the last."""
+    """An array of (value, before, after, gap, start) of a text: ``gap`` is how many characters precede it since the last."""
     values = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
     once = F.array(F.struct(values.alias("values"), F.split(text, CANDIDATE, -1).alias("gaps"), text.alias("text")))
     size = F.char_length
@@ -65,12 +68,12 @@ def candidates(text: Column) -> Column:
             value, gap = x["piece"]["value"], x["piece"]["gap"]
             before = F.substring(c["text"], first + 1, x["start"] - first)
             after = F.substring(c["text"], x["start"] + size(value) + 1, F.lit(CONTEXT))
-            return F.struct(value.alias("value"), before.alias("before"), after.alias("after"), size(gap).alias("gap"))
+            return F.struct(value.alias("value"), before.alias("before"), after.alias("after"), size(gap).alias("gap"), x["start"].alias("start"))
 
         return F.transform(placed, neighbours)
 
     found = F.when(text.isNotNull(), F.element_at(F.transform(once, of), 1))
-    return F.coalesce(found, F.expr("cast(array() as array<struct<value:string,before:string,after:string,gap:int>>)"))
+    return F.coalesce(found, F.expr("cast(array() as array<struct<value:string,before:string,after:string,gap:int,start:int>>)"))
 
 
 def _left_out(value: Column, pattern: str) -> Column:
@@ -105,14 +108,29 @@ def features(value: Column, before: Column, after: Column, dictionary: str) -> l
     return [found[name].cast("double").alias(name) for name in FEATURES]
 
 
-def labelled(docs: DataFrame) -> DataFrame:
-    """Candidates of ``docs`` with a label: 1 for a secret by format or name, else 0."""
-    rows = docs.select(F.explode(candidates(F.col("text"))).alias("c")).select("c.value", "c.before", "c.after")
+def candidate_rows(docs: DataFrame) -> DataFrame:
+    """One row for each candidate: the columns of ``docs`` other than text, and value, before, after, gap, start."""
+    rest = [c for c in docs.columns if c != "text"]
+    return docs.select(*rest, F.explode(candidates(F.col("text"))).alias("__c")).select(*rest, "__c.*")
+
+
+def with_labels(rows: DataFrame) -> DataFrame:
+    """Candidate rows with a label: 1 for a secret by format or name, else 0."""
     mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
     secret = F.col("value").rlike(FORMATS) | (F.col("before").rlike(NAMED) & mixed)
     return rows.withColumn("label", F.when(secret, 1.0).otherwise(0.0))
 
 
+def labelled(docs: DataFrame) -> DataFrame:
+    """Candidates of ``docs`` with their labels."""
+    return with_labels(candidate_rows(docs.select("text")).select("value", "before", "after"))
+
+
+def held_out(value: Column) -> Column:
+    """A fifth of all values, never learned from."""
+    return F.pmod(F.crc32(value.cast("binary")), F.lit(5)) == 2
+
+
 def dictionary_pattern(docs: DataFrame, words: int = 300) -> str:
     """The most frequent words of three letters and more in all documents, as one pattern, long ones first."""
     found = docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where(F.length("word").between(3, 12)).groupBy("word").count()
@@ -136,17 +154,26 @@ def _tree_sql(node) -> str:
     return f"CASE WHEN f.{FEATURES[split.featureIndex()]} <= {split.threshold()!r}D THEN {_tree_sql(node.leftChild())} ELSE {_tree_sql(node.rightChild())} END"
 
 
-def fit(docs: DataFrame, most: int = 20_000, trees: int = 20, depth: int = 6, seed: int = 10) -> Scanner:
+def fit(docs: DataFrame, **options) -> Scanner:
     """A scanner from the labelled findings of ``docs`` (text)."""
     docs = docs.select("text")
-    dictionary = dictionary_pattern(docs)
-    found = saved(labelled(docs).distinct())
+    return fit_rows(saved(candidate_rows(docs)), dictionary_pattern(docs), **options)
+
+
+def fit_rows(rows: DataFrame, dictionary: str, most: int = 20_000, trees: int = 20, depth: int = 6, seed: int = 10) -> Scanner:
+    """A scanner from candidate rows, which are read more than once."""
+    found = saved(with_labels(rows.select("value", "before", "after")).where(~held_out(F.col("value"))).distinct())
+    counts = dict(found.groupBy("label").count().collect())
+    if len(counts) < 2:
+        return Scanner(dictionary, f"{max(counts, default=0.0)!r}D")
     order = F.xxhash64("value", "before", "after")
-    chosen = [found.where(F.col("label") == label).orderBy(order, "value", "before", "after").limit(most) for label in (0.0, 1.0)]
+    chosen = []
+    for label, count in sorted(counts.items()):
+        own = found.where(F.col("label") == label)
+        if count > 2 * most:  # little is ordered: a threshold leaves about half as many again as are taken
+            own = own.where(F.pmod(order, F.lit(1 << 52)) < int(1.5 * most / count * (1 << 52)))
+        chosen.append(own.orderBy(F.pmod(order, F.lit(1 << 52)), "value", "before", "after").limit(most))
     sample = saved(chosen[0].union(chosen[1]))
-    labels = {r["label"] for r in sample.select("label").distinct().collect()}
-    if len(labels) < 2:
-        return Scanner(dictionary, f"{max(labels, default=0.0)!r}D")
     rows = sample.select("label", *features(F.col("value"), F.col("before"), F.col("after"), dictionary))
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", subsamplingRate=0.8).fit(vectors)
@@ -154,38 +181,72 @@ def fit(docs: DataFrame, most: int = 20_000, trees: int = 20, depth: int = 6, se
     return Scanner(dictionary, f"({' + '.join(votes)}) / {len(votes)}D")
 
 
-def scan(docs: DataFrame, scanner: Scanner, name: str = "findings") -> DataFrame:
-    """``docs`` with ``findings``: an array of (value, gap, probability), all candidates of the text in order."""
+def judge(rows: DataFrame, scanner: Scanner) -> DataFrame:
+    """Candidate rows with their probability."""
+    described = rows.withColumn("f", F.struct(*features(F.col("value"), F.col("before"), F.col("after"), scanner.dictionary)))
+    return described.withColumn("probability", F.expr(scanner.probability)).drop("f")
+
+
+def quality(rows: DataFrame, scanner: Scanner, threshold: float = 0.5) -> DataFrame:
+    """Counts of held-out findings by label and verdict."""
+    found = judge(with_labels(rows.select("value", "before", "after")).where(held_out(F.col("value"))).distinct(), scanner)
+    return found.groupBy("label", (F.col("probability") >= threshold).alias("is_secret")).agg(F.count("*").alias("n"))
+
+
+def _judged(found: Column, scanner: Scanner) -> Column:
+    """An array of candidates as an array of (value, gap, start, f), f being their FEATURES."""
+    return F.transform(found, lambda c: F.struct(c["value"].alias("value"), c["gap"].alias("gap"), c["start"].alias("start"), F.struct(*features(c["value"], c["before"], c["after"], scanner.dictionary)).alias("f")))
+
+
+def scan(docs: DataFrame, scanner: Scanner, name: str = "findings", found: Column | None = None) -> DataFrame:
+    """``docs`` with ``findings``: an array of (value, gap, start, probability), all candidates of the text in order.
+
+    ``found``: the candidates, if a column holds them already.
+    """
     own = "__candidates"
-    rows = docs.drop(name).withColumn(own, candidates(F.col("text")))
-    described = F.transform(F.col(own), lambda c: F.struct(c["value"].alias("value"), c["gap"].alias("gap"), F.struct(*features(c["value"], c["before"], c["after"], scanner.dictionary)).alias("f")))
-    rows = rows.withColumn(own, described)
+    rows = docs.drop(name) if found is None else docs
+    rows = rows.withColumn(own, _judged(candidates(F.col("text")) if found is None else found, scanner))
     probability = scanner.probability.replace("f.", "c.f.")
-    return rows.withColumn(name, F.expr(f"transform({own}, c -> named_struct('value', c.value, 'gap', c.gap, 'probability', {probability}))")).drop(own)
+    return rows.withColumn(name, F.expr(f"transform({own}, c -> named_struct('value', c.value, 'gap', c.gap, 'start', c.start, 'probability', {probability}))")).drop(own)
 
 
 def found(docs: DataFrame, scanner: Scanner) -> DataFrame:
     """One row for each candidate of ``docs``: doc_id, start (in characters), length, value, probability."""
-    rows = scan(docs.select("doc_id", "text"), scanner).where(F.size("findings") > 0)
-    step = "named_struct('at', acc.at + x.gap + char_length(x.value), 'starts', concat(acc.starts, array(acc.at + x.gap)))"
-    starts = F.expr(f"aggregate(findings, named_struct('at', 0, 'starts', cast(array() as array<int>)), (acc, x) -> {step}, acc -> acc.starts)")
-    rows = rows.select("doc_id", F.explode(F.arrays_zip(F.col("findings").alias("finding"), starts.alias("start"))).alias("x"))
-    return rows.select("doc_id", F.col("x.start").alias("start"), F.char_length("x.finding.value").alias("length"), F.col("x.finding.value").alias("value"), F.col("x.finding.probability").alias("probability"))
+    return _shown(judge(candidate_rows(docs.select("doc_id", "text")), scanner))
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "start", F.char_length("value").alias("length"), "value", "probability")
+
+
+def _replaced(findings: Column, threshold: float, mark: str) -> Column:
+    """The text with the values of secrets replaced."""
+    text, end = F.col("text"), F.element_at(findings, -1)
+    parts = F.transform(findings, lambda x: F.concat(F.substring(text, x["start"] - x["gap"] + 1, x["gap"]), F.when(x["probability"] >= threshold, F.lit(mark)).otherwise(x["value"])))
+    tail = F.substring(text, end["start"] + F.char_length(end["value"]) + 1, F.char_length(text))
+    return F.when(text.isNull() | (F.size(findings) == 0), text).otherwise(F.concat(F.array_join(parts, ""), tail))
 
 
 def redact(docs: DataFrame, scanner: Scanner, threshold: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with the secrets of each text replaced by a mark. All other columns stay as they are."""
     columns = docs.columns
-    rows = scan(docs, scanner, "__findings").withColumn("__gaps", F.split("text", CANDIDATE, -1))
-    shown = F.transform("__findings", lambda x: F.when(x["probability"] >= threshold, F.lit(mark)).otherwise(x["value"]))
-    parts = F.arrays_zip(F.slice("__gaps", F.lit(1), F.size("__findings")).alias("gap"), shown.alias("value"))
-    head = F.array_join(F.transform(parts, lambda x: F.concat(x["gap"], x["value"])), "")
-    text = F.when(F.col("text").isNull() | (F.size("__findings") == 0), F.col("text")).otherwise(F.concat(head, F.element_at("__gaps", -1)))
-    return rows.withColumn("text", text).select(*columns)
+    rows = scan(docs, scanner, "__findings")
+    return rows.withColumn("text", _replaced(F.col("__findings"), threshold, mark)).select(*columns)
+
+
+def fit_and_redact(docs: DataFrame, threshold: float = 0.5, mark: str = "[SECRET]", **options) -> DataFrame:
+    """``redact`` with a scanner from ``docs`` themselves, whose candidates are searched once."""
+    columns = docs.columns
+    held = saved(docs.withColumn("__found", candidates(F.col("text"))))
+    rows = held.select(F.explode("__found").alias("c")).select("c.*")
+    scanner = fit_rows(rows, dictionary_pattern(docs.select("text")), **options)
+    rows = scan(held, scanner, "__findings", F.col("__found"))
+    return rows.withColumn("text", _replaced(F.col("__findings"), threshold, mark)).select(*columns)
 
 
 def op10_secret_scan(spark, sf_dir: str) -> DataFrame:
     """All candidates of ``documents`` and whether each is a secret; values as digests only."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    rows = found(docs, fit(docs))
+    rows = saved(candidate_rows(docs))
+    rows = _shown(judge(rows, fit_rows(rows, dictionary_pattern(docs))))
     return rows.select("doc_id", "start", "length", F.sha2("value", 256).alias("value_sha256"), "probability", (F.col("probability") >= 0.5).alias("is_secret"))

@@ -443,6 +443,11 @@ def test_secret_scan(spark):
     texts = dict(rows)
     assert all(texts[r["doc_id"]][r["start"] : r["start"] + r["length"]] == r["value"] for r in found)
     assert all((r["probability"] >= 0.5) != r["value"].isdigit() for r in found) and len(found) == 360
+    counts = {(r["label"], r["is_secret"]): r["n"] for r in secret_scan.quality(secret_scan.candidate_rows(docs), scanner).collect()}
+    assert set(counts) == {(0.0, False), (1.0, True)} and 30 < sum(counts.values()) < 110  # about a fifth of 360
+    twice = secret_scan.found(docs.union(docs.where("doc_id = 3")), scanner).where("doc_id = 3")
+    assert twice.count() == 6 and twice.distinct().count() == 3
+    assert ordered(secret_scan.fit_and_redact(docs).collect()) == ordered(secret_scan.redact(docs, scanner).collect())
     clean = {r["doc_id"]: r for r in secret_scan.redact(docs, scanner).collect()}
     assert all("AKIA" not in clean[d]["text"] and re.search(r"\d{16} end$", clean[d]["text"]) for d in texts)
     assert clean[900]["text"] is None and clean[901]["text"] == "" and clean[902]["text"] == "nothing" and clean[902]["findings"] == "kept"
