@@ -45,7 +45,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by a mark."""
-    clean = secret_scan.redact(docs, secret_scan.fit(docs))
+    clean = secret_scan.fit_and_redact(docs)
     return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
