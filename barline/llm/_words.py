@@ -6,7 +6,8 @@ is the same as cutting the text. Nothing here works row by row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -61,6 +62,17 @@ def give_back() -> None:
     pa.system_memory_pool().release_unused()
 
 
+def released(function: Callable) -> Callable:
+    """``function`` over the batches of a task; memory that it has freed goes back to the system when the task ends."""
+
+    @functools.wraps(function)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        give_back()
+
+    return run
+
+
 def slices(batch: pa.RecordBatch, name: str = "text", most: int = (1 << 20) - 1) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text each (one row at least), so that memory stays bounded."""
     _, places = utf8(batch.column(batch.schema.get_field_index(name)))
@@ -103,7 +115,7 @@ class Words:
         return spans(self.data, self.begin, self.end)
 
 
-def spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+def spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray, most: int = 15 << 15) -> np.ndarray:
     """A 64-bit hash of each span of bytes: differences of one running sum of powers.
 
     ``begin`` must not fall. About ``most`` bytes are summed at a time, so that tables of powers stay small.

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._session import bounded_batches
-from ._words import SPACE, slices, spans, strings, utf8
+from ._words import SPACE, released, slices, spans, strings, utf8
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -225,6 +225,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, ranks:
     if offsets:
         schema = schema.add(offsets, T.ArrayType(T.StructType().add("begin", T.IntegerType()).add("end", T.IntegerType())))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(path, ranks)
         for whole in batches:
@@ -247,6 +248,7 @@ def decode(tokens: DataFrame, ids: str = "ids", path: str | None = None, out: st
     base = tokens.drop(out)
     schema = T.StructType([*base.schema.fields, T.StructField(out, T.BinaryType())])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(path)
         for batch in batches:

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._session import bounded_batches, dropped, saved, width
-from ._words import chunks, mix, slices, spans, words
+from ._words import chunks, mix, released, slices, spans, words
 
 #: The hash that stands for the end token.
 END = np.uint64(0x5BD1E9955BD1E995)
@@ -69,6 +69,7 @@ def _tokens(column: pa.Array, groups: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _count_words(groups: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in chunks(batches, 1 << 24):
             found = []
@@ -106,6 +107,7 @@ class Units:
 def _count_pairs(units: Units):
     size = units.end + 1
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: np.ndarray | None = None
         for whole in batches:
@@ -287,6 +289,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, by
 def _send_words(buckets: int):
     """(word, n, class) in."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, n, class_ = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.uint8)
@@ -300,6 +303,7 @@ def _send_words(buckets: int):
 def _encode(groups: int, default: np.ndarray, buckets: int):
     """(key, text) in. Out: each chunk as numbers of its words, in the order of their buckets, and its words by bucket."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in chunks(batches, 1 << 24):
             keys, sizes, hashes, kinds, numbers, met = [], [], [], [], [], 0
@@ -338,6 +342,7 @@ def _table(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _answer(counts: bool):
     """Buckets in, their table of words first; classes and, if asked for, counts of the words of each chunk out."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, blobs, table, held = -1, [], None, []
         for chunk, b, at, packed in _read(batches):
@@ -369,6 +374,7 @@ def _answered(sent: DataFrame, held: DataFrame, parts: int, of_chunk: Callable,
     asked = sent.where("bucket >= 0").union(held).repartition(parts, "bucket").sortWithinPartitions("bucket", "at")
     met = asked.mapInArrow(_answer(counts), _PACKED).union(sent.where("bucket < 0")).repartition(parts, "chunk").sortWithinPartitions("chunk", "bucket")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         body, n, class_ = None, None, None
         for chunk, bucket, at, packed in _read(batches):
@@ -434,12 +440,14 @@ def _beside(classes: int, buckets: int, turn: int | None, turns: int):
     return of_chunk
 
 
+@released
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for *_, packed in _read(batches):
         cell, n = _thawed(packed)
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], ["cell", "n"])
 
 
+@released
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for *_, packed in _read(batches):
         _, n, class_ = _thawed(packed)
@@ -518,6 +526,7 @@ def _move(between: np.ndarray, classes: int, turn: int, turns: int):
             new[first + at] = best_classes(between, of[first:last][at].astype(np.int64), dense[0][at], dense[1][at], dense[2][at, 0], h[first:last][at] >> np.uint64(32))
         return _rows([0], [bucket], [-1], [_frozen(h, n, new)])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, tables, blobs = -1, [], []
         for _, b, at, packed in _read(batches):

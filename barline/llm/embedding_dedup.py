@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._session import saved, width
+from ._words import released
 from .components import connected_components, forest
 
 SEED = 20
@@ -37,6 +38,7 @@ def plan(classes: int, threshold: float, recall: float = 0.995, per_bucket: int
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
 
 
+@released
 def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """vec_id and the vector as doubles, of vectors that can link."""
     for batch in batches:
@@ -54,6 +56,7 @@ def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _signs(bits: int, tables: int, longest: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = np.random.default_rng(SEED).standard_normal((longest, bits * tables))
         powers = 1 << np.arange(bits)
@@ -110,6 +113,7 @@ def _pairs(threshold: float):
             [pa.array(first), pa.array([*roots[far].tolist(), *[None] * len(at)], pa.int64()), pa.array([*[None] * int(far.sum()), *count[at].astype(np.int64).tolist()], pa.int64())], ["a", "b", "links"]
         )
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         last = None

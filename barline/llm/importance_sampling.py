@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._session import bounded_batches, saved
-from ._words import LOWER, SPACE, mix, slices, spans, utf8
+from ._words import LOWER, SPACE, mix, released, slices, spans, utf8
 
 #: Hashed n-grams of a model.
 SIZE = 1 << 18
@@ -53,6 +53,7 @@ def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate([h, two[inside]]) % np.uint64(SIZE)).astype(np.int64), np.concatenate([row, row[:-1][inside]])
 
 
+@released
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, target) in; counts of each n-gram over all rows and over target rows, once a partition."""
     raw, target = np.zeros(SIZE, np.int64), np.zeros(SIZE, np.int64)
@@ -79,6 +80,7 @@ def fit(docs: DataFrame) -> np.ndarray:
 
 
 def _weigh(ratio: np.ndarray, text_at: int, names: list[str]):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):

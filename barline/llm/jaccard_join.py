@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._session import bounded_batches, saved, width
-from ._words import chunks, mix, sequence_hashes, slices, words
+from ._words import chunks, mix, released, sequence_hashes, slices, words
 from .class_model import _frozen, _parts, _thawed
 from .components import connected_components, forest
 
@@ -87,6 +87,7 @@ def _prints(value: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _describe(n: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
@@ -100,6 +101,7 @@ def _describe(n: int):
 def _send_shingles(n: int, buckets: int):
     """Shingles to their fragments: 32 bits each (enough for a filter), and the class of each."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in chunks(batches, 1 << 23):
             held, seen = [], np.zeros(0, np.uint64)
@@ -162,6 +164,7 @@ def _frequency(value: np.ndarray) -> np.ndarray:
 def _shared(buckets: int):
     """For the bucket of each class, packed: how many of its shingles in the fragments of a task others have too."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
@@ -196,6 +199,7 @@ def _shared(buckets: int):
     return run
 
 
+@released
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the buckets of classes: each class once, with the sum of its parts."""
     for parts in _by_bucket(batches):
@@ -207,6 +211,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _keep_sets(n: int):
     """(id, one, text) in; the set of each row whose class it names, packed."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
@@ -219,6 +224,7 @@ def _keep_sets(n: int):
 
 
 def _send_sets(buckets: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first in range(0, whole.num_rows, 1000):
@@ -242,6 +248,7 @@ def _send_sets(buckets: int):
 def _frequencies(buckets: int):
     """For the bucket of each class, packed: shingles that others have too, and in how many classes each lies."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
@@ -270,6 +277,7 @@ def _frequencies(buckets: int):
 def _prefixes(percent: int):
     """Prefix shingles of the classes that can still link, from the buckets of classes."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts in _by_bucket(batches):
             value, count, owner, size = (np.concatenate(c) for c in zip(*parts, strict=True))
@@ -290,6 +298,7 @@ def _prefixes(percent: int):
     return run
 
 
+@released
 def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each set cut at fixed places of the order of all shingles."""
     for batch in batches:
@@ -305,6 +314,7 @@ def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(parts, pa.binary())], ["id", "fragment", "part"])
 
 
+@released
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
@@ -363,6 +373,7 @@ def _meet(percent: int):
         far = nodes != roots
         return pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(roots[far])], ["a", "b"])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held, asked, size = None, [], [], 0
         for batch in batches:

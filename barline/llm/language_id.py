@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._session import bounded_batches
-from ._words import slices, utf8
+from ._words import released, slices, utf8
 
 #: Bytes that are labelled together, bytes read before and behind them, and the symbol outside of texts.
 BLOCK, CONTEXT, OUTSIDE = 112, 16, 256
@@ -190,6 +190,7 @@ def held_out(doc_id: Column, modulus: int = 4, remainder: int = 2) -> Column:
 def _cut_spans(per_text: int, length: int):
     """(text, lang, seed) in; up to ``per_text`` spans of each text, at places that follow from the seed."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
@@ -238,6 +239,7 @@ def fit(docs: DataFrame, per_language: int = 300, most_spans: int = 40_000, leas
 
 
 def _predict(net: Network | None, text_at: int, names: list[str]):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._session import bounded_batches, saved
-from ._words import slices, strings
+from ._words import released, slices, strings
 from .byte_bpe import codec, default_paths
 
 #: Bins with at most this share of room left are emitted at once.
@@ -42,6 +42,7 @@ def cut_pieces(docs: DataFrame, size: int = 1024, end: int = 2, path: str | None
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind)]).add("piece", T.IntegerType()).add("start", T.LongType()).add("length", T.LongType()).add("ids", T.BinaryType())
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(path, special=True)
         for whole in batches:
@@ -86,6 +87,7 @@ def best_fit(sizes: np.ndarray, room: int) -> list[list[int]]:
 
 
 def _pack_node(room: int, last: bool):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)).combine_chunks() if (batches := list(batches)) else None
         if table is None or table.num_rows == 0:

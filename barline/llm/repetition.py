@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ._session import bounded_batches
-from ._words import Words, slices, spans, utf8, words
+from ._words import Words, released, slices, spans, utf8, words
 
 #: Symbols that the base counts.
 _SYMBOL = np.zeros(256, bool)
@@ -139,6 +139,7 @@ def _duplicate_lines(data: np.ndarray, places: np.ndarray, w: Words) -> np.ndarr
 
 
 def _judge(text_at: int, min_repeat: int, max_share: float, max_repeat: int, names: list[str]):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):

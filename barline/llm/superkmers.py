@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._words import Words, chunks, gather, sequence_hashes, slices, spans, strings, words
+from ._words import Words, chunks, gather, released, sequence_hashes, slices, spans, strings, words
 from ._session import bounded_batches, width
 
 #: Words of a minimiser; buckets for each partition of the shuffle.
@@ -72,6 +72,7 @@ def _minimisers(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _count_slots(k: int, slots: int):
     """(text) in; windows of each slot of minimisers out."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(slots, np.int64)
         for whole in batches:
@@ -119,6 +120,7 @@ def _super_kmers(batch: pa.RecordBatch, k: int, hot: np.ndarray):
 def _send(k: int, buckets: int, hot: np.ndarray):
     """(doc_id, text, key) in; packed super-k-mers for their buckets and marks of known repeats out."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, CHUNK):
             found = [(part, made) for part in slices(batch) if (made := _super_kmers(part, k, hot)) is not None]
@@ -150,7 +152,7 @@ def _send(k: int, buckets: int, hot: np.ndarray):
             use = use[np.argsort(bucket, kind="stable")]
             bucket.sort()
             edges = np.flatnonzero(np.diff(bucket, prepend=-1))
-            raw = data.tobytes()
+            raw = memoryview(data)
             for number, part in zip(bucket[edges].tolist(), np.split(use, edges[1:]), strict=True):
                 keys.append(number)
                 texts = b"\n".join([raw[a:b] for a, b in zip(begin[part].tolist(), end[part].tolist(), strict=True)])
@@ -222,6 +224,7 @@ def _receive(k: int):
     def rows(found) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.asarray(c), pa.int64()) for c in found], ["doc_id", "key", "start", "windows"])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, blobs = -1, []
         for batch in batches:
@@ -263,6 +266,7 @@ def repeated_windows(docs: DataFrame, k: int = 13, most: int = MOST) -> DataFram
 
 
 def _remove(k: int, text_at: int, names: list[str]):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
