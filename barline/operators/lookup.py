@@ -5,7 +5,7 @@ Spark chooses the join. Strict forms raise, the others leave unknown keys out.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,8 +22,27 @@ def securities_of(symbols: DataFrame, securities: DataFrame, strict: bool = True
     return symbols.select("symbol").distinct().join(securities, "symbol")
 
 
-def with_company(securities: DataFrame, companies: DataFrame) -> DataFrame:
-    return securities.join(companies.withColumnRenamed("id", "company_id"), "company_id")
+def with_company(securities: DataFrame, companies: DataFrame, strict: bool = True) -> DataFrame:
+    """Securities with their companies' columns. A security whose company is missing raises, or is left out."""
+    joined = securities.join(companies.withColumnRenamed("id", "company_id").withColumn("__known", F.lit(True)), "company_id", "left" if strict else "inner")
+    known = F.when(F.col("__known"), True).otherwise(F.raise_error(F.concat(F.lit("no company "), F.col("company_id").cast("string"))).cast("boolean"))
+    return (joined.where(known) if strict else joined).drop("__known")
+
+
+def companies_of(symbols: DataFrame, securities: DataFrame, companies: DataFrame) -> DataFrame:
+    """(symbol, company_id and the company's columns) of cleaned symbols; one without listing or company raises."""
+    return with_company(securities_of(symbols, securities).select("symbol", "company_id"), companies)
+
+
+def security_of(securities: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Securities by company and symbol."""
+    return among(securities, wanted, ["company_id", "symbol"])
+
+
+def ciks_of(symbols: DataFrame, ticker_map: DataFrame) -> DataFrame:
+    """(symbol, cik) of symbols; an unknown one raises."""
+    joined = symbols.select("symbol").distinct().join(ticker_map.select("symbol", "cik"), "symbol", "left")
+    return joined.withColumn("cik", F.coalesce("cik", F.raise_error(F.concat(F.lit("no cik for "), "symbol"))))
 
 
 def prices(securities: DataFrame, prices: DataFrame, symbols: list[str] | None = None) -> DataFrame:
@@ -38,6 +57,12 @@ def company_news(securities: DataFrame, news: DataFrame, symbol: str) -> DataFra
     return news.join(owner, "company_id", "left_semi").orderBy(F.col("published_at").desc_nulls_first())
 
 
+def newest_first(news: DataFrame) -> DataFrame:
+    """The news of every company with their ``place``: newest first, undated ones before all others, ties by url."""
+    order = Window.partitionBy("company_id").orderBy(F.col("published_at").desc_nulls_first(), "url")
+    return news.withColumn("place", F.row_number().over(order))
+
+
 def new_rows(incoming: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     """Prices by (security_id, date), news by url, statements by (company_id, fiscal_date)."""
     return incoming.join(existing.select(*keys), keys, "left_anti")

@@ -6,15 +6,29 @@ all checks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import time
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .clean import clean_symbol, trimmed
-from .lookup import new_rows
-from .validate import is_us_equity, reject_invalid_batches
+from .clean import COMPANY, INCOME_STATEMENT, NEWS, clean_company, clean_income_statement, clean_news, clean_symbol, conform, trimmed
+from .lookup import companies_of, new_rows, rekey
+from .validate import is_us_equity, reject_invalid_batches, require, require_same_symbol, require_symbol, valid_company, valid_income_statement, valid_news
 
+# Concepts of a statement, the tags that report each in the order of preference, preferred units.
 CONCEPTS = ("total_revenue", "gross_profit", "operating_income", "net_income", "eps", "shares_outstanding")
 
+FACT_TAGS = {
+    "total_revenue": ["RevenueFromContractWithCustomerExcludingAssessedTax", "Revenues", "SalesRevenueNet"],
+    "gross_profit": ["GrossProfit"],
+    "operating_income": ["OperatingIncomeLoss"],
+    "net_income": ["NetIncomeLoss", "ProfitLoss"],
+    "eps": ["EarningsPerShareDiluted", "EarningsPerShareBasic"],
+    "shares_outstanding": ["WeightedAverageNumberOfDilutedSharesOutstanding", "WeightedAverageNumberOfSharesOutstandingBasic"],
+}
+FACT_UNITS = {"total_revenue": "USD", "gross_profit": "USD", "operating_income": "USD", "net_income": "USD", "eps": "USD-per-shares", "shares_outstanding": "shares"}
+
 
 def normalise_universe(df: DataFrame) -> DataFrame:
     made = {"cik": trimmed(F.col("cik")), "name": trimmed(F.col("name")), "symbol": clean_symbol(F.col("symbol")), "exchange": clean_symbol(F.coalesce("exchange", F.lit("")))}
@@ -48,12 +62,14 @@ def merge_companies(companies: DataFrame, feed: DataFrame) -> DataFrame:
 
 
 def merge_securities(securities: DataFrame, feed: DataFrame) -> DataFrame:
-    """By symbol: new listings come in, those of the same company take the exchange, another company's raise."""
+    """By symbol: new listings come in, those of the same company take the exchange, another company's raise. Other
+    columns of ``securities`` stay, and are null for new ones."""
     f = feed.select("symbol", F.col("cik").alias("__cik"), F.col("exchange").alias("__exchange"))
     joined = securities.join(f, "symbol", "full")
     clash = F.col("cik").isNotNull() & F.col("__cik").isNotNull() & (F.col("cik") != F.col("__cik"))
     joined = joined.where(F.when(clash, F.raise_error(F.concat(F.lit("another company has "), "symbol")).cast("boolean")).otherwise(True))
-    return joined.select("symbol", F.coalesce("cik", "__cik").alias("cik"), F.coalesce("__exchange", "exchange").alias("exchange"))
+    made = {"symbol": F.col("symbol"), "cik": F.coalesce("cik", "__cik"), "exchange": F.coalesce("__exchange", "exchange")}
+    return joined.select(*[made[c].alias(c) if c in made else c for c in securities.columns])
 
 
 def sync_universe(companies: DataFrame, securities: DataFrame, feed: DataFrame) -> tuple[DataFrame, DataFrame, int]:
@@ -75,12 +91,45 @@ def sync_rows(existing: DataFrame, incoming: DataFrame, keys: list[str], valid:
     return existing.unionByName(staged, allowMissingColumns=True), staged, staged.count()
 
 
+def sync_news(existing: DataFrame, incoming: DataFrame, securities: DataFrame, companies: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """News (symbol and a news record) after resolving, conforming, cleaning and whole-batch validation, by new url.
+
+    An unknown symbol and a record that does not conform raise; a symbol with an invalid record is left out whole.
+    """
+    rows = clean_news(conform(incoming.withColumn("symbol", clean_symbol(F.col("symbol"))), NEWS, keys=("symbol",)))
+    owners = companies_of(require_symbol(rows), securities, companies).select("symbol", "company_id")
+    return sync_rows(existing, rekey(rows, "symbol", "company_id", owners), ["url"], valid_news(), "company_id", on_duplicate="first")
+
+
+def sync_statements(existing: DataFrame, incoming: DataFrame, securities: DataFrame, companies: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Statements (symbol and a statement record), as ``sync_news``, by new company and fiscal date."""
+    rows = clean_income_statement(conform(incoming.withColumn("symbol", clean_symbol(F.col("symbol"))), INCOME_STATEMENT, keys=("symbol",)))
+    owners = companies_of(require_symbol(rows), securities, companies).select("symbol", "company_id")
+    return sync_rows(existing, rekey(rows, "symbol", "company_id", owners), ["company_id", "fiscal_date"], valid_income_statement(), "company_id")
+
+
+def sync_profiles(companies: DataFrame, incoming: DataFrame, securities: DataFrame) -> DataFrame:
+    """Companies (with id and cik) after the profiles of requested symbols; one that is invalid or answers for another
+    symbol raises."""
+    rows = clean_company(conform(incoming.withColumn("requested_symbol", clean_symbol(F.col("requested_symbol"))), COMPANY, keys=("requested_symbol",)))
+    rows = require_same_symbol(require(rows, ~valid_company(), "a profile is invalid"))
+    owners = companies_of(rows, securities, companies.select("id", "cik")).select("symbol", "cik")
+    return update_profiles(companies, rows.join(owners, "symbol"))
+
+
+def statements_of_facts(facts: DataFrame) -> DataFrame:
+    """Annual statements of long facts as ``parse_facts`` gives them, by the preferred tags and units."""
+    return annual_statements(first_available(facts, FACT_TAGS, FACT_UNITS))
+
+
 def update_profiles(companies: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Profiles of known companies overwritten; companies are never created here."""
+    """Profiles of known companies overwritten, and their cik where ``new_cik`` has one; none is created here."""
     changed = [c for c in ("name", "sector", "industry", "country", "website", "market_cap") if c in incoming.columns]
-    new = incoming.select("cik", F.lit(True).alias("__hit"), *[F.col(c).alias(f"__{c}") for c in changed])
+    given = ["new_cik"] if "new_cik" in incoming.columns else []
+    new = incoming.select("cik", F.lit(True).alias("__hit"), *given, *[F.col(c).alias(f"__{c}") for c in changed])
     joined = companies.join(new, "cik", "left")
-    return joined.select(*[F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in changed else c for c in companies.columns])
+    made = {c: F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)) for c in changed} | {"cik": F.coalesce("new_cik", "cik") for _ in given}
+    return joined.select(*[made[c].alias(c) if c in made else c for c in companies.columns])
 
 
 def first_available(facts: DataFrame, tags: dict[str, list[str]], units: dict[str, str]) -> DataFrame:
@@ -147,3 +196,26 @@ def first_of_each(df: DataFrame, key: str, order: Column, n: int) -> DataFrame:
 def publish(df: DataFrame, path: str, append: bool = False) -> None:
     """One write job: its commit makes all rows visible or none."""
     df.write.mode("append" if append else "errorifexists").parquet(path)
+
+
+def publish_all(tables: dict[str, DataFrame], folder: str) -> str:
+    """Writes tables as one new version of a folder; readers see all of them or, until the last is written, none."""
+    spark = next(iter(tables.values())).sparkSession
+    version = f"{folder}/v{time.time_ns():020}-{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        df.write.parquet(f"{version}/{name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{version}/_COMPLETE")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path).close()
+    return version
+
+
+def published(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of the newest complete version of a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    where = path(folder)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    versions = sorted(s.getPath().getName() for s in files.listStatus(where))
+    done = [v for v in versions if v.startswith("v") and files.exists(path(f"{folder}/{v}/_COMPLETE"))]
+    if not done:
+        raise LookupError(f"{folder} has no complete version")
+    return spark.read.parquet(f"{folder}/{done[-1]}/{name}")

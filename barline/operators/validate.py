@@ -22,8 +22,14 @@ def finite(c: str) -> Column:
     return F.coalesce(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.lit(False))
 
 
+def company_faults() -> Column:
+    """The names of the fields that make a company invalid."""
+    wrong = {c: ~filled(c) for c in ("symbol", "name", "sector", "industry", "country", "website")} | {"market_cap": F.coalesce(F.col("market_cap") < 0, F.lit(False))}
+    return F.filter(F.array(*[F.when(w, F.lit(c)) for c, w in wrong.items()]), lambda c: c.isNotNull())
+
+
 def valid_company() -> Column:
-    return _all(*[filled(c) for c in ("symbol", "name", "sector", "industry", "country", "website")], F.coalesce(F.col("market_cap") >= 0, F.lit(True)))
+    return F.size(company_faults()) == 0
 
 
 def valid_price() -> Column:
@@ -55,9 +61,13 @@ def require(df: DataFrame, wrong: Column, message: str) -> DataFrame:
     return df.where(F.when(F.coalesce(wrong, F.lit(False)), F.raise_error(message).cast("boolean")).otherwise(True))
 
 
+def same_symbol(requested: str = "requested_symbol") -> Column:
+    return F.col("symbol").eqNullSafe(F.col(requested))
+
+
 def require_symbol(df: DataFrame) -> DataFrame:
     return require(df, ~filled("symbol"), "a symbol is blank")
 
 
 def require_same_symbol(df: DataFrame, requested: str = "requested_symbol") -> DataFrame:
-    return require(df, ~F.col("symbol").eqNullSafe(F.col(requested)), "a provider answered for another symbol")
+    return require(df, ~same_symbol(requested), "a provider answered for another symbol")

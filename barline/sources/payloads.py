@@ -30,40 +30,60 @@ def read_bars(spark: SparkSession, path: str, kind: str = "csv", **options) -> D
     return raw.select(*keys, *shown).withColumns(zero | {"volume": F.col("volume").cast("long")})
 
 
+def _checked(c: Column, ok: Column, message: str) -> Column:
+    return F.when(ok, c).otherwise(F.raise_error(message))
+
+
+def _objects(json: Column) -> Column:
+    """The items of a JSON list of objects, each as JSON; anything else raises."""
+    items = F.from_json(json, "array<string>")
+    ok = json.rlike(r"^\s*\[") & items.isNotNull() & ~F.exists(items, lambda x: x.isNull() | ~x.startswith("{"))
+    return _checked(items, F.coalesce(ok, F.lit(False)), "a payload is no list of objects")
+
+
 def parse_profiles(raw: DataFrame) -> DataFrame:
-    j = F.from_json("json", "longName string, sector string, industry string, country string, website string, marketCap long")
+    """Missing texts are empty. A market value that is no whole number raises."""
+    j = F.from_json("json", "longName string, sector string, industry string, country string, website string, marketCap double")
     text = lambda c: F.coalesce(F.col(f"j.{c}"), F.lit(""))
-    return raw.select("symbol", j.alias("j")).select("symbol", text("longName").alias("name"), *[text(c).alias(c) for c in ("sector", "industry", "country", "website")], F.col("j.marketCap").alias("market_cap"))
+    cap = F.col("j.marketCap")
+    cap = _checked(cap.cast("long"), F.coalesce(cap == F.floor(cap), F.lit(True)), "a market value is no whole number")
+    return raw.select("symbol", j.alias("j")).select("symbol", text("longName").alias("name"), *[text(c).alias(c) for c in ("sector", "industry", "country", "website")], cap.alias("market_cap"))
 
 
 def parse_news(raw: DataFrame) -> DataFrame:
-    """Providers and urls that are missing or no objects are empty; times are milliseconds since 1970, or null."""
-    item = "array<struct<content: struct<title: string, summary: string, pubDate: string, provider: string, canonicalUrl: string>>>"
-    rows = raw.select("symbol", F.posexplode(F.from_json("json", item))).select("symbol", "pos", "col.content.*")
+    """Providers and urls that are missing or no objects are empty; times are milliseconds since 1970, or null where they
+    are no numbers or lie outside the years 1 to 9999. Items and contents that are no objects raise."""
+    kind = "title string, summary string, pubDate string, provider string, canonicalUrl string"
+    rows = raw.select("symbol", F.posexplode(_objects(F.col("json"))))
+    content = F.coalesce(F.get_json_object("col", "$.content"), F.lit("{}"))
+    content = F.from_json(_checked(content, content.startswith("{"), "a news item's content is no object"), kind)
+    rows = rows.select("symbol", "pos", content.alias("c")).select("symbol", "pos", "c.*")
     text = lambda c: F.coalesce(c, F.lit(""))
-    millis = F.col("pubDate").try_cast("double").cast("long")
+    millis = F.col("pubDate").try_cast("double")
+    at = F.when(millis.between(-62135596800000.0, 253402300799999.0), F.timestamp_millis(millis.try_cast("long")))
     return rows.select(
         "symbol", "pos", text(F.col("title")).alias("title"), text(F.get_json_object("provider", "$.displayName")).alias("publisher"), text(F.col("summary")).alias("summary"),
-        text(F.get_json_object("canonicalUrl", "$.url")).alias("url"), F.timestamp_millis(millis).alias("published_at"),
+        text(F.get_json_object("canonicalUrl", "$.url")).alias("url"), at.alias("published_at"),
     )
 
 
 def parse_statements(raw: DataFrame, limit: int = 10) -> DataFrame:
-    """The first ``limit`` statements of each list; a payload that is no list of objects raises."""
+    """The first ``limit`` statements of each list; a payload that is no list of objects, or has no date, raises."""
     if limit <= 0:
         raise ValueError("limit must be greater than zero")
-    item = "array<struct<date: date, revenue: double, grossProfit: double, operatingIncome: double, netIncome: double, eps: double, weightedAverageShsOut: long>>"
-    parsed = F.from_json("json", item, {"mode": "FAILFAST"})
-    rows = raw.select("symbol", F.posexplode(parsed)).where(F.col("pos") < limit)
+    kind = "date date, revenue double, grossProfit double, operatingIncome double, netIncome double, eps double, weightedAverageShsOut long"
+    rows = raw.select("symbol", F.posexplode(_objects(F.col("json")))).where(F.col("pos") < limit)
+    rows = rows.select("symbol", F.from_json("col", kind, {"mode": "FAILFAST"}).alias("s"))
     names = {"date": "fiscal_date", "revenue": "total_revenue", "grossProfit": "gross_profit", "operatingIncome": "operating_income", "netIncome": "net_income", "eps": "eps", "weightedAverageShsOut": "shares_outstanding"}
-    return rows.select("symbol", *[F.col(f"col.{c}").alias(n) for c, n in names.items()])
+    shown = [F.col(f"s.{c}").alias(n) for c, n in names.items() if c != "date"]
+    return rows.select("symbol", _checked(F.col("s.date"), F.col("s.date").isNotNull(), "a statement has no date").alias("fiscal_date"), *shown)
 
 
 def parse_facts(raw: DataFrame) -> DataFrame:
     """Company facts (cik, json) as long rows: cik, tag, unit, unit_pos, pos, end, val, form, fp, filed."""
     fact = "struct<end: string, val: double, form: string, fp: string, filed: string>"
     kind = f"facts struct<`us-gaap`: map<string, struct<units: map<string, array<{fact}>>>>>"
-    tags = raw.select("cik", F.explode(F.col("j.facts.us-gaap")).alias("tag", "t")) if "j" in raw.columns else raw.select("cik", F.explode(F.from_json("json", kind)["facts"]["us-gaap"]).alias("tag", "t"))
+    tags = raw.select("cik", F.explode(F.from_json("json", kind)["facts"]["us-gaap"]).alias("tag", "t"))
     units = tags.select("cik", "tag", F.posexplode(F.col("t.units")).alias("unit_pos", "unit", "facts"))
     return units.select("cik", "tag", "unit", "unit_pos", F.posexplode_outer("facts").alias("pos", "f")).select("cik", "tag", "unit", "unit_pos", "pos", "f.*")
 
@@ -83,6 +103,7 @@ def parse_universe(raw: DataFrame) -> DataFrame:
 
 
 def parse_ticker_map(raw: DataFrame) -> DataFrame:
-    rows = raw.select(F.explode(F.from_json("json", "map<string, struct<ticker: string, cik_str: string>>")).alias("k", "v")).select("v.*", F.col("k").cast("int").alias("pos"))
-    rows = rows.where("ticker != '' and cik_str is not null").withColumn("symbol", F.upper("ticker"))
+    """(symbol, cik) of a map of objects, whatever its keys; of a symbol's entries the last counts."""
+    rows = raw.select(F.posexplode(F.from_json("json", "map<string, struct<ticker: string, cik_str: string>>")).alias("pos", "k", "v")).select("v.*", "pos")
+    rows = rows.where("ticker != '' and cik_str != ''").withColumn("symbol", F.upper("ticker"))
     return rows.groupBy("symbol").agg(F.max_by(_padded(F.col("cik_str")), "pos").alias("cik"))
