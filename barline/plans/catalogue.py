@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.indicators import REGISTRY
-from . import bars, indicator_sql, tables
+from . import bars, indicator_sql, records, tables
 
 
 #: Products over a whole series span many orders of magnitude: shown as logarithms.
@@ -32,8 +32,8 @@ def _indicator(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _indicator(name) for name in REGISTRY} | tables.queries()
+    return {name: _indicator(name) for name in REGISTRY} | tables.queries() | records.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return indicator_sql.oracle_sql() | tables.oracle_sql()
+    return indicator_sql.oracle_sql() | tables.oracle_sql() | records.oracle_sql()

@@ -109,6 +109,20 @@ def _psar_free() -> dict[str, str]:
     }
 
 
+#: A state machine over the bars of a symbol: direction, gain, stop and extreme.
+PARABOLIC = f"""WITH RECURSIVE {BARS},
+  l AS MATERIALIZED (SELECT *, least(lag(low) OVER w, lag(low, 2) OVER w) AS low_before, greatest(lag(high) OVER w, lag(high, 2) OVER w) AS high_before FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+  p AS (
+    SELECT symbol, rn, date, TRUE AS up, CAST(0.02 AS DOUBLE) AS gain, low AS stop, high AS extreme FROM l WHERE rn = 0
+    UNION ALL
+    SELECT symbol, rn, date, up <> turned, CASE WHEN turned THEN CAST(0.02 AS DOUBLE) WHEN further THEN least(gain + CAST(0.02 AS DOUBLE), CAST(0.2 AS DOUBLE)) ELSE gain END, CASE WHEN turned THEN extreme ELSE stop END,
+      CASE WHEN turned AND up THEN low WHEN turned THEN high WHEN further AND up THEN high WHEN further THEN low ELSE extreme END
+    FROM (SELECT *, CASE WHEN up THEN low < stop ELSE high > stop END AS turned, CASE WHEN up THEN high > extreme ELSE low < extreme END AS further
+      FROM (SELECT l.symbol, l.rn, l.date, l.low, l.high, p.up, p.gain, p.extreme,
+          CASE WHEN p.up THEN least(p.stop + p.gain * (p.extreme - p.stop), l.low_before) ELSE greatest(p.stop + p.gain * (p.extreme - p.stop), l.high_before) END AS stop
+        FROM p JOIN l ON l.symbol = p.symbol AND l.rn = p.rn + 1)))
+  SELECT symbol, date, CASE WHEN rn > 0 THEN floor(stop * 10000 + 0.5) / 10000.0 END AS psar FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """All but the parabolic stop, whose state machine is held against a brute-force version in the tests."""
-    return _psar_free()
+    return _psar_free() | {"i10_parabolic_sar": PARABOLIC}

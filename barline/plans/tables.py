@@ -11,7 +11,6 @@ from ..operators import clean, lookup, reconcile, validate
 from . import bars
 
 _BARS = "WITH " + bars.SQL
-SPLIT = "1996-01-01"
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,9 +40,12 @@ def p2_clean_text(spark, sf_dir):
 
 
 def p9_valid_price(spark, sf_dir):
-    b = clean.clean_price(bars.daily_bars(spark, sf_dir))
-    broken = b.withColumn("high", F.when(F.col("volume") % 97 == 0, F.col("low") - 1).otherwise(F.col("high")))
-    return broken.select("symbol", "date", validate.valid_price().alias("valid"))
+    """Bars with a high under the low, a close that is no number, no date, a negative volume, an infinite open."""
+    v = F.col("volume")
+    wrong = {"high": (97, F.col("low") - 1), "close": (89, F.lit(float("nan"))), "open": (73, F.lit(float("inf")))}
+    b = clean.clean_price(bars.daily_bars(spark, sf_dir)).withColumns({"key": F.col("date"), "seen": v})
+    broken = b.withColumns({c: F.when(v % n == 0, x).otherwise(F.col(c)) for c, (n, x) in wrong.items()} | {"date": F.when(v % 83 > 0, F.col("date")), "volume": F.when(v % 79 == 0, F.lit(-1)).otherwise(v)})
+    return broken.select("symbol", "key", validate.valid_price().alias("valid"))
 
 
 def p12_batch_validation(spark, sf_dir):
@@ -62,14 +64,24 @@ def j2_security_company(spark, sf_dir):
     return lookup.with_company(listed.drop("id"), _companies(spark, sf_dir)).select("symbol", "company_id", "name")
 
 
+def _stored_days(spark, sf_dir):
+    """Brands and days of orders of their parts, as bars that are stored already."""
+    items = _read(spark, sf_dir, "lineitem").join(_read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(_read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return items.select(F.col("p_brand").alias("symbol"), F.col("o_orderdate").alias("date")).distinct()
+
+
+_STORED = "stored AS (SELECT DISTINCT p_brand AS symbol, o_orderdate AS date FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"
+
+
 def j6_new_prices(spark, sf_dir):
-    b = bars.daily_bars(spark, sf_dir)
-    return lookup.new_rows(b.where(F.month("date") > 3), b.where(F.col("date") < SPLIT), ["symbol", "date"]).select("symbol", "date", "volume")
+    return lookup.new_rows(bars.daily_bars(spark, sf_dir), _stored_days(spark, sf_dir), ["symbol", "date"]).select("symbol", "date", "volume")
 
 
 def j7_new_news(spark, sf_dir):
-    p = _read(spark, sf_dir, "pages")
-    return lookup.new_rows(p, p.where("page_id % 2 = 0"), ["url"]).select("page_id", "url")
+    """Turns of conversations as news, labels as stored ones."""
+    url = lambda c: F.concat(F.lit("http://c/"), F.col(c).cast("string")).alias("url")
+    n = _read(spark, sf_dir, "conversations").select("conv_id", "turn", url("conv_id"))
+    return lookup.new_rows(n, _read(spark, sf_dir, "labels").select(url("doc_id")), ["url"])
 
 
 def j11_listings_of_companies(spark, sf_dir):
@@ -79,7 +91,7 @@ def j11_listings_of_companies(spark, sf_dir):
 
 def j16_without_children(spark, sf_dir):
     c = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
-    return lookup.without(c, _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), ["k"])
+    return lookup.without(c, _read(spark, sf_dir, "events").select(F.col("user_id").alias("k")), ["k"])
 
 
 def agg1_dedupe_universe(spark, sf_dir):
@@ -111,19 +123,22 @@ def agg8_annual_statements(spark, sf_dir):
 
 def mrg1_companies(spark, sf_dir):
     old = _companies(spark, sf_dir).select("cik", "name", F.lit("tools").alias("sector"))
-    feed = _read(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.lpad(F.col("c_custkey").cast("string"), 10, "0").alias("cik"), F.col("c_name").alias("name"))
+    feed = _read(spark, sf_dir, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 10, "0").alias("cik"), F.col("c_name").alias("name"))
     return reconcile.merge_companies(old, feed)
 
 
 def mrg2_securities(spark, sf_dir):
-    u = agg1_dedupe_universe(spark, sf_dir)
-    old = u.where("symbol LIKE '%X0' OR symbol LIKE '%X1'").select("symbol", "cik", F.lit("OLD").alias("exchange"))
-    return reconcile.merge_securities(old, u.where("symbol LIKE '%X1' OR symbol LIKE '%X2'"))
+    """One listing of every customer is stored; the feed has up to three."""
+    c = _read(spark, sf_dir, "customer")
+    old = c.select(F.concat(F.lit("S"), F.col("c_custkey").cast("string"), F.lit("X0")).alias("symbol"), F.col("c_custkey").cast("string").alias("cik"), F.lit("OLD").alias("exchange"), (F.col("c_custkey") + 1).alias("id"))
+    return reconcile.merge_securities(old, agg1_dedupe_universe(spark, sf_dir))
 
 
 def mrg4_price_sync(spark, sf_dir):
-    b = clean.clean_price(bars.daily_bars(spark, sf_dir))
-    _, staged, _ = reconcile.sync_rows(b.where(F.col("date") < SPLIT), b.where(F.month("date") > 3), ["symbol", "date"], validate.valid_price(), "symbol")
+    """Bars of whole years that hold no broken one, on days that are not stored."""
+    b = clean.clean_price(bars.daily_bars(spark, sf_dir)).withColumn("year", F.concat_ws("-", "symbol", F.year("date")))
+    broken = b.withColumn("low", F.when(F.col("volume") % 101 == 0, F.lit(-1.0)).otherwise(F.col("low")))
+    _, staged, _ = reconcile.sync_rows(_stored_days(spark, sf_dir), broken, ["symbol", "date"], validate.valid_price(), "year")
     return staged.select("symbol", "date", "volume")
 
 
@@ -133,7 +148,7 @@ def ic2_duplicates(spark, sf_dir):
 
 def ic4_orphans(spark, sf_dir):
     o = _read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("k"))
-    return reconcile.orphans(o, _read(spark, sf_dir, "customer").where("c_custkey % 10 > 0").select(F.col("c_custkey").alias("k")), ["k"])
+    return reconcile.orphans(o, _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")), ["k"])
 
 
 def bf2_representative_listing(spark, sf_dir):
@@ -156,23 +171,23 @@ _VALUE = "arg_max(val, row(filed, -pos)) FILTER (concept = '{0}') AS {0}"
 
 ORACLE: dict[str, str] = {
     "p2_clean_text": r"SELECT doc_id, md5(coalesce(trim(regexp_replace(text, '[\s\x0b\x1c-\x1f\x{85}\x{a0}]+', ' ', 'g')), '')) AS clean_md5 FROM documents",
-    "p9_valid_price": f"{_BARS} SELECT symbol, date, volume % 97 <> 0 AS valid FROM bars",
+    "p9_valid_price": f"{_BARS} SELECT symbol, date AS key, volume % 97 <> 0 AND volume % 89 <> 0 AND volume % 73 <> 0 AND volume % 83 <> 0 AND volume % 79 <> 0 AS valid FROM bars",
     "p12_batch_validation": f"{_BARS} SELECT symbol || '-' || year(date) AS year, count(*) AS bars FROM bars GROUP BY 1 HAVING bool_and(volume % 97 <> 0)",
     "p13_us_equities": f"SELECT * FROM ({_LISTED}) WHERE {_US}",
     "j2_security_company": "SELECT 'C' || c_custkey AS symbol, c_custkey % 50 AS company_id, s_name AS name FROM customer JOIN supplier ON s_suppkey = c_custkey % 50",
-    "j6_new_prices": f"{_BARS} SELECT symbol, date, volume FROM bars WHERE month(date) > 3 AND date >= '{SPLIT}'",
-    "j7_new_news": "SELECT page_id, url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 2 = 0)",
+    "j6_new_prices": f"{_BARS}, {_STORED} SELECT symbol, date, volume FROM bars ANTI JOIN stored USING (symbol, date)",
+    "j7_new_news": "SELECT conv_id, turn, 'http://c/' || conv_id AS url FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM labels)",
     "j11_listings_of_companies": "SELECT c_custkey, c_nationkey AS n_nationkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)",
-    "j16_without_children": "SELECT c_custkey AS k FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "j16_without_children": "SELECT c_custkey AS k FROM customer WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey)",
     "agg1_dedupe_universe": _LISTED,
     "agg2_symbol_conflicts": "SELECT 'S' || (o_orderkey % 900) AS symbol, count(DISTINCT o_custkey) AS n_ciks FROM orders GROUP BY 1 HAVING count(DISTINCT o_custkey) > 1",
     "agg3_representatives": f"SELECT cik, arg_min(name, symbol) AS name, count(*) AS listings FROM ({_LISTED}) GROUP BY cik",
     "agg8_annual_statements": f"SELECT cik, fiscal_date, {', '.join(_VALUE.format(c) for c in ('total_revenue', 'net_income', 'eps'))} FROM ({_FACTS}) GROUP BY cik, fiscal_date HAVING bool_or(concept = 'total_revenue')",
-    "mrg1_companies": "SELECT coalesce(a.cik, b.cik) AS cik, coalesce(b.name, a.name) AS name, CASE WHEN a.cik IS NULL THEN '' ELSE 'tools' END AS sector FROM (SELECT lpad(CAST(s_suppkey AS VARCHAR), 10, '0') AS cik, s_name AS name FROM supplier) a FULL JOIN (SELECT lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS cik, c_name AS name FROM customer WHERE c_custkey % 3 = 0) b ON a.cik = b.cik",
-    "mrg2_securities": f"SELECT symbol, cik, CASE WHEN symbol LIKE '%X0' THEN 'OLD' ELSE exchange END AS exchange FROM ({_LISTED})",
-    "mrg4_price_sync": f"{_BARS} SELECT symbol, date, volume FROM bars WHERE month(date) > 3 AND date >= '{SPLIT}'",
+    "mrg1_companies": "SELECT coalesce(a.cik, b.cik) AS cik, coalesce(b.name, a.name) AS name, CASE WHEN a.cik IS NULL THEN '' ELSE 'tools' END AS sector FROM (SELECT lpad(CAST(s_suppkey AS VARCHAR), 10, '0') AS cik, s_name AS name FROM supplier) a FULL JOIN (SELECT lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS cik, c_name AS name FROM customer) b ON a.cik = b.cik",
+    "mrg2_securities": f"SELECT coalesce(a.symbol, b.symbol) AS symbol, coalesce(a.cik, b.cik) AS cik, coalesce(b.exchange, 'OLD') AS exchange, a.id FROM (SELECT 'S' || c_custkey || 'X0' AS symbol, CAST(c_custkey AS VARCHAR) AS cik, c_custkey + 1 AS id FROM customer) a FULL JOIN ({_LISTED}) b ON a.symbol = b.symbol",
+    "mrg4_price_sync": f"{_BARS}, {_STORED} SELECT symbol, date, volume FROM (SELECT * FROM bars QUALIFY bool_and(volume % 101 <> 0) OVER (PARTITION BY symbol, year(date))) ANTI JOIN stored USING (symbol, date)",
     "ic2_duplicates": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
-    "ic4_orphans": "SELECT o_custkey AS k, o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 > 0)",
+    "ic4_orphans": "SELECT o_custkey AS k, o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT s_suppkey FROM supplier)",
     "bf2_representative_listing": "SELECT c_nationkey AS company_id, arg_min(c_name, c_custkey) AS symbol, 'NYSE' AS exchange FROM customer GROUP BY 1",
     "so7_first_statements": "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey DESC) <= 3",
     "so8_latest_bar": f"{_BARS} SELECT symbol, date, volume FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1",

@@ -98,3 +98,97 @@ def test_bar_files(spark, tmp_path):
     (tmp_path / "b.csv").write_text("Date,Open\n2024-01-02,1\n")
     with pytest.raises(ValueError, match="Close"):
         payloads.read_bars(spark, str(tmp_path / "b.csv"))
+
+
+def test_bad_payloads_raise_or_are_null(spark):
+    raw = lambda *rows: spark.createDataFrame(list(rows), "symbol string, json string")
+    times = ['"NaN"', "1e300", "9e18", '"soon"', "null", "1700000000000"]
+    got = payloads.parse_news(raw(("A", "[" + ",".join(f'{{"content": {{"pubDate": {t}}}}}' for t in times) + ', {}]'))).orderBy("pos").collect()
+    assert [r["published_at"] is not None for r in got] == [False] * 5 + [True, False] and got[6]["title"] == ""
+    for bad in ('{"content": {}}', "[1]", '[{"content": 3}]', "nonsense"):
+        with pytest.raises(Exception, match="no list of objects|no object"):
+            payloads.parse_news(raw(("A", bad))).collect()
+    for bad in ('{"date": "2024-01-01"}', "[[]]", '[{"revenue": 1}]'):
+        with pytest.raises(Exception, match="no list of objects|no date"):
+            payloads.parse_statements(raw(("A", bad))).collect()
+    assert payloads.parse_statements(raw(("A", '[{"date": "2024-01-01", "revenue": 1.5}]'))).first()["total_revenue"] == 1.5
+    assert [r["market_cap"] for r in payloads.parse_profiles(raw(("A", '{"marketCap": 1.5e12}'), ("B", "{}"))).collect()] == [1500000000000, None]
+    with pytest.raises(Exception, match="whole number"):
+        payloads.parse_profiles(raw(("A", '{"marketCap": 1.5}'))).collect()
+    tickers = payloads.parse_ticker_map(spark.createDataFrame([('{"x": {"ticker": "a", "cik_str": 1}, "y": {"ticker": "A", "cik_str": 2}, "z": {"ticker": "b", "cik_str": ""}}',)], "json string"))
+    assert [tuple(r) for r in tickers.collect()] == [("A", "0000000002")]
+
+
+def test_strict_lookups(spark):
+    securities = spark.createDataFrame([("A", 1), ("B", 2)], "symbol string, company_id long")
+    companies = spark.createDataFrame([(1, "one")], "id long, name string")
+    with pytest.raises(Exception, match="no company 2"):
+        lookup.with_company(securities, companies).collect()
+    assert lookup.with_company(securities, companies, strict=False).count() == 1
+    with pytest.raises(Exception, match="no cik for B"):
+        lookup.ciks_of(securities, spark.createDataFrame([("A", "1")], "symbol string, cik string")).collect()
+    with pytest.raises(Exception, match="company_id"):
+        lookup.rekey(securities.select("symbol"), "symbol", "company_id", securities.where("symbol = 'A'")).collect()
+
+
+def test_conforming_and_requirements(spark):
+    df = spark.createDataFrame([("A", "n", "1"), ("B", None, "1"), ("C", "n", "x")], "symbol string, name string, market_cap string").withColumns({c: F.lit("t") for c in ("sector", "industry", "country", "website")})
+    assert [r["conforms"] for r in clean.conform(df, clean.COMPANY, "mark").orderBy("symbol").collect()] == [True, False, False]
+    with pytest.raises(Exception, match="conform"):
+        clean.conform(df, clean.COMPANY).collect()
+    with pytest.raises(ValueError, match="symbol"):
+        clean.conform(df.drop("symbol"), clean.COMPANY)
+    with pytest.raises(Exception, match="blank"):
+        validate.require_symbol(df.withColumn("symbol", F.lit(" "))).collect()
+    with pytest.raises(Exception, match="another symbol"):
+        validate.require_same_symbol(df.withColumn("requested_symbol", F.lit("A"))).collect()
+
+
+def test_composed_syncs(spark):
+    companies = spark.createDataFrame([(1, "0001", "One", "s", "i", "c", "w", 5), (2, "0002", "Two", "s", "i", "c", "w", 5)], "id long, cik string, name string, sector string, industry string, country string, website string, market_cap long")
+    securities = spark.createDataFrame([("A", 1), ("B", 2)], "symbol string, company_id long")
+    news = lambda *rows: spark.createDataFrame(list(rows), "symbol string, title string, publisher string, summary string, url string, published_at timestamp")
+    stored = spark.createDataFrame([(1, "t", "p", "s", "u1", None)], "company_id long, title string, publisher string, summary string, url string, published_at timestamp")
+    table, staged, count = reconcile.sync_news(stored, news((" a", "t", "p", "s", "u1", None), ("A", "t", "p", "s", "u2", None), ("A", "t", "p", "s", "u2", None), ("b", "t", "  ", "s", "u3", None)), securities, companies)
+    assert count == 1 and [tuple(r)[:2] for r in staged.select("url", "company_id").collect()] == [("u2", 1)] and table.count() == 2
+    for bad, error in ((("Z", "t", "p", "s", "u", None), "not found"), (("A", None, "p", "s", "u", None), "conform"), ((" ", "t", "p", "s", "u", None), "blank")):
+        with pytest.raises(Exception, match=error):
+            reconcile.sync_news(stored, news(bad), securities, companies)[1].collect()
+    statements = spark.createDataFrame([("a", datetime.date(2024, 1, 1), 1.0)], "symbol string, fiscal_date date, total_revenue double")
+    assert reconcile.sync_statements(spark.createDataFrame([], "company_id long, fiscal_date date"), statements, securities, companies)[2] == 1
+    with pytest.raises(ValueError, match="twice"):
+        reconcile.sync_statements(spark.createDataFrame([], "company_id long, fiscal_date date"), statements.union(statements), securities, companies)
+    profile = lambda requested, symbol, cap=7: spark.createDataFrame([(requested, symbol, "New", "x", "i", "c", "w", cap)], "requested_symbol string, symbol string, name string, sector string, industry string, country string, website string, market_cap long")
+    got = {r["id"]: (r["name"], r["market_cap"]) for r in reconcile.sync_profiles(companies, profile(" a", "A "), securities).collect()}
+    assert got == {1: ("New", 7), 2: ("Two", 5)}
+    for asked, error in ((profile("A", "B"), "another symbol"), (profile("A", "A", -1), "invalid"), (profile("Z", "Z"), "not found")):
+        with pytest.raises(Exception, match=error):
+            reconcile.sync_profiles(companies, asked, securities).collect()
+
+
+def test_versions_are_published_whole(spark, tmp_path):
+    df = spark.range(3)
+    with pytest.raises(LookupError):
+        (tmp_path / "v0").mkdir()
+        reconcile.published(spark, str(tmp_path), "a")
+    reconcile.publish_all({"a": df, "b": df}, str(tmp_path))
+    reconcile.publish_all({"a": df.union(df), "b": df}, str(tmp_path))
+    (tmp_path / "v9-broken" / "a").mkdir(parents=True)
+    assert reconcile.published(spark, str(tmp_path), "a").count() == 6
+    reconcile.publish(df, str(tmp_path / "t"))
+    with pytest.raises(Exception, match="exists"):
+        reconcile.publish(df, str(tmp_path / "t"))
+    reconcile.publish(df, str(tmp_path / "t"), append=True)
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 6 and payloads.price_table(spark, str(tmp_path / "t")).count() == 6
+
+
+def test_stream_of_files(spark, tmp_path):
+    from barline.streaming.feeds import sync_stream
+
+    rows = lambda *urls: spark.createDataFrame([(u, "t") for u in urls], "url string, title string")
+    rows("u1").write.parquet(str(tmp_path / "table"))
+    rows("u1", "u2", "u2").write.parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        feed = spark.readStream.schema("url string, title string").parquet(str(tmp_path / "in"))
+        sync_stream(feed, str(tmp_path / "table"), ["url"], F.lit(True), "url", str(tmp_path / "checkpoint")).awaitTermination()
+    assert sorted(r["url"] for r in spark.read.parquet(str(tmp_path / "table")).collect()) == ["u1", "u2"]
