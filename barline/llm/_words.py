@@ -73,7 +73,7 @@ def released(function: Callable) -> Callable:
     return run
 
 
-def slices(batch: pa.RecordBatch, name: str = "text", most: int = (1 << 20) - 1) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, name: str = "text", most: int = (1 << 19) - 1) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text each (one row at least), so that memory stays bounded."""
     _, places = utf8(batch.column(batch.schema.get_field_index(name)))
     first = 0
@@ -115,7 +115,7 @@ class Words:
         return spans(self.data, self.begin, self.end)
 
 
-def spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray, most: int = 15 << 15) -> np.ndarray:
+def spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray, most: int = 7 << 15) -> np.ndarray:
     """A 64-bit hash of each span of bytes: differences of one running sum of powers.
 
     ``begin`` must not fall. About ``most`` bytes are summed at a time, so that tables of powers stay small.

@@ -35,7 +35,7 @@ _MARK[list(b".,;:!?")] = True
 #: White space of the pattern (Unicode White_Space) beyond ASCII.
 _WIDE = "[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: Cuts whose ids a worker remembers at most (about 40 bytes each), and bytes of text that are encoded together.
-_KEEP, _TOGETHER = 1 << 20, 1 << 21
+_KEEP, _TOGETHER = 1 << 19, 1 << 20
 
 
 def default_paths() -> tuple[str, str]:

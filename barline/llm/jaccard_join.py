@@ -103,7 +103,7 @@ def _send_shingles(n: int, buckets: int):
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in chunks(batches, 1 << 23):
+        for whole in chunks(batches, 3 << 21):
             held, seen = [], np.zeros(0, np.uint64)
             for batch in slices(whole):
                 value, places = _sets(batch.column(0), n)
