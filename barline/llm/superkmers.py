@@ -69,20 +69,58 @@ def _minimisers(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, low, np.flatnonzero(w.row[: len(low)] == w.row[k - 1 :])
 
 
-def _count_slots(k: int, slots: int):
-    """(text) in; windows of each slot of minimisers out."""
+def _compact(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    slot, n = (np.concatenate(c) for c in zip(*held, strict=True))
+    slot, which = np.unique(slot, return_inverse=True)
+    return slot, np.bincount(which, n).astype(np.int64)
+
+
+def _count_slots(k: int, slots: int, parts: int):
+    """(text) in; windows of each slot of minimisers that stands in the texts, packed for the part of the slot."""
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(slots, np.int64)
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            slot, n = _compact(held)
+            held.clear()
+            part = slot % parts
+            order = np.argsort(part, kind="stable")
+            cuts = np.split(order, np.flatnonzero(np.diff(part[order])) + 1)
+            return pa.RecordBatch.from_arrays([pa.array([int(part[c[0]]) for c in cuts], pa.int32()), pa.array([_frozen(slot[c], n[c]) for c in cuts], pa.binary())], ["bucket", "packed"])
+
         for whole in batches:
             for batch in slices(whole):
                 w = words(batch.column(0))
                 if len(w.begin) >= k:
                     _, low, at = _minimisers(w, k)
-                    total += np.bincount((low[at] % np.uint64(slots)).astype(np.int64), minlength=slots)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["slot", "n"])
+                    if len(at):
+                        held.append(_compact([((low[at] % np.uint64(slots)).astype(np.int64), np.ones(len(at)))]))
+                if sum(len(h[0]) for h in held) > 1 << 20:
+                    held = [_compact(held)]
+                    if len(held[0][0]) > 1 << 19:
+                        yield flush()
+        if held:
+            yield flush()
+
+    return run
+
+
+def _sum_slots(most: int):
+    """Packed counts of slots in; slots with more than ``most`` windows, and the sum of all under slot -1, out."""
+
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            held += [_thawed(x) for x in batch.column(1).to_pylist()]
+            if sum(len(h[0]) for h in held) > 1 << 20:
+                held = [_compact(held)]
+        if held:
+            slot, n = _compact(held)
+            at = np.flatnonzero(n > most)
+            yield pa.RecordBatch.from_arrays([pa.array([-1, *slot[at].tolist()], pa.int64()), pa.array([int(n.sum()), *n[at].tolist()], pa.int64())], ["slot", "n"])
 
     return run
 
@@ -255,10 +293,12 @@ def repeated_windows(docs: DataFrame, k: int = 13, most: int = MOST) -> DataFram
     parts = width(spark)
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("key"))
     slots = parts * SLOTS
-    counts = rows.select("text").mapInArrow(_count_slots(k, slots), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    buckets = max(parts * BUCKETS, int(counts["n"].sum()) // MOST)
+    counted = rows.select("text").mapInArrow(_count_slots(k, slots, parts), "bucket int, packed binary")
+    counts = counted.repartition(parts, "bucket").mapInArrow(_sum_slots(most), "slot long, n long").toPandas()
+    total = int(counts["n"][counts["slot"] < 0].sum())
+    buckets = max(parts * BUCKETS, total // MOST)
     hot = np.zeros(slots, bool)
-    hot[counts["slot"][counts["n"] > max(most, counts["n"].sum() / buckets)]] = True
+    hot[counts["slot"][(counts["slot"] >= 0) & (counts["n"] > total / buckets)]] = True
     sent = rows.mapInArrow(_send(k, buckets, hot), "bucket int, packed binary")
     # marks (bucket -1) stay spread over all tasks
     dealt = sent.repartition(parts, F.when(F.col("bucket") < 0, F.xxhash64("packed")).otherwise(F.col("bucket")))
