@@ -287,6 +287,14 @@ def test_embedding_links(spark):
     assert got[None]["n_links"] == 0
 
 
+def test_norms_out_of_range_and_other_columns(spark):
+    rows = [(1, [1e200, 2e200]), (2, [1e200, 2e200]), (3, [1e-200, 2e-200]), (4, [1e-200, 2.01e-200]), (5, [1e200, -1e200]), (5, [1e200, -1e200])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("n_links", F.lit("x"))
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got[1]["n_links"] >= 1 and got[2]["component_id"] == 1 and got[3]["n_links"] >= 1 and got[5]["n_links"] == 0
+    assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (102, 101), (200, 200), (None, 5)]
     got = dict(map(tuple, components.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()))
