@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import byte_bpe, class_model, embedding_dedup, importance_sampling, jaccard_join, language_id, packing, repetition, secret_scan, superkmers
+from . import byte_bpe, class_model, embedding_dedup, importance_sampling, jaccard_join, language_id, oracle, packing, repetition, secret_scan, superkmers
 
 
 def queries() -> dict:
@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.ORACLE)
