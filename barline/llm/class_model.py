@@ -41,6 +41,8 @@ from ._words import chunks, mix, released, slices, spans, words
 #: The hash that stands for the end token.
 END = np.uint64(0x5BD1E9955BD1E995)
 _TAIL = 3
+#: Words of a bucket, about, where there are more than a bucket for each partition takes.
+BUCKET = 1 << 15
 
 
 def _frozen(*parts: np.ndarray) -> bytes:
@@ -224,7 +226,7 @@ def fit(texts: DataFrame, frequent: int = 2048, groups: int = 512, classes: int
     # from here on every word for itself
     spark = texts.sparkSession
     parts = width(spark)
-    buckets = parts * 4
+    buckets = max(parts, types // BUCKET)
     named = spark.createDataFrame([(int(h), k) for k, h in enumerate(units.hashes.view(np.int64))], "word long, unit int")
     unit = F.coalesce("unit", F.col("grp") + len(units.hashes))
     placed = counts.join(F.broadcast(named), "word", "left").select("word", "n", F.get(F.lit(of.tolist()).cast("array<int>"), unit).alias("class"))
