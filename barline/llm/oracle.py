@@ -28,7 +28,7 @@ least AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM texts LEFT JOIN sizes USING (doc_id) JOIN least USING (doc_id)""",
     "op7_embedding_near_dedup": """
 WITH RECURSIVE vectors AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-valid AS (SELECT vec_id, v FROM vectors WHERE len([x FOR x IN v IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN v IF x <> 0]) > 0),
+valid AS MATERIALIZED (SELECT vec_id, v FROM vectors WHERE len([x FOR x IN v IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN v IF x <> 0]) > 0),
 links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM valid a JOIN valid b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
   WHERE CASE WHEN len(a.v) = len(b.v) THEN list_cosine_similarity(a.v, b.v) >= 0.9 END),
