@@ -4,7 +4,22 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import byte_bpe, class_model, embedding_dedup, importance_sampling, jaccard_join, language_id, oracle, packing, repetition, secret_scan, superkmers
+from . import (
+    byte_bpe,
+    class_model,
+    embedding_dedup,
+    fingerprints,
+    importance_sampling,
+    jaccard_join,
+    language_id,
+    oracle,
+    packing,
+    periodic_runs,
+    repetition,
+    secret_scan,
+    superkmers,
+    whitening,
+)
 
 
 def queries() -> dict:
@@ -19,6 +34,9 @@ def queries() -> dict:
         packing.op8_best_fit_packing,
         importance_sampling.op9_importance_resampling,
         secret_scan.op10_secret_scan,
+        whitening.op11_embedding_whitening,
+        fingerprints.op12_document_fingerprints,
+        periodic_runs.op13_periodic_runs,
     )
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
