@@ -1,18 +1,84 @@
-"""Windows over ordered bars: rows of one symbol in date order.
+"""Windows and scans over ordered bars: rows of one symbol in date order.
 
 Periods count rows, not days. A value whose window is not full, or holds a null, is null.
+
+How a series lies in the table is its layout. By default a series is whole: one window holds it. A long one can lie in
+blocks, each with some rows of the blocks before it in front (``bar_halo``); then a window holds one block, and what
+a scan inherits from the blocks before is its carry. A stored one is new bars behind the last rows of what is known, with
+carries from the stored state. Indicators are written once for all three.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
+class Whole:
+    """Every series in one window."""
+
+    keys: tuple[str, ...] = ("symbol",)
+    parted = False
+
+    def carry(self, df: DataFrame, out: str, parts: dict[str, Column], fold) -> DataFrame:
+        raise NotImplementedError
+
+    def scanned(self, df: DataFrame, out: str) -> DataFrame:
+        return df
+
+
+class Blocks(Whole):
+    """Series in blocks: columns bar_block, bar_halo and bar_row (the place in the series)."""
+
+    keys = ("symbol", "bar_block")
+    parted = True
+
+    def carry(self, df: DataFrame, out: str, parts: dict[str, Column], fold) -> DataFrame:
+        """``fold`` of what the blocks before gave: one small row a block, scanned by symbol and joined back."""
+        before = Window.partitionBy("symbol").orderBy("bar_block").rowsBetween(Window.unboundedPreceding, -1)
+        blocks = df.groupBy("symbol", "bar_block").agg(*[c.alias(name) for name, c in parts.items()])
+        carries = blocks.select(F.col("symbol").alias("__symbol"), F.col("bar_block").alias("__block"), fold(before).alias(out))
+        same = F.col("symbol").eqNullSafe(F.col("__symbol")) & (F.col("bar_block") == F.col("__block"))
+        return df.join(carries, same, "left").drop("__symbol", "__block")
+
+
+class Stored(Whole):
+    """New bars behind stored ones: columns bar_halo, bar_row and carry_0, carry_1, ... in the order of the scans."""
+
+    parted = True
+
+    def __init__(self) -> None:
+        self.scans: list[str] = []
+
+    def carry(self, df: DataFrame, out: str, parts: dict[str, Column], fold) -> DataFrame:
+        name = f"carry_{len(self.scans)}"
+        return df.withColumn(out, F.col(name) if name in df.columns else F.lit(None).cast("double"))
+
+    def scanned(self, df: DataFrame, out: str) -> DataFrame:
+        """Keeps a copy of what a scan gave: its last value is the next carry."""
+        self.scans.append(f"scan_{len(self.scans)}")
+        return df.withColumn(self.scans[-1], F.col(out))
+
+
+_layout: ContextVar[Whole] = ContextVar("layout", default=Whole())
+
+
+@contextmanager
+def laid_out(layout: Whole) -> Iterator[None]:
+    token = _layout.set(layout)
+    try:
+        yield
+    finally:
+        _layout.reset(token)
+
+
 def order() -> WindowSpec:
-    return Window.partitionBy("symbol").orderBy("date")
+    return Window.partitionBy(*_layout.get().keys).orderBy("date")
 
 
 def running() -> WindowSpec:
@@ -26,7 +92,7 @@ def frame(period: int) -> WindowSpec:
 
 def row_number() -> Column:
     """Place of a row in its series, from 0."""
-    return F.row_number().over(order()) - 1
+    return F.col("bar_row") if _layout.get().parted else F.row_number().over(order()) - 1
 
 
 def previous(column: str | Column, rows: int = 1) -> Column:
@@ -54,31 +120,98 @@ def lowest(column: str | Column, period: int) -> Column:
     return rolling(F.min, column, period)
 
 
+def _own(column: str | Column) -> Column:
+    """A value that counts in scans: not one of a halo."""
+    column = F.col(column) if isinstance(column, str) else column
+    return F.when(~F.col("bar_halo"), column) if _layout.get().parted else column
+
+
+def _scan(df: DataFrame, column: str, out: str, aggregate, join) -> DataFrame:
+    """A running aggregate; ``join`` puts what the rows before this part gave in front of it."""
+    layout = _layout.get()
+    df = df.withColumn(out, aggregate(_own(column)).over(running()))
+    if layout.parted:
+        parts = {"__part": aggregate(_own(column))}
+        df = layout.carry(df, "__carry", parts, lambda before: aggregate(F.col("__part")).over(before))
+        kind = df.schema[out].dataType
+        df = df.withColumn(out, join(F.col("__carry").cast(kind), F.col(out))).drop("__carry")
+    return layout.scanned(df, out)
+
+
+def _joined(operation):
+    return lambda carry, local: F.when(carry.isNull(), local).when(local.isNull(), carry).otherwise(operation(carry, local))
+
+
+def running_sum(df: DataFrame, column: str, out: str) -> DataFrame:
+    """``df`` with the sum of all rows of the series up to each one."""
+    return _scan(df, column, out, F.sum, _joined(lambda a, b: a + b))
+
+
+def running_product(df: DataFrame, column: str, out: str) -> DataFrame:
+    return _scan(df, column, out, F.product, _joined(lambda a, b: a * b))
+
+
+def last_known(df: DataFrame, column: str, out: str) -> DataFrame:
+    """``df`` with the last value up to each row that is not null."""
+    layout = _layout.get()
+    df = df.withColumn(out, F.last(_own(column), ignorenulls=True).over(running()))
+    if layout.parted:
+        parts = {"__part": F.max_by(_own(column), F.when(_own(column).isNotNull(), F.col("date")))}
+        df = layout.carry(df, "__carry", parts, lambda before: F.last("__part", ignorenulls=True).over(before))
+        df = df.withColumn(out, F.coalesce(out, F.col("__carry").cast(df.schema[out].dataType))).drop("__carry")
+    return layout.scanned(df, out)
+
+
 def positive(**periods: float) -> None:
     for name, value in periods.items():
         if value <= 0:
             raise ValueError(f"{name} must be greater than zero")
 
 
-def exponential(df: DataFrame, column: str, out: str, period: int, first: int, seed_mean: bool = True) -> DataFrame:
+def exponential(df: DataFrame, column: str, out: str, period: int, first: int, seed_mean: bool = True, before: str | None = None) -> DataFrame:
     """``df`` with ``out``: e += (x - e) * 2 / (period + 1), begun at row ``first`` with the mean of the last
-    ``period`` values or, without ``seed_mean``, with the value itself.
+    ``period`` values or, without ``seed_mean``, with the value itself. ``before`` names a column for the value one row before.
 
-    A scan without recursion: within blocks of rows the result is a weighted running sum, short enough that the
-    weights stay in range; what a block inherits is the last value of the block before. All windows share the
-    partitioning by symbol, so that the scan adds no shuffle.
+    A scan without recursion: within stretches of rows the result is a weighted running sum, short enough that the
+    weights stay in range; what a stretch inherits is the last value of the stretch before. All windows share the
+    partitioning of the layout, so that the scan adds no shuffle. A block is one affine map, its decay and its sum; the
+    maps of the blocks before make its carry.
     """
+    layout = _layout.get()
     decay = (period - 1) / (period + 1)
     gain = 1 - decay
     seed = mean(column, period) if seed_mean else F.col(column)
     df = df.withColumn("__t", row_number() - first)
-    df = df.withColumn("__u", F.when(F.col("__t") == 0, seed).when(F.col("__t") > 0, F.col(column) * gain))
+    df = df.withColumn("__u", _own(F.when(F.col("__t") == 0, seed).when(F.col("__t") > 0, F.col(column) * gain)))
     if period == 1:
-        return df.withColumn(out, F.col("__u")).drop("__t", "__u")
-    block = math.floor(200 / -math.log10(decay))
-    df = df.withColumns({"__o": F.pmod("__t", F.lit(block)), "__b": F.floor(F.col("__t") / block)})
-    inside = Window.partitionBy("symbol", "__b").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+        df = df.withColumn(out, F.col("__u")).drop("__t", "__u")
+        if before:
+            value = F.when(row_number() > first, previous(column))
+            df = df.withColumn(before, value)
+        return layout.scanned(df, out)
+    stretch = math.floor(200 / -math.log10(decay))
+    df = df.withColumns({"__o": F.pmod("__t", F.lit(stretch)), "__b": F.floor(F.col("__t") / stretch)})
+    inside = Window.partitionBy(*layout.keys, "__b").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("__l", F.pow(F.lit(decay), F.col("__o")) * F.sum(F.col("__u") * F.pow(F.lit(decay), -F.col("__o"))).over(inside))
-    carried = F.last(F.when(F.col("__o") == block - 1, F.col("__l")), ignorenulls=True).over(order().rowsBetween(Window.unboundedPreceding, -1))
+    carried = F.last(F.when(F.col("__o") == stretch - 1, F.col("__l")), ignorenulls=True).over(order().rowsBetween(Window.unboundedPreceding, -1))
     value = F.col("__l") + F.coalesce(carried * F.pow(F.lit(decay), F.col("__o") + 1), F.lit(0.0))
-    return df.withColumn(out, F.when(F.col("__t") >= 0, value)).drop("__t", "__u", "__o", "__b", "__l")
+    started = F.col("__t") >= 0
+    df = df.withColumn(out, _own(F.when(started, value)))
+    inherited = F.lit(None).cast("double")
+    if layout.parted:
+        counts = _own(F.when(started, F.col("date")))
+        parts = {"__n": F.count(counts), "__e": F.max_by(F.col(out), counts)}
+
+        def fold(before_: WindowSpec) -> Column:
+            maps = F.collect_list(F.struct("__n", "__e")).over(before_)
+            seen = F.sum("__n").over(before_) > 0
+            step = lambda e, m: e * F.pow(F.lit(decay), m["__n"]) + F.coalesce(m["__e"], F.lit(0.0))
+            return F.when(seen, F.aggregate(maps, F.lit(0.0), step))
+
+        df = layout.carry(df, "__carry", parts, fold)
+        begin = F.min(F.when(counts.isNotNull(), F.col("__t"))).over(Window.partitionBy(*layout.keys))
+        df = df.withColumn(out, F.col(out) + F.coalesce(F.col("__carry") * F.pow(F.lit(decay), F.col("__t") - begin + 1), F.lit(0.0)))
+        inherited = F.when(F.col("__t") == begin, F.col("__carry"))
+    if before:
+        df = df.withColumn(before, F.coalesce(inherited, previous(out)))
+    return layout.scanned(df.drop("__t", "__u", "__o", "__b", "__l", "__carry"), out)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.series import exponential, highest, lowest, mean, positive, previous, rolling, row_number, running, total
+from ..functions.series import exponential, highest, last_known, lowest, mean, positive, previous, rolling, row_number, running_product, running_sum, total
 from .parabolic import parabolic_sar
 
 C = F.col
@@ -99,7 +99,7 @@ def supertrend(df: DataFrame, period: int = 10, multiplier: float = 3.0) -> Data
     df = _with_atr(df, period).withColumns({"__up": middle + multiplier * C("__atr"), "__low": middle - multiplier * C("__atr")})
     df = df.withColumns({"__pu": previous("__up"), "__pl": previous("__low")})
     side = F.when(C("__up").isNotNull() & C("__pu").isNull(), 1).when(C("close") > C("__pu"), 1).when(C("close") <= C("__pl"), 0)
-    df = df.withColumn("__side", F.last(side, ignorenulls=True).over(running()))
+    df = last_known(df.withColumn("__side", side), "__side", "__side")
     return _temporary(df.withColumn("supertrend", F.when(C("__side") == 1, C("__low")).otherwise(C("__up"))))
 
 
@@ -112,13 +112,14 @@ def stochastic(df: DataFrame, period: int = 14, signal: int = 3) -> DataFrame:
 
 def vwap(df: DataFrame) -> DataFrame:
     """From the first row on, without sessions."""
-    volume = F.sum("volume").over(running())
-    return df.withColumn("vwap", F.when(volume != 0, F.sum(_typical() * C("volume")).over(running()) / volume))
+    df = running_sum(df.withColumn("__tpv", _typical() * C("volume")), "__tpv", "__flow")
+    df = running_sum(df, "volume", "__volume")
+    return _temporary(df.withColumn("vwap", F.when(C("__volume") != 0, C("__flow") / C("__volume"))))
 
 
 def obv(df: DataFrame) -> DataFrame:
     df = df.withColumn("__s", F.coalesce(F.signum(C("close") - previous("close")).cast("long") * C("volume"), F.lit(0)))
-    return _temporary(df.withColumn("obv", F.sum("__s").over(running()).cast("long")))
+    return _temporary(running_sum(df, "__s", "__sum").withColumn("obv", C("__sum").cast("long")))
 
 
 def mfi(df: DataFrame, period: int = 14) -> DataFrame:
@@ -198,9 +199,8 @@ def ultimate_oscillator(df: DataFrame, short: int = 7, medium: int = 14, long: i
 
 def trix(df: DataFrame, period: int = 15) -> DataFrame:
     positive(period=period)
-    for before, out in (("close", "__e1"), ("__e1", "__e2"), ("__e2", "__e3")):
-        df = exponential(df, before, out, period, 0, seed_mean=False)
-    df = df.withColumn("__p", previous("__e3"))
+    for source, out in (("close", "__e1"), ("__e1", "__e2"), ("__e2", "__e3")):
+        df = exponential(df, source, out, period, 0, seed_mean=False, before="__p" if out == "__e3" else None)
     return _temporary(df.withColumn("trix", _ratio(C("__e3") - C("__p"), C("__p"), 0.0) * 100))
 
 
@@ -242,7 +242,7 @@ def emv(df: DataFrame, period: int = 14) -> DataFrame:
 
 
 def accumulation_distribution(df: DataFrame) -> DataFrame:
-    return _temporary(_money_flow(df).withColumn("accumulation_distribution", F.sum("__mfv").over(running())))
+    return _temporary(running_sum(_money_flow(df), "__mfv", "accumulation_distribution"))
 
 
 def force_index(df: DataFrame) -> DataFrame:
@@ -253,7 +253,7 @@ def _volume_index(df: DataFrame, out: str, base: float, rising: bool) -> DataFra
     df = df.withColumns({"__pc": previous("close"), "__pv": previous("volume")})
     counts = (C("volume") > C("__pv")) if rising else (C("volume") < C("__pv"))
     df = df.withColumn("__f", F.when(counts & (C("__pc") != 0), 1 + (C("close") - C("__pc")) / C("__pc")).otherwise(1.0))
-    return _temporary(df.withColumn(out, base * F.product("__f").over(running())))
+    return _temporary(running_product(df, "__f", "__p").withColumn(out, base * C("__p")))
 
 
 def nvi(df: DataFrame, base: float = 1000.0) -> DataFrame:
@@ -268,7 +268,7 @@ def kvo(df: DataFrame, fast: int = 34, slow: int = 55, signal: int = 13) -> Data
     positive(fast=fast, slow=slow, signal=signal)
     df = df.withColumn("__s", C("high") + C("low") + C("close")).withColumn("__c", C("__s") - previous("__s"))
     sign = F.when(C("__c") > 0, 1).when(C("__c") < 0, -1)
-    df = df.withColumn("__trend", F.coalesce(F.last(sign, ignorenulls=True).over(running()), F.lit(1)))
+    df = last_known(df.withColumn("__sign", sign), "__sign", "__last").withColumn("__trend", F.coalesce("__last", F.lit(1)))
     range_ = C("high") - C("low")
     force = C("volume") * C("__trend") * F.abs(2 * F.abs(C("__c")) / range_ - 1)
     df = df.withColumn("__vf", F.when((range_ != 0) & C("__c").isNotNull(), force).otherwise(0.0))
@@ -283,7 +283,7 @@ def chaikin_oscillator(df: DataFrame, fast: int = 3, slow: int = 10) -> DataFram
     positive(fast=fast, slow=slow)
     if fast >= slow:
         raise ValueError("fast must be less than slow")
-    df = _money_flow(df).withColumn("__ad", F.sum("__mfv").over(running()))
+    df = running_sum(_money_flow(df), "__mfv", "__ad")
     df = exponential(exponential(df, "__ad", "__fast", fast, fast - 1), "__ad", "__slow", slow, slow - 1)
     return _temporary(df.withColumn("chaikin_oscillator", C("__fast") - C("__slow")))
 

@@ -26,3 +26,21 @@ SQL = """bars AS MATERIALIZED (
             row(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS ord
           FROM lineitem JOIN part ON l_partkey = p_partkey)
     GROUP BY ALL))"""
+
+
+def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three long series: the lines of orders as bars of their return flag, in the order of orders and line numbers."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    price = 1000 + F.col("l_extendedprice") / 1000
+    rows = items.groupBy(F.col("l_returnflag").alias("symbol"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("date")).agg(
+        F.min(price).alias("open"), F.max(price * (1 + F.col("l_tax"))).alias("high"), F.min(price * (1 - F.col("l_discount"))).alias("low"),
+        F.sum("l_quantity").cast("long").alias("volume"),
+    )
+    return rows.withColumn("close", (F.col("high") + 3 * F.col("low")) / 4)
+
+
+TAPE_SQL = """bars AS MATERIALIZED (
+  SELECT *, (high + 3 * low) / 4 AS close, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS rn FROM (
+    SELECT l_returnflag AS symbol, l_orderkey * 10 + l_linenumber AS date, min(price) AS open,
+      max(price * (1 + l_tax)) AS high, min(price * (1 - l_discount)) AS low, CAST(sum(l_quantity) AS BIGINT) AS volume
+    FROM (SELECT *, 1000 + l_extendedprice / 1000 AS price FROM lineitem) GROUP BY ALL))"""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.indicators import REGISTRY
+from ..operators.long_series import append_bars, over_blocks
 from . import bars, indicator_sql, records, tables
 
 
@@ -31,9 +32,37 @@ def _indicator(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def _long(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The indicator over the tape, in blocks of 4096 bars so that small tables have several as well."""
+    function, columns = REGISTRY[name]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return over_blocks(function, bars.tape(spark, sf_dir), rows=4096).select("symbol", "date", *map(_shown, columns))
+
+    return run
+
+
+def _appended(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The indicator of all bars, the later half of them computed from the state after the earlier half."""
+    function, columns = REGISTRY[name]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        days = bars.daily_bars(spark, sf_dir)
+        first, state = append_bars(function, days.where("date < '1995-06-01'"))
+        second, _ = append_bars(function, days.where("date >= '1995-06-01'"), state)
+        return first.union(second).select("symbol", "date", *map(_shown, columns))
+
+    return run
+
+
+#: Indicators of appended bars that are registered: an exponential mean, a running sum, a product, nested scans.
+APPENDED = ("i02_ema", "i12_obv", "i22_trix", "i30_nvi", "i33_chaikin_oscillator")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _indicator(name) for name in REGISTRY} | tables.queries() | records.queries()
+    return {name: _indicator(name) for name in REGISTRY} | {f"long_{name}": _long(name) for name in indicator_sql.LONG} | {f"append_{name}": _appended(name) for name in APPENDED} | tables.queries() | records.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return indicator_sql.oracle_sql() | tables.oracle_sql() | records.oracle_sql()
+    whole = indicator_sql.oracle_sql()
+    return whole | indicator_sql.long_sql() | {f"append_{name}": whole[name] for name in APPENDED} | tables.oracle_sql() | records.oracle_sql()

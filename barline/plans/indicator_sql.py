@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 from .bars import SQL as BARS
+from .bars import TAPE_SQL
 
 _W = "PARTITION BY symbol ORDER BY date"
 
@@ -30,6 +33,17 @@ def ema(source: str, x: str, p: int, first: int, mean: bool = True) -> str:
     )
 
 
+def decayed(source: str, x: str, p: int, first: int, mean: bool = True) -> str:
+    """As ``ema``, without recursion: the weighted sum of as many values before a row as count for 14 digits."""
+    decay = (p - 1) / (p + 1)
+    seed = f"avg({x}) OVER ({_W.replace('date', 'rn')} ROWS BETWEEN {p - 1} PRECEDING AND CURRENT ROW)" if mean else x
+    values = f"SELECT symbol, rn, CASE WHEN rn = {first} THEN {seed} ELSE {x} * {1 - decay!r} END AS u FROM {source}"
+    return (
+        f"WITH u AS MATERIALIZED (SELECT * FROM ({values}) WHERE rn >= {first}) SELECT a.symbol, a.rn, sum(u.u * pow({decay!r}, a.k)) AS v "
+        f"FROM (SELECT symbol, rn, unnest(range({math.ceil(14 / -math.log10(decay))})) AS k FROM u) a JOIN u ON u.symbol = a.symbol AND u.rn = a.rn - a.k GROUP BY 1, 2"
+    )
+
+
 def sql(*steps: tuple[str, str], columns: tuple[str, ...]) -> str:
     """Bars, then each step (name, query); a query with @ is recursive. The last step has the columns."""
     parts = [BARS]
@@ -59,7 +73,7 @@ def _index(out: str, sign: str) -> str:
     return sql(("fs", f"SELECT *, {factor} AS f FROM bars"), ("w", walk), ("r", f"SELECT symbol, date, ln(v) AS {out}_ln FROM w"), columns=(f"{out}_ln",))
 
 
-def _psar_free() -> dict[str, str]:
+def _psar_free(ema=ema) -> dict[str, str]:
     one = lambda expression, column: sql(("r", f"SELECT *, {expression} AS {column} FROM bars"), columns=(column,))
     hh, ll = f("max", "high", 14), f("min", "low", 14)
     mid = lambda p: f"(({f('max', 'high', p)}) + ({f('min', 'low', p)})) / 2"
@@ -124,5 +138,24 @@ PARABOLIC = f"""WITH RECURSIVE {BARS},
   SELECT symbol, date, CASE WHEN rn > 0 THEN floor(stop * 10000 + 0.5) / 10000.0 END AS psar FROM p"""
 
 
+#: Indicators over the tape: scans of every kind, and bounded frames of every kind.
+LONG = (
+    "i01_sma", "i02_ema", "i03_macd", "i05_bollinger", "i11_vwap", "i12_obv", "i17_keltner", "i18_cci", "i22_trix",
+    "i23_aroon", "i28_accumulation_distribution", "i30_nvi", "i31_pvi", "i32_kvo", "i33_chaikin_oscillator", "i34_elder_ray",
+)
+
+
+def _product(out: str, sign: str) -> str:
+    factor = f"CASE WHEN volume {sign} {lag('volume')} AND {lag('close')} <> 0 THEN close / {lag('close')} ELSE 1.0 END"
+    total = f"ln(1000) + sum(ln(f)) OVER ({_W} ROWS UNBOUNDED PRECEDING)"
+    return sql(("fs", f"SELECT *, {factor} AS f FROM bars"), ("r", f"SELECT symbol, date, {total} AS {out}_ln FROM fs"), columns=(f"{out}_ln",))
+
+
+def long_sql() -> dict[str, str]:
+    """The same over the tape, where a row cannot wait for the row before it."""
+    found = _psar_free(decayed) | {"i30_nvi": _product("nvi", "<"), "i31_pvi": _product("pvi", ">")}
+    return {f"long_{name}": found[name].replace(BARS, TAPE_SQL) for name in LONG}
+
+
 def oracle_sql() -> dict[str, str]:
     return _psar_free() | {"i10_parabolic_sar": PARABOLIC}
