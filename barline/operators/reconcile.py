@@ -12,9 +12,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .clean import COMPANY, INCOME_STATEMENT, NEWS, clean_company, clean_income_statement, clean_news, clean_symbol, conform, trimmed
-from .lookup import companies_of, new_rows, rekey
-from .validate import is_us_equity, reject_invalid_batches, require, require_same_symbol, require_symbol, valid_company, valid_income_statement, valid_news
+from .clean import COMPANY, INCOME_STATEMENT, NEWS, PRICE, clean_company, clean_income_statement, clean_news, clean_price, clean_symbol, conform, trimmed
+from .lookup import companies_of, new_rows, rekey, securities_of
+from .validate import is_us_equity, reject_invalid_batches, require, require_same_symbol, require_symbol, valid_company, valid_income_statement, valid_news, valid_price
 
 # Concepts of a statement, the tags that report each in the order of preference, preferred units.
 CONCEPTS = ("total_revenue", "gross_profit", "operating_income", "net_income", "eps", "shares_outstanding")
@@ -81,24 +81,74 @@ def sync_universe(companies: DataFrame, securities: DataFrame, feed: DataFrame)
     return merge_companies(companies, representatives(listed)), merge_securities(securities, listed), listed.count()
 
 
-def sync_rows(existing: DataFrame, incoming: DataFrame, keys: list[str], valid: Column, batch: str, on_duplicate: str = "error") -> tuple[DataFrame, DataFrame, int]:
-    """Insert-only sync of prices, news or statements: batches with an invalid row are left out whole."""
+def staged_rows(existing: DataFrame, incoming: DataFrame, keys: list[str], valid: Column, batch: str, first_by: Column | None = None) -> DataFrame:
+    """The rows that an insert-only sync appends: of batches whose rows are all valid those with a new key.
+
+    Of rows with one key the first by ``first_by`` stays; without it such rows raise while they are written, as do null
+    keys, so that nothing is written then.
+    """
+    staged = new_rows(reject_invalid_batches(incoming, batch, valid), existing, keys)
+    same = Window.partitionBy(*keys)
+    if first_by is not None:
+        return staged.withColumn("__n", F.row_number().over(same.orderBy(first_by))).where("__n = 1").drop("__n")
+    counted = staged.withColumn("__n", F.count(F.lit(1)).over(same))
+    shown = F.to_json(F.struct(*keys))
+    no_key = F.lit(False)
+    for k in keys:
+        no_key = no_key | F.col(k).isNull()
+    fault = F.when(no_key, F.concat(F.lit("a key is null: "), shown)).when(F.col("__n") > 1, F.concat(F.lit("twice in one batch: "), shown))
+    return counted.where(F.when(fault.isNotNull(), F.raise_error(fault).cast("boolean")).otherwise(True)).drop("__n")
+
+
+def sync_rows(existing: DataFrame, incoming: DataFrame, keys: list[str], valid: Column, batch: str, on_duplicate: str = "error", first_by: Column | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """Insert-only sync of prices, news or statements: batches with an invalid row are left out whole.
+
+    Duplicates in a batch raise, or with ``on_duplicate="first"`` the first by ``first_by`` (by all columns where that is
+    not given) stays. One job counts the rows and looks for duplicates; ``staged_rows`` with ``append_batch`` does both
+    while it writes.
+    """
     staged = new_rows(reject_invalid_batches(incoming, batch, valid), existing, keys)
     if on_duplicate == "first":
-        staged = staged.dropDuplicates(keys)
-    elif (twice := duplicates(staged, keys).limit(1).collect()):
-        raise ValueError(f"twice in one batch: {twice[0].asDict()}")
-    return existing.unionByName(staged, allowMissingColumns=True), staged, staged.count()
+        order = first_by if first_by is not None else F.struct(*sorted(incoming.columns))
+        staged = staged_rows(existing, incoming, keys, valid, batch, order)
+        return existing.unionByName(staged, allowMissingColumns=True), staged, staged.count()
+    once = staged.groupBy(*keys).agg(F.count("*").alias("n"))
+    found = once.agg(F.coalesce(F.sum("n"), F.lit(0)), F.max_by(F.struct(*keys), "n"), F.max("n")).first()
+    if (found[2] or 0) > 1:
+        raise ValueError(f"twice in one batch: {found[1].asDict()}")
+    return existing.unionByName(staged, allowMissingColumns=True), staged, found[0]
+
+
+def price_records(incoming: DataFrame, securities: DataFrame) -> DataFrame:
+    """Prices (symbol and a price record) resolved to security_id, conformed and cleaned.
+
+    A blank or unknown symbol and a record that does not conform raise.
+    """
+    rows = clean_price(conform(incoming.withColumn("symbol", clean_symbol(F.col("symbol"))), PRICE, keys=("symbol",)))
+    owners = securities_of(require_symbol(rows), securities).select("symbol", F.col("id").alias("security_id"))
+    return rekey(rows, "symbol", "security_id", owners)
+
+
+def sync_prices(existing: DataFrame, incoming: DataFrame, securities: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Prices by new security and date: resolved, conformed, cleaned, and validated whole for each security."""
+    return sync_rows(existing, price_records(incoming, securities), ["security_id", "date"], valid_price(), "security_id")
 
 
 def sync_news(existing: DataFrame, incoming: DataFrame, securities: DataFrame, companies: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """News (symbol and a news record) after resolving, conforming, cleaning and whole-batch validation, by new url.
 
-    An unknown symbol and a record that does not conform raise; a symbol with an invalid record is left out whole.
+    An unknown symbol and a record that does not conform raise; a symbol with an invalid record is left out whole. Of
+    records with one url the first by ``pos``, if there is such a column, and then by the other columns stays.
     """
-    rows = clean_news(conform(incoming.withColumn("symbol", clean_symbol(F.col("symbol"))), NEWS, keys=("symbol",)))
+    keys = ("symbol", "pos") if "pos" in incoming.columns else ("symbol",)
+    rows = clean_news(conform(incoming.withColumn("symbol", clean_symbol(F.col("symbol"))), NEWS, keys=keys))
     owners = companies_of(require_symbol(rows), securities, companies).select("symbol", "company_id")
-    return sync_rows(existing, rekey(rows, "symbol", "company_id", owners), ["url"], valid_news(), "company_id", on_duplicate="first")
+    rows = rekey(rows, "symbol", "company_id", owners)
+    rest = [c for c in rows.columns if c != "pos"]
+    first = F.struct(*[c for c in ("pos",) if c in rows.columns], *sorted(rest))
+    _, staged, count = sync_rows(existing, rows, ["url"], valid_news(), "company_id", "first", first)
+    staged = staged.select(*rest)
+    return existing.unionByName(staged, allowMissingColumns=True), staged, count
 
 
 def sync_statements(existing: DataFrame, incoming: DataFrame, securities: DataFrame, companies: DataFrame) -> tuple[DataFrame, DataFrame, int]:
@@ -163,6 +213,22 @@ def annual_statements(facts: DataFrame) -> DataFrame:
     return out.where("__dated").drop("__dated")
 
 
+def write_representatives(companies: DataFrame, securities: DataFrame) -> DataFrame:
+    """Companies (with id) with symbol and exchange of their representative listing; those without a listing keep theirs."""
+    found = representative_listings(securities).select(F.col("company_id").alias("__id"), F.col("symbol").alias("__symbol"), F.col("exchange").alias("__exchange"))
+    joined = companies.join(found, companies["id"] == found["__id"], "left")
+    made = {c: F.when(F.col("__id").isNotNull(), F.col(f"__{c}")).otherwise(F.col(c)) for c in ("symbol", "exchange")}
+    return joined.select(*[made[c].alias(c) if c in made else c for c in companies.columns])
+
+
+def require_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df``, whose evaluation fails on a row with a null key: the audit and the job that uses its rows are one."""
+    wrong = F.lit(False)
+    for k in keys:
+        wrong = wrong | F.col(k).isNull()
+    return require(df, wrong, f"a key is null: {keys}")
+
+
 def null_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     wrong = F.lit(False)
     for k in keys:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.indicators import REGISTRY
 from ..operators.long_series import append_bars, over_blocks
-from . import bars, indicator_sql, records, tables
+from . import bars, indicator_sql, records, stored, tables
 
 
 #: Products over a whole series span many orders of magnitude: shown as logarithms.
@@ -60,9 +60,9 @@ APPENDED = ("i02_ema", "i12_obv", "i22_trix", "i30_nvi", "i33_chaikin_oscillator
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _indicator(name) for name in REGISTRY} | {f"long_{name}": _long(name) for name in indicator_sql.LONG} | {f"append_{name}": _appended(name) for name in APPENDED} | tables.queries() | records.queries()
+    return {name: _indicator(name) for name in REGISTRY} | {f"long_{name}": _long(name) for name in indicator_sql.LONG} | {f"append_{name}": _appended(name) for name in APPENDED} | tables.queries() | records.queries() | stored.queries()
 
 
 def oracle_sql() -> dict[str, str]:
     whole = indicator_sql.oracle_sql()
-    return whole | indicator_sql.long_sql() | {f"append_{name}": whole[name] for name in APPENDED} | tables.oracle_sql() | records.oracle_sql()
+    return whole | indicator_sql.long_sql() | {f"append_{name}": whole[name] for name in APPENDED} | tables.oracle_sql() | records.oracle_sql() | stored.oracle_sql()

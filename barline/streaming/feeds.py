@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.reconcile import publish, sync_rows
+from ..operators.reconcile import staged_rows
+from ..sources.store import append_batch, appended
 
 
-def sync_stream(incoming: DataFrame, table: str, keys: list[str], valid: Column, batch: str, checkpoint: str) -> StreamingQuery:
-    """Appends the new valid rows of each micro-batch to the Parquet table at ``table``, which must exist.
+def sync_stream(incoming: DataFrame, table: str, keys: list[str], valid: Column, batch: str, checkpoint: str, first_by: Column | None = None) -> StreamingQuery:
+    """Appends the new valid rows of each micro-batch to the table at ``table``, begun by ``append_batch`` (as batch -1).
 
-    A batch that is tried again finds its rows there and appends none twice.
+    A micro-batch is a batch of the table. One that is tried again, wherever it broke off, replaces what it left. Rows of
+    one ``batch`` are judged together within a micro-batch only. Duplicates raise without ``first_by``.
     """
 
-    def run(rows: DataFrame, _: int) -> None:
+    def run(rows: DataFrame, number: int) -> None:
         spark: SparkSession = rows.sparkSession
-        _, staged, count = sync_rows(spark.read.parquet(table), rows, keys, valid, batch, on_duplicate="first")
-        if count:
-            publish(staged, table, append=True)
+        known = appended(spark, table, without=number)
+        append_batch(staged_rows(known, rows, keys, valid, batch, first_by), table, number)
 
     return incoming.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

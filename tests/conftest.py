@@ -24,6 +24,7 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.local.dir", tempfile.mkdtemp(prefix="spark-"))
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="spark-"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

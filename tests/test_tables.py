@@ -183,12 +183,13 @@ def test_versions_are_published_whole(spark, tmp_path):
 
 
 def test_stream_of_files(spark, tmp_path):
+    from barline.sources.store import append_batch, appended
     from barline.streaming.feeds import sync_stream
 
     rows = lambda *urls: spark.createDataFrame([(u, "t") for u in urls], "url string, title string")
-    rows("u1").write.parquet(str(tmp_path / "table"))
+    append_batch(rows("u1"), str(tmp_path / "table"), -1)
     rows("u1", "u2", "u2").write.parquet(str(tmp_path / "in"))
     for _ in range(2):
         feed = spark.readStream.schema("url string, title string").parquet(str(tmp_path / "in"))
-        sync_stream(feed, str(tmp_path / "table"), ["url"], F.lit(True), "url", str(tmp_path / "checkpoint")).awaitTermination()
-    assert sorted(r["url"] for r in spark.read.parquet(str(tmp_path / "table")).collect()) == ["u1", "u2"]
+        sync_stream(feed, str(tmp_path / "table"), ["url"], F.lit(True), "url", str(tmp_path / "checkpoint"), F.col("title")).awaitTermination()
+    assert sorted(r["url"] for r in appended(spark, str(tmp_path / "table")).collect()) == ["u1", "u2"]
