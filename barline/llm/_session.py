@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` where the cluster names one.
 
-    Only where that is unset (tests, a laptop) a temporary folder is made and set.
+    Only where that is unset on a local master (tests, a laptop) a temporary folder is made and set; on a cluster it
+    raises, since executors would not see each other's files.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -22,6 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir names no folder that the executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="barline-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 

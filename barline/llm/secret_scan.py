@@ -14,7 +14,8 @@ verdicts on that fifth. The dictionary comes from all documents.
 
 The candidates of a corpus are found once and saved; fitting and judging read that table.
 
-Null and empty texts have no candidates. Texts of any length are searched whole. Repeated rows give repeated findings.
+Null and empty texts have no candidates. Texts of any length are searched whole, in stretches of about the root of the
+number of candidates: the time grows with that number times its root. Repeated rows give repeated findings.
 With findings of one label only, the label stands for the forest. An empty table gives no findings. ``scan`` keeps extra
 columns; a column named findings is replaced.
 """
@@ -47,33 +48,67 @@ CONTEXT = 40
 FEATURES = ("size", "digits", "capitals", "smalls", "changes", "distinct", "words", "slashes", "dashes", "under", "path", "assigned", "quoted", "named", "named_after", "spaced")
 
 
+#: Candidates of one stretch of a text, at least; a stretch of a text with many has the root of their number.
+STRETCH = 64
+_FOUND = "array<struct<value:string,before:string,after:string,gap:int,start:int>>"
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _stretches(n: Column, of) -> Column:
+    """``of(first, size)`` for stretches of ``n`` things, about as many as each one has: work that is repeated for each stretch,
+    or grows with the square of a stretch, then grows with n times its root and not with the square of n."""
+    size = F.greatest(F.lit(STRETCH), F.ceil(F.sqrt(n)).cast("int"))
+    return _let(size, lambda m: F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), m), lambda first: of(first, m)))
+
+
 def candidates(text: Column) -> Column:
     """An array of (value, before, after, gap, start) of a text: ``gap`` is how many characters precede it since the last."""
     values = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    once = F.array(F.struct(values.alias("values"), F.split(text, CANDIDATE, -1).alias("gaps"), text.alias("text")))
-    size = F.char_length
+    length = F.char_length
+
+    def stretch(c: Column, first: Column, m: Column) -> Column:
+        own = F.slice(c["values"], first + 1, m)
+        pieces = F.arrays_zip(own.alias("value"), F.slice(c["gaps"], first + 1, F.size(own)).alias("gap"))
+        return _let(pieces, lambda p: _let(F.array_join(F.transform(p, lambda x: F.concat(x["gap"], x["value"])), ""), lambda t: F.struct(p.alias("pieces"), t.alias("text"), length(t).alias("n"))))
+
+    def placed(parts: Column, k: Column, rest: Column) -> Column:
+        """The candidates of stretch ``k``, whose neighbours can stand in the stretches beside it; ``rest`` is what follows all."""
+        before = F.coalesce(F.right(F.get(parts, k - 1)["text"], F.lit(CONTEXT)), F.lit(""))
+        after = F.left(F.concat(F.coalesce(F.get(parts, k + 1)["text"], F.lit("")), F.when(k >= F.size(parts) - 2, rest).otherwise("")), F.lit(CONTEXT))
+        offset = F.aggregate(F.slice(parts, F.lit(1), k), F.lit(0), lambda n, x: n + x["n"])
+        part = F.get(parts, k)
+        context = F.struct(part["pieces"].alias("pieces"), F.concat(before, part["text"], after).alias("text"), length(before).alias("lead"), offset.alias("offset"))
 
-    def of(c: Column) -> Column:
-        pieces = F.arrays_zip(c["values"].alias("value"), F.slice(c["gaps"], F.lit(1), F.size(c["values"])).alias("gap"))
-        begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts"))
-        starts = F.aggregate(
-            pieces, begin,
-            lambda acc, x: F.struct((acc["at"] + size(x["gap"]) + size(x["value"])).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + size(x["gap"]))).alias("starts")),
-            lambda acc: acc["starts"],
-        )
-        placed = F.arrays_zip(pieces.alias("piece"), starts.alias("start"))
+        def of(c: Column) -> Column:
+            begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts"))
+            starts = F.aggregate(
+                c["pieces"], begin,
+                lambda acc, x: F.struct((acc["at"] + length(x["gap"]) + length(x["value"])).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + length(x["gap"]))).alias("starts")),
+                lambda acc: acc["starts"],
+            )
 
-        def neighbours(x: Column) -> Column:
-            first = F.greatest(x["start"] - CONTEXT, F.lit(0))
-            value, gap = x["piece"]["value"], x["piece"]["gap"]
-            before = F.substring(c["text"], first + 1, x["start"] - first)
-            after = F.substring(c["text"], x["start"] + size(value) + 1, F.lit(CONTEXT))
-            return F.struct(value.alias("value"), before.alias("before"), after.alias("after"), size(gap).alias("gap"), x["start"].alias("start"))
+            def neighbours(x: Column) -> Column:
+                value, at = x["piece"]["value"], x["start"] + c["lead"]
+                first = F.greatest(at - CONTEXT, F.lit(0))
+                left = F.substring(c["text"], first + 1, at - first)
+                right = F.substring(c["text"], at + length(value) + 1, F.lit(CONTEXT))
+                return F.struct(value.alias("value"), left.alias("before"), right.alias("after"), length(x["piece"]["gap"]).alias("gap"), (x["start"] + c["offset"]).alias("start"))
 
-        return F.transform(placed, neighbours)
+            return F.transform(F.arrays_zip(c["pieces"].alias("piece"), starts.alias("start")), neighbours)
 
-    found = F.when(text.isNotNull(), F.element_at(F.transform(once, of), 1))
-    return F.coalesce(found, F.expr("cast(array() as array<struct<value:string,before:string,after:string,gap:int,start:int>>)"))
+        return _let(context, of)
+
+    def all_of(c: Column) -> Column:
+        parts = _stretches(F.size(c["values"]), lambda first, m: stretch(c, first, m))
+        rest = F.left(F.element_at(c["gaps"], -1), F.lit(CONTEXT))
+        return _let(F.struct(parts.alias("parts"), rest.alias("rest")), lambda x: F.flatten(F.transform(x["parts"], lambda _, k: placed(x["parts"], k, x["rest"]))))
+
+    found = _let(F.struct(values.alias("values"), F.split(text, CANDIDATE, -1).alias("gaps")), all_of)
+    return F.coalesce(F.when(text.isNotNull(), found), F.expr(f"cast(array() as {_FOUND})"))
 
 
 def _left_out(value: Column, pattern: str) -> Column:
@@ -221,10 +256,27 @@ def _shown(rows: DataFrame) -> DataFrame:
 
 def _replaced(findings: Column, threshold: float, mark: str) -> Column:
     """The text with the values of secrets replaced."""
-    text, end = F.col("text"), F.element_at(findings, -1)
-    parts = F.transform(findings, lambda x: F.concat(F.substring(text, x["start"] - x["gap"] + 1, x["gap"]), F.when(x["probability"] >= threshold, F.lit(mark)).otherwise(x["value"])))
-    tail = F.substring(text, end["start"] + F.char_length(end["value"]) + 1, F.char_length(text))
-    return F.when(text.isNull() | (F.size(findings) == 0), text).otherwise(F.concat(F.array_join(parts, ""), tail))
+    text = F.col("text")
+    end = lambda x: x["start"] + F.char_length(x["value"])
+
+    def stretch(all_: Column, first: Column, m: Column) -> Column:
+        def of(own: Column) -> Column:
+            begin = F.get(own, F.lit(0))["start"] - F.get(own, F.lit(0))["gap"]
+            piece = F.substring(text, begin + 1, end(F.element_at(own, -1)) - begin)
+
+            def joined(c: Column) -> Column:
+                gap = lambda x: F.substring(c["piece"], x["start"] - x["gap"] - c["begin"] + 1, x["gap"])
+                return F.array_join(F.transform(own, lambda x: F.concat(gap(x), F.when(x["probability"] >= threshold, F.lit(mark)).otherwise(x["value"]))), "")
+
+            return _let(F.struct(piece.alias("piece"), begin.alias("begin")), joined)
+
+        return _let(F.slice(all_, first + 1, m), of)
+
+    def whole(all_: Column) -> Column:
+        tail = F.substring(text, end(F.element_at(all_, -1)) + 1, F.char_length(text))
+        return F.concat(F.array_join(_stretches(F.size(all_), lambda first, m: stretch(all_, first, m)), ""), tail)
+
+    return F.when(text.isNull() | (F.size(findings) == 0), text).otherwise(_let(findings, whole))
 
 
 def redact(docs: DataFrame, scanner: Scanner, threshold: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
