@@ -75,10 +75,11 @@ def merge_securities(securities: DataFrame, feed: DataFrame) -> DataFrame:
 def sync_universe(companies: DataFrame, securities: DataFrame, feed: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """Both tables after a feed of (cik, symbol, name, exchange, pos), and the number of listings taken."""
     listed = dedupe_universe(normalise_universe(feed)).where(is_us_equity(F.col("exchange")))
-    clash = symbol_conflicts(listed).limit(1).collect()
-    if clash:
-        raise ValueError(f"{clash[0]['symbol']} is listed under several ciks")
-    return merge_companies(companies, representatives(listed)), merge_securities(securities, listed), listed.count()
+    by_symbol = listed.groupBy("symbol").agg(F.count("*").alias("n"), F.count_distinct("cik").alias("n_ciks"))
+    taken, ciks, symbol = by_symbol.agg(F.coalesce(F.sum("n"), F.lit(0)), F.max("n_ciks"), F.max_by("symbol", "n_ciks")).first()
+    if (ciks or 0) > 1:
+        raise ValueError(f"{symbol} is listed under several ciks")
+    return merge_companies(companies, representatives(listed)), merge_securities(securities, listed), taken
 
 
 def staged_rows(existing: DataFrame, incoming: DataFrame, keys: list[str], valid: Column, batch: str, first_by: Column | None = None) -> DataFrame:

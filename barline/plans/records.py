@@ -97,6 +97,9 @@ def src5_statements(spark, sf_dir):
 _TAGS = ("RevenueFromContractWithCustomerExcludingAssessedTax", "Revenues", "GrossProfit", "OperatingIncomeLoss", "ProfitLoss", "EarningsPerShareBasic", "WeightedAverageNumberOfDilutedSharesOutstanding")
 
 
+_WANTED = [t for tags in reconcile.FACT_TAGS.values() for t in tags]
+
+
 def _fact_payloads(spark, sf_dir):
     """Orders as company facts: customers of nation 7 have no contract revenue, those of nation 5 report it in EUR only."""
     o = _read(spark, sf_dir, "orders").join(_read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
@@ -116,11 +119,11 @@ def _fact_payloads(spark, sf_dir):
 
 def src6_company_facts(spark, sf_dir):
     """Annual statements of company facts, all six concepts by the preferred tags and units."""
-    return reconcile.statements_of_facts(payloads.parse_facts(_fact_payloads(spark, sf_dir)))
+    return reconcile.statements_of_facts(payloads.parse_facts(_fact_payloads(spark, sf_dir), _WANTED))
 
 
 def agg5_first_available(spark, sf_dir):
-    chosen = reconcile.first_available(payloads.parse_facts(_fact_payloads(spark, sf_dir)), reconcile.FACT_TAGS, reconcile.FACT_UNITS)
+    chosen = reconcile.first_available(payloads.parse_facts(_fact_payloads(spark, sf_dir), _WANTED), reconcile.FACT_TAGS, reconcile.FACT_UNITS)
     return chosen.groupBy("cik", "concept", "tag", "unit").agg(F.count("*").alias("facts"))
 
 
@@ -236,7 +239,7 @@ def j8_new_statements(spark, sf_dir):
 
 
 def j9_companies_in_ciks(spark, sf_dir):
-    return lookup.among(_companies(spark, sf_dir), _read(spark, sf_dir, "orders").where("o_totalprice > 150000").select(_padded("o_custkey").alias("cik")), ["cik"]).select("id", "cik")
+    return lookup.among(_companies(spark, sf_dir), _read(spark, sf_dir, "orders").select(_padded("o_custkey").alias("cik")), ["cik"]).select("id", "cik")
 
 
 def j10_securities_in_symbols(spark, sf_dir):
@@ -281,21 +284,35 @@ def mrg3_universe_sync(spark, sf_dir):
     return reconcile.sync_universe(old, listed, feed)[0]
 
 
+def mrg3_universe_securities(spark, sf_dir):
+    """The other two results of the universe sync: securities after it, over one stored listing of each customer, and the
+    number of listings that it took."""
+    companies = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("cik"), F.col("s_name").alias("name"), F.lit("tools").alias("sector"))
+    feed = _read(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("string").alias("cik"), F.concat(F.lit(" l"), F.col("o_custkey").cast("string"), F.lit("y"), F.pmod("o_orderkey", F.lit(3)).cast("string")).alias("symbol"),
+        F.col("o_orderpriority").alias("name"), F.when(F.col("o_orderkey") % 4 == 2, "OTC").otherwise(" nyse").alias("exchange"), F.col("o_orderkey").alias("pos"),
+    )
+    listed = _read(spark, sf_dir, "customer").select(F.concat(F.lit("L"), F.col("c_custkey").cast("string"), F.lit("Y1")).alias("symbol"), F.col("c_custkey").cast("string").alias("cik"), F.lit("OLD").alias("exchange"))
+    _, securities, taken = reconcile.sync_universe(companies, listed, feed)
+    return securities.withColumn("taken", F.lit(taken).cast("long"))
+
+
 def mrg5_news_sync(spark, sf_dir):
-    """Events as news of symbols; a company with a blank publisher is left out whole; urls of web pages are stored ones."""
+    """Events as news of symbols; a company with a blank publisher is left out whole; web pages are the stored news."""
     n = _news(spark, sf_dir).withColumn("url", F.concat(F.lit("http://e/"), F.col("event_id").cast("string")))
     incoming = n.select(F.concat(F.lit(" c"), F.col("company_id").cast("string")).alias("symbol"), "title", "publisher", "summary", "url", "published_at")
-    stored = _read(spark, sf_dir, "orders").where("o_totalprice > 100000").select(F.col("o_custkey").alias("company_id"), F.lit("t").alias("title"), F.lit("p").alias("publisher"), F.lit("s").alias("summary"), F.concat(F.lit("http://e/"), F.col("o_orderkey").cast("string")).alias("url"), F.lit(None).cast("timestamp").alias("published_at"))
+    stored = _read(spark, sf_dir, "pages").select(F.col("page_id").alias("company_id"), F.lit("t").alias("title"), F.lit("p").alias("publisher"), F.lit("s").alias("summary"), F.concat(F.lit("http://e/"), F.col("page_id").cast("string")).alias("url"), F.lit(None).cast("timestamp").alias("published_at"))
     users = _read(spark, sf_dir, "events").select(F.col("user_id").alias("id")).distinct()
     listed = users.select(F.col("id").alias("company_id"), F.concat(F.lit("C"), F.col("id").cast("string")).alias("symbol"))
     return reconcile.sync_news(stored, incoming, listed, users)[1]
 
 
 def mrg6_statement_sync(spark, sf_dir):
-    """Statements of symbols; a company with a bad one is left out whole; the days of large orders are stored."""
+    """Statements of symbols; a company with a bad one is left out whole; the ship dates of its lines are stored."""
     s = _statements(spark, sf_dir)
     incoming = s.select(F.concat(F.lit("c"), F.col("company_id").cast("string")).alias("symbol"), *[c for c in s.columns if c != "company_id"])
-    stored = _read(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("company_id"), F.to_date("o_orderdate").alias("fiscal_date")).distinct()
+    shipped = _read(spark, sf_dir, "orders").join(_read(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    stored = shipped.select(F.col("o_custkey").alias("company_id"), F.to_date("l_shipdate").alias("fiscal_date")).distinct()
     return reconcile.sync_statements(stored, incoming, _securities(spark, sf_dir), _companies(spark, sf_dir).select("id"))[1]
 
 
@@ -373,7 +390,7 @@ ORACLE: dict[str, str] = {
     "j4_company_news": f"WITH {_NEWS} SELECT event_id, company_id, url FROM news WHERE company_id = 8 AND 8 IN (SELECT c_custkey FROM customer)",
     "j5_company_by_cik": f"WITH {_COMPANIES} SELECT id, cik, name FROM companies WHERE id IN (SELECT s_suppkey FROM supplier)",
     "j8_new_statements": f"WITH {_STATEMENTS} SELECT company_id, fiscal_date, total_revenue FROM statements WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = company_id AND CAST(ts AS DATE) - 8766 = fiscal_date)",
-    "j9_companies_in_ciks": f"WITH {_COMPANIES} SELECT id, cik FROM companies WHERE id IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)",
+    "j9_companies_in_ciks": f"WITH {_COMPANIES} SELECT id, cik FROM companies WHERE id IN (SELECT o_custkey FROM orders)",
     "j10_securities_in_symbols": f"WITH {_SECURITIES} SELECT * FROM securities WHERE company_id IN (SELECT user_id FROM events)",
     "j12_security_of_company": f"WITH {_SECURITIES} SELECT * FROM securities WHERE company_id IN (SELECT o_custkey FROM orders WHERE o_orderstatus <> 'F')",
     "j13_news_at": f"WITH {_NEWS} SELECT event_id, url FROM news n WHERE EXISTS (SELECT 1 FROM news m WHERE m.company_id = n.company_id AND m.published_at IS NOT DISTINCT FROM n.published_at AND (m.title LIKE '%view%' OR m.title LIKE '%error%'))",
@@ -384,10 +401,13 @@ ORACLE: dict[str, str] = {
     "mrg3_universe_sync": """WITH feed AS (SELECT CAST(o_custkey AS VARCHAR) AS cik, 'L' || o_custkey || 'Y' || (o_orderkey % 3) AS symbol, 'company ' || o_orderpriority AS name, o_orderkey % 4 AS e, o_orderkey AS pos FROM orders),
       listed AS (SELECT cik, symbol, arg_max(name, pos) AS name, arg_max(e, pos) AS e FROM feed GROUP BY cik, symbol HAVING arg_max(e, pos) <> 2), r AS (SELECT cik, arg_min(name, symbol) AS name FROM listed GROUP BY cik)
       SELECT coalesce(a.cik, r.cik) AS cik, coalesce(r.name, a.name) AS name, CASE WHEN a.cik IS NULL THEN '' ELSE 'tools' END AS sector FROM (SELECT CAST(s_suppkey AS VARCHAR) AS cik, s_name AS name FROM supplier) a FULL JOIN r ON a.cik = r.cik""",
+    "mrg3_universe_securities": """WITH feed AS (SELECT CAST(o_custkey AS VARCHAR) AS cik, 'L' || o_custkey || 'Y' || (o_orderkey % 3) AS symbol, o_orderkey % 4 AS e, o_orderkey AS pos FROM orders),
+      fed AS (SELECT cik, symbol FROM feed GROUP BY cik, symbol HAVING arg_max(e, pos) <> 2), stored AS (SELECT 'L' || c_custkey || 'Y1' AS symbol, CAST(c_custkey AS VARCHAR) AS cik FROM customer)
+      SELECT coalesce(s.symbol, f.symbol) AS symbol, coalesce(s.cik, f.cik) AS cik, CASE WHEN f.symbol IS NULL THEN 'OLD' ELSE 'NYSE' END AS exchange, (SELECT count(*) FROM fed) AS taken FROM stored s FULL JOIN fed f ON s.symbol = f.symbol""",
     "mrg5_news_sync": f"""WITH {_NEWS}, fed AS (SELECT * REPLACE ('http://e/' || event_id AS url) FROM news) SELECT title, publisher, summary, url, published_at, company_id FROM (SELECT * FROM fed QUALIFY bool_and(publisher <> '') OVER (PARTITION BY company_id))
-      WHERE url NOT IN (SELECT 'http://e/' || o_orderkey FROM orders WHERE o_totalprice > 100000)""",
+      WHERE url NOT IN (SELECT 'http://e/' || page_id FROM pages)""",
     "mrg6_statement_sync": f"""WITH {_STATEMENTS} SELECT company_id, fiscal_date, total_revenue, half AS gross_profit, CAST(NULL AS DOUBLE) AS operating_income, net_income, 1.5::DOUBLE AS eps, k AS shares_outstanding
-      FROM (SELECT * FROM statements QUALIFY bool_and(ok) OVER (PARTITION BY company_id)) s WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 300000 AND o_custkey = s.company_id AND CAST(o_orderdate AS DATE) = s.fiscal_date)""",
+      FROM (SELECT * FROM statements QUALIFY bool_and(ok) OVER (PARTITION BY company_id)) s WHERE NOT EXISTS (SELECT 1 FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey = s.company_id AND CAST(l_shipdate AS DATE) = s.fiscal_date)""",
     "mrg7_profile_sync": f"""WITH {_COMPANIES}, asked AS (SELECT DISTINCT user_id FROM events) SELECT id, cik, CASE WHEN user_id IS NULL THEN name ELSE name || ' new' END AS name, CASE WHEN user_id IS NULL THEN sector ELSE 's ' || sector END AS sector,
       CASE WHEN user_id IS NULL THEN country ELSE 'land' END AS country, CASE WHEN user_id IS NULL THEN market_cap ELSE abs(market_cap) END AS market_cap FROM companies LEFT JOIN asked ON user_id = id""",
     "snk4_update_profiles": f"""WITH {_COMPANIES} SELECT id, CASE WHEN s_nationkey > 10 THEN 'N' || s_suppkey ELSE cik END AS cik, coalesce(s_name, name) AS name, sector, CASE WHEN s_suppkey IS NULL THEN market_cap ELSE CAST(floor(s_acctbal) AS BIGINT) END AS market_cap

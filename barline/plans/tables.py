@@ -22,7 +22,7 @@ def _companies(spark, sf_dir):
 
 
 def _universe(spark, sf_dir):
-    """Suppliers of each part's first lines as listings: repeated and in need of cleaning."""
+    """Orders as listings of their customers: repeated and in need of cleaning."""
     o = _read(spark, sf_dir, "orders")
     exchange = F.element_at(F.array(*map(F.lit, ("nasdaq", "NYSE ", "OTC", "NYSE ARCA"))), (F.pmod("o_custkey", F.lit(4)) + 1).cast("int"))
     return o.select(F.col("o_custkey").cast("string").alias("cik"), F.concat(F.lit(" s"), F.col("o_custkey").cast("string"), F.lit("x"), F.pmod("o_orderkey", F.lit(3)).cast("string")).alias("symbol"), F.concat(F.lit("company "), F.col("o_orderstatus")).alias("name"), exchange.alias("exchange"), F.col("o_orderkey").alias("pos"))
@@ -86,7 +86,7 @@ def j7_new_news(spark, sf_dir):
 
 def j11_listings_of_companies(spark, sf_dir):
     c = _read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
-    return lookup.among(c, _read(spark, sf_dir, "nation").where("n_regionkey = 2"), ["n_nationkey"])
+    return lookup.among(c, _read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n_nationkey")), ["n_nationkey"])
 
 
 def j16_without_children(spark, sf_dir):
@@ -177,7 +177,7 @@ ORACLE: dict[str, str] = {
     "j2_security_company": "SELECT 'C' || c_custkey AS symbol, c_custkey % 50 AS company_id, s_name AS name FROM customer JOIN supplier ON s_suppkey = c_custkey % 50",
     "j6_new_prices": f"{_BARS}, {_STORED} SELECT symbol, date, volume FROM bars ANTI JOIN stored USING (symbol, date)",
     "j7_new_news": "SELECT conv_id, turn, 'http://c/' || conv_id AS url FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM labels)",
-    "j11_listings_of_companies": "SELECT c_custkey, c_nationkey AS n_nationkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)",
+    "j11_listings_of_companies": "SELECT c_custkey, c_nationkey AS n_nationkey FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier)",
     "j16_without_children": "SELECT c_custkey AS k FROM customer WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey)",
     "agg1_dedupe_universe": _LISTED,
     "agg2_symbol_conflicts": "SELECT 'S' || (o_orderkey % 900) AS symbol, count(DISTINCT o_custkey) AS n_ciks FROM orders GROUP BY 1 HAVING count(DISTINCT o_custkey) > 1",

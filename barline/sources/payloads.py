@@ -79,12 +79,24 @@ def parse_statements(raw: DataFrame, limit: int = 10) -> DataFrame:
     return rows.select("symbol", _checked(F.col("s.date"), F.col("s.date").isNotNull(), "a statement has no date").alias("fiscal_date"), *shown)
 
 
-def parse_facts(raw: DataFrame) -> DataFrame:
-    """Company facts (cik, json) as long rows: cik, tag, unit, unit_pos, pos, end, val, form, fp, filed."""
+def parse_facts(raw: DataFrame, tags: list[str] | None = None) -> DataFrame:
+    """Company facts (cik, json) as long rows: cik, tag, unit, unit_pos, pos, end, val, form, fp, filed.
+
+    With ``tags`` a document is parsed once and only those are built: the parser skips all others, which are nearly all
+    of a document. Units keep the order of the document.
+    """
     fact = "struct<end: string, val: double, form: string, fp: string, filed: string>"
-    kind = f"facts struct<`us-gaap`: map<string, struct<units: map<string, array<{fact}>>>>>"
-    tags = raw.select("cik", F.explode(F.from_json("json", kind)["facts"]["us-gaap"]).alias("tag", "t"))
-    units = tags.select("cik", "tag", F.posexplode(F.col("t.units")).alias("unit_pos", "unit", "facts"))
+    one = f"struct<units: map<string, array<{fact}>>>"
+    if tags is None:
+        kind = f"facts struct<`us-gaap`: map<string, {one}>>"
+        found = raw.select("cik", F.explode(F.from_json("json", kind)["facts"]["us-gaap"]).alias("tag", "t"))
+    else:
+        names = sorted(set(tags))
+        inner = ", ".join(f"`{t}`: {one}" for t in names)
+        facts = F.from_json("json", f"facts struct<`us-gaap`: struct<{inner}>>")["facts"]["us-gaap"]
+        held = raw.select("cik", facts.alias("f")).select("cik", F.explode(F.array(*[F.struct(F.lit(t).alias("tag"), F.col("f")[t].alias("t")) for t in names])).alias("x"))
+        found = held.select("cik", "x.tag", "x.t").where("t is not null")
+    units = found.select("cik", "tag", F.posexplode(F.col("t.units")).alias("unit_pos", "unit", "facts"))
     return units.select("cik", "tag", "unit", "unit_pos", F.posexplode_outer("facts").alias("pos", "f")).select("cik", "tag", "unit", "unit_pos", "pos", "f.*")
 
 
@@ -92,12 +104,17 @@ def _padded(c: Column) -> Column:
     return F.when(F.length(c) < 10, F.lpad(c, 10, "0")).otherwise(c)
 
 
-def parse_universe(raw: DataFrame) -> DataFrame:
-    """{fields, data} payloads as (cik, symbol, name, exchange, pos). Another header raises; broken rows are left out."""
+def parse_universe(raw: DataFrame, place: str | None = None) -> DataFrame:
+    """{fields, data} payloads as (cik, symbol, name, exchange, pos). Another header raises; broken rows are left out.
+
+    ``pos`` is the place in a payload or, where the column ``place`` numbers the payloads, that of all of them in turn.
+    """
     j = F.from_json("json", "fields array<string>, data array<string>")
     header = F.array(*map(F.lit, ("cik", "name", "ticker", "exchange")))
-    ok = raw.select(j.alias("j")).where(F.when(F.col("j.fields") == header, True).otherwise(F.raise_error("unexpected fields").cast("boolean")))
-    rows = ok.select(F.posexplode("j.data")).select("pos", F.from_json("col", "array<string>").alias("a")).where(F.size("a") == 4)
+    number = F.lit(0) if place is None else F.col(place)
+    ok = raw.select(j.alias("j"), number.cast("long").alias("number")).where(F.when(F.col("j.fields") == header, True).otherwise(F.raise_error("unexpected fields").cast("boolean")))
+    at = (F.col("number") * (1 << 31) + F.col("pos")).alias("pos") if place else F.col("pos")
+    rows = ok.select("number", F.posexplode("j.data")).select(at, F.from_json("col", "array<string>").alias("a")).where(F.size("a") == 4)
     made = rows.select(_padded(F.col("a")[0]).alias("cik"), F.upper(trimmed(F.col("a")[2])).alias("symbol"), trimmed(F.col("a")[1]).alias("name"), F.coalesce(F.col("a")[3], F.lit("")).alias("exchange"), "pos")
     return made.where("cik is not null and symbol != '' and name != ''")
 

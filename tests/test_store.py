@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import json
 import os
 import re
 import subprocess
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barline.operators import indicators, lookup, reconcile
-from barline.sources import store
+from barline.sources import payloads, store
 
 HERE = str(Path(__file__).resolve().parent.parent)
 
@@ -194,3 +195,21 @@ def test_work_folder_is_shared_off_one_machine(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="share"):
         store.work_folder(Far())
+
+
+def test_wanted_facts_are_those_of_the_whole_document(spark):
+    fact = {"end": "2020-12-31", "val": 1.5, "form": "10-K", "fp": "FY", "filed": "2021-02-01"}
+    document = {"facts": {"us-gaap": {"Other": {"units": {"USD": [fact]}}, "Revenues": {"units": {"ZAR": [fact], "USD": [fact, fact], "AUD": []}}}}}
+    raw = spark.createDataFrame([("1", json.dumps(document)), ("2", "{}"), ("3", None)], "cik string, json string")
+    whole = payloads.parse_facts(raw).where("tag = 'Revenues'")
+    wanted = payloads.parse_facts(raw, ["Revenues", "Missing"])
+    assert sorted(map(str, wanted.collect())) == sorted(map(str, whole.collect()))
+    assert [r["unit"] for r in wanted.orderBy("unit_pos").select("unit", "unit_pos").distinct().orderBy("unit_pos").collect()] == ["ZAR", "USD", "AUD"]
+
+
+def test_payloads_in_turn(spark):
+    payload = lambda *names: json.dumps({"fields": ["cik", "name", "ticker", "exchange"], "data": [[7, n, "a", "NYSE"] for n in names]})
+    raw = spark.createDataFrame([(payload("c"), 1), (payload("a", "b"), 0)], "json string, number int")
+    rows = payloads.parse_universe(raw, "number")
+    assert [r["name"] for r in rows.orderBy("pos").collect()] == ["a", "b", "c"]
+    assert [r["name"] for r in reconcile.dedupe_universe(rows).collect()] == ["c"]
