@@ -25,7 +25,8 @@ from ..functions.series import Blocks, Stored, laid_out
 MOST_BLOCKS = 20_000
 #: A block is made of about so many cells, and a halo of whole cells.
 CELLS = 8
-_QUANTILES = 4096
+#: Cells of one series, at most.
+_MOST_CELLS = 4096
 _HIDDEN = ("bar_block", "bar_halo", "bar_row")
 
 
@@ -44,9 +45,10 @@ def _place(bars: DataFrame) -> Column:
     return F.unix_micros("date") if isinstance(kind, T.TimestampType) else F.col("date").cast("long")
 
 
-def _cell() -> Column:
-    """How many of the cuts are at or before the place: a binary search, 0 where there are no cuts."""
-    steps = F.array(*[F.lit(_QUANTILES >> k) for k in range(_QUANTILES.bit_length())])
+def _cell(quantiles: int) -> Column:
+    """How many of the cuts (fewer than ``quantiles``, a power of two) are at or before the place: a binary search, 0 where
+    there are no cuts."""
+    steps = F.array(*[F.lit(quantiles >> k) for k in range(quantiles.bit_length())])
     return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get("__cuts", at + s - 1) <= F.col("__place"), at + s).otherwise(at))
 
 
@@ -86,24 +88,25 @@ def in_blocks(bars: DataFrame, rows: int, halo: int) -> DataFrame | None:
     rows = max(rows, ceil(total / MOST_BLOCKS))
     if most <= rows:
         return None
-    cells = F.least(F.lit(_QUANTILES), F.ceil(F.col("n") * CELLS / rows)).cast("int")
+    quantiles = 1 << (min(_MOST_CELLS, ceil(most * CELLS / rows)) - 1).bit_length()
+    cells = F.least(F.lit(_MOST_CELLS), F.ceil(F.col("n") * CELLS / rows)).cast("int")
     long = counts.where(F.col("n") > rows).select(F.col("symbol").alias("__symbol"), cells.alias("__cells"))
     here = bars.select("symbol", _place(bars).alias("__place")).join(F.broadcast(long), F.col("symbol").eqNullSafe(F.col("__symbol")))
-    marks = F.percentile_approx("__place", [k / _QUANTILES for k in range(1, _QUANTILES)], 10_000)
-    chosen = F.transform(F.sequence(F.lit(1), F.col("__cells") - 1), lambda k: F.get("q", (k * _QUANTILES / F.col("__cells")).cast("int") - 1))
+    marks = F.percentile_approx("__place", [k / quantiles for k in range(1, quantiles)], 10_000)
+    chosen = F.transform(F.sequence(F.lit(1), F.col("__cells") - 1), lambda k: F.get("q", (k * quantiles / F.col("__cells")).cast("int") - 1))
     found = here.groupBy("symbol", "__cells").agg(marks.alias("q")).where("__cells > 1").select("symbol", F.array_distinct(chosen).alias("cuts")).collect()
     kind = bars.schema["symbol"].dataType
     cut = T.StructType([T.StructField("__symbol", kind), T.StructField("__cuts", T.ArrayType(T.LongType()))])
     cuts = spark.createDataFrame([(r["symbol"], sorted(r["cuts"])) for r in found], cut)
     placed = bars.withColumn("__place", _place(bars))
     same = F.col("symbol").eqNullSafe(F.col("__symbol"))
-    sizes = placed.select("symbol", "__place").join(F.broadcast(cuts), same).groupBy("symbol", _cell().alias("cell")).count().collect()
+    sizes = placed.select("symbol", "__place").join(F.broadcast(cuts), same).groupBy("symbol", _cell(quantiles).alias("cell")).count().collect()
     by_symbol: dict[object, list[int]] = {r["symbol"]: [0] * (len(r["cuts"]) + 1) for r in found}
     for r in sizes:
         by_symbol[r["symbol"]][r["cell"]] = r["count"]
     made = T.StructType([*cut.fields, T.StructField("__targets", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("__places", T.ArrayType(T.LongType()))])
     layout = spark.createDataFrame([(r["symbol"], sorted(r["cuts"]), *_arranged(by_symbol[r["symbol"]], rows, halo)) for r in found], made)
-    dealt = placed.join(F.broadcast(layout), same, "left").withColumn("__mine", F.coalesce(F.get("__targets", _cell()), F.array(F.lit(0))))
+    dealt = placed.join(F.broadcast(layout), same, "left").withColumn("__mine", F.coalesce(F.get("__targets", _cell(quantiles)), F.array(F.lit(0))))
     dealt = dealt.withColumn("bar_block", F.explode("__mine")).withColumn("bar_halo", F.col("bar_block") != F.get("__mine", F.lit(0)))
     dealt = dealt.withColumn("__first", F.coalesce(F.get("__places", F.col("bar_block")), F.lit(0)))
     row = F.row_number().over(Window.partitionBy("symbol", "bar_block").orderBy("date")) - 1 + F.col("__first")
