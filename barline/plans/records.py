@@ -317,7 +317,7 @@ def mrg6_statement_sync(spark, sf_dir):
 
 
 def mrg7_profile_sync(spark, sf_dir):
-    """Every customer with orders asks for its profile; the others keep theirs."""
+    """Every customer with events asks for its profile; the others keep theirs."""
     c = _companies(spark, sf_dir)
     asked = lookup.among(c, _read(spark, sf_dir, "events").select(F.col("user_id").alias("id")), ["id"])
     incoming = asked.select(F.concat(F.lit(" "), F.lower("symbol")).alias("requested_symbol"), "symbol", F.concat("name", F.lit("  new ")).alias("name"), F.concat(F.lit("s "), F.col("sector")).alias("sector"), "industry", F.lit("land").alias("country"), "website", F.abs("market_cap").alias("market_cap"))
