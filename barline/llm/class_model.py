@@ -248,7 +248,7 @@ def fit(texts: DataFrame, frequent: int = 2048, groups: int = 512, classes: int
         if likelihood > best and step >= min(turns, word_passes):
             best, kept, between = likelihood, held, now
         if step < word_passes:
-            met = beside.where("bucket >= 0").union(held).repartition(parts, "bucket").sortWithinPartitions("bucket")
+            met = beside.where("bucket >= 0").union(held).repartition(parts, "bucket").sortWithinPartitions("bucket", "at")
             last, held = held, saved(met.mapInArrow(_move(now, classes, turn, turns), _PACKED))
             del met
             if last is not kept:
@@ -499,27 +499,41 @@ def best_classes(between: np.ndarray, of: np.ndarray, left: np.ndarray, right: n
     return np.where(most > gain[i, of] + 1e-9, best, of)
 
 
-def _move(between: np.ndarray, classes: int, turn: int, turns: int):
-    """Buckets in: their tables of words, and how often these stand beside each class. The tables with new classes out."""
-
-    def moved(bucket: int, tables: list[bytes], blobs: list[bytes]) -> pa.RecordBatch:
-        h, n, of = _table(tables)
-        sides: list[list] = [[], [], []]
-        for blob in blobs:
-            names, *found = _thawed(blob)
-            place = np.searchsorted(h, names)
-            for side, key, count in zip(sides, found[::2], found[1::2], strict=True):
-                side.append((place[key // (classes + 1)] * (classes + 1) + key % (classes + 1), count))
-        sums = []
-        for side in sides:
-            key, count = (np.concatenate(x) for x in zip(*side, strict=True)) if side else (np.zeros(0, np.int64),) * 2
+class _Sum:
+    """Counts by key, added up while they come: what waits is never much more than the keys that there are."""
+
+    def __init__(self) -> None:
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size, self.bound = 0, 1 << 20
+
+    def add(self, key: np.ndarray, count: np.ndarray) -> None:
+        self.waiting.append((key, count))
+        self.size += len(key)
+        if self.size > self.bound:
+            key, _ = self.total()
+            self.bound = max(1 << 20, 2 * len(key))
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.waiting) > 1:
+            key, count = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
             key, which = np.unique(key, return_inverse=True)
-            sums.append((key, np.bincount(which, count, len(key))))
+            self.waiting = [(key, np.bincount(which, count, len(key)))]
+            self.size = len(key)
+        return self.waiting[0] if self.waiting else (np.zeros(0, np.int64), np.zeros(0))
+
+
+def _move(between: np.ndarray, classes: int, turn: int, turns: int):
+    """Buckets in, their tables of words first, then how often these stand beside each class. The tables with new
+    classes out. Counts of all chunks are summed while they are read."""
+
+    def moved(bucket: int, words: tuple, sums: list[_Sum]) -> pa.RecordBatch:
+        h, n, of = words
+        sides = [side.total() for side in sums]
         new = of.copy()
         for first in range(0, len(h), 1024):
             last = min(first + 1024, len(h))
             dense = []
-            for key, count in sums:
+            for key, count in sides:
                 low, high = np.searchsorted(key, [first * (classes + 1), last * (classes + 1)])
                 part = np.zeros((last - first) * (classes + 1))
                 part[key[low:high] - first * (classes + 1)] = count[low:high]
@@ -530,15 +544,22 @@ def _move(between: np.ndarray, classes: int, turn: int, turns: int):
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, tables, blobs = -1, [], []
+        bucket, tables, words, sums = -1, [], None, []
         for _, b, at, packed in _read(batches):
-            if b != bucket and tables:
-                yield moved(bucket, tables, blobs)
-                tables, blobs = [], []
-            bucket = b
-            (tables if at < 0 else blobs).append(packed)
+            if b != bucket:
+                if tables:
+                    yield moved(bucket, words or _table(tables), sums)
+                bucket, tables, words, sums = b, [], None, [_Sum() for _ in range(3)]
+            if at < 0:
+                tables.append(packed)
+                continue
+            words = words or _table(tables)
+            names, *found = _thawed(packed)
+            place = np.searchsorted(words[0], names)
+            for side, key, count in zip(sums, found[::2], found[1::2], strict=True):
+                side.add(place[key // (classes + 1)] * (classes + 1) + key % (classes + 1), count)
         if tables:
-            yield moved(bucket, tables, blobs)
+            yield moved(bucket, words or _table(tables), sums)
 
     return run
 
@@ -564,10 +585,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     base = docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score")
     spark = docs.sparkSession
     parts = width(spark)
-    key = F.xxhash64("text")
+    # the name of a row: equal texts of many documents are many keys, so that no key is hot
+    key = F.xxhash64(*[c for c in ("doc_id", "text") if c in docs.columns])
     sent = saved(base.select(key.alias("key"), "text").mapInArrow(_encode(model.groups, model.default, model.buckets), _PACKED))
     found = _answered(sent, model.words, parts, _scores(model.transition, model.below), "key long, n_tokens long, n_known long, log double, score double")
-    # texts that are the same share a key, and have the same values
+    # rows with the same text and doc_id share a key, and have the same values
     sums = found.groupBy("key").agg(*(F.max(c).alias(c) for c in ("n_tokens", "n_known", "log", "score")))
     rest = float(np.log10(model.tokens + model.types + 1))
     joined = base.withColumn("__key", key).drop("text").join(sums.withColumnsRenamed({"key": "__key", "log": "__log"}), "__key")

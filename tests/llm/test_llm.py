@@ -142,6 +142,34 @@ def test_jaccard_join(spark):
     assert jaccard_join.similar_components(table(spark).where("false")).count() == 0
 
 
+def test_shingles_of_many_documents(spark, monkeypatch):
+    texts = pa.array([f"one two three four five w{i} x{i} y{i} z{i} u{i} v{i}" for i in range(400)] + ["one two three four five"])
+    out = list(jaccard_join._send_shingles(5, 7)(iter([pa.RecordBatch.from_arrays([texts], ["text"])])))
+    parts = [jaccard_join._thawed(p) for batch in out for b, p in zip(*(c.to_pylist() for c in batch.columns), strict=True) if b >= 0]
+    assert sum(len(p[3]) for p in parts) == 1  # what all share is one entry of the chunk
+    assert sum(len(p[0]) for p in parts) == 400 * 6
+    counts = [jaccard_join._thawed(p) for batch in out for b, p in zip(*(c.to_pylist() for c in batch.columns), strict=True) if b < 0]
+    assert len(counts) == 1 and counts[0][1].tolist() == [1] * 401
+    # one chunk for each row, with more fragments than partitions: what is shared is met across chunks only
+    monkeypatch.setattr(jaccard_join, "FRAGMENT_SHINGLES", 50)
+    monkeypatch.setattr(jaccard_join, "chunks", lambda batches, most: (b.slice(i, 1) for b in batches for i in range(b.num_rows)))
+    apart = ordered(jaccard_join.similar_components(table(spark, near_copies())).collect())
+    monkeypatch.undo()
+    assert apart == ordered(jaccard_join.similar_components(table(spark, near_copies())).collect())
+    assert any(r[0] != r[2] for r in apart)
+
+
+def test_pivots_with_many_pairs_are_split(spark):
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 1 << 63, 40, dtype=np.uint64) * np.uint64(2) if k % 3 else np.arange(1, 60, dtype=np.uint64) << np.uint64(57)) for k in range(20)]
+    held = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(sets)], "id long, members binary")
+    pairs = spark.createDataFrame([(0, k) for k in range(1, 20)] + [(3, 6), (1, 2)], "a long, b long")
+    want = {(a, b, len(np.intersect1d(sets[a], sets[b]))) for a, b in pairs.collect()}
+    for star in (4096, 4):
+        got = [tuple(r) for r in jaccard_join.overlaps(pairs, held, star).collect()]
+        assert len(got) == len(set(got)) and {x for x in got if x[2]} == {x for x in want if x[2]} and set(got) <= want
+
+
 def test_byte_bpe(spark):
     import public_tokenizers as P
     import tiktoken
@@ -235,6 +263,26 @@ def test_no_bucket_holds_a_row_for_every_document():
     assert sum(asked) == 2001 and max(asked) < 40
 
 
+def test_counts_are_summed_while_they_come():
+    rng, sums, want = np.random.default_rng(2), class_model._Sum(), Counter()
+    sums.bound = 100
+    for _ in range(200):
+        key, count = np.unique(rng.integers(0, 300, 50), return_counts=True)
+        sums.add(key, count)
+        want.update(dict(zip(key.tolist(), count.tolist(), strict=True)))
+        assert sums.size <= (1 << 20)
+    key, count = sums.total()
+    assert dict(zip(key.tolist(), count.tolist(), strict=True)) == want and (np.diff(key) > 0).all()
+
+
+def test_equal_texts_have_equal_scores(spark):
+    rows = [(i, "same words in all of them") for i in range(40)] + [(None, "same words in all of them")] * 2 + [(7, "another text"), (50, None), (51, "")]
+    docs = table(spark, rows)
+    got = class_model.score(docs, class_model.fit(docs, frequent=4, groups=4, classes=3, passes=1)).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(d) for d, _ in rows)
+    assert len({(r["n_tokens"], r["n_known"], round(r["score"], 9)) for r in got}) == 3
+
+
 def test_rare_words_have_classes_of_their_own(spark):
     rng = random.Random(6)
     nouns, verbs = ([f"{c}{k}xyz" for k in range(40)] for c in "nv")  # one group by their last bytes
