@@ -8,7 +8,9 @@ and the parts are summed.
 2. Each fragment counts, for each class, the shingles that some other class has too; the parts go to the bucket of
    the class, packed, and are summed there. A class whose sum is under the threshold's share of its size links with
    nothing. Most documents end here. Shingles are 32 bits of their hash within their fragment, which only counts too
-   many as shared, never too few.
+   many as shared, never too few. What classes of one chunk of texts share is counted in the chunk, and its fragment
+   gets one entry without names: a shingle of all documents is one entry a chunk, not one a document. There are as
+   many fragments as keep a bounded number of shingles each.
 3. For the others, fragments count in how many classes a shingle lies. A class's prefix, its rarest shingles,
    is as long as the threshold demands: classes that link share a shingle of both prefixes (prefix filter).
 4. The classes with a prefix shingle are a list. Each member is compared with the list's pivot, the member whose
@@ -48,6 +50,10 @@ FRAGMENTS, FRAGMENT = 4, 2048
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 19
 #: Ids that are broadcast at most (8 bytes each).
 BROADCAST = 1 << 20
+#: Shingles of a fragment, about, where a fragment for each partition would hold more.
+FRAGMENT_SHINGLES = 1 << 22
+#: Pairs of a pivot that meet one copy of its set.
+STAR = 4096
 
 
 def _sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +105,9 @@ def _describe(n: int):
 
 
 def _send_shingles(n: int, buckets: int):
-    """Shingles to their fragments: 32 bits each (enough for a filter), and the class of each."""
+    """Shingles to their fragments, 32 bits each (enough for a filter): the class of those that one class of a chunk has,
+    and those that several have without names. How many shingles each class shares within the chunk is one more row, in
+    a bucket below zero."""
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,32 +120,47 @@ def _send_shingles(n: int, buckets: int):
                 _, first = np.unique(print_, return_index=True)
                 use = np.zeros(len(print_), bool)
                 use[first] = True
-                use &= (size > 0) & ~np.isin(print_, seen)  # a set once a batch
+                use &= (size > 0) & ~np.isin(print_, seen)  # a set once a chunk
                 seen = np.concatenate([seen, print_[use]])
                 inside = np.repeat(use, size)
                 held.append((value[inside], np.repeat(print_, size)[inside]))
             value, class_ = (np.concatenate(x) for x in zip(*held, strict=True))
-            bucket = (value % np.uint64(buckets)).astype(np.int32)
+            del held
+            order = np.argsort(value)
+            value, class_ = value[order], class_[order]
+            several = _frequency(value) > 1
+            names, count = np.unique(class_[several], return_counts=True)
+            common = np.unique(value[several])
+            value, class_ = value[~several], class_[~several]
             ids, rows = [], []
-            for p in _parts(bucket):
+            if len(names):
+                ids.append(-1 - int(names[0] % np.uint64(buckets)))
+                rows.append(_frozen(names, count))
+            of = (common % np.uint64(buckets)).astype(np.int32)
+            many = {int(of[p[0]]): (common[p] >> np.uint64(32)).astype(np.uint32) for p in _parts(of)}
+            bucket = (value % np.uint64(buckets)).astype(np.int32)
+            one = {int(bucket[p[0]]): p for p in _parts(bucket)}
+            for b in sorted(one.keys() | many.keys()):
+                p = one.get(b, np.zeros(0, np.int64))
                 short = (value[p] >> np.uint64(32)).astype(np.uint32)
                 names, which = np.unique(class_[p], return_inverse=True)
                 order = np.lexsort((short, which))
-                ids.append(int(bucket[p[0]]))
-                count = np.bincount(which)
-                count = count.astype(np.uint8 if count.max() < 256 else np.int32)
-                rows.append(_frozen(short[order], count, np.diff(names, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.copy()))
+                count = np.bincount(which, minlength=len(names))
+                count = count.astype(np.uint8 if len(count) == 0 or count.max() < 256 else np.int32)
+                ids.append(b)
+                named = np.diff(names, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.copy()
+                rows.append(_frozen(short[order], count, named, many.get(b, np.zeros(0, np.uint32))))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(rows, pa.binary())], ["bucket", "packed"])
 
     return run
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-    """Thawed parts of each bucket; rows are sorted by bucket."""
+    """Thawed parts of each bucket; rows are sorted by bucket. Those of buckets below zero come one by one."""
     bucket, blobs = None, []
     for batch in batches:
         for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if b != bucket and blobs:
+            if (b != bucket or b < 0) and blobs:
                 yield [_thawed(x) for x in blobs]
                 blobs = []
             bucket = b
@@ -156,6 +179,8 @@ def _entries(parts: list) -> tuple[np.ndarray, np.ndarray]:
 
 def _frequency(value: np.ndarray) -> np.ndarray:
     """How often each of sorted values occurs."""
+    if not len(value):
+        return np.zeros(0, np.int64)
     at = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
     count = np.diff(np.append(at, len(value)))
     return np.repeat(count, count)
@@ -179,16 +204,22 @@ def _shared(buckets: int):
             return pa.RecordBatch.from_arrays([pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), pa.array(packed, pa.binary())], ["bucket", "packed"])
 
         for parts in _by_bucket(batches):
+            if len(parts[0]) == 2:  # counts of a chunk
+                held.append(parts[0])
+                if sum(len(h[0]) for h in held) > 1 << 19:
+                    yield flush()
+                continue
             value, count = (np.concatenate([p[k] for p in parts]) for k in range(2))
             names = np.concatenate([np.cumsum(np.ascontiguousarray(p[2].T).view(np.uint64).ravel(), dtype=np.uint64) for p in parts])
-            # a class that came from several batches counts once; equal values of one batch are different shingles
+            # a class that came from several chunks counts once; what it lacks here, the chunk has counted
             _, at = np.unique(names, return_index=True)
             use = np.zeros(len(names), bool)
             use[at] = True
             owner = np.repeat(np.arange(len(names)), count)
-            value, owner = value[use[owner]], owner[use[owner]]
+            many = np.unique(np.concatenate([p[3] for p in parts]))
+            value, owner = np.concatenate([value[use[owner]], many, many]), np.concatenate([owner[use[owner]], np.full(2 * len(many), len(names))])
             order = np.argsort(value)
-            shared = np.bincount(owner[order[_frequency(value[order]) > 1]], minlength=len(names))
+            shared = np.bincount(owner[order[_frequency(value[order]) > 1]], minlength=len(names) + 1)[: len(names)]
             at = np.flatnonzero(shared)
             held.append((names[at], shared[at]))
             if sum(len(h[0]) for h in held) > 1 << 19:
@@ -322,10 +353,23 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count, pa.int64())], ["a", "b", "overlap"])
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, overlap) for pairs (a, b) of sets (id, members): partial overlaps by fragment, summed."""
+def overlaps(pairs: DataFrame, sets: DataFrame, star: int = STAR) -> DataFrame:
+    """(a, b, overlap) for pairs (a, b) of sets (id, members): partial overlaps by fragment, summed.
+
+    An ``a`` with over ``star`` pairs is several tasks, with a copy of its set each.
+    """
     parts = sets.select("id", "members").mapInArrow(_fragments, "id long, fragment int, part binary")
-    met = pairs.join(parts.select(F.col("id").alias("a"), "fragment", F.col("part").alias("left")), "a")
+    left = parts.select(F.col("id").alias("a"), "fragment", F.col("part").alias("left"))
+    large = saved(pairs.groupBy("a").agg(F.ceil(F.count("*") / star).cast("int").alias("copies")).where("copies > 1"))
+    found = large.count()
+    if found:
+        large = F.broadcast(large) if found <= BROADCAST else large
+        copy = F.coalesce(F.pmod(F.xxhash64("b"), "copies"), F.lit(0)).cast("int").alias("copy")
+        pairs = pairs.join(large, "a", "left").select("a", "b", copy)
+        left = left.join(large, "a", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+        met = pairs.join(left, ["a", "copy"])
+    else:
+        met = pairs.join(left, "a")
     met = met.join(parts.select(F.col("id").alias("b"), "fragment", F.col("part").alias("right")), ["b", "fragment"])
     partial = met.select("a", "b", "left", "right").mapInArrow(_overlaps, "a long, b long, overlap long")
     return partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
@@ -411,7 +455,8 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         return sent.repartition(parts, "bucket").sortWithinPartitions("bucket")
 
     usable = docs.where("doc_id is not null and text is not null")
-    shared = dealt(usable.select("text").mapInArrow(_send_shingles(n, parts), packed)).mapInArrow(_shared(parts), packed)
+    buckets = max(parts, (whole.agg(F.sum("size")).first()[0] or 0) // FRAGMENT_SHINGLES)
+    shared = dealt(usable.select("text").mapInArrow(_send_shingles(n, buckets), packed)).mapInArrow(_shared(buckets), packed)
     shared = dealt(shared).mapInArrow(_summed, "one long, shared long")
     left = saved(classes.join(shared, "one").where(F.col("shared") * 100 >= F.col("size") * percent).select("id", "one"))
     count = left.count()
@@ -420,7 +465,8 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     chosen = F.broadcast(left) if count <= BROADCAST else left
     rows = usable.join(chosen, usable["doc_id"] == chosen["id"]).select("id", "one", "text")
     sets = saved(rows.mapInArrow(_keep_sets(n), "id long, size long, members binary").dropDuplicates(["id"]))
-    counted = dealt(sets.select("id", "members").mapInArrow(_send_sets(parts), packed)).mapInArrow(_frequencies(parts), packed)
+    buckets = max(parts, (sets.agg(F.sum("size")).first()[0] or 0) // FRAGMENT_SHINGLES)
+    counted = dealt(sets.select("id", "members").mapInArrow(_send_sets(buckets), packed)).mapInArrow(_frequencies(buckets), packed)
     lists = saved(dealt(counted).mapInArrow(_prefixes(percent), "shingle long, id long, size long, common double"))
 
     # 4: each with the pivot of its lists
