@@ -6,8 +6,9 @@ suffixes by their first 2**r words. The ranks of all rounds give the longest com
 binary descent, and from these the LCP intervals: at each place the longest substring that is repeated
 elsewhere in its document. The union of the maximal repeated substrings is the share of the text that repeats.
 
-Words are compared by 64-bit hashes. Null texts have no words and fail the base rules. Repeated rows are judged
-each by itself. Extra columns stay; columns with the names of results are replaced.
+Words are compared by 64-bit hashes. Null and empty texts have no words and fail the base rules. Texts of any length
+are read whole. Rows without doc_id and repeated rows are judged each by itself; an empty table gives no rows. Extra
+columns stay; columns with the names of results are replaced.
 """
 
 from __future__ import annotations
