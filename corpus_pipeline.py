@@ -1,6 +1,9 @@
 """A training-data pipeline over ``documents``: five stages, each on all that its predecessor kept.
 
 Every stage is written as Parquet in the shared folder and read again as the next one's documents.
+
+Only the columns of documents are read; extra ones go with the first stage. Null and empty texts have no language and
+go there as well. Texts of any length are read whole. An empty table leaves no documents, and no pieces.
 """
 
 from __future__ import annotations
