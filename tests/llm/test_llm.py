@@ -335,6 +335,37 @@ def test_embedding_links(spark):
     assert got[None]["n_links"] == 0
 
 
+def test_embedding_recall_in_small_buckets(spark):
+    """Pairs about the threshold among 70,000 vectors, where a bucket number has 11 bits."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((70_000, 40))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal((2000, 40))
+    side -= (side * x[:2000]).sum(1, keepdims=True) * x[:2000]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    near = rng.uniform(0.88, 0.93, (2000, 1))
+    x[2000:4000] = near * x[:2000] + np.sqrt(1 - near**2) * side
+    x = x.astype(np.float32)
+    y = x.astype(float)
+    cosine = (y[:2000] * y[2000:4000]).sum(1) / np.sqrt((y[:2000] ** 2).sum(1) * (y[2000:4000] ** 2).sum(1))
+    assert embedding_dedup.plan(len(x), 0.9)[0] == 11
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}))
+    got = embedding_dedup.near_duplicates(df).where("n_links > 0").toPandas().set_index("vec_id")
+    found = [i for i in range(2000) if i in got.index and got["n_links"][i] == got["n_links"].get(2000 + i) == 1 and got["component_id"][2000 + i] == i]
+    assert (cosine[found] >= 0.9).all() and len(got) == 2 * len(found)
+    assert len(found) >= 0.98 * (cosine >= 0.9).sum() > 1000
+
+
+def test_embeddings_of_equal_bytes(spark):
+    rng = np.random.default_rng(7)
+    long = rng.standard_normal(8)
+    short = np.frombuffer(long.tobytes(), np.float32).astype(float)
+    assert np.isfinite(short).all()
+    rows = [(1, long.tolist()), (2, short.tolist()), (3, (2 * long).tolist()), (4, (long / 3).tolist())]
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: 2, 2: 0, 3: 2, 4: 2}
+
+
 def test_norms_out_of_range_and_other_columns(spark):
     rows = [(1, [1e200, 2e200]), (2, [1e200, 2e200]), (3, [1e-200, 2e-200]), (4, [1e-200, 2.01e-200]), (5, [1e200, -1e200]), (5, [1e200, -1e200])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("n_links", F.lit("x"))
