@@ -6,6 +6,7 @@ shuffle by symbol serves them all. Filter symbols before and dates after: an ind
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -249,19 +250,26 @@ def force_index(df: DataFrame) -> DataFrame:
     return df.withColumn("force_index", (C("close") - previous("close")) * C("volume"))
 
 
-def _volume_index(df: DataFrame, out: str, base: float, rising: bool) -> DataFrame:
+def _volume_index(df: DataFrame, out: str, base: float, rising: bool, ln: bool) -> DataFrame:
+    """With ``ln`` the natural logarithm (``out``_ln), which long series need: their products leave the range of doubles. It is
+    null from the first factor on that is not positive."""
     df = df.withColumns({"__pc": previous("close"), "__pv": previous("volume")})
-    counts = (C("volume") > C("__pv")) if rising else (C("volume") < C("__pv"))
-    df = df.withColumn("__f", F.when(counts & (C("__pc") != 0), 1 + (C("close") - C("__pc")) / C("__pc")).otherwise(1.0))
-    return _temporary(running_product(df, "__f", "__p").withColumn(out, base * C("__p")))
+    counts = ((C("volume") > C("__pv")) if rising else (C("volume") < C("__pv"))) & (C("__pc") != 0)
+    if not ln:
+        df = df.withColumn("__f", F.when(counts, 1 + (C("close") - C("__pc")) / C("__pc")).otherwise(1.0))
+        return _temporary(running_product(df, "__f", "__p").withColumn(out, base * C("__p")))
+    df = df.withColumn("__f", F.when(counts, C("close") / C("__pc")).otherwise(1.0))
+    df = df.withColumn("__f", F.when(C("__f") > 0, F.log("__f")).when(C("__f") <= 0, float("-inf")))
+    df = running_sum(df, "__f", "__p")
+    return _temporary(df.withColumn(f"{out}_ln", F.when(C("__p") > float("-inf"), math.log(base) + C("__p"))))
 
 
-def nvi(df: DataFrame, base: float = 1000.0) -> DataFrame:
-    return _volume_index(df, "nvi", base, rising=False)
+def nvi(df: DataFrame, base: float = 1000.0, ln: bool = False) -> DataFrame:
+    return _volume_index(df, "nvi", base, False, ln)
 
 
-def pvi(df: DataFrame, base: float = 1000.0) -> DataFrame:
-    return _volume_index(df, "pvi", base, rising=True)
+def pvi(df: DataFrame, base: float = 1000.0, ln: bool = False) -> DataFrame:
+    return _volume_index(df, "pvi", base, True, ln)
 
 
 def kvo(df: DataFrame, fast: int = 34, slow: int = 55, signal: int = 13) -> DataFrame:

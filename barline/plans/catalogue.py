@@ -12,44 +12,47 @@ from ..operators.long_series import append_bars, over_blocks
 from . import bars, indicator_sql, records, stored, tables
 
 
-#: Products over a whole series span many orders of magnitude: shown as logarithms.
-_LOGARITHMS = ("nvi", "pvi")
+#: Products over a whole series span many orders of magnitude: summed and shown as logarithms.
+_LOGARITHMS = ("i30_nvi", "i31_pvi")
+
+
+def _known(name: str) -> tuple[Callable[..., DataFrame], tuple[str, ...], dict]:
+    """An indicator, its columns and its parameters."""
+    function, columns = REGISTRY[name]
+    return (function, tuple(f"{c}_ln" for c in columns), {"ln": True}) if name in _LOGARITHMS else (function, columns, {})
 
 
 def _shown(column: str) -> Column:
-    if column == "obv":
-        return F.col(column)
-    value, name = (F.log(column), f"{column}_ln") if column in _LOGARITHMS else (F.col(column), column)
-    return (F.floor(value * 10000 + 0.5) / 10000.0).alias(name)
+    return F.col(column) if column == "obv" else (F.floor(F.col(column) * 10000 + 0.5) / 10000.0).alias(column)
 
 
 def _indicator(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    function, columns = REGISTRY[name]
+    function, columns, params = _known(name)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return function(bars.daily_bars(spark, sf_dir)).select("symbol", "date", *map(_shown, columns))
+        return function(bars.daily_bars(spark, sf_dir), **params).select("symbol", "date", *map(_shown, columns))
 
     return run
 
 
 def _long(name: str) -> Callable[[SparkSession, str], DataFrame]:
     """The indicator over the tape, in blocks of 4096 bars so that small tables have several as well."""
-    function, columns = REGISTRY[name]
+    function, columns, params = _known(name)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return over_blocks(function, bars.tape(spark, sf_dir), rows=4096).select("symbol", "date", *map(_shown, columns))
+        return over_blocks(function, bars.tape(spark, sf_dir), rows=4096, **params).select("symbol", "date", *map(_shown, columns))
 
     return run
 
 
 def _appended(name: str) -> Callable[[SparkSession, str], DataFrame]:
     """The indicator of all bars, the later half of them computed from the state after the earlier half."""
-    function, columns = REGISTRY[name]
+    function, columns, params = _known(name)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         days = bars.daily_bars(spark, sf_dir)
-        first, state = append_bars(function, days.where("date < '1995-06-01'"))
-        second, _ = append_bars(function, days.where("date >= '1995-06-01'"), state)
+        first, state = append_bars(function, days.where("date < '1995-06-01'"), **params)
+        second, _ = append_bars(function, days.where("date >= '1995-06-01'"), state, **params)
         return first.union(second).select("symbol", "date", *map(_shown, columns))
 
     return run

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import math
 import random
 import re
 
@@ -14,6 +15,7 @@ from barline.operators import indicators
 from barline.operators.indicators import REGISTRY
 from barline.operators.long_series import append_bars, history, in_blocks, over_blocks
 from barline.operators.parabolic import Stop, parabolic_sar, stops
+from barline.plans import catalogue
 
 FREE = [name for name in REGISTRY if name != "i10_parabolic_sar"]
 GROUPS = [FREE[k::9] for k in range(9)]
@@ -161,3 +163,26 @@ def test_the_state_machine_holds_a_few_numbers():
     for k in range(100_000):
         state.next(100.0 + k % 17, 99.0 + k % 13 / 20)
     assert len(state.recent) == 2
+
+
+@pytest.mark.parametrize(("name", "falls"), [("nvi", True), ("pvi", False)])
+def test_products_beyond_the_range_of_doubles(spark, tmp_path, name, falls):
+    """Every second price falls to a thousandth, with (nvi) or against (pvi) its volume: the product of 300 falls is no double."""
+    prices = [0.0 if k % 2 else 1e9 for k in range(600)]
+    volumes = [1.0 if (k % 2 == 1) == falls else 2.0 for k in range(600)]
+    lines = [(k, 1, v, p, 0.0, 0.0, "A") for k, (v, p) in enumerate(zip(volumes, prices, strict=True))]
+    kinds = "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string"
+    spark.createDataFrame(lines, kinds).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    query = catalogue.queries()[f"long_i30_{name}" if falls else f"long_i31_{name}"]
+    got = [r[f"{name}_ln"] for r in query(spark, str(tmp_path)).orderBy("date").collect()]
+    step = math.log(1000.0 / 1_001_000.0)
+    assert got == pytest.approx([math.log(1000) + (k + 1) // 2 * step for k in range(600)], abs=1e-3)
+
+
+def test_logarithms_of_products(spark, long_bars):
+    """In blocks as well; null from the first price of zero on."""
+    whole = indicators.nvi(long_bars).select("symbol", "date", F.log("nvi").alias("nvi_ln")).collect()
+    close_to(over_blocks(indicators.nvi, long_bars, rows=300, ln=True).collect(), whole, ["nvi_ln"])
+    few = spark.createDataFrame([("A", k, c, 9 - k) for k, c in enumerate([2.0, 1.0, 0.0, 5.0, 6.0])], "symbol string, date long, close double, volume long")
+    got = [r["nvi_ln"] for r in indicators.nvi(few, ln=True).orderBy("date").collect()]
+    assert got[:2] == pytest.approx([math.log(1000), math.log(500)]) and got[2:] == [None] * 3
