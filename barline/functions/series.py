@@ -25,7 +25,9 @@ class Whole:
     keys: tuple[str, ...] = ("symbol",)
     parted = False
 
-    def carry(self, df: DataFrame, out: str, parts: dict[str, Column], fold) -> DataFrame:
+    def carry(self, df: DataFrame, parts: dict[str, Column], folds: dict, beside: tuple[str, ...] = ()) -> DataFrame:
+        """``df`` with a column for each fold, in the order of the scans, and with the parts ``beside``, of a row's own block.
+        A scan that needs no carry has None for its fold."""
         raise NotImplementedError
 
     def scanned(self, df: DataFrame, out: str) -> DataFrame:
@@ -33,18 +35,25 @@ class Whole:
 
 
 class Blocks(Whole):
-    """Series in blocks: columns bar_block, bar_halo and bar_row (the place in the series)."""
+    """Series in blocks: columns bar_block, bar_halo and bar_row (the place in the series). Every block but the last of a
+    series has ``rows`` own rows or more."""
 
     keys = ("symbol", "bar_block")
     parted = True
 
-    def carry(self, df: DataFrame, out: str, parts: dict[str, Column], fold) -> DataFrame:
-        """``fold`` of what the blocks before gave: one small row a block, scanned by symbol and joined back."""
-        before = Window.partitionBy("symbol").orderBy("bar_block").rowsBetween(Window.unboundedPreceding, -1)
+    def __init__(self, rows: int) -> None:
+        self.rows = rows
+
+    def carry(self, df: DataFrame, parts: dict[str, Column], folds: dict, beside: tuple[str, ...] = ()) -> DataFrame:
+        """Folds of what the blocks before gave: one small row a block, scanned by symbol and broadcast, so that bars stay
+        where they are. A fold takes a window of all blocks before, or of the last k."""
+        series = Window.partitionBy("symbol").orderBy("bar_block")
+        before = lambda k=None: series.rowsBetween(Window.unboundedPreceding if k is None else -k, -1)
         blocks = df.groupBy("symbol", "bar_block").agg(*[c.alias(name) for name, c in parts.items()])
-        carries = blocks.select(F.col("symbol").alias("__symbol"), F.col("bar_block").alias("__block"), fold(before).alias(out))
+        found = [fold(before).alias(out) for out, fold in folds.items() if fold]
+        carries = blocks.select(F.col("symbol").alias("__symbol"), F.col("bar_block").alias("__block"), *found, *beside)
         same = F.col("symbol").eqNullSafe(F.col("__symbol")) & (F.col("bar_block") == F.col("__block"))
-        return df.join(carries, same, "left").drop("__symbol", "__block")
+        return df.join(F.broadcast(carries), same, "left").drop("__symbol", "__block")
 
 
 class Stored(Whole):
@@ -55,9 +64,10 @@ class Stored(Whole):
     def __init__(self) -> None:
         self.scans: list[str] = []
 
-    def carry(self, df: DataFrame, out: str, parts: dict[str, Column], fold) -> DataFrame:
-        name = f"carry_{len(self.scans)}"
-        return df.withColumn(out, F.col(name) if name in df.columns else F.lit(None).cast("double"))
+    def carry(self, df: DataFrame, parts: dict[str, Column], folds: dict, beside: tuple[str, ...] = ()) -> DataFrame:
+        df = df.withColumns({name: parts[name].over(Window.partitionBy(*self.keys)) for name in beside})
+        names = {out: f"carry_{k}" for k, out in enumerate(folds, len(self.scans))}
+        return df.withColumns({out: F.col(name) if name in df.columns else F.lit(None).cast("double") for out, name in names.items()})
 
     def scanned(self, df: DataFrame, out: str) -> DataFrame:
         """Keeps a copy of what a scan gave: its last value is the next carry."""
@@ -126,16 +136,20 @@ def _own(column: str | Column) -> Column:
     return F.when(~F.col("bar_halo"), column) if _layout.get().parted else column
 
 
-def _scan(df: DataFrame, column: str, out: str, aggregate, join) -> DataFrame:
-    """A running aggregate; ``join`` puts what the rows before this part gave in front of it."""
+def _scans(df: DataFrame, columns: dict[str, str], aggregate, join) -> DataFrame:
+    """Running aggregates of ``columns`` by their new names; ``join`` puts what the rows before this part gave in front.
+    All of them take their carries from one table."""
     layout = _layout.get()
-    df = df.withColumn(out, aggregate(_own(column)).over(running()))
+    df = df.withColumns({out: aggregate(_own(c)).over(running()) for out, c in columns.items()})
     if layout.parted:
-        parts = {"__part": aggregate(_own(column))}
-        df = layout.carry(df, "__carry", parts, lambda before: aggregate(F.col("__part")).over(before))
-        kind = df.schema[out].dataType
-        df = df.withColumn(out, join(F.col("__carry").cast(kind), F.col(out))).drop("__carry")
-    return layout.scanned(df, out)
+        carries = {out: f"__carry{k}" for k, out in enumerate(columns)}
+        parts = {f"__part{k}": aggregate(_own(c)) for k, c in enumerate(columns.values())}
+        folds = {c: lambda before, part=part: aggregate(F.col(part)).over(before()) for c, part in zip(carries.values(), parts, strict=True)}
+        df = layout.carry(df, parts, folds)
+        df = df.withColumns({out: join(F.col(c).cast(df.schema[out].dataType), F.col(out)) for out, c in carries.items()}).drop(*carries.values())
+    for out in columns:
+        df = layout.scanned(df, out)
+    return df
 
 
 def _joined(operation):
@@ -144,11 +158,17 @@ def _joined(operation):
 
 def running_sum(df: DataFrame, column: str, out: str) -> DataFrame:
     """``df`` with the sum of all rows of the series up to each one."""
-    return _scan(df, column, out, F.sum, _joined(lambda a, b: a + b))
+    return running_sums(df, {out: column})
+
+
+def running_sums(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The running sums of several columns, by their new names."""
+    return _scans(df, columns, F.sum, _joined(lambda a, b: a + b))
 
 
 def running_product(df: DataFrame, column: str, out: str) -> DataFrame:
-    return _scan(df, column, out, F.product, _joined(lambda a, b: a * b))
+    """Of a long series it may leave the range of doubles: there take the running sum of logarithms."""
+    return _scans(df, {out: column}, F.product, _joined(lambda a, b: a * b))
 
 
 def last_known(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -157,7 +177,7 @@ def last_known(df: DataFrame, column: str, out: str) -> DataFrame:
     df = df.withColumn(out, F.last(_own(column), ignorenulls=True).over(running()))
     if layout.parted:
         parts = {"__part": F.max_by(_own(column), F.when(_own(column).isNotNull(), F.col("date")))}
-        df = layout.carry(df, "__carry", parts, lambda before: F.last("__part", ignorenulls=True).over(before))
+        df = layout.carry(df, parts, {"__carry": lambda before: F.last("__part", ignorenulls=True).over(before())})
         df = df.withColumn(out, F.coalesce(out, F.col("__carry").cast(df.schema[out].dataType))).drop("__carry")
     return layout.scanned(df, out)
 
@@ -175,43 +195,64 @@ def exponential(df: DataFrame, column: str, out: str, period: int, first: int, s
     A scan without recursion: within stretches of rows the result is a weighted running sum, short enough that the
     weights stay in range; what a stretch inherits is the last value of the stretch before. All windows share the
     partitioning of the layout, so that the scan adds no shuffle. A block is one affine map, its decay and its sum; the
-    maps of the blocks before make its carry.
+    maps of the blocks before make its carry: of the last ones only, since beyond them the decay is zero in doubles.
     """
+    return exponentials(df, [(column, out, period, first)], seed_mean, before)
+
+
+def exponentials(df: DataFrame, scans: list[tuple[str, str, int, int]], seed_mean: bool = True, before: str | None = None) -> DataFrame:
+    """Several scans (column, out, period, first) that do not build on each other, with one table of carries.
+    ``before`` is of the first."""
     layout = _layout.get()
-    decay = (period - 1) / (period + 1)
-    gain = 1 - decay
-    seed = mean(column, period) if seed_mean else F.col(column)
-    df = df.withColumn("__t", row_number() - first)
-    df = df.withColumn("__u", _own(F.when(F.col("__t") == 0, seed).when(F.col("__t") > 0, F.col(column) * gain)))
-    if period == 1:
-        df = df.withColumn(out, F.col("__u")).drop("__t", "__u")
-        if before:
-            value = F.when(row_number() > first, previous(column))
-            df = df.withColumn(before, value)
-        return layout.scanned(df, out)
-    stretch = math.floor(200 / -math.log10(decay))
-    df = df.withColumns({"__o": F.pmod("__t", F.lit(stretch)), "__b": F.floor(F.col("__t") / stretch)})
-    inside = Window.partitionBy(*layout.keys, "__b").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("__l", F.pow(F.lit(decay), F.col("__o")) * F.sum(F.col("__u") * F.pow(F.lit(decay), -F.col("__o"))).over(inside))
-    carried = F.last(F.when(F.col("__o") == stretch - 1, F.col("__l")), ignorenulls=True).over(order().rowsBetween(Window.unboundedPreceding, -1))
-    value = F.col("__l") + F.coalesce(carried * F.pow(F.lit(decay), F.col("__o") + 1), F.lit(0.0))
-    started = F.col("__t") >= 0
-    df = df.withColumn(out, _own(F.when(started, value)))
-    inherited = F.lit(None).cast("double")
-    if layout.parted:
+    parts, folds, decays, made, begins = {}, {}, [], [], []
+    for k, (column, out, period, first) in enumerate(scans):
+        decay = (period - 1) / (period + 1)
+        decays.append(decay)
+        t, u, o, b, l = (f"__{x}{k}" for x in "tuobl")  # noqa: E741
+        made += [t, u, o, b, l, f"__carry{k}"]
+        df = df.withColumn(t, row_number() - first)
+        seed = F.col(column)
+        if seed_mean:  # of one window only, so that no frame slides over the others
+            seed = F.when(F.col(t).between(1 - period, 0), seed)
+            seed = F.when(F.count(seed).over(running()) == period, F.avg(seed).over(running()))
+        df = df.withColumn(u, _own(F.when(F.col(t) == 0, seed).when(F.col(t) > 0, F.col(column) * (1 - decay))))
+        if period == 1:
+            df = df.withColumn(out, F.col(u))
+            folds[f"__carry{k}"] = None
+            continue
+        stretch = math.floor(200 / -math.log10(decay))
+        df = df.withColumns({o: F.pmod(t, F.lit(stretch)), b: F.floor(F.col(t) / stretch)})
+        inside = Window.partitionBy(*layout.keys, b).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+        df = df.withColumn(l, F.pow(F.lit(decay), F.col(o)) * F.sum(F.col(u) * F.pow(F.lit(decay), -F.col(o))).over(inside))
+        behind = Window.partitionBy(*layout.keys).orderBy(b, "date").rowsBetween(Window.unboundedPreceding, -1)  # sorted like ``inside``
+        carried = F.last(F.when(F.col(o) == stretch - 1, F.col(l)), ignorenulls=True).over(behind)
+        value = F.col(l) + F.coalesce(carried * F.pow(F.lit(decay), F.col(o) + 1), F.lit(0.0))
+        started = F.col(t) >= 0
+        df = df.withColumn(out, _own(F.when(started, value)))
         counts = _own(F.when(started, F.col("date")))
-        parts = {"__n": F.count(counts), "__e": F.max_by(F.col(out), counts)}
-
-        def fold(before_: WindowSpec) -> Column:
-            maps = F.collect_list(F.struct("__n", "__e")).over(before_)
-            seen = F.sum("__n").over(before_) > 0
-            step = lambda e, m: e * F.pow(F.lit(decay), m["__n"]) + F.coalesce(m["__e"], F.lit(0.0))
-            return F.when(seen, F.aggregate(maps, F.lit(0.0), step))
-
-        df = layout.carry(df, "__carry", parts, fold)
-        begin = F.min(F.when(counts.isNotNull(), F.col("__t"))).over(Window.partitionBy(*layout.keys))
-        df = df.withColumn(out, F.col(out) + F.coalesce(F.col("__carry") * F.pow(F.lit(decay), F.col("__t") - begin + 1), F.lit(0.0)))
-        inherited = F.when(F.col("__t") == begin, F.col("__carry"))
+        parts |= {f"__n{k}": F.count(counts), f"__e{k}": F.max_by(F.col(out), counts), f"__begin{k}": F.min(F.when(counts.isNotNull(), F.col(t)))}
+        begins.append(f"__begin{k}")
+
+        def fold(before_, n=f"__n{k}", e=f"__e{k}", decay=decay) -> Column:
+            last = before_(2 + math.ceil(330 / -math.log10(decay) / layout.rows))
+            maps = F.collect_list(F.struct(F.col(n).alias("n"), F.col(e).alias("e"))).over(last)
+            step = lambda at, m: at * F.pow(F.lit(decay), m["n"]) + F.coalesce(m["e"], F.lit(0.0))
+            return F.when(F.sum(n).over(last) > 0, F.aggregate(maps, F.lit(0.0), step))
+
+        folds[f"__carry{k}"] = fold
+    inherited = F.lit(None).cast("double")
+    if layout.parted and parts:
+        df = layout.carry(df, parts, folds, tuple(begins))
+        for k, (_, out, period, first) in enumerate(scans):
+            if period > 1:
+                since = F.col(f"__t{k}") - F.col(f"__begin{k}")
+                df = df.withColumn(out, F.col(out) + F.coalesce(F.col(f"__carry{k}") * F.pow(F.lit(decays[k]), since + 1), F.lit(0.0)))
+                if k == 0:
+                    inherited = F.when(since == 0, F.col("__carry0"))
     if before:
-        df = df.withColumn(before, F.coalesce(inherited, previous(out)))
-    return layout.scanned(df.drop("__t", "__u", "__o", "__b", "__l", "__carry"), out)
+        column, out, period, first = scans[0]
+        value = F.when(row_number() > first, previous(column)) if period == 1 else F.coalesce(inherited, previous(out))
+        df = df.withColumn(before, value)
+    for _, out, _, _ in scans:
+        df = layout.scanned(df, out)
+    return df.drop(*made, *begins)

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.series import exponential, highest, last_known, lowest, mean, positive, previous, rolling, row_number, running_product, running_sum, total
+from ..functions.series import exponential, exponentials, highest, last_known, lowest, mean, positive, previous, rolling, row_number, running_product, running_sum, running_sums, total
 from .parabolic import parabolic_sar
 
 C = F.col
@@ -52,8 +52,7 @@ def ema(df: DataFrame, period: int = 20) -> DataFrame:
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     positive(fast=fast, slow=slow, signal=signal)
-    df = exponential(df, "close", "__fast", fast, fast - 1)
-    df = exponential(df, "close", "__slow", slow, slow - 1)
+    df = exponentials(df, [("close", "__fast", fast, fast - 1), ("close", "__slow", slow, slow - 1)])
     df = df.withColumn("macd", C("__fast") - C("__slow"))
     df = exponential(df, "macd", "signal", signal, max(fast, slow) + signal - 2)
     return _temporary(df.withColumn("histogram", C("macd") - C("signal")))
@@ -113,8 +112,7 @@ def stochastic(df: DataFrame, period: int = 14, signal: int = 3) -> DataFrame:
 
 def vwap(df: DataFrame) -> DataFrame:
     """From the first row on, without sessions."""
-    df = running_sum(df.withColumn("__tpv", _typical() * C("volume")), "__tpv", "__flow")
-    df = running_sum(df, "volume", "__volume")
+    df = running_sums(df.withColumn("__tpv", _typical() * C("volume")), {"__flow": "__tpv", "__volume": "volume"})
     return _temporary(df.withColumn("vwap", F.when(C("__volume") != 0, C("__flow") / C("__volume"))))
 
 
@@ -280,8 +278,7 @@ def kvo(df: DataFrame, fast: int = 34, slow: int = 55, signal: int = 13) -> Data
     range_ = C("high") - C("low")
     force = C("volume") * C("__trend") * F.abs(2 * F.abs(C("__c")) / range_ - 1)
     df = df.withColumn("__vf", F.when((range_ != 0) & C("__c").isNotNull(), force).otherwise(0.0))
-    df = exponential(df, "__vf", "__fast", fast, 0, seed_mean=False)
-    df = exponential(df, "__vf", "__slow", slow, 0, seed_mean=False)
+    df = exponentials(df, [("__vf", "__fast", fast, 0), ("__vf", "__slow", slow, 0)], seed_mean=False)
     df = exponential(df.withColumn("__kvo", C("__fast") - C("__slow")), "__kvo", "__sig", signal, 0, seed_mean=False)
     ready = row_number() >= slow - 1
     return _temporary(df.withColumns({"kvo": F.when(ready, C("__kvo")), "kvo_signal": F.when(ready, C("__sig"))}))
@@ -292,7 +289,7 @@ def chaikin_oscillator(df: DataFrame, fast: int = 3, slow: int = 10) -> DataFram
     if fast >= slow:
         raise ValueError("fast must be less than slow")
     df = running_sum(_money_flow(df), "__mfv", "__ad")
-    df = exponential(exponential(df, "__ad", "__fast", fast, fast - 1), "__ad", "__slow", slow, slow - 1)
+    df = exponentials(df, [("__ad", "__fast", fast, fast - 1), ("__ad", "__slow", slow, slow - 1)])
     return _temporary(df.withColumn("chaikin_oscillator", C("__fast") - C("__slow")))
 
 

@@ -2,8 +2,8 @@
 
 ``in_blocks`` cuts every series of over ``rows`` bars into blocks of neighbouring bars, each with the last ``halo`` bars
 or more before it, so that bounded windows see what they need; one shuffle by symbol and block serves all windows.
-Scans (exponential means, running sums and products, held values) take a carry from a table of one row a block, for
-which the columns that they scan are read and shuffled once more.
+Scans (exponential means, running sums and products, held values) take a carry from a table of one row a block, which
+is broadcast; for it the columns that they scan are read once more.
 
 ``append_bars`` keeps a row of state for each symbol and indicator: the last bars and what every scan has reached. New
 bars are computed from it without their history.
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import inspect
 from collections.abc import Callable
+from itertools import accumulate
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,8 +26,10 @@ from ..functions.series import Blocks, Stored, laid_out
 MOST_BLOCKS = 20_000
 #: A block is made of about so many cells, and a halo of whole cells.
 CELLS = 8
-#: Cells of one series, at most.
+#: Cells of one series, at most; blocks of longer series grow, so that their halos don't grow beside them.
 _MOST_CELLS = 4096
+#: Rows of a task, about, where there are more than the session's shuffle partitions take: sorted more than once in memory.
+_TASK_ROWS = 1 << 20
 _HIDDEN = ("bar_block", "bar_halo", "bar_row")
 
 
@@ -45,32 +48,40 @@ def _place(bars: DataFrame) -> Column:
     return F.unix_micros("date") if isinstance(kind, T.TimestampType) else F.col("date").cast("long")
 
 
-def _cell(quantiles: int) -> Column:
-    """How many of the cuts (fewer than ``quantiles``, a power of two) are at or before the place: a binary search, 0 where
-    there are no cuts."""
-    steps = F.array(*[F.lit(quantiles >> k) for k in range(quantiles.bit_length())])
-    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get("__cuts", at + s - 1) <= F.col("__place"), at + s).otherwise(at))
+def _with_cell(df: DataFrame, quantiles: int) -> DataFrame:
+    """``df`` with __cell: how many of the cuts (fewer than ``quantiles``, a power of two) are at or before the place; 0 where
+    there are no cuts.
+
+    A binary search with a column for each step, so that it is compiled with the join before it: a row is never
+    copied with the cuts of its series.
+    """
+    df = df.withColumn("__cell", F.lit(0))
+    for k in range(quantiles.bit_length()):
+        at, step = F.col("__cell"), quantiles >> k
+        df = df.withColumn("__cell", F.when(F.get("__cuts", at + (step - 1)) <= F.col("__place"), at + step).otherwise(at))
+    return df
 
 
-def _arranged(counts: list[int], rows: int, halo: int) -> tuple[list[list[int]], list[int]]:
-    """For each cell the blocks that get it (its own first), and for each block the place of its first bar."""
+def _arranged(counts: list[int], rows: int, halo: int) -> list[list[tuple[int, int]]]:
+    """For each cell the blocks that get it (its own first), and the place of the first bar of each."""
+    before = [0, *accumulate(counts)]
     first_cell, size = [0], 0
     targets: list[list[int]] = []
     for k, n in enumerate(counts):
-        if size >= rows and sum(counts[k:]) >= halo:
+        if size >= rows and before[-1] - before[k] >= halo:
             first_cell.append(k)
             size = 0
         targets.append([len(first_cell) - 1])
         size += n
-    places = []
+    places = {}
     for block, k in enumerate(first_cell):
         behind = 0
         while k > 0 and behind < halo:
             k -= 1
             behind += counts[k]
             targets[k].append(block)
-        places.append(sum(counts[:k]))
-    return targets, places
+        places[block] = block, before[k]
+    return [[places[block] for block in blocks] for blocks in targets]
 
 
 def in_blocks(bars: DataFrame, rows: int, halo: int) -> DataFrame | None:
@@ -78,47 +89,60 @@ def in_blocks(bars: DataFrame, rows: int, halo: int) -> DataFrame | None:
     series has over ``rows`` bars.
 
     Cuts are quantiles of the dates of long series; the exact counts between them give each bar its place. The driver
-    sees cuts and counts only, as many as there are cells: with over MOST_BLOCKS * rows bars, blocks grow instead.
+    sees cuts and counts only, as many as there are cells: with over MOST_BLOCKS * rows bars in long series, or over
+    _MOST_CELLS cells in one, blocks grow instead.
     """
     if rows < max(halo, 1):
         raise ValueError("a block holds at least as many rows as a halo")
     spark = bars.sparkSession
     counts = bars.groupBy("symbol").agg(F.count("*").alias("n"))
-    total, most = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-    rows = max(rows, ceil(total / MOST_BLOCKS))
+    longest = counts.where(F.col("n") > rows).orderBy(F.desc("n")).limit(MOST_BLOCKS).collect()
+    if not longest:
+        return None
+    most = longest[0]["n"]
+    rows = max(rows, ceil(sum(r["n"] for r in longest) / MOST_BLOCKS), ceil(most * CELLS / _MOST_CELLS))
+    if len(longest) == MOST_BLOCKS:  # there may be more of them: all are as short as the last
+        rows = max(rows, longest[-1]["n"])
     if most <= rows:
         return None
+    kind = bars.schema["symbol"].dataType
+    symbol = T.StructField("__symbol", kind)
     quantiles = 1 << (min(_MOST_CELLS, ceil(most * CELLS / rows)) - 1).bit_length()
-    cells = F.least(F.lit(_MOST_CELLS), F.ceil(F.col("n") * CELLS / rows)).cast("int")
-    long = counts.where(F.col("n") > rows).select(F.col("symbol").alias("__symbol"), cells.alias("__cells"))
-    here = bars.select("symbol", _place(bars).alias("__place")).join(F.broadcast(long), F.col("symbol").eqNullSafe(F.col("__symbol")))
+    wanted = [(r["symbol"], min(_MOST_CELLS, ceil(r["n"] * CELLS / rows))) for r in longest if r["n"] > rows]
+    long = spark.createDataFrame(wanted, T.StructType([symbol, T.StructField("__cells", T.IntegerType())]))
+    placed = bars.withColumn("__place", _place(bars))
+    same = F.col("symbol").eqNullSafe(F.col("__symbol"))
+    here = placed.select("symbol", "__place").join(F.broadcast(long), same)
     marks = F.percentile_approx("__place", [k / quantiles for k in range(1, quantiles)], 10_000)
     chosen = F.transform(F.sequence(F.lit(1), F.col("__cells") - 1), lambda k: F.get("q", (k * quantiles / F.col("__cells")).cast("int") - 1))
     found = here.groupBy("symbol", "__cells").agg(marks.alias("q")).where("__cells > 1").select("symbol", F.array_distinct(chosen).alias("cuts")).collect()
-    kind = bars.schema["symbol"].dataType
-    cut = T.StructType([T.StructField("__symbol", kind), T.StructField("__cuts", T.ArrayType(T.LongType()))])
+    cut = T.StructType([symbol, T.StructField("__cuts", T.ArrayType(T.LongType(), False))])
     cuts = spark.createDataFrame([(r["symbol"], sorted(r["cuts"])) for r in found], cut)
-    placed = bars.withColumn("__place", _place(bars))
-    same = F.col("symbol").eqNullSafe(F.col("__symbol"))
-    sizes = placed.select("symbol", "__place").join(F.broadcast(cuts), same).groupBy("symbol", _cell(quantiles).alias("cell")).count().collect()
+    sizes = _with_cell(placed.select("symbol", "__place").join(F.broadcast(cuts), same), quantiles).groupBy("symbol", "__cell").count().collect()
     by_symbol: dict[object, list[int]] = {r["symbol"]: [0] * (len(r["cuts"]) + 1) for r in found}
     for r in sizes:
-        by_symbol[r["symbol"]][r["cell"]] = r["count"]
-    made = T.StructType([*cut.fields, T.StructField("__targets", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("__places", T.ArrayType(T.LongType()))])
-    layout = spark.createDataFrame([(r["symbol"], sorted(r["cuts"]), *_arranged(by_symbol[r["symbol"]], rows, halo)) for r in found], made)
-    dealt = placed.join(F.broadcast(layout), same, "left").withColumn("__mine", F.coalesce(F.get("__targets", _cell(quantiles)), F.array(F.lit(0))))
-    dealt = dealt.withColumn("bar_block", F.explode("__mine")).withColumn("bar_halo", F.col("bar_block") != F.get("__mine", F.lit(0)))
-    dealt = dealt.withColumn("__first", F.coalesce(F.get("__places", F.col("bar_block")), F.lit(0)))
+        by_symbol[r["symbol"]][r["__cell"]] = r["count"]
+    target = T.StructType([T.StructField("block", T.IntegerType(), False), T.StructField("first", T.LongType(), False)])
+    made = T.StructType([*cut.fields, T.StructField("__targets", T.ArrayType(T.ArrayType(target, False), False))])
+    layout = spark.createDataFrame([(r["symbol"], sorted(r["cuts"]), _arranged(by_symbol[r["symbol"]], rows, halo)) for r in found], made)
+    dealt = _with_cell(placed.join(F.broadcast(layout), same, "left"), quantiles)
+    whole = F.array(F.struct(F.lit(0).alias("block"), F.lit(0).cast("long").alias("first")))
+    dealt = dealt.select(*bars.columns, F.posexplode(F.coalesce(F.get("__targets", F.col("__cell")), whole)).alias("__at", "__to"))
+    dealt = dealt.select(*bars.columns, F.col("__to.block").alias("bar_block"), (F.col("__at") > 0).alias("bar_halo"), F.col("__to.first").alias("__first"))
+    pieces = ceil(sum(map(sum, by_symbol.values())) * (1 + 1 / CELLS) / _TASK_ROWS)
+    if pieces > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        dealt = dealt.repartition(pieces, "symbol", "bar_block")
     row = F.row_number().over(Window.partitionBy("symbol", "bar_block").orderBy("date")) - 1 + F.col("__first")
     return dealt.withColumn("bar_row", row).select(*bars.columns, *_HIDDEN)
 
 
 def over_blocks(function: Callable[..., DataFrame], bars: DataFrame, rows: int = 1 << 20, **params) -> DataFrame:
     """``function(bars, **params)``, with series of over ``rows`` bars in blocks of about so many."""
-    laid = in_blocks(bars, max(rows, history(function, **params)), history(function, **params))
+    halo = history(function, **params)
+    laid = in_blocks(bars, max(rows, halo), halo)
     if laid is None:
         return function(bars, **params)
-    with laid_out(Blocks()):
+    with laid_out(Blocks(max(rows, halo))):
         made = function(laid, **params)
     return made.where(~F.col("bar_halo")).drop(*_HIDDEN)
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barline.functions.series import Blocks, laid_out
-from barline.operators import indicators
+from barline.operators import indicators, long_series
 from barline.operators.indicators import REGISTRY
 from barline.operators.long_series import append_bars, history, in_blocks, over_blocks
 from barline.operators.parabolic import Stop, parabolic_sar, stops
@@ -186,3 +186,27 @@ def test_logarithms_of_products(spark, long_bars):
     few = spark.createDataFrame([("A", k, c, 9 - k) for k, c in enumerate([2.0, 1.0, 0.0, 5.0, 6.0])], "symbol string, date long, close double, volume long")
     got = [r["nvi_ln"] for r in indicators.nvi(few, ln=True).orderBy("date").collect()]
     assert got[:2] == pytest.approx([math.log(1000), math.log(500)]) and got[2:] == [None] * 3
+
+
+def test_carries_look_at_the_last_blocks_only(long_bars):
+    """What a carry gathers doesn't grow with the blocks of a series, and the tables of carries are broadcast."""
+    plan = over_blocks(indicators.macd, long_bars, rows=300)._jdf.queryExecution()
+    frames = re.findall(r"collect_list\(.*?specifiedwindowframe\(RowFrame, ([^,]+),", plan.optimizedPlan().toString())
+    assert frames and all(re.fullmatch(r"-\d+", f) for f in frames)
+    assert "SortMergeJoin" not in plan.sparkPlan().toString()
+
+
+def test_halos_stay_small(long_bars, monkeypatch):
+    """Blocks grow where a series has no more cells, so that a halo of a whole cell is a small part of its block."""
+    monkeypatch.setattr(long_series, "_MOST_CELLS", 16)
+    laid = in_blocks(long_bars, 100, 60)
+    assert laid.where("symbol = 'A' and bar_halo").count() < 2500 / 4
+    assert "aggregate(" not in laid._jdf.queryExecution().optimizedPlan().toString()  # rows aren't copied with their cuts
+
+
+def test_tasks_hold_a_share_of_rows(long_bars, monkeypatch):
+    monkeypatch.setattr(long_series, "_TASK_ROWS", 100)
+    made = over_blocks(indicators.sma, long_bars, rows=300)
+    sizes = made.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(sizes) > 4
+    close_to(made.collect(), indicators.sma(long_bars).collect(), ["sma"])
