@@ -106,12 +106,23 @@ class Units:
         return found
 
 
+#: Pairs that wait to be counted, about: a count of all cells at once costs as much as so many pairs.
+_WAITING = 1 << 22
+
+
 def _count_pairs(units: Units):
     size = units.end + 1
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: np.ndarray | None = None
+        held: list[np.ndarray] = []
+        waiting = 0
+
+        def counted() -> np.ndarray:
+            counts = np.bincount(np.concatenate(held), minlength=size * size).astype(np.int32)
+            return counts if total is None else np.add(total, counts, out=total)
+
         for whole in batches:
             for batch in slices(whole):
                 h, group, row, first = _tokens(batch.column(0), units.groups)
@@ -119,8 +130,13 @@ def _count_pairs(units: Units):
                 before = np.empty_like(u)
                 before[1:] = u[:-1]
                 before[first[:-1]] = units.end
-                counts = np.bincount(before * size + u, minlength=size * size).astype(np.int32)
-                total = counts if total is None else total + counts
+                held.append((before * size + u).astype(np.int32 if size * size < 1 << 31 else np.int64))
+                waiting += len(u)
+                if waiting >= _WAITING:
+                    total = counted()
+                    held, waiting = [], 0
+        if held:
+            total = counted()
         if total is not None:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at // size, pa.int32()), pa.array(at % size, pa.int32()), pa.array(total[at].astype(np.int64))], ["a", "b", "n"])
