@@ -3,7 +3,8 @@
 ``in_blocks`` cuts every series of over ``rows`` bars into blocks of neighbouring bars, each with the last ``halo`` bars
 or more before it, so that bounded windows see what they need; one shuffle by symbol and block serves all windows.
 Scans (exponential means, running sums and products, held values) take a carry from a table of one row a block, which
-is broadcast; for it the columns that they scan are read once more.
+is broadcast; for it the columns that they scan are read once more. Exponential means of series that are much longer than such a
+mean reaches back need none: their blocks have halos of that length.
 
 ``append_bars`` keeps a row of state for each symbol and indicator: the last bars and what every scan has reached. New
 bars are computed from it without their history.
@@ -16,11 +17,11 @@ from collections.abc import Callable
 from itertools import accumulate
 from math import ceil
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.series import Blocks, Stored, laid_out
+from ..functions.series import Blocks, Measured, Stored, laid_out
 
 #: Blocks in all series together, at most: what is known of them is broadcast, about 8 * (cut, count, targets) each.
 MOST_BLOCKS = 20_000
@@ -29,8 +30,10 @@ CELLS = 8
 #: Cells of one series, at most; blocks of longer series grow, so that their halos don't grow beside them.
 _MOST_CELLS = 4096
 #: Rows of a task, about, where there are more than the session's shuffle partitions take: sorted more than once in memory.
-_TASK_ROWS = 1 << 20
-_HIDDEN = ("bar_block", "bar_halo", "bar_row")
+_TASK_ROWS = 1 << 18
+#: Blocks have so many times the rows that exponential means reach back, and series so many such blocks, if they do without carries.
+_WARM = 4
+_HIDDEN = ("bar_block", "bar_halo", "bar_row", "bar_tail")
 
 
 def history(function: Callable[..., DataFrame], **params) -> int:
@@ -84,22 +87,36 @@ def _arranged(counts: list[int], rows: int, halo: int) -> list[list[tuple[int, i
     return [[places[block] for block in blocks] for blocks in targets]
 
 
-def in_blocks(bars: DataFrame, rows: int, halo: int) -> DataFrame | None:
+def _tasks(spark: SparkSession, rows: float) -> int:
+    """Partitions of a shuffle of so many rows: what the session says, or more."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(rows / _TASK_ROWS))
+
+
+def in_blocks(bars: DataFrame, rows: int, halo: int, built: Callable[..., DataFrame] | None = None, reach: int = 0) -> DataFrame | None:
     """``bars`` with bar_block, bar_halo and bar_row, every bar once in its block and again in each halo; None where no
     series has over ``rows`` bars.
 
     Cuts are quantiles of the dates of long series; the exact counts between them give each bar its place. The driver
     sees cuts and counts only, as many as there are cells: with over MOST_BLOCKS * rows bars in long series, or over
     _MOST_CELLS cells in one, blocks grow instead.
+
+    ``built(lines, *keys)`` makes bars of lines that have a symbol and a date, grouped by these and the keys: then ``bars`` are
+    such lines, cut and shuffled into blocks as they are, and each block makes its bars. Where a series is much longer than
+    ``reach``, halos are that long and there is bar_tail, which is true of a bar that is in the next halo too.
     """
     if rows < max(halo, 1):
         raise ValueError("a block holds at least as many rows as a halo")
     spark = bars.sparkSession
-    counts = bars.groupBy("symbol").agg(F.count("*").alias("n"))
+    seen = Observation()
+    counts = bars.groupBy("symbol").agg(F.count("*").alias("n")).observe(seen, F.sum("n").alias("rows"))
     longest = counts.where(F.col("n") > rows).orderBy(F.desc("n")).limit(MOST_BLOCKS).collect()
     if not longest:
         return None
-    most = longest[0]["n"]
+    most, lines = longest[0]["n"], seen.get["rows"]
+    warm = 0 < reach * _WARM * _WARM <= most
+    if warm:
+        halo = max(halo, reach)
+        rows = max(rows, halo * _WARM)
     rows = max(rows, ceil(sum(r["n"] for r in longest) / MOST_BLOCKS), ceil(most * CELLS / _MOST_CELLS))
     if len(longest) == MOST_BLOCKS:  # there may be more of them: all are as short as the last
         rows = max(rows, longest[-1]["n"])
@@ -118,31 +135,43 @@ def in_blocks(bars: DataFrame, rows: int, halo: int) -> DataFrame | None:
     found = here.groupBy("symbol", "__cells").agg(marks.alias("q")).where("__cells > 1").select("symbol", F.array_distinct(chosen).alias("cuts")).collect()
     cut = T.StructType([symbol, T.StructField("__cuts", T.ArrayType(T.LongType(), False))])
     cuts = spark.createDataFrame([(r["symbol"], sorted(r["cuts"])) for r in found], cut)
-    sizes = _with_cell(placed.select("symbol", "__place").join(F.broadcast(cuts), same), quantiles).groupBy("symbol", "__cell").count().collect()
+    places = _with_cell(placed.select("symbol", "__place").join(F.broadcast(cuts), same), quantiles).select("symbol", "__place", "__cell")
+    if built:  # several lines may be one bar
+        places = places.repartition(_tasks(spark, lines), "symbol", "__place").distinct()
+    sizes = places.groupBy("symbol", "__cell").count().collect()
     by_symbol: dict[object, list[int]] = {r["symbol"]: [0] * (len(r["cuts"]) + 1) for r in found}
     for r in sizes:
         by_symbol[r["symbol"]][r["__cell"]] = r["count"]
-    target = T.StructType([T.StructField("block", T.IntegerType(), False), T.StructField("first", T.LongType(), False)])
+    target = T.StructType([T.StructField("block", T.IntegerType(), False), T.StructField("first", T.LongType(), False), T.StructField("tail", T.BooleanType(), False)])
     made = T.StructType([*cut.fields, T.StructField("__targets", T.ArrayType(T.ArrayType(target, False), False))])
-    layout = spark.createDataFrame([(r["symbol"], sorted(r["cuts"]), _arranged(by_symbol[r["symbol"]], rows, halo)) for r in found], made)
+    arranged = {r["symbol"]: [[(*to, len(cell) > 1) for to in cell] for cell in _arranged(by_symbol[r["symbol"]], rows, halo)] for r in found}
+    layout = spark.createDataFrame([(r["symbol"], sorted(r["cuts"]), arranged[r["symbol"]]) for r in found], made)
     dealt = _with_cell(placed.join(F.broadcast(layout), same, "left"), quantiles)
-    whole = F.array(F.struct(F.lit(0).alias("block"), F.lit(0).cast("long").alias("first")))
+    whole = F.array(F.struct(F.lit(0).alias("block"), F.lit(0).cast("long").alias("first"), F.lit(False).alias("tail")))
     dealt = dealt.select(*bars.columns, F.posexplode(F.coalesce(F.get("__targets", F.col("__cell")), whole)).alias("__at", "__to"))
-    dealt = dealt.select(*bars.columns, F.col("__to.block").alias("bar_block"), (F.col("__at") > 0).alias("bar_halo"), F.col("__to.first").alias("__first"))
-    pieces = ceil(sum(map(sum, by_symbol.values())) * (1 + 1 / CELLS) / _TASK_ROWS)
-    if pieces > int(spark.conf.get("spark.sql.shuffle.partitions")):
+    keys = {"bar_block": F.col("__to.block"), "bar_halo": F.col("__at") > 0, "__first": F.col("__to.first")} | ({"bar_tail": F.col("__to.tail")} if warm else {})
+    dealt = dealt.select(*bars.columns, *[c.alias(name) for name, c in keys.items()])
+    pieces = _tasks(spark, lines * (1 + (1 / _WARM if warm else 0) + 1 / CELLS))
+    if built or pieces > int(spark.conf.get("spark.sql.shuffle.partitions")):
         dealt = dealt.repartition(pieces, "symbol", "bar_block")
+    if built:
+        dealt = built(dealt, *keys)
     row = F.row_number().over(Window.partitionBy("symbol", "bar_block").orderBy("date")) - 1 + F.col("__first")
-    return dealt.withColumn("bar_row", row).select(*bars.columns, *_HIDDEN)
+    return dealt.withColumn("bar_row", row).drop("__first")
 
 
-def over_blocks(function: Callable[..., DataFrame], bars: DataFrame, rows: int = 1 << 20, **params) -> DataFrame:
-    """``function(bars, **params)``, with series of over ``rows`` bars in blocks of about so many."""
+def over_blocks(function: Callable[..., DataFrame], bars: DataFrame, rows: int = 1 << 20, built: Callable[..., DataFrame] | None = None, **params) -> DataFrame:
+    """``function(bars, **params)``, with series of over ``rows`` bars in blocks of about so many, or of several times what
+    its exponential means reach back where series are much longer still. With ``built``, ``bars`` are lines of which it makes bars."""
     halo = history(function, **params)
-    laid = in_blocks(bars, max(rows, halo), halo)
+    whole = built(bars) if built else bars
+    measured = Measured()
+    with laid_out(measured):
+        function(whole, **params)  # a plan, which is not run
+    laid = in_blocks(bars, max(rows, halo), halo, built, measured.reach)
     if laid is None:
-        return function(bars, **params)
-    with laid_out(Blocks(max(rows, halo))):
+        return function(whole, **params)
+    with laid_out(Blocks(max(rows, halo), "bar_tail" in laid.columns)):
         made = function(laid, **params)
     return made.where(~F.col("bar_halo")).drop(*_HIDDEN)
 

@@ -28,17 +28,28 @@ SQL = """bars AS MATERIALIZED (
     GROUP BY ALL))"""
 
 
-def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three long series: the lines of orders as bars of their return flag, in the order of orders and line numbers."""
+def tape_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of orders with the symbol and the date of their bar in the tape."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    price = 1000 + F.col("l_extendedprice") / 1000
-    rows = items.groupBy(F.col("l_returnflag").alias("symbol"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("date")).agg(
+    price = (1000 + F.col("l_extendedprice") / 1000).alias("price")
+    return items.select(F.col("l_returnflag").alias("symbol"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("date"), price, "l_tax", "l_discount", "l_quantity")
+
+
+def tape_bars(lines: DataFrame, *keys: str) -> DataFrame:
+    """Bars of the tape, grouped by more keys as well."""
+    price = F.col("price")
+    rows = lines.groupBy("symbol", "date", *keys).agg(
         F.min(price).alias("open"), F.max(price * (1 + F.col("l_tax"))).alias("high"), F.min(price * (1 - F.col("l_discount"))).alias("low"),
         F.sum("l_quantity").cast("long").alias("volume"),
     )
     return rows.withColumn("close", (F.col("high") + 3 * F.col("low")) / 4)
 
 
+def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three long series: the lines of orders as bars of their return flag, in the order of orders and line numbers."""
+    return tape_bars(tape_lines(spark, sf_dir))
+
+
 TAPE_SQL = """bars AS MATERIALIZED (
   SELECT *, (high + 3 * low) / 4 AS close, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS rn FROM (
     SELECT l_returnflag AS symbol, l_orderkey * 10 + l_linenumber AS date, min(price) AS open,

@@ -40,7 +40,7 @@ def _long(name: str) -> Callable[[SparkSession, str], DataFrame]:
     function, columns, params = _known(name)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return over_blocks(function, bars.tape(spark, sf_dir), rows=4096, **params).select("symbol", "date", *map(_shown, columns))
+        return over_blocks(function, bars.tape_lines(spark, sf_dir), rows=4096, built=bars.tape_bars, **params).select("symbol", "date", *map(_shown, columns))
 
     return run
 

@@ -10,12 +10,13 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from barline.functions import series
 from barline.functions.series import Blocks, laid_out
 from barline.operators import indicators, long_series
 from barline.operators.indicators import REGISTRY
 from barline.operators.long_series import append_bars, history, in_blocks, over_blocks
 from barline.operators.parabolic import Stop, parabolic_sar, stops
-from barline.plans import catalogue
+from barline.plans import bars, catalogue
 
 FREE = [name for name in REGISTRY if name != "i10_parabolic_sar"]
 GROUPS = [FREE[k::9] for k in range(9)]
@@ -210,3 +211,74 @@ def test_tasks_hold_a_share_of_rows(long_bars, monkeypatch):
     sizes = made.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
     assert len(sizes) > 4
     close_to(made.collect(), indicators.sma(long_bars).collect(), ["sma"])
+
+
+WARM = ("i03_macd", "i17_keltner", "i22_trix", "i32_kvo", "i33_chaikin_oscillator")
+
+
+@pytest.mark.parametrize("name", WARM)
+def test_long_halos_give_the_rows_of_whole_series(spark, monkeypatch, name):
+    """Series much longer than exponential means reach back: no carries of these, and scans that begin in halos. Here a mean
+    forgets after 20 digits, so that series of a few thousand bars are long enough."""
+    monkeypatch.setattr(series, "forgotten", lambda decay: math.ceil(20 / -math.log10(decay)))
+    monkeypatch.setattr(long_series, "_WARM", 2)
+    function, columns = REGISTRY[name]
+    bars = walk(spark, {"A": 9000, "B": 7000, "C": 90, None: 400}, seed=7, date="long").cache()
+    made = over_blocks(function, bars, rows=300)
+    assert "collect_list" not in made._jdf.queryExecution().optimizedPlan().toString()
+    close_to(made.select("symbol", "date", *columns).collect(), function(bars).select("symbol", "date", *columns).collect(), columns)
+
+
+def test_running_values_of_halos(spark, monkeypatch):
+    """Running sums and held values are right on the rows of halos too, where means begin."""
+    monkeypatch.setattr(series, "forgotten", lambda decay: 100)
+    monkeypatch.setattr(long_series, "_WARM", 2)
+
+    def scans(df, window: int = 60):
+        df = series.running_sum(df, "volume", "sum")
+        df = series.last_known(df.withColumn("now_and_then", F.when(F.col("date") % 97 == 0, F.col("close"))), "now_and_then", "held")
+        return series.exponential(df, "close", "ema", 2, 1)
+
+    bars = walk(spark, {"A": 3000, "B": 50}, seed=8, date="long").cache()
+    laid = in_blocks(bars, 300, 60, reach=100)
+    with laid_out(Blocks(300, True)):
+        rows = scans(laid).collect()
+    want = {(r["symbol"], r["date"]): r for r in scans(bars).collect()}
+    assert sum(r["bar_halo"] for r in rows) > 500 and len(rows) - sum(r["bar_halo"] for r in rows) == 3050
+    for r in rows:
+        w = want[r["symbol"], r["date"]]
+        assert (r["sum"], r["held"]) == (w["sum"], w["held"])
+        assert r["bar_halo"] or (r["ema"] is None) == (w["ema"] is None)
+        assert r["bar_halo"] or w["ema"] is None or r["ema"] == pytest.approx(w["ema"], rel=1e-12)
+
+
+def lines_of(spark, folder, copies):
+    """Lines of which each is there several times with another price: bars of several lines."""
+    rng = random.Random(9)
+    lines = [(k, 1, float(rng.randrange(1, 50)), rng.random() * 1e5, 0.05, 0.02, "AN"[k % 2]) for k in range(6000) for _ in range(copies)]
+    kinds = "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string"
+    spark.createDataFrame(lines, kinds).repartition(3).write.parquet(f"{folder}/lineitem.parquet")
+
+
+@pytest.mark.parametrize("name", ["sma", "vwap", "macd"])
+def test_bars_made_of_lines_in_blocks(spark, tmp_path, name):
+    """The tape's bars are made in their blocks, several lines each, and are those of whole series."""
+    lines_of(spark, tmp_path, 3)
+    function = getattr(indicators, name)
+    column = "signal" if name == "macd" else name
+    got = over_blocks(function, bars.tape_lines(spark, str(tmp_path)), rows=300, built=bars.tape_bars)
+    want = function(bars.tape(spark, str(tmp_path)))
+    assert sorted(got.columns) == sorted(want.columns)
+    close_to(got.collect(), want.collect(), [column])
+
+
+def test_lines_are_shuffled_once(spark, tmp_path):
+    """Into blocks of few rows a task: bars, windows and exponential means need no other shuffle or pass."""
+    lines_of(spark, tmp_path, 2)
+    for name in ("long_i01_sma", "long_i05_bollinger", "long_i18_cci", "long_i23_aroon"):
+        plan = catalogue.queries()[name](spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("Scan parquet") == 1
+    made = over_blocks(indicators.sma, bars.tape_lines(spark, str(tmp_path)), rows=300, built=bars.tape_bars)
+    made.collect()
+    plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1
