@@ -28,9 +28,13 @@ MOST_BLOCKS = 20_000
 #: A block is made of about so many cells, and a halo of whole cells.
 CELLS = 8
 #: Cells of one series, at most; blocks of longer series grow, so that their halos don't grow beside them.
-_MOST_CELLS = 4096
+_MOST_CELLS = 1 << 15
+#: Quantiles of one series, at most; cells between two of them are evenly spaced.
+_QUANTILES = 4096
 #: Rows of a task, about, where there are more than the session's shuffle partitions take: sorted more than once in memory.
 _TASK_ROWS = 1 << 18
+#: Blocks grow to this share of a task before a series gets more cells than quantiles: hashed to tasks, they fill them evenly.
+_SHARE = 8
 #: Blocks have so many times the rows that exponential means reach back, and series so many such blocks, if they do without carries.
 _WARM = 4
 _HIDDEN = ("bar_block", "bar_halo", "bar_row", "bar_tail")
@@ -65,6 +69,13 @@ def _with_cell(df: DataFrame, quantiles: int) -> DataFrame:
     return df
 
 
+def _spaced(cuts: list[int], pieces: int) -> list[int]:
+    """The cuts, and evenly spaced ones between each and the next: ``pieces`` cells for one. Counts are taken of what they
+    cut, so that they need not be even."""
+    between = {a + (b - a) * k // pieces for a, b in zip(cuts, cuts[1:]) for k in range(1, pieces)}
+    return sorted(between | set(cuts))
+
+
 def _arranged(counts: list[int], rows: int, halo: int) -> list[list[tuple[int, int]]]:
     """For each cell the blocks that get it (its own first), and the place of the first bar of each."""
     before = [0, *accumulate(counts)]
@@ -96,9 +107,9 @@ def in_blocks(bars: DataFrame, rows: int, halo: int, built: Callable[..., DataFr
     """``bars`` with bar_block, bar_halo and bar_row, every bar once in its block and again in each halo; None where no
     series has over ``rows`` bars.
 
-    Cuts are quantiles of the dates of long series; the exact counts between them give each bar its place. The driver
-    sees cuts and counts only, as many as there are cells: with over MOST_BLOCKS * rows bars in long series, or over
-    _MOST_CELLS cells in one, blocks grow instead.
+    Cuts are quantiles of the dates of long series, and points between them where blocks would be too large a part of a
+    task; the exact counts between them give each bar its place. The driver sees cuts and counts only, as many as there
+    are cells: with over MOST_BLOCKS * rows bars in long series, or over _MOST_CELLS cells in one, blocks grow instead.
 
     ``built(lines, *keys)`` makes bars of lines that have a symbol and a date, grouped by these and the keys: then ``bars`` are
     such lines, cut and shuffled into blocks as they are, and each block makes its bars. Where a series is much longer than
@@ -117,15 +128,18 @@ def in_blocks(bars: DataFrame, rows: int, halo: int, built: Callable[..., DataFr
     if warm:
         halo = max(halo, reach)
         rows = max(rows, halo * _WARM)
-    rows = max(rows, ceil(sum(r["n"] for r in longest) / MOST_BLOCKS), ceil(most * CELLS / _MOST_CELLS))
+    even = min(ceil(most * CELLS / _QUANTILES), _TASK_ROWS // _SHARE)
+    rows = max(rows, ceil(sum(r["n"] for r in longest) / MOST_BLOCKS), even, ceil(most * CELLS / _MOST_CELLS))
     if len(longest) == MOST_BLOCKS:  # there may be more of them: all are as short as the last
         rows = max(rows, longest[-1]["n"])
     if most <= rows:
         return None
     kind = bars.schema["symbol"].dataType
     symbol = T.StructField("__symbol", kind)
-    quantiles = 1 << (min(_MOST_CELLS, ceil(most * CELLS / rows)) - 1).bit_length()
-    wanted = [(r["symbol"], min(_MOST_CELLS, ceil(r["n"] * CELLS / rows))) for r in longest if r["n"] > rows]
+    cells = {r["symbol"]: min(_MOST_CELLS, ceil(r["n"] * CELLS / rows)) for r in longest if r["n"] > rows}
+    pieces = {symbol: ceil(n / _QUANTILES) for symbol, n in cells.items()}
+    quantiles = 1 << (min(_QUANTILES, max(cells.values())) - 1).bit_length()
+    wanted = [(symbol, ceil(n / pieces[symbol])) for symbol, n in cells.items()]
     long = spark.createDataFrame(wanted, T.StructType([symbol, T.StructField("__cells", T.IntegerType())]))
     placed = bars.withColumn("__place", _place(bars))
     same = F.col("symbol").eqNullSafe(F.col("__symbol"))
@@ -134,26 +148,28 @@ def in_blocks(bars: DataFrame, rows: int, halo: int, built: Callable[..., DataFr
     chosen = F.transform(F.sequence(F.lit(1), F.col("__cells") - 1), lambda k: F.get("q", (k * quantiles / F.col("__cells")).cast("int") - 1))
     found = here.groupBy("symbol", "__cells").agg(marks.alias("q")).where("__cells > 1").select("symbol", F.array_distinct(chosen).alias("cuts")).collect()
     cut = T.StructType([symbol, T.StructField("__cuts", T.ArrayType(T.LongType(), False))])
-    cuts = spark.createDataFrame([(r["symbol"], sorted(r["cuts"])) for r in found], cut)
-    places = _with_cell(placed.select("symbol", "__place").join(F.broadcast(cuts), same), quantiles).select("symbol", "__place", "__cell")
+    cuts = {r["symbol"]: _spaced(sorted(r["cuts"]), pieces[r["symbol"]]) for r in found}
+    most_cells = 1 << max((len(c) for c in cuts.values()), default=0).bit_length()
+    known = F.broadcast(spark.createDataFrame(list(cuts.items()), cut))
+    places = _with_cell(placed.select("symbol", "__place").join(known, same), most_cells).select("symbol", "__place", "__cell")
     if built:  # several lines may be one bar
         places = places.repartition(_tasks(spark, lines), "symbol", "__place").distinct()
     sizes = places.groupBy("symbol", "__cell").count().collect()
-    by_symbol: dict[object, list[int]] = {r["symbol"]: [0] * (len(r["cuts"]) + 1) for r in found}
+    by_symbol: dict[object, list[int]] = {s: [0] * (len(c) + 1) for s, c in cuts.items()}
     for r in sizes:
         by_symbol[r["symbol"]][r["__cell"]] = r["count"]
     target = T.StructType([T.StructField("block", T.IntegerType(), False), T.StructField("first", T.LongType(), False), T.StructField("tail", T.BooleanType(), False)])
     made = T.StructType([*cut.fields, T.StructField("__targets", T.ArrayType(T.ArrayType(target, False), False))])
-    arranged = {r["symbol"]: [[(*to, len(cell) > 1) for to in cell] for cell in _arranged(by_symbol[r["symbol"]], rows, halo)] for r in found}
-    layout = spark.createDataFrame([(r["symbol"], sorted(r["cuts"]), arranged[r["symbol"]]) for r in found], made)
-    dealt = _with_cell(placed.join(F.broadcast(layout), same, "left"), quantiles)
+    arranged = {s: [[(*to, len(cell) > 1) for to in cell] for cell in _arranged(n, rows, halo)] for s, n in by_symbol.items()}
+    layout = spark.createDataFrame([(s, c, arranged[s]) for s, c in cuts.items()], made)
+    dealt = _with_cell(placed.join(F.broadcast(layout), same, "left"), most_cells)
     whole = F.array(F.struct(F.lit(0).alias("block"), F.lit(0).cast("long").alias("first"), F.lit(False).alias("tail")))
     dealt = dealt.select(*bars.columns, F.posexplode(F.coalesce(F.get("__targets", F.col("__cell")), whole)).alias("__at", "__to"))
     keys = {"bar_block": F.col("__to.block"), "bar_halo": F.col("__at") > 0, "__first": F.col("__to.first")} | ({"bar_tail": F.col("__to.tail")} if warm else {})
     dealt = dealt.select(*bars.columns, *[c.alias(name) for name, c in keys.items()])
-    pieces = _tasks(spark, lines * (1 + (1 / _WARM if warm else 0) + 1 / CELLS))
-    if built or pieces > int(spark.conf.get("spark.sql.shuffle.partitions")):
-        dealt = dealt.repartition(pieces, "symbol", "bar_block")
+    tasks = _tasks(spark, lines * (1 + (1 / _WARM if warm else 0) + 1 / CELLS))
+    if built or tasks > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        dealt = dealt.repartition(tasks, "symbol", "bar_block")
     if built:
         dealt = built(dealt, *keys)
     row = F.row_number().over(Window.partitionBy("symbol", "bar_block").orderBy("date")) - 1 + F.col("__first")

@@ -205,6 +205,20 @@ def test_halos_stay_small(long_bars, monkeypatch):
     assert "aggregate(" not in laid._jdf.queryExecution().optimizedPlan().toString()  # rows aren't copied with their cuts
 
 
+def test_blocks_of_longest_series_stay_a_share_of_a_task(spark, monkeypatch):
+    """Series with more cells than quantiles are cut between these as well, and blocks don't grow with the series; where
+    dates are uneven too."""
+    monkeypatch.setattr(long_series, "_QUANTILES", 16)
+    monkeypatch.setattr(long_series, "_TASK_ROWS", 1600)
+    bars = walk(spark, {"A": 9000, "B": 700, None: 400}, seed=10, date="long").cache()
+    laid = in_blocks(bars, 100, 60)
+    sizes = laid.where("symbol = 'A'").groupBy("bar_block").agg(F.count("*").alias("n"), F.count_if("bar_halo").alias("halo")).collect()
+    assert len(sizes) > 20 and max(r["n"] for r in sizes) < 9000 / 8
+    assert all(r["halo"] >= 60 for r in sizes if r["bar_block"] > 0)
+    close_to(over_blocks(indicators.macd, bars, rows=130).collect(), indicators.macd(bars).collect(), ["macd", "signal", "histogram"])
+    assert long_series._spaced([3, 5, 905], 4) == [3, 4, 5, 230, 455, 680, 905]
+
+
 def test_tasks_hold_a_share_of_rows(long_bars, monkeypatch):
     monkeypatch.setattr(long_series, "_TASK_ROWS", 100)
     made = over_blocks(indicators.sma, long_bars, rows=300)
