@@ -33,6 +33,8 @@ _MOST_CELLS = 1 << 15
 _QUANTILES = 4096
 #: Rows of a task, about, where there are more than the session's shuffle partitions take: sorted more than once in memory.
 _TASK_ROWS = 1 << 18
+#: Rows that a task reads from files, about, in such times the rows of a task: it holds them until it has dealt them out.
+_READ = 4
 #: Blocks grow to this share of a task before a series gets more cells than quantiles: hashed to tasks, they fill them evenly.
 _SHARE = 8
 #: Blocks have so many times the rows that exponential means reach back, and series so many such blocks, if they do without carries.
@@ -103,6 +105,15 @@ def _tasks(spark: SparkSession, rows: float) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(rows / _TASK_ROWS))
 
 
+def _read_in_shares(spark: SparkSession, rows: int) -> None:
+    """So many rows are read by tasks of some rows each: shuffled into hundreds of partitions, a task holds what it reads.
+
+    Sets ``spark.sql.files.minPartitionNum`` of the session, if that is more than its tasks are now."""
+    tasks = ceil(rows / (_READ * _TASK_ROWS))
+    if tasks > int(spark.conf.get("spark.sql.files.minPartitionNum", None) or spark.sparkContext.defaultParallelism):
+        spark.conf.set("spark.sql.files.minPartitionNum", str(tasks))
+
+
 def in_blocks(bars: DataFrame, rows: int, halo: int, built: Callable[..., DataFrame] | None = None, reach: int = 0) -> DataFrame | None:
     """``bars`` with bar_block, bar_halo and bar_row, every bar once in its block and again in each halo; None where no
     series has over ``rows`` bars.
@@ -124,6 +135,7 @@ def in_blocks(bars: DataFrame, rows: int, halo: int, built: Callable[..., DataFr
     if not longest:
         return None
     most, lines = longest[0]["n"], seen.get["rows"]
+    _read_in_shares(spark, lines)
     warm = 0 < reach * _WARM * _WARM <= most
     if warm:
         halo = max(halo, reach)

@@ -286,6 +286,23 @@ def test_bars_made_of_lines_in_blocks(spark, tmp_path, name):
     close_to(got.collect(), want.collect(), [column])
 
 
+def test_files_are_read_in_shares(spark, tmp_path, monkeypatch):
+    """A task reads some rows of a file of many, so that what it holds for a shuffle doesn't grow with the file."""
+    monkeypatch.setattr(long_series, "_TASK_ROWS", 100)
+    rows = spark.range(0, 20_000, 1, 1).selectExpr("'A' AS symbol", "id AS date", "rand(1) AS close")
+    rows.write.option("parquet.block.size", "8192").option("parquet.page.size", "1024").parquet(f"{tmp_path}/rows")
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        made = over_blocks(indicators.sma, spark.read.parquet(f"{tmp_path}/rows"), rows=300)
+        assert made.count() == 20_000
+        read = spark.read.parquet(f"{tmp_path}/rows").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert read < 20_000 / 8
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_lines_are_shuffled_once(spark, tmp_path):
     """Into blocks of few rows a task: bars, windows and exponential means need no other shuffle or pass."""
     lines_of(spark, tmp_path, 2)
