@@ -313,3 +313,20 @@ def test_lines_are_shuffled_once(spark, tmp_path):
     made.collect()
     plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1
+
+
+@pytest.mark.parametrize("name", ["i02_ema", "i17_keltner", "i22_trix", "i34_elder_ray"])
+def test_tasks_of_exponential_means_do_not_grow_with_series(spark, monkeypatch, name):
+    """A series four times as long, in long halos, is dealt to more tasks, not to larger ones."""
+    monkeypatch.setattr(series, "forgotten", lambda decay: math.ceil(5 / -math.log10(decay)), raising=False)
+    monkeypatch.setattr(long_series, "_WARM", 2, raising=False)
+    monkeypatch.setattr(long_series, "_TASK_ROWS", 1600, raising=False)
+
+    def largest(n):
+        rows = spark.range(n).selectExpr("'A' AS symbol", "id AS date", "100 + id % 7 AS close", "101 + id % 7 AS high", "99 + id % 7 AS low", "1 AS volume")
+        made = over_blocks(REGISTRY[name][0], rows, rows=130)
+        sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == n
+        return max(sizes)
+
+    assert largest(8000) < 4000 and largest(32_000) < 4000
